@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskstream.plans import q_graph, q_velocity  # noqa: F401
+from riskstream.plans import q_dashboard, q_graph, q_velocity  # noqa: F401
 from riskstream.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -101,3 +101,10 @@ def with_fx(body: str, *names: str, extra: list[tuple[str, str]] | None = None)
         visit(n)
     ctes = [f"{n} AS ({FX[n]}\n)" for n in order] + [f"{n} AS ({q}\n)" for n, q in (extra or [])]
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
+
+EXPERIMENTS_SQL = """
+SELECT * FROM (VALUES
+  ('exp-001', 'Test Experiment', 'v1.0', 'v2.0', 0.20::DOUBLE, 'active', '2026-01-01', NULL),
+  ('exp-000', 'Earlier Experiment', 'v0.9', 'v1.0', 0.10::DOUBLE, 'completed', '2025-06-01', '2025-12-31'))
+  t(experiment_id, name, control_model_version, challenger_model_version, traffic_split, status, start_date, end_date)"""
+FX["fx_experiments"] = EXPERIMENTS_SQL

@@ -178,3 +178,15 @@ def fx_result_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TX_COLS = ["transaction_id", "user_id", "amount", "currency", "event_time", "merchant_id", "location",
             "device_id", "ip_address"]
+
+
+def experiments(spark: SparkSession) -> DataFrame:
+    """Experiment configuration rows (EXPERIMENT schema): one active, one completed. Configuration,
+    not data: joined to data-derived tables only."""
+    rows = [
+        ("exp-001", "Test Experiment", "v1.0", "v2.0", 0.20, "active", "2026-01-01", None),
+        ("exp-000", "Earlier Experiment", "v0.9", "v1.0", 0.10, "completed", "2025-06-01", "2025-12-31"),
+    ]
+    return spark.createDataFrame(
+        rows, "experiment_id string, name string, control_model_version string, challenger_model_version string, "
+              "traffic_split double, status string, start_date string, end_date string")

@@ -75,7 +75,7 @@ SELECT transaction_id, score, is_fraud, routed_to, model_version, scored_at, 1 A
 UNION ALL
 SELECT transaction_id, h, h >= 0.8, CASE WHEN h >= 0.8 THEN 'fraud-alerts' WHEN h >= 0.3 THEN 'human-review'
        ELSE 'approved-transactions' END, 'v3.0', scored_at + INTERVAL '1' DAY, 2
-FROM (SELECT *, CAST(score / 2 AS DECIMAL(5,4)) AS h FROM fx_fraud_results WHERE event_id % 6 = 0) u""",
+FROM (SELECT *, CAST(1 - score AS DECIMAL(5,4)) AS h FROM fx_fraud_results WHERE event_id % 6 = 0) u""",
 }
 
 DEPS = {

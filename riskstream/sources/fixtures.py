@@ -161,12 +161,12 @@ def fx_transaction_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_result_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change rows for fraud results: a re-score of every sixth result (new score and routing,
+    """Change rows for fraud results: a re-score (1 - score) of every sixth result (new score and routing,
     plus a model/time that an upsert must not take over)."""
     ev = events(spark, sf_dir)
     r = fraud_results_from_events(ev).withColumn("seq", F.lit(1))
     eid = F.regexp_extract("transaction_id", r"([0-9]+)", 1).cast("bigint")
-    half = (F.col("score") / 2).cast("decimal(5,4)")
+    half = (F.lit(1).cast("decimal(5,4)") - F.col("score")).cast("decimal(5,4)")
     re = r.where(eid % 6 == 0).select(
         "transaction_id", half.alias("score"), (half >= F.lit(0.8)).alias("is_fraud"),
         F.when(half >= 0.8, "fraud-alerts").when(half >= 0.3, "human-review")

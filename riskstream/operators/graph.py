@@ -20,7 +20,7 @@ TYPE_RANK = {"user": 0, "device": 1, "ip": 2}
 
 def _order(tx: DataFrame) -> DataFrame:
     """Insertion order of the reference graph = transaction order (time, then id)."""
-    return tx.select("transaction_id", "user_id", "device_id", "ip_address", "amount",
+    return tx.select("transaction_id", "user_id", "device_id", "ip_address", "amount", "event_time",
                      epoch_ms("event_time").alias("_ms"))
 
 
@@ -67,11 +67,12 @@ def resource_users(tx: DataFrame) -> DataFrame:
         F.struct(F.lit("device").alias("resource_type"), F.col("device_id").alias("resource_id")),
         F.struct(F.lit("ip").alias("resource_type"), F.col("ip_address").alias("resource_id")),
     )
-    x = t.select("user_id", "amount", "_ms", "transaction_id", F.inline(res)).where(
+    x = t.select("user_id", "amount", "_ms", "transaction_id", "event_time", F.inline(res)).where(
         F.col("resource_id").isNotNull() & F.col("user_id").isNotNull())
     return x.groupBy("resource_type", "resource_id", "user_id").agg(
         F.min(F.struct("_ms", "transaction_id")).alias("first_use"),
         F.sum(F.col("amount").cast("decimal(12,2)")).alias("amount"),
+        F.max("event_time").alias("last_use"),
     )
 
 
@@ -86,6 +87,7 @@ def fraud_rings(tx: DataFrame, cfg: EngineConfig, pairs: DataFrame | None = None
         F.count(F.lit(1)).alias("n_users"),
         F.sum("amount").alias("_amt"),
         F.min("first_use").alias("first_seen"),
+        F.max("last_use").alias("last_seen"),
     ).where(F.col("n_users") >= cfg.ring_min_users)
     return r.select(
         ring_id(F.col("resource_type"), F.col("resource_id")).alias("ring_id"),
@@ -94,7 +96,7 @@ def fraud_rings(tx: DataFrame, cfg: EngineConfig, pairs: DataFrame | None = None
         "n_users",
         F.least(F.col("n_users") / F.lit(10.0), F.lit(1.0)).alias("risk_score"),
         F.col("_amt").cast("decimal(14,2)").alias("total_transaction_amount"),
-        "first_seen",
+        "first_seen", "last_seen",
     )
 
 

@@ -99,13 +99,14 @@ def ring_prompt_lines(rings: DataFrame, members: DataFrame, tx: DataFrame, detec
 
     ``rings`` = fraud_rings output, ``members`` = ring_members output, ``tx`` = transactions."""
     r = rings.select("ring_id", "shared_resource_type", "shared_resource_id", "n_users", "risk_score",
-                     "total_transaction_amount")
+                     "total_transaction_amount", detected_at.alias("_detected"))
     head_vals = [None, None, None, F.col("ring_id"), F.col("shared_resource_type"), F.col("shared_resource_id"),
                  F.col("n_users").cast("string"), None]
     head = F.array(*[F.struct(F.lit(i).cast("bigint").alias("k1"),
                               (F.format_string(t, v) if v is not None else F.lit(t)).alias("line"))
                      for i, (t, v) in enumerate(zip(RING_HEADER, head_vals))])
-    trail_vals = [fixed(F.col("total_transaction_amount"), 2), fixed(F.col("risk_score"), 3), detected_at, None, None]
+    trail_vals = [fixed(F.col("total_transaction_amount"), 2), fixed(F.col("risk_score"), 3), F.col("_detected"),
+                  None, None]
     trail = F.array(*[F.struct(F.lit(i).cast("bigint").alias("k1"),
                                (F.format_string(t, v) if v is not None else F.lit(t)).alias("line"))
                       for i, (t, v) in enumerate(zip(RING_TRAILER, trail_vals))])

@@ -69,12 +69,12 @@ def score_alerts(
     )
 
 
-def flatten_scored(scored: DataFrame) -> DataFrame:
+def flatten_scored(scored: DataFrame, with_ml: bool = False) -> DataFrame:
     """Scalar view of scored alerts (arrays joined to text) for comparison and export."""
+    sev = ["velocity_severity", "amount_severity", "blacklist_severity", "ring_severity"] + (["ml_severity"] if with_ml else [])
     return scored.select(
         "dimension", "dimension_key", "window_start", "txn_count", "total_amount",
-        *[F.col(c).cast("bigint").alias(c) for c in
-          ["velocity_severity", "amount_severity", "blacklist_severity", "ring_severity"]],
+        *[F.col(c).cast("bigint").alias(c) for c in sev],
         "score", "routing",
         F.array_join(F.transform("triggered_rules", lambda h: h.getField("rule_id")), ",").alias("rule_ids"),
         F.array_join("reasons", " | ").alias("reasons"),
@@ -118,3 +118,17 @@ def txn_risk(tx: DataFrame, scored: DataFrame, cfg: EngineConfig) -> DataFrame:
         F.max(F.struct("score", F.col("dimension"))).alias("_b"), F.count(F.lit(1)).alias("n_alerts"))
     return best.select("transaction_id", F.col("_b.score").alias("score"), F.col("_b.dimension").alias("top_dimension"),
                        "n_alerts", route(F.col("_b.score"), cfg).alias("routing"))
+
+
+def txn_reasons(tx: DataFrame, scored: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """Per transaction inside alerting windows: the score, routing and reasons of its top alert
+    (highest score, then dimension name)."""
+    rows = explode_dimensions(tx, "event_time", extra=("transaction_id",)).select(
+        "transaction_id", "dimension", "dimension_key",
+        epoch_ms(F.window("_t", cfg.window).start).alias("window_start"))
+    s = scored.select("dimension", "dimension_key", "window_start", "score", "reasons")
+    j = rows.join(s, ["dimension", "dimension_key", "window_start"])
+    best = j.groupBy("transaction_id").agg(F.max_by(F.struct("score", "dimension", "reasons"),
+                                                    F.struct("score", "dimension")).alias("_b"))
+    return best.select("transaction_id", "_b.score", F.col("_b.dimension").alias("top_dimension"), "_b.reasons",
+                       route(F.col("_b.score"), cfg).alias("routing"))

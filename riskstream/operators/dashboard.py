@@ -243,3 +243,44 @@ def channel_history(tx: DataFrame, results: DataFrame) -> DataFrame:
     return out.select("channel", "day", "Allow", "Block", "Challenge", "total",
                       *[(F.col(n) > F.col("prev_" + n)).alias(n + "_increased") for n in ["Allow", "Block", "Challenge", "total"]],
                       *[F.col("prev_" + n).cast("bigint").alias("prev_" + n) for n in ["Allow", "Block", "Challenge", "total"]])
+
+
+def melt(df: DataFrame, part: str, item: str | None, metrics: list[str]) -> DataFrame:
+    """Long form (part, item, metric, value) of one dashboard part."""
+    it = F.col(item).cast("string") if item else F.lit("")
+    out = None
+    for m in metrics:
+        x = df.select(F.lit(part).alias("part"), it.alias("item"), F.lit(m).alias("metric"),
+                      F.col(m).cast("double").alias("value"), F.lit(None).cast("string").alias("text"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+KPI_METRICS = ["transactions_scanned", "high_risk_rate_pct", "avg_model_score", "p95_latency_ms",
+               "false_positive_proxy_pct", "risk_threshold"]
+
+
+def snapshot(spark: SparkSession, tx: DataFrame, results: DataFrame, feedback: DataFrame, metrics: DataFrame,
+             cfg: EngineConfig) -> DataFrame:
+    """Every dashboard part in one long table plus the state note; one plan, so Spark reuses
+    the identical scans / exchanges of the shared transaction-result join. Empty inputs give zeros
+    and empty parts by construction."""
+    k = kpis(tx, results, feedback, metrics, cfg)
+    parts = [
+        melt(k, "kpis", None, KPI_METRICS),
+        melt(score_histogram(results), "score_distribution", "bucket_label", ["count"]),
+        melt(decision_mix(spark, results), "decision_mix", "action", ["count"]),
+        melt(minute_trend(tx, results), "trend", "minute_label", ["scanned", "flagged"]),
+        melt(location_matrix(tx, results), "channel_matrix", "channel", ["Allow", "Block", "Challenge", "total"]),
+        melt(top_risky_merchants(tx, results, cfg), "top_risky_merchants", "merchant",
+             ["flagged_count", "avg_score", "high_risk_rate_pct"]),
+        melt(recent_flagged(tx, results, cfg), "recent_flagged_transactions", "tranID", ["score"]),
+        k.select(F.lit("state").alias("part"), F.lit("").alias("item"), F.lit("state_note").alias("metric"),
+                 F.lit(None).cast("double").alias("value"),
+                 F.when(F.col("feedback_count") > 0, F.format_string("%d analyst feedback entries recorded",
+                                                                     F.col("feedback_count"))).alias("text")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

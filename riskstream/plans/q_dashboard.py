@@ -186,3 +186,34 @@ FROM (
   WINDOW w AS (PARTITION BY channel ORDER BY day)) x""", "fx_transactions", "fx_fraud_results"))
 def q_snapshot_delta(spark, sf):
     return D.channel_history(*_tr(spark, sf))
+
+
+def _melt_sql(part: str, item: str | None, metrics: list[str], body: str) -> str:
+    it = f'CAST("{item}" AS VARCHAR)' if item else "''"
+    return "\nUNION ALL\n".join(
+        f"SELECT '{part}' AS part, {it} AS item, '{m}' AS metric, CAST(\"{m}\" AS DOUBLE) AS value, "
+        f"CAST(NULL AS VARCHAR) AS text FROM ({body}) x" for m in metrics)
+
+
+def _snapshot_sql() -> str:
+    from riskstream.plans.registry import ORACLES
+
+    parts = [
+        ("kpis", None, D.KPI_METRICS, "dashboard_kpis"),
+        ("score_distribution", "bucket_label", ["count"], "score_histogram"),
+        ("decision_mix", "action", ["count"], "decision_mix"),
+        ("trend", "minute_label", ["scanned", "flagged"], "minute_trend"),
+        ("channel_matrix", "channel", ["Allow", "Block", "Challenge", "total"], "location_matrix"),
+        ("top_risky_merchants", "merchant", ["flagged_count", "avg_score", "high_risk_rate_pct"], "top_risky_merchants"),
+        ("recent_flagged_transactions", "tranID", ["score"], "recent_flagged"),
+    ]
+    sql = [_melt_sql(p, i, m, ORACLES[q]) for p, i, m, q in parts]
+    sql.append("SELECT 'state', '', 'state_note', CAST(NULL AS DOUBLE), CASE WHEN feedback_count > 0 THEN "
+               "feedback_count || ' analyst feedback entries recorded' END FROM (" + ORACLES["dashboard_kpis"] + ") x")
+    return "\nUNION ALL\n".join(sql)
+
+
+@query("dashboard_snapshot", _snapshot_sql())
+def q_dashboard_snapshot(spark, sf):
+    t, r = _tr(spark, sf)
+    return D.snapshot(spark, t, r, fx.fx_feedback(spark, sf), fx.fx_ab_metrics(spark, sf), CFG)

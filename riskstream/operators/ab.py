@@ -50,13 +50,17 @@ def ab_metrics(metrics: DataFrame) -> DataFrame:
 
 def ab_report(metrics: DataFrame, experiments: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Per experiment one wide row {control, challenger}; versions matching neither arm are
-    dropped; ``ready`` when both arms reached the minimum sample size."""
+    dropped; ``ready`` when both arms reached the minimum sample size. The experiment table is
+    configuration-sized, so its arms become literal conditions instead of a join."""
     m = ab_metrics(metrics)
-    e = experiments.select("experiment_id", "control_model_version", "challenger_model_version")
-    j = m.join(e, "experiment_id")
-    arm = (F.when(F.col("model_version") == F.col("control_model_version"), "control")
-           .when(F.col("model_version") == F.col("challenger_model_version"), "challenger"))
-    j = j.withColumn("arm", arm).where(F.col("arm").isNotNull())
+    arm = None
+    for e in experiments.select("experiment_id", "control_model_version", "challenger_model_version").collect():
+        for name, v in (("control", e["control_model_version"]), ("challenger", e["challenger_model_version"])):
+            cond = (F.col("experiment_id") == e["experiment_id"]) & (F.col("model_version") == v)
+            arm = (F.when if arm is None else arm.when)(cond, F.lit(name))
+    if arm is None:
+        arm = F.lit(None).cast("string")
+    j = m.withColumn("arm", arm).where(F.col("arm").isNotNull())
     w = j.groupBy("experiment_id").pivot("arm", ["control", "challenger"]).agg(
         F.first("model_version").alias("version"), F.first("total").alias("total"),
         F.first("correct_count").alias("correct"), F.first("avg_latency_ms").alias("avg_latency_ms"))

@@ -246,39 +246,122 @@ def channel_history(tx: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def melt(df: DataFrame, part: str, item: str | None, metrics: list[str]) -> DataFrame:
-    """Long form (part, item, metric, value) of one dashboard part."""
+    """Long form (part, item, metric, value) of one dashboard part: one ``unpivot`` (Expand), so the
+    part's plan is evaluated once whatever the number of metrics."""
     it = F.col(item).cast("string") if item else F.lit("")
-    out = None
-    for m in metrics:
-        x = df.select(F.lit(part).alias("part"), it.alias("item"), F.lit(m).alias("metric"),
-                      F.col(m).cast("double").alias("value"), F.lit(None).cast("string").alias("text"))
-        out = x if out is None else out.unionByName(x)
-    return out
+    wide = df.select(it.alias("item"), *[F.col(m).cast("double").alias(m) for m in metrics])
+    long = wide.unpivot(["item"], metrics, "metric", "value")
+    return long.select(F.lit(part).alias("part"), "item", "metric", "value", F.lit(None).cast("string").alias("text"))
 
 
 KPI_METRICS = ["transactions_scanned", "high_risk_rate_pct", "avg_model_score", "p95_latency_ms",
                "false_positive_proxy_pct", "risk_threshold"]
 
 
+def shared_rollup(tx: DataFrame, results: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """All grouped dashboard counters in ONE pass: transactions left-joined to results, expanded into
+    the grouping sets (), (minute), (location), (merchant, flagged), (bucket), (routed_to) and
+    aggregated with one shuffle. ``gid`` tells the sets apart; every part is a filter of this result,
+    so Spark reuses the single exchange for all of them."""
+    j = tx_results(tx.select("transaction_id", "event_time", "location", "merchant_id"), results, "left")
+    has = F.col("routed_to").isNotNull()
+    base = j.select(
+        F.date_format(F.date_trunc("minute", "event_time"), "yyyy-MM-dd HH:mm").alias("minute"),
+        "location", "merchant_id", "routed_to", "score", "is_fraud",
+        (F.col("score") >= F.lit(cfg.flagged_score)).alias("flagged"),
+        F.least(F.floor(F.col("score") * 10), F.lit(9)).cast("bigint").alias("bucket"),
+        has.alias("has_result"),
+    )
+    sets = [[], ["minute"], ["location"], ["merchant_id", "flagged"], ["bucket"], ["routed_to"]]
+    r = F.col("routed_to")
+    return base.groupingSets(sets, "minute", "location", "merchant_id", "flagged", "bucket", "routed_to").agg(
+        F.grouping_id().alias("gid"),
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("has_result")).alias("n_res"),
+        F.count_if(F.col("is_fraud")).alias("n_fraud"),
+        F.count_if(r == "human-review").alias("n_review"),
+        F.count_if(r == "approved-transactions").alias("n_allow"),
+        F.count_if(r == "fraud-alerts").alias("n_block"),
+        F.sum("score").alias("s_score"),
+    )
+
+
+def _gid(*present: str) -> int:
+    cols = ["minute", "location", "merchant_id", "flagged", "bucket", "routed_to"]
+    return sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in present)
+
+
 def snapshot(spark: SparkSession, tx: DataFrame, results: DataFrame, feedback: DataFrame, metrics: DataFrame,
              cfg: EngineConfig) -> DataFrame:
-    """Every dashboard part in one long table plus the state note; one plan, so Spark reuses
-    the identical scans / exchanges of the shared transaction-result join. Empty inputs give zeros
-    and empty parts by construction."""
-    k = kpis(tx, results, feedback, metrics, cfg)
+    """Every dashboard part in one long table plus the state note.
+
+    The grouped parts are cut from :func:`shared_rollup` (one scan of each input, one join, one
+    shuffle, checkpointed: its size is bounded by the number of distinct minutes, locations, merchants,
+    buckets and routes, not by the row count); only the newest-flagged top-k reads the join again (a
+    per-partition top-k). Empty inputs give zeros and empty parts by construction."""
+    from riskstream.session import materialize
+
+    # materialise the (small) rollup once in the shared checkpoint folder: every part reads it, and
+    # without this each part's column pruning would specialise and recompute the scan + join
+    g = materialize(shared_rollup(tx, results, cfg), "dashboard-rollup")
+    gid = F.col("gid")
+    tot = g.where(gid == _gid())
+    others = feedback.select(F.lit("f").alias("src"), F.lit(None).cast("double").alias("lat")).unionByName(
+        metrics.select(F.lit("m").alias("src"), F.col("latency_ms").cast("double").alias("lat")))
+    side = others.agg(F.count_if(F.col("src") == "f").alias("feedback_count"),
+                      F.percentile(F.when(F.col("src") == "m", F.col("lat")), F.lit(0.95)).alias("_p95"))
+    # both are single-row aggregates; combine them through a tagged union + max instead of a join
+    one = tot.select(F.col("n").alias("t"), F.col("n_fraud").alias("f"), F.col("n_review").alias("rv"),
+                     F.col("s_score").alias("ss"), F.col("n_res").alias("sn"),
+                     F.lit(None).cast("bigint").alias("fb"), F.lit(None).cast("double").alias("p95")).unionByName(
+        side.select(*[F.lit(None).cast(t).alias(c) for c, t in
+                      [("t", "bigint"), ("f", "bigint"), ("rv", "bigint"), ("ss", "decimal(15,4)"), ("sn", "bigint")]],
+                    F.col("feedback_count").alias("fb"), F.col("_p95").alias("p95")))
+    k = one.agg(*[F.max(c).alias(c) for c in ["t", "f", "rv", "ss", "sn", "fb", "p95"]])
+    t = F.coalesce(F.col("t"), F.lit(0))
+    kp = k.select(
+        t.alias("transactions_scanned"),
+        F.round(F.when(t > 0, F.col("f").cast("double") / t * 100).otherwise(0.0), 2).alias("high_risk_rate_pct"),
+        F.round(F.when(F.col("sn") > 0, F.col("ss").cast("double") / F.col("sn")).otherwise(0.0), 4).alias("avg_model_score"),
+        F.round(F.coalesce(F.col("p95"), F.lit(0.0)), 2).alias("p95_latency_ms"),
+        F.round(F.when(t > 0, (F.col("rv") + F.col("f")).cast("double") / t * 100).otherwise(0.0), 2)
+        .alias("false_positive_proxy_pct"),
+        F.lit(cfg.risk_threshold).alias("risk_threshold"), F.coalesce(F.col("fb"), F.lit(0)).alias("feedback_count"))
+    note = F.when(F.col("feedback_count") > 0,
+                  F.format_string("%d analyst feedback entries recorded", F.col("feedback_count")))
+    kp_rows = kp.select(F.inline(F.array(
+        *[F.struct(F.lit("kpis").alias("part"), F.lit("").alias("item"), F.lit(m).alias("metric"),
+                   F.col(m).cast("double").alias("value"), F.lit(None).cast("string").alias("text"))
+          for m in KPI_METRICS],
+        F.struct(F.lit("state").alias("part"), F.lit("").alias("item"), F.lit("state_note").alias("metric"),
+                 F.lit(None).cast("double").alias("value"), note.alias("text")))))
+
+    hist = g.where((gid == _gid("bucket")) & F.col("bucket").isNotNull()).select("bucket", F.col("n_res").alias("count"))
+    hist = spark.range(10).select(F.col("id").alias("bucket")).join(hist, "bucket", "left").select(
+        bucket_label(F.col("bucket")).alias("bucket_label"), F.coalesce("count", F.lit(0)).alias("count"))
+    mix = g.where((gid == _gid("routed_to")) & F.col("routed_to").isNotNull()).groupBy(
+        action_of("routed_to").alias("action")).agg(F.sum("n").alias("count"))
+    mix = spark.createDataFrame([(a,) for a in ACTIONS], "action string").join(mix, "action", "left").select(
+        "action", F.coalesce("count", F.lit(0)).alias("count"))
+    trend = g.where(gid == _gid("minute")).select(F.col("minute").alias("minute_label"), F.col("n").alias("scanned"),
+                                                  F.col("n_fraud").alias("flagged")).orderBy(F.col("minute_label").desc()).limit(20)
+    chan = g.where((gid == _gid("location")) & (F.col("n_res") > 0)).select(
+        F.col("location").alias("channel"), F.col("n_allow").alias("Allow"), F.col("n_block").alias("Block"),
+        F.col("n_review").alias("Challenge"), F.col("n_res").alias("total")).orderBy(
+        F.col("total").desc(), F.col("channel")).limit(10)
+    mer = g.where((gid == _gid("merchant_id", "flagged")) & F.col("flagged") & (F.col("n_res") > 0)).select(
+        F.col("merchant_id").alias("merchant"), F.col("n_res").alias("flagged_count"),
+        F.round(F.col("s_score").cast("double") / F.col("n_res"), 4).alias("avg_score"),
+        F.round(F.col("n_fraud").cast("double") / F.col("n_res") * 100, 2).alias("high_risk_rate_pct"),
+    ).orderBy(F.col("flagged_count").desc(), F.col("merchant")).limit(10)
     parts = [
-        melt(k, "kpis", None, KPI_METRICS),
-        melt(score_histogram(results), "score_distribution", "bucket_label", ["count"]),
-        melt(decision_mix(spark, results), "decision_mix", "action", ["count"]),
-        melt(minute_trend(tx, results), "trend", "minute_label", ["scanned", "flagged"]),
-        melt(location_matrix(tx, results), "channel_matrix", "channel", ["Allow", "Block", "Challenge", "total"]),
-        melt(top_risky_merchants(tx, results, cfg), "top_risky_merchants", "merchant",
-             ["flagged_count", "avg_score", "high_risk_rate_pct"]),
+        kp_rows,
+        melt(hist, "score_distribution", "bucket_label", ["count"]),
+        melt(mix, "decision_mix", "action", ["count"]),
+        melt(trend, "trend", "minute_label", ["scanned", "flagged"]),
+        melt(chan, "channel_matrix", "channel", ["Allow", "Block", "Challenge", "total"]),
+        melt(mer, "top_risky_merchants", "merchant", ["flagged_count", "avg_score", "high_risk_rate_pct"]),
         melt(recent_flagged(tx, results, cfg), "recent_flagged_transactions", "tranID", ["score"]),
-        k.select(F.lit("state").alias("part"), F.lit("").alias("item"), F.lit("state_note").alias("metric"),
-                 F.lit(None).cast("double").alias("value"),
-                 F.when(F.col("feedback_count") > 0, F.format_string("%d analyst feedback entries recorded",
-                                                                     F.col("feedback_count"))).alias("text")),
     ]
     out = parts[0]
     for p in parts[1:]:

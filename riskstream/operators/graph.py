@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from riskstream.config import EngineConfig
 from riskstream.functions import epoch_ms
-from riskstream.session import checkpoint_dir
+from riskstream.session import materialize
 
 TYPE_RANK = {"user": 0, "device": 1, "ip": 2}
 
@@ -166,20 +166,27 @@ def _small_star(e: DataFrame) -> DataFrame:
     return out.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def _is_star_forest(e: DataFrame) -> bool:
+    """Converged when every node is either only a centre (u) or a leaf (v) attached to exactly one
+    centre: then each component is one star whose centre is its smallest node (u < v). One aggregate."""
+    roles = e.select(F.col("u").alias("n"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).unionByName(
+        e.select(F.col("v").alias("n"), F.lit(0).alias("as_u"), F.lit(1).alias("as_v")))
+    bad = roles.groupBy("n").agg(F.max("as_u").alias("u"), F.sum("as_v").alias("v")).where(
+        ((F.col("u") == 1) & (F.col("v") > 0)) | (F.col("v") > 1))
+    return bad.isEmpty()
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 64, pre_materialized: bool = False) -> DataFrame:
     """Label every node that has an edge with the smallest node of its component.
 
     ``edges`` has string columns u < v. Alternating large-star / small-star (Kiveris et al., 2014)
-    converges in O(log^2 n) rounds; each round is checkpointed to the shared checkpoint folder so
-    lineage and recovery cost stay flat. Returns (node, label)."""
-    checkpoint_dir(edges.sparkSession)
-    e = edges.checkpoint()
-    for _ in range(max_rounds):
-        nxt = _small_star(_large_star(e)).checkpoint()
-        if nxt.count() == e.count() and nxt.exceptAll(e).isEmpty():
-            e = nxt
+    converges in O(log^2 n) rounds; each round is written to the shared checkpoint folder
+    (:func:`materialize`) so lineage and recovery cost stay flat. Returns (node, label)."""
+    e = edges if pre_materialized else materialize(edges, "cc-edges")
+    for i in range(max_rounds):
+        e = materialize(_small_star(_large_star(e)), f"cc-round{i}")
+        if _is_star_forest(e):
             break
-        e = nxt
     # converged: every edge is (root, node)
     labels = e.select(F.col("v").alias("node"), F.col("u").alias("label"))
     roots = e.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct()
@@ -187,17 +194,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 
 
 def network_stats(tx: DataFrame) -> DataFrame:
-    """Node count, edge count and number of connected components, one row."""
+    """Node count, edge count and number of connected components, one row.
+
+    The distinct undirected edge list is written once (its row count is the edge count); components
+    come from :func:`connected_components`; vertices without any edge (a user whose device and IP are
+    both missing) are their own components, so nodes are left-joined to labels and counted in one
+    aggregate."""
     spark = tx.sparkSession
-    verts = graph_vertices(tx)
-    und = _undirected(tx)
-    comps = connected_components(und)
-    # isolated vertices (no non-null partner) form their own components
-    vkeys = verts.select(F.concat(F.upper(F.substring("type", 1, 1)), F.lit(":"), F.col("id")).alias("node"))
-    isolated = vkeys.join(comps, "node", "left_anti")
-    n_nodes = verts.agg(F.count(F.lit(1)).alias("node_count"))
-    n_edges = graph_edges(tx).agg(F.count(F.lit(1)).alias("edge_count"))
-    n_comp = comps.agg(F.countDistinct("label").alias("c"))
-    n_iso = isolated.agg(F.count(F.lit(1)).alias("i"))
-    row = (n_nodes.first()[0], n_edges.first()[0], n_comp.first()[0] + n_iso.first()[0])
-    return spark.createDataFrame([row], "node_count bigint, edge_count bigint, components bigint")
+    edges = materialize(_undirected(tx), "cc-edges")
+    edge_count = edges.count()
+    comps = connected_components(edges, pre_materialized=True)
+    verts = graph_vertices(tx).select(
+        F.concat(F.upper(F.substring("type", 1, 1)), F.lit(":"), F.col("id")).alias("node"))
+    stats = verts.join(comps, "node", "left").agg(
+        F.count(F.lit(1)).alias("node_count"),
+        F.countDistinct(F.coalesce("label", "node")).alias("components")).first()
+    return spark.createDataFrame([(stats["node_count"], edge_count, stats["components"])],
+                                 "node_count bigint, edge_count bigint, components bigint")

@@ -42,3 +42,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="riskstream-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` as a parquet table under the shared checkpoint folder and reading
+    it back. One job (an RDD ``checkpoint()`` recomputes its input in a second job), columnar on read,
+    and the files survive executor loss."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

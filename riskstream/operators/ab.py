@@ -93,3 +93,77 @@ def model_registry(results: DataFrame, feedback: DataFrame, seed: DataFrame | No
     # the version table has one row per model version (tiny); a global window over it is bounded
     order = F.struct("trained_at", "version")
     return v.withColumn("is_active", order == F.max(order).over(Window.partitionBy()))
+
+
+def apply_correctness(metrics: DataFrame, corrections: DataFrame, seq: str = "seq") -> DataFrame:
+    """L3: set ``was_correct`` on every metric row of a transaction from its latest correction
+    (UPDATE ... WHERE transaction_id = ?): a left join with the latest correction per key and
+    ``coalesce(new, old)``."""
+    latest = corrections.groupBy("transaction_id").agg(F.max_by("was_correct", seq).alias("_new"))
+    j = metrics.join(latest, "transaction_id", "left")
+    return j.select(*[F.coalesce("_new", "was_correct").alias("was_correct") if c == "was_correct" else F.col(c)
+                      for c in metrics.columns])
+
+
+def corrections_from_feedback(feedback: DataFrame) -> DataFrame:
+    """Analyst verdicts as model correctness: only a confirmed fraud (true_positive) was right."""
+    return feedback.select("transaction_id", (F.col("verdict") == "true_positive").alias("was_correct"),
+                           F.struct("created_at", "feedback_id").alias("seq"))
+
+
+EXPERIMENT_EVENT = ("seq long, experiment_id string, action string, traffic_split double, status string, "
+                    "control_model_version string, challenger_model_version string")
+EXPERIMENT_STATE = ("experiment_id string, status string, traffic_split double, control_model_version string, "
+                    "challenger_model_version string, last_seq long, rejected long")
+
+
+def _replay(pdf, max_split: float):
+    import pandas as pd
+
+    state: dict[str, dict] = {}
+    for r in pdf.sort_values("seq").itertuples(index=False):
+        cur = state.get(r.experiment_id)
+        active = [k for k, v in state.items() if v["status"] == "active"]
+        ok = False
+        if r.action == "create":
+            ok = cur is None and r.traffic_split is not None and 0 <= r.traffic_split <= max_split and not active
+            if ok:
+                state[r.experiment_id] = {"status": "active", "traffic_split": r.traffic_split,
+                                          "control_model_version": r.control_model_version,
+                                          "challenger_model_version": r.challenger_model_version,
+                                          "last_seq": r.seq, "rejected": 0}
+        elif r.action == "status" and cur is not None:
+            ok = r.status in ("active", "paused", "completed") and (
+                r.status != "active" or not [a for a in active if a != r.experiment_id])
+            if ok:
+                cur["status"] = r.status
+        elif r.action == "split" and cur is not None:
+            ok = r.traffic_split is not None and 0 <= r.traffic_split <= max_split
+            if ok:
+                cur["traffic_split"] = r.traffic_split
+        elif r.action == "promote" and cur is not None:
+            ok = cur["status"] == "active"
+            if ok:
+                cur["status"] = "completed"
+        if cur is not None or ok:
+            s = state.get(r.experiment_id)
+            if s is not None:
+                s["last_seq"] = r.seq
+                s["rejected"] += 0 if ok else 1
+    rows = [{"experiment_id": k, **v} for k, v in state.items()]
+    cols = ["experiment_id", "status", "traffic_split", "control_model_version", "challenger_model_version",
+            "last_seq", "rejected"]
+    return pd.DataFrame(rows, columns=cols)
+
+
+def experiment_state(events: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """Replay the experiment lifecycle log with the manager's rules (split <= max, one active
+    experiment, valid statuses, promote only from active -> completed); rejected commands are counted.
+
+    The rules couple experiments (at most one active), so the replay is one ordered fold. The log is
+    configuration-sized (one row per operator command), never data-sized, so a single group is bounded."""
+    from riskstream.session import ship_package
+
+    ship_package(events.sparkSession)
+    max_split = cfg.max_traffic_split
+    return events.groupBy(F.lit(0).alias("_g")).applyInPandas(lambda pdf: _replay(pdf, max_split), EXPERIMENT_STATE)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskstream.config import EngineConfig
+from riskstream.session import ship_package
 
 FEATURES = ["txn_count_f", "total_amount_f", "duration_min", "amount_per_txn"]
 EULER = 0.5772156649015329
@@ -114,25 +115,48 @@ class Forest:
     offset: float
     version: str
     n_trees: int
+    _dense: tuple | None = None
+
+    def _arrays(self):
+        """Node table as dense [tree, node] arrays (built once per forest, reused by every batch)."""
+        if getattr(self, "_dense", None) is None:
+            t = self.nodes["tree"].to_numpy()
+            trees = np.unique(t)
+            tix = np.searchsorted(trees, t)
+            n = self.nodes["node"].to_numpy()
+            width = int(n.max()) + 1 if len(n) else 1
+            shape = (len(trees), width)
+            feat = np.full(shape, -1, dtype=np.int64)
+            thr = np.zeros(shape)
+            left = np.zeros(shape, dtype=np.int64)
+            right = np.zeros(shape, dtype=np.int64)
+            size = np.zeros(shape)
+            depth = np.zeros(shape)
+            for arr, col in ((feat, "feature"), (thr, "threshold"), (left, "left"), (right, "right"),
+                             (size, "size"), (depth, "depth")):
+                arr[tix, n] = self.nodes[col].to_numpy()
+            self._dense = (feat, thr, left, right, size, depth)
+        return self._dense
 
     def _path_lengths(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        for _, t in self.nodes.groupby("tree", sort=True):
-            t = t.sort_values("node")
-            feat, thr = t["feature"].to_numpy(), t["threshold"].to_numpy()
-            left, right = t["left"].to_numpy(), t["right"].to_numpy()
-            size, depth = t["size"].to_numpy(), t["depth"].to_numpy()
-            cur = np.zeros(len(x), dtype=np.int64)
-            while True:
-                inner = feat[cur] >= 0
-                if not inner.any():
-                    break
-                rows = np.flatnonzero(inner)
-                f = feat[cur[rows]]
-                go_left = x[rows, f] < thr[cur[rows]]
-                cur[rows] = np.where(go_left, left[cur[rows]], right[cur[rows]])
-            total += depth[cur] + avg_path(size[cur])
-        return total / max(self.n_trees, 1)
+        """Mean path length over all trees, walking every (row, tree) pair at once, one level per step."""
+        feat, thr, left, right, size, depth = self._arrays()
+        n_trees = feat.shape[0]
+        if len(x) == 0 or n_trees == 0:
+            return np.zeros(len(x))
+        tree_ix = np.broadcast_to(np.arange(n_trees), (len(x), n_trees))
+        row_ix = np.broadcast_to(np.arange(len(x))[:, None], (len(x), n_trees))
+        cur = np.zeros((len(x), n_trees), dtype=np.int64)
+        while True:
+            f = feat[tree_ix, cur]
+            inner = f >= 0
+            if not inner.any():
+                break
+            go_left = x[row_ix, np.where(inner, f, 0)] < thr[tree_ix, cur]
+            nxt = np.where(go_left, left[tree_ix, cur], right[tree_ix, cur])
+            cur = np.where(inner, nxt, cur)
+        h = depth[tree_ix, cur] + avg_path(size[tree_ix, cur])
+        return h.mean(axis=1)
 
     def score_samples(self, x: np.ndarray) -> np.ndarray:
         """Negated anomaly score in [-1, 0): -2^(-E[h(x)] / c(psi))."""
@@ -149,6 +173,7 @@ class Forest:
         forest = self
 
         def apply(df: DataFrame) -> DataFrame:
+            ship_package(df.sparkSession)
             feats = alert_features(df)
             schema = T.StructType(feats.schema.fields + [T.StructField(column, T.DoubleType())])
 
@@ -163,6 +188,7 @@ class Forest:
         return apply
 
     def score_column_df(self, feats: DataFrame, column: str = "score_sample") -> DataFrame:
+        ship_package(feats.sparkSession)
         forest = self
         schema = T.StructType(feats.schema.fields + [T.StructField(column, T.DoubleType())])
 
@@ -190,6 +216,7 @@ def tree_samples(feats: DataFrame, key: str, cfg: EngineConfig, n: int) -> DataF
 
 def fit(alerts: DataFrame, cfg: EngineConfig, key: str) -> Forest | None:
     """K2/K6: fit on the alerts (one row per ``key``); None below ``min_training_samples``."""
+    ship_package(alerts.sparkSession)
     feats = alert_features(alerts).select(key, *FEATURES)
     n = feats.count()
     if n < cfg.min_training_samples:
@@ -209,6 +236,7 @@ def fit(alerts: DataFrame, cfg: EngineConfig, key: str) -> Forest | None:
 
 def fit_nodes(alerts: DataFrame, cfg: EngineConfig, key: str) -> DataFrame:
     """The fitted node table as a DataFrame (what K2 persists)."""
+    ship_package(alerts.sparkSession)
     feats = alert_features(alerts).select(key, *FEATURES)
     n = feats.count()
     psi = min(cfg.max_samples, n)

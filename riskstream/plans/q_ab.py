@@ -84,3 +84,18 @@ def q_model_registry(spark, sf):
                                  "version string, trained_at string, training_data_count bigint, "
                                  "feedback_count bigint, notes string")
     return ab.model_registry(fx.fx_fraud_results(spark, sf), fx.fx_feedback(spark, sf), seed)
+
+
+@query("ab_metrics_corrected", with_fx("""
+SELECT experiment_id, model_version, COUNT(*) AS total,
+       COUNT(*) FILTER (WHERE coalesce(was_correct, false)) AS correct_count,
+       CAST(SUM(latency_ms) AS DOUBLE) / COUNT(*) AS avg_latency_ms
+FROM (SELECT m.experiment_id, m.model_version, m.latency_ms, coalesce(c.was_correct, m.was_correct) AS was_correct
+      FROM fx_ab_metrics m LEFT JOIN (
+        SELECT transaction_id, arg_max(verdict = 'true_positive', {'t': created_at, 'f': feedback_id}) AS was_correct
+        FROM fx_feedback GROUP BY transaction_id) c USING (transaction_id)) x
+GROUP BY experiment_id, model_version""", "fx_ab_metrics", "fx_feedback"))
+def q_ab_metrics_corrected(spark, sf):
+    """L3 + D10: analyst verdicts applied to every metric row of their transaction, then aggregated."""
+    m = ab.apply_correctness(fx.fx_ab_metrics(spark, sf), ab.corrections_from_feedback(fx.fx_feedback(spark, sf)))
+    return ab.ab_metrics(m)

@@ -217,3 +217,33 @@ def _snapshot_sql() -> str:
 def q_dashboard_snapshot(spark, sf):
     t, r = _tr(spark, sf)
     return D.snapshot(spark, t, r, fx.fx_feedback(spark, sf), fx.fx_ab_metrics(spark, sf), CFG)
+
+
+@query("newest_flagged_history", with_fx(f"""
+SELECT day, substring(newest_id, 1, 12) || '...' AS "tranID",
+       (lag(newest_id) OVER (ORDER BY day)) IS NULL OR lag(newest_id) OVER (ORDER BY day) <> newest_id AS changed
+FROM (SELECT d.day, (SELECT f.transaction_id FROM flagged f WHERE f.day <= d.day
+                     ORDER BY f.event_time DESC, f.transaction_id LIMIT 1) AS newest_id
+      FROM (SELECT DISTINCT day FROM flagged) d) x""", "fx_transactions", "fx_fraud_results", extra=[("flagged", f"""
+SELECT t.transaction_id, t.event_time, strftime(date_trunc('day', r.scored_at), '%Y-%m-%d') AS day
+FROM fx_transactions t JOIN fx_fraud_results r USING (transaction_id) WHERE r.score >= {CFG.flagged_score}""")]))
+def q_newest_flagged_history(spark, sf):
+    return D.newest_flagged_history(*_tr(spark, sf), CFG)
+
+
+@query("review_queue_depth", with_fx("""
+SELECT COUNT(*) AS pending, CAST(ceil(COUNT(*) / 50.0) AS BIGINT) AS pages FROM (
+  SELECT i.transaction_id FROM fx_review_events i
+  LEFT JOIN (SELECT transaction_id, max(seq) AS last_review FROM fx_review_events WHERE kind = 'review'
+             GROUP BY transaction_id) r USING (transaction_id)
+  WHERE i.kind = 'item' AND (r.last_review IS NULL OR i.seq > r.last_review)
+  GROUP BY i.transaction_id) p""", "fx_review_events"))
+def q_review_queue_depth(spark, sf):
+    """Pending queue depth and page count at the default page size (50)."""
+    from pyspark.sql import functions as F
+
+    from riskstream.operators import feedback as FB
+
+    p = FB.review_queue(fx.fx_review_events(spark, sf))
+    return p.agg(F.count(F.lit(1)).alias("pending")).select(
+        "pending", F.ceil(F.col("pending") / F.lit(50.0)).cast("bigint").alias("pages"))

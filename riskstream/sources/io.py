@@ -71,3 +71,40 @@ def coerce_transactions(df: DataFrame) -> DataFrame:
         parse_iso(F.col("timestamp")).alias("event_time"),
         *[F.col(c).cast("string") for c in ["merchant_id", "location", "device_id", "ip_address"]],
     )
+
+
+FRAUD_RESULT_JSON = T.StructType([
+    T.StructField("transaction_id", T.StringType()),
+    T.StructField("is_fraud", T.BooleanType()),
+    T.StructField("score", T.DoubleType()),
+    T.StructField("reasons", T.ArrayType(T.StringType())),
+    T.StructField("rule_triggered", T.StringType()),
+    T.StructField("model_version", T.StringType()),
+    T.StructField("fraud_ring_id", T.StringType()),
+    T.StructField("llm_summary", T.StringType()),
+    T.StructField("routed_to", T.StringType()),
+    T.StructField("scored_at", T.StringType()),
+])
+
+
+def lowercase_columns(df: DataFrame) -> DataFrame:
+    """A2: the alert stream's upper-case field names (as the streaming SQL engine emits them) to lower case."""
+    return df.toDF(*[c.lower() for c in df.columns])
+
+
+def coerce_results(df: DataFrame) -> DataFrame:
+    """A15 for FRAUD_RESULT: reasons default to [], score to decimal(5,4) on the 0..1 scale."""
+    return df.select(
+        "transaction_id", F.coalesce(F.col("is_fraud"), F.lit(False)).alias("is_fraud"),
+        F.col("score").cast("decimal(5,4)").alias("score"),
+        F.coalesce(F.col("reasons"), F.array().cast("array<string>")).alias("reasons"),
+        "rule_triggered", "model_version", "fraud_ring_id", "llm_summary", "routed_to",
+        parse_iso(F.col("scored_at")).alias("scored_at"))
+
+
+def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+    """Append-only insert into a table path."""
+    w = df.write.mode("append")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)

@@ -180,3 +180,37 @@ def retrain_trigger(spark: SparkSession, cfg: EngineConfig, state: dict):
             state["last_retrain"] = str(agg["t"])
 
     return handle
+
+
+def review_queue_sink(spark: SparkSession, log_path: str):
+    """Append the micro-batch's review-queue events (items from the human-review stream,
+    reviews from feedback) to an event log, idempotently by batch id; the pending queue is
+    :func:`riskstream.operators.state.review_pending` over the log, computed when read."""
+
+    def handle(events: DataFrame, batch_id: int) -> None:
+        events.select("transaction_id", "seq", "kind", "score").write.mode("overwrite").parquet(
+            f"{log_path}/batch_id={batch_id}")
+
+    return handle
+
+
+def pending_reviews(spark: SparkSession, log_path: str) -> DataFrame:
+    from riskstream.operators.state import review_pending
+
+    return review_pending(spark.read.parquet(log_path).drop("batch_id"))
+
+
+def dashboard_refresh_sink(spark: SparkSession, out_path: str, cfg: EngineConfig, results_path: str,
+                           feedback_path: str, metrics_path: str):
+    """On every trigger (e.g. ``processingTime='10 seconds'``) append the batch's transactions and
+    rewrite the dashboard snapshot table from the current tables (one directory per batch id)."""
+    from riskstream.operators.dashboard import snapshot
+
+    def handle(tx_batch: DataFrame, batch_id: int) -> None:
+        tx_batch.write.mode("overwrite").parquet(f"{out_path}/transactions/batch_id={batch_id}")
+        tx = spark.read.parquet(f"{out_path}/transactions").drop("batch_id")
+        snap = snapshot(spark, tx, spark.read.parquet(results_path), spark.read.parquet(feedback_path),
+                        spark.read.parquet(metrics_path), cfg)
+        snap.write.mode("overwrite").parquet(f"{out_path}/snapshot/batch_id={batch_id}")
+
+    return handle

@@ -49,3 +49,30 @@ def test_fallbacks(spark):
 
 def test_config_experiments_have_one_active(spark):
     assert experiments(spark).where("status = 'active'").count() == 1
+
+
+def test_experiment_lifecycle(spark):
+    log = spark.createDataFrame([
+        (1, "e1", "create", 0.3, None, "v1", "v2"),
+        (2, "e2", "create", 0.2, None, "v1", "v3"),   # rejected: e1 is active
+        (3, "e3", "create", 0.7, None, "v1", "v4"),   # rejected: split > 0.5
+        (4, "e1", "split", 0.9, None, None, None),    # rejected: split > 0.5
+        (5, "e1", "promote", None, None, None, None),  # active -> completed
+        (6, "e1", "promote", None, None, None, None),  # rejected: not active
+        (7, "e2", "create", 0.2, None, "v1", "v3"),   # accepted now
+        (8, "e2", "status", None, "paused", None, None),
+        (9, "e2", "status", None, "bogus", None, None),  # rejected status
+    ], ab.EXPERIMENT_EVENT)
+    st = {r["experiment_id"]: r for r in ab.experiment_state(log, REFERENCE).collect()}
+    assert set(st) == {"e1", "e2"}
+    assert st["e1"]["status"] == "completed" and st["e1"]["traffic_split"] == 0.3 and st["e1"]["rejected"] == 2
+    assert st["e2"]["status"] == "paused" and st["e2"]["rejected"] == 1
+
+
+def test_correctness_update(spark):
+    m = spark.createDataFrame([("e", "v1", "t1", 1.0, None), ("e", "v2", "t1", 2.0, None), ("e", "v1", "t2", 3.0, True)],
+                              "experiment_id string, model_version string, transaction_id string, latency_ms double, "
+                              "was_correct boolean")
+    c = spark.createDataFrame([("t1", False, 1), ("t1", True, 2)], "transaction_id string, was_correct boolean, seq int")
+    out = {(r["model_version"], r["transaction_id"]): r["was_correct"] for r in ab.apply_correctness(m, c).collect()}
+    assert out == {("v1", "t1"): True, ("v2", "t1"): True, ("v1", "t2"): True}

@@ -95,3 +95,23 @@ def test_dead_letters(spark):
     assert [r["transaction_id"] for r in g] == ["t1"] and g[0]["currency"] == "USD"
     assert str(g[0]["event_time"]) == "2026-01-15 10:30:00"
     assert sorted(r["reason"] for r in bad.collect()) == ["malformed", "malformed", "missing_field"]
+
+
+def test_review_queue_stream_handler(spark, workdir):
+    log = os.path.join(workdir, "rq")
+    h = vs.review_queue_sink(spark, log)
+    schema = "transaction_id string, seq long, kind string, score double"
+    h(spark.createDataFrame([("t1", 1, "item", 0.5), ("t2", 2, "item", 0.4)], schema), 0)
+    h(spark.createDataFrame([("t2", 3, "review", None), ("t3", 4, "item", 0.3)], schema), 1)
+    h(spark.createDataFrame([("t2", 3, "review", None), ("t3", 4, "item", 0.3)], schema), 1)  # replay
+    got = [r["transaction_id"] for r in vs.pending_reviews(spark, log).orderBy("position").collect()]
+    assert got == ["t1", "t3"]
+
+
+def test_lowercase_and_result_coercion(spark):
+    df = spark.createDataFrame([("IP", 3)], "DIMENSION string, TXN_COUNT int")
+    assert io.lowercase_columns(df).columns == ["dimension", "txn_count"]
+    lines = spark.createDataFrame([('{"transaction_id":"t1","score":0.42,"routed_to":"human-review"}',)], "value string")
+    good, _ = io.decode_json(lines, io.FRAUD_RESULT_JSON)
+    r = io.coerce_results(good).first()
+    assert r["reasons"] == [] and float(r["score"]) == 0.42 and r["is_fraud"] is False

@@ -167,3 +167,20 @@ def experiment_state(events: DataFrame, cfg: EngineConfig) -> DataFrame:
     ship_package(events.sparkSession)
     max_split = cfg.max_traffic_split
     return events.groupBy(F.lit(0).alias("_g")).applyInPandas(lambda pdf: _replay(pdf, max_split), EXPERIMENT_STATE)
+
+
+def score_by_version(df: DataFrame, scorers: dict, version_col: str = "model_version",
+                     default: str | None = None) -> DataFrame:
+    """Model plug-in by version: each ``scorers[v]`` (DataFrame -> DataFrame) scores the rows
+    routed to ``v``; rows of an unknown version go to ``default`` (the first model when None).
+    Every scorer must return the same schema; the parts are combined with ``unionByName``."""
+    if not scorers:
+        raise ValueError("no scorers")
+    default = default if default is not None else next(iter(scorers))
+    known = list(scorers)
+    routed = df.withColumn("_v", F.when(F.col(version_col).isin(*known), F.col(version_col)).otherwise(F.lit(default)))
+    out = None
+    for v, fn in scorers.items():
+        part = fn(routed.where(F.col("_v") == v).drop("_v"))
+        out = part if out is None else out.unionByName(part)
+    return out

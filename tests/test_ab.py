@@ -76,3 +76,12 @@ def test_correctness_update(spark):
     c = spark.createDataFrame([("t1", False, 1), ("t1", True, 2)], "transaction_id string, was_correct boolean, seq int")
     out = {(r["model_version"], r["transaction_id"]): r["was_correct"] for r in ab.apply_correctness(m, c).collect()}
     assert out == {("v1", "t1"): True, ("v2", "t1"): True, ("v1", "t2"): True}
+
+
+def test_score_by_version(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("t1", "v1.0"), ("t2", "v2.0"), ("t3", "v9")], "transaction_id string, model_version string")
+    out = ab.score_by_version(df, {"v1.0": lambda d: d.withColumn("s", F.lit(1)),
+                                   "v2.0": lambda d: d.withColumn("s", F.lit(2))})
+    assert {r["transaction_id"]: r["s"] for r in out.collect()} == {"t1": 1, "t2": 2, "t3": 1}

@@ -115,3 +115,56 @@ def test_lowercase_and_result_coercion(spark):
     good, _ = io.decode_json(lines, io.FRAUD_RESULT_JSON)
     r = io.coerce_results(good).first()
     assert r["reasons"] == [] and float(r["score"]) == 0.42 and r["is_fraud"] is False
+
+
+def test_online_model_across_batches(spark, workdir):
+    """I8/K5: the scorer fits after min_training_samples alerts and scores later batches with it."""
+    from riskstream.config import REFERENCE
+
+    cfg = REFERENCE.with_(min_training_samples=50, retrain_interval=100, n_trees=10)
+    rows = [("USER", "1h", f"u{i}", 30 + i % 7, 100.0 + i, 0, 3_600_000) for i in range(120)]
+    schema = ("dimension string, window_size string, dimension_key string, txn_count bigint, total_amount double, "
+              "window_start bigint, window_end bigint")
+    model = vs.ModelState(cfg=cfg, features_path=os.path.join(workdir, "feat"))
+    out = os.path.join(workdir, "scored")
+    sink = vs.scoring_sink(spark, out, cfg, model=model)
+    sink(spark.createDataFrame(rows[:60], schema), 0)
+    assert model.forest is not None and len(model.versions) == 1
+    sink(spark.createDataFrame(rows[60:], schema), 1)
+    b1 = spark.read.parquet(f"{out}/batch_id=1")
+    assert {r[0] for r in b1.select("model_version").distinct().collect()} == {model.versions[0]}
+    assert model.since_retrain == 60  # 60 new samples, below the retrain interval
+
+
+def test_retrain_trigger(spark, workdir):
+    import datetime as dt
+
+    from riskstream.config import REFERENCE
+
+    cfg = REFERENCE.with_(feedback_retrain_threshold=3)
+    state = {"feedback_path": os.path.join(workdir, "fb"), "events_path": os.path.join(workdir, "ev")}
+    h = vs.retrain_trigger(spark, cfg, state)
+    t = dt.datetime(2024, 1, 1)
+    mk = lambda ids: spark.createDataFrame(
+        [(f"f{i}", t + dt.timedelta(minutes=i)) for i in ids], "feedback_id string, created_at timestamp_ntz")
+    h(mk([1, 2]), 0)
+    assert "last_retrain" not in state
+    h(mk([3]), 1)
+    ev = spark.read.parquet(state["events_path"]).first()
+    assert ev["event"] == "model_retrained" and ev["feedback_count"] == 3 and state["last_retrain"]
+    h(mk([4]), 2)  # one new label since the retrain: below the threshold again
+    assert spark.read.parquet(state["events_path"]).count() == 1
+
+
+def test_dashboard_refresh_sink(spark, workdir):
+    base = os.path.join(workdir, "dash")
+    fx.fx_fraud_results(spark, SF_SMALL).write.parquet(f"{base}/results")
+    fx.fx_feedback(spark, SF_SMALL).write.parquet(f"{base}/feedback")
+    fx.fx_ab_metrics(spark, SF_SMALL).write.parquet(f"{base}/metrics")
+    h = vs.dashboard_refresh_sink(spark, f"{base}/out", DAILY, f"{base}/results", f"{base}/feedback", f"{base}/metrics")
+    tx = fx.fx_transactions(spark, SF_SMALL)
+    h(tx.where("transaction_id < 'txn-5'"), 0)
+    h(tx.where("transaction_id >= 'txn-5'"), 1)
+    snap = spark.read.parquet(f"{base}/out/snapshot/batch_id=1")
+    k = {r["metric"]: r["value"] for r in snap.where("part = 'kpis'").collect()}
+    assert k["transactions_scanned"] == tx.count()

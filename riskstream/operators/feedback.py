@@ -84,3 +84,17 @@ def feedback_quality(feedback: DataFrame, results: DataFrame) -> DataFrame:
     )
     return g.withColumn("precision", F.when(F.col("tp") + F.col("fp") > 0,
                                             F.round(F.col("tp").cast("double") / (F.col("tp") + F.col("fp")), 4)))
+
+
+def submit_feedback(feedback: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """M2 as data flow: validated feedback enriched with the original result (C7) for the table (A11),
+    the keyed JSON messages for the feedback topic (A7), and the 'review' events that dequeue the
+    transactions from the review queue (M1). Invalid verdicts are left out (see B13 for reporting)."""
+    from riskstream.sources.io import encode_json
+
+    valid = feedback.where(F.col("verdict").isin(*VERDICTS))
+    rows = feedback_enriched(valid, results)
+    messages = encode_json(rows.withColumn("created_at", F.col("created_at").cast("string")), key="transaction_id")
+    dequeue = valid.select("transaction_id", epoch_ms("created_at").alias("seq"), F.lit("review").alias("kind"),
+                           F.lit(None).cast("decimal(5,4)").alias("score"))
+    return rows, messages, dequeue

@@ -108,97 +108,125 @@ def _hash_frac(seed: int, tree: Column, key: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), tree, key), F.lit(1 << 31)).cast("double") / F.lit(float(1 << 31))
 
 
+def dense_nodes(nodes: pd.DataFrame) -> tuple:
+    """Node table as dense [tree, node] arrays: feature, threshold, left, right, size, depth."""
+    t = nodes["tree"].to_numpy()
+    trees = np.unique(t)
+    tix = np.searchsorted(trees, t)
+    n = nodes["node"].to_numpy()
+    shape = (len(trees), int(n.max()) + 1 if len(n) else 1)
+    feat = np.full(shape, -1, dtype=np.int64)
+    arrays = [feat, np.zeros(shape), np.zeros(shape, dtype=np.int64), np.zeros(shape, dtype=np.int64),
+              np.zeros(shape), np.zeros(shape)]
+    for arr, col in zip(arrays, ["feature", "threshold", "left", "right", "size", "depth"]):
+        arr[tix, n] = nodes[col].to_numpy()
+    return tuple(arrays)
+
+
+def path_lengths(dense: tuple, x: np.ndarray) -> np.ndarray:
+    """Mean path length over all trees, walking every (row, tree) pair at once, one level per step."""
+    feat, thr, left, right, size, depth = dense
+    n_trees = feat.shape[0]
+    if len(x) == 0 or n_trees == 0:
+        return np.zeros(len(x))
+    tree_ix = np.broadcast_to(np.arange(n_trees), (len(x), n_trees))
+    row_ix = np.broadcast_to(np.arange(len(x))[:, None], (len(x), n_trees))
+    cur = np.zeros((len(x), n_trees), dtype=np.int64)
+    while True:
+        f = feat[tree_ix, cur]
+        inner = f >= 0
+        if not inner.any():
+            break
+        go_left = x[row_ix, np.where(inner, f, 0)] < thr[tree_ix, cur]
+        cur = np.where(inner, np.where(go_left, left[tree_ix, cur], right[tree_ix, cur]), cur)
+    return (depth[tree_ix, cur] + avg_path(size[tree_ix, cur])).mean(axis=1)
+
+
+def score_samples_np(dense: tuple, psi: int, x: np.ndarray) -> np.ndarray:
+    """Negated anomaly score in [-1, 0): -2^(-E[h(x)] / c(psi))."""
+    c = float(avg_path(np.array([psi]))[0]) or 1.0
+    return -np.power(2.0, -path_lengths(dense, x) / c)
+
+
+def ml_score_np(dense: tuple, psi: int, offset: float, x: np.ndarray) -> np.ndarray:
+    """K3: 0 for inliers; for outliers min(|score_samples| / 2, 1)."""
+    s = score_samples_np(dense, psi, x)
+    return np.where(s < offset, np.minimum(np.abs(s) / 2.0, 1.0), 0.0)
+
+
 @dataclass
 class Forest:
+    """A fitted forest. ``nodes`` is bounded by n_trees x (2 psi - 1) rows; tasks receive its dense
+    arrays once per executor through a broadcast variable, not inside every task closure."""
+
     nodes: pd.DataFrame
     psi: int
     offset: float
     version: str
     n_trees: int
     _dense: tuple | None = None
+    _bc: dict | None = None
 
-    def _arrays(self):
-        """Node table as dense [tree, node] arrays (built once per forest, reused by every batch)."""
-        if getattr(self, "_dense", None) is None:
-            t = self.nodes["tree"].to_numpy()
-            trees = np.unique(t)
-            tix = np.searchsorted(trees, t)
-            n = self.nodes["node"].to_numpy()
-            width = int(n.max()) + 1 if len(n) else 1
-            shape = (len(trees), width)
-            feat = np.full(shape, -1, dtype=np.int64)
-            thr = np.zeros(shape)
-            left = np.zeros(shape, dtype=np.int64)
-            right = np.zeros(shape, dtype=np.int64)
-            size = np.zeros(shape)
-            depth = np.zeros(shape)
-            for arr, col in ((feat, "feature"), (thr, "threshold"), (left, "left"), (right, "right"),
-                             (size, "size"), (depth, "depth")):
-                arr[tix, n] = self.nodes[col].to_numpy()
-            self._dense = (feat, thr, left, right, size, depth)
+    def dense(self) -> tuple:
+        if self._dense is None:
+            self._dense = dense_nodes(self.nodes)
         return self._dense
 
-    def _path_lengths(self, x: np.ndarray) -> np.ndarray:
-        """Mean path length over all trees, walking every (row, tree) pair at once, one level per step."""
-        feat, thr, left, right, size, depth = self._arrays()
-        n_trees = feat.shape[0]
-        if len(x) == 0 or n_trees == 0:
-            return np.zeros(len(x))
-        tree_ix = np.broadcast_to(np.arange(n_trees), (len(x), n_trees))
-        row_ix = np.broadcast_to(np.arange(len(x))[:, None], (len(x), n_trees))
-        cur = np.zeros((len(x), n_trees), dtype=np.int64)
-        while True:
-            f = feat[tree_ix, cur]
-            inner = f >= 0
-            if not inner.any():
-                break
-            go_left = x[row_ix, np.where(inner, f, 0)] < thr[tree_ix, cur]
-            nxt = np.where(go_left, left[tree_ix, cur], right[tree_ix, cur])
-            cur = np.where(inner, nxt, cur)
-        h = depth[tree_ix, cur] + avg_path(size[tree_ix, cur])
-        return h.mean(axis=1)
-
     def score_samples(self, x: np.ndarray) -> np.ndarray:
-        """Negated anomaly score in [-1, 0): -2^(-E[h(x)] / c(psi))."""
-        c = float(avg_path(np.array([self.psi]))[0]) or 1.0
-        return -np.power(2.0, -self._path_lengths(x) / c)
+        return score_samples_np(self.dense(), self.psi, x)
 
     def ml_score(self, x: np.ndarray) -> np.ndarray:
-        """K3: 0 for inliers; for outliers min(|score_samples| / 2, 1)."""
-        s = self.score_samples(x)
-        return np.where(s < self.offset, np.minimum(np.abs(s) / 2.0, 1.0), 0.0)
+        return ml_score_np(self.dense(), self.psi, self.offset, x)
+
+    def broadcast(self, spark):
+        """One broadcast of (dense arrays, psi, offset) per application."""
+        self._bc = self._bc or {}
+        app = spark.sparkContext.applicationId
+        if app not in self._bc:
+            self._bc[app] = spark.sparkContext.broadcast((self.dense(), self.psi, self.offset))
+        return self._bc[app]
+
+    def _map(self, feats: DataFrame, column: str, kind: str) -> DataFrame:
+        ship_package(feats.sparkSession)
+        bc = self.broadcast(feats.sparkSession)
+        schema = T.StructType(feats.schema.fields + [T.StructField(column, T.DoubleType())])
+
+        def run(batches):
+            dense, psi, offset = bc.value
+            for pdf in batches:
+                x = pdf[FEATURES].to_numpy(dtype=float)
+                if kind == "ml":
+                    pdf[column] = ml_score_np(dense, psi, offset, x) if len(pdf) else np.zeros(0)
+                else:
+                    pdf[column] = score_samples_np(dense, psi, x) if len(pdf) else np.zeros(0)
+                yield pdf
+
+        return feats.mapInPandas(run, schema)
 
     def scorer(self, column: str = "ml_score"):
         """A DataFrame -> DataFrame function adding ``column`` (for :func:`score_alerts`)."""
         forest = self
 
         def apply(df: DataFrame) -> DataFrame:
-            ship_package(df.sparkSession)
-            feats = alert_features(df)
-            schema = T.StructType(feats.schema.fields + [T.StructField(column, T.DoubleType())])
-
-            def run(batches):
-                for pdf in batches:
-                    x = pdf[FEATURES].to_numpy(dtype=float)
-                    pdf[column] = forest.ml_score(x) if len(pdf) else np.zeros(0)
-                    yield pdf
-
-            return feats.mapInPandas(run, schema).drop(*FEATURES)
+            return forest._map(alert_features(df), column, "ml").drop(*FEATURES)
 
         return apply
 
     def score_column_df(self, feats: DataFrame, column: str = "score_sample") -> DataFrame:
-        ship_package(feats.sparkSession)
-        forest = self
-        schema = T.StructType(feats.schema.fields + [T.StructField(column, T.DoubleType())])
+        return self._map(feats, column, "raw")
 
-        def run(batches):
-            for pdf in batches:
-                x = pdf[FEATURES].to_numpy(dtype=float)
-                pdf[column] = forest.score_samples(x) if len(pdf) else np.zeros(0)
-                yield pdf
+    def save(self, path: str, spark) -> None:
+        """Persist the node table and parameters (shared folder), so a restarted driver resumes."""
+        spark.createDataFrame(self.nodes, NODE_SCHEMA).write.mode("overwrite").parquet(f"{path}/nodes")
+        spark.createDataFrame([(self.psi, self.offset, self.version, self.n_trees)],
+                              "psi int, offset double, version string, n_trees int") \
+            .write.mode("overwrite").parquet(f"{path}/meta")
 
-        return feats.mapInPandas(run, schema)
+    @staticmethod
+    def load(path: str, spark) -> "Forest":
+        m = spark.read.parquet(f"{path}/meta").first()
+        nodes = spark.read.parquet(f"{path}/nodes").toPandas()  # bounded node table
+        return Forest(nodes=nodes, psi=m["psi"], offset=m["offset"], version=m["version"], n_trees=m["n_trees"])
 
 
 def tree_samples(feats: DataFrame, key: str, cfg: EngineConfig, n: int) -> DataFrame:
@@ -230,8 +258,9 @@ def fit(alerts: DataFrame, cfg: EngineConfig, key: str) -> Forest | None:
     forest = Forest(nodes=nodes, psi=psi, offset=0.0, version=version, n_trees=cfg.n_trees)
     scored = forest.score_column_df(feats)
     offset = scored.agg(F.percentile_approx("score_sample", F.lit(cfg.contamination), F.lit(100000))).first()[0]
-    forest.offset = float(offset)
-    return forest
+    # a new object: the probe's broadcast carries offset 0 and must not be reused
+    return Forest(nodes=nodes, psi=psi, offset=float(offset), version=version, n_trees=cfg.n_trees,
+                  _dense=forest.dense())
 
 
 def fit_nodes(alerts: DataFrame, cfg: EngineConfig, key: str) -> DataFrame:

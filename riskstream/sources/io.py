@@ -108,3 +108,30 @@ def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+
+
+# Declared casts and defaults of the remaining entities (column -> (type, default or None))
+ENTITY_SPECS = {
+    "analyst_feedback": {"feedback_id": ("string", None), "transaction_id": ("string", None),
+                         "analyst_id": ("string", None), "verdict": ("string", None), "notes": ("string", ""),
+                         "original_score": ("double", 0.0), "original_model_version": ("string", "unknown")},
+    "ab_experiment": {"experiment_id": ("string", None), "name": ("string", None),
+                      "control_model_version": ("string", None), "challenger_model_version": ("string", None),
+                      "traffic_split": ("double", None), "status": ("string", None), "start_date": ("string", None),
+                      "end_date": ("string", None)},
+    "fraud_ring": {"ring_id": ("string", None), "shared_resource_type": ("string", None),
+                   "shared_resource_id": ("string", None), "risk_score": ("double", 0.0),
+                   "total_transaction_amount": ("decimal(14,2)", 0)},
+}
+
+
+def coerce(df: DataFrame, entity: str) -> DataFrame:
+    """Cast every declared column (``try_cast``: bad values become null instead of failing the
+    job) and fill the entity's defaults; missing columns appear as their default."""
+    out = []
+    for c, (t, default) in ENTITY_SPECS[entity].items():
+        v = F.col(c).try_cast(t) if c in df.columns else F.lit(None).cast(t)
+        if default is not None:
+            v = F.coalesce(v, F.lit(default).cast(t))
+        out.append(v.alias(c))
+    return df.select(*out)

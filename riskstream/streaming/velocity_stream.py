@@ -111,15 +111,36 @@ def stream_velocity_windows(spark: SparkSession, sf_dir: str, cfg: EngineConfig,
 
 @dataclass
 class ModelState:
-    """I8/K5: online model policy across micro-batches (fit on earlier batches, score the current)."""
+    """I8/K5: online model policy across micro-batches (fit on earlier batches, score the current).
+
+    Features of every batch are appended (idempotently, by batch id) under ``features_path``; a fitted
+    forest is saved under ``model_path`` with the sample count it was fitted at, so a restarted driver
+    :meth:`resume`-s with the same model and counters."""
 
     cfg: EngineConfig
     features_path: str
+    model_path: str | None = None
     forest: object | None = None
     n_samples: int = 0
     since_retrain: int = 0
     versions: list = field(default_factory=list)
 
+    @classmethod
+    def resume(cls, spark: SparkSession, cfg: EngineConfig, features_path: str, model_path: str) -> "ModelState":
+        st = cls(cfg=cfg, features_path=features_path, model_path=model_path)
+        try:
+            st.n_samples = spark.read.parquet(features_path).count()
+        except Exception:  # noqa: BLE001  (no batch yet)
+            return st
+        try:
+            st.forest = iforest.Forest.load(model_path, spark)
+            fitted_at = spark.read.parquet(f"{model_path}/state").first()["n_samples"]
+            st.since_retrain = st.n_samples - fitted_at
+            st.versions.append(st.forest.version)
+        except Exception:  # noqa: BLE001  (no model yet)
+            st.since_retrain = st.n_samples
+        return st
+
     def observe(self, spark: SparkSession, alerts: DataFrame, batch_id: int) -> None:
         feats = iforest.alert_features(alerts).select(*ALERT_KEYS, *iforest.FEATURES)
         feats.write.mode("overwrite").parquet(f"{self.features_path}/batch_id={batch_id}")
@@ -138,6 +159,10 @@ class ModelState:
                 self.forest = forest
                 self.since_retrain = 0
                 self.versions.append(forest.version)
+                if self.model_path:
+                    forest.save(self.model_path, spark)
+                    spark.createDataFrame([(self.n_samples,)], "n_samples long").write.mode("overwrite") \
+                        .parquet(f"{self.model_path}/state")
 
 
 def scoring_sink(spark: SparkSession, out_path: str, cfg: EngineConfig, blacklist_path: str | None = None,
@@ -163,12 +188,17 @@ def scoring_sink(spark: SparkSession, out_path: str, cfg: EngineConfig, blacklis
 
 def retrain_trigger(spark: SparkSession, cfg: EngineConfig, state: dict):
     """Per trigger (processingTime = retrain_check_seconds), count feedback since the last
-    retrain; at the threshold emit a retrain event row and move the mark. ``state`` holds the mark
-    and the event log path."""
+    retrain; at the threshold emit a retrain event row and move the mark. ``state`` holds the paths and
+    the mark; after a restart the mark is recovered from the event table."""
 
     def handle(feedback: DataFrame, batch_id: int) -> None:
         feedback.write.mode("overwrite").parquet(f"{state['feedback_path']}/batch_id={batch_id}")
         allfb = spark.read.parquet(state["feedback_path"])
+        if "last_retrain" not in state:  # restarted driver: the mark is the newest event written
+            try:
+                state["last_retrain"] = spark.read.parquet(state["events_path"]).agg(F.max("timestamp")).first()[0]
+            except Exception:  # noqa: BLE001  (no retrain yet)
+                state["last_retrain"] = None
         mark = state.get("last_retrain")
         recent = allfb if mark is None else allfb.where(F.col("created_at") > F.lit(mark).cast("timestamp_ntz"))
         agg = recent.agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("t")).first()

@@ -42,3 +42,31 @@ def test_review_page_bounds(spark):
     ev = spark.createDataFrame([("t1", 1, "item", 0.5)], "transaction_id string, seq long, kind string, score double")
     with pytest.raises(ValueError):
         feedback.review_page(feedback.review_queue(ev), limit=501)
+
+
+def test_submit_feedback_flow(spark):
+    import datetime as dt
+    import json
+
+    t = dt.datetime(2024, 1, 2)
+    fb = spark.createDataFrame([("f1", "t1", "a", "true_positive", "", t), ("f2", "t9", "a", "bogus", "", t)],
+                               "feedback_id string, transaction_id string, analyst_id string, verdict string, "
+                               "notes string, created_at timestamp_ntz")
+    res = spark.createDataFrame([("t1", 0.9, "v2.0")], "transaction_id string, score double, model_version string")
+    rows, msgs, deq = feedback.submit_feedback(fb, res)
+    r = rows.first()
+    assert rows.count() == 1 and r["original_score"] == 0.9 and r["original_model_version"] == "v2.0"
+    m = msgs.first()
+    assert m["key"] == "t1" and json.loads(m["value"])["verdict"] == "true_positive"
+    assert [x["kind"] for x in deq.collect()] == ["review"]
+
+
+def test_entity_coercion(spark):
+    from riskstream.sources import io
+
+    df = spark.createDataFrame([("f1", "t1", "x", "true_positive", None)],
+                               "feedback_id string, transaction_id string, analyst_id string, verdict string, notes string")
+    r = io.coerce(df, "analyst_feedback").first()
+    assert r["notes"] == "" and r["original_score"] == 0.0 and r["original_model_version"] == "unknown"
+    e = io.coerce(spark.createDataFrame([("e1", "abc")], "experiment_id string, traffic_split string"), "ab_experiment").first()
+    assert e["traffic_split"] is None and e["end_date"] is None

@@ -125,7 +125,7 @@ def test_online_model_across_batches(spark, workdir):
     rows = [("USER", "1h", f"u{i}", 30 + i % 7, 100.0 + i, 0, 3_600_000) for i in range(120)]
     schema = ("dimension string, window_size string, dimension_key string, txn_count bigint, total_amount double, "
               "window_start bigint, window_end bigint")
-    model = vs.ModelState(cfg=cfg, features_path=os.path.join(workdir, "feat"))
+    model = vs.ModelState(cfg=cfg, features_path=os.path.join(workdir, "feat"), model_path=os.path.join(workdir, "m"))
     out = os.path.join(workdir, "scored")
     sink = vs.scoring_sink(spark, out, cfg, model=model)
     sink(spark.createDataFrame(rows[:60], schema), 0)
@@ -134,6 +134,8 @@ def test_online_model_across_batches(spark, workdir):
     b1 = spark.read.parquet(f"{out}/batch_id=1")
     assert {r[0] for r in b1.select("model_version").distinct().collect()} == {model.versions[0]}
     assert model.since_retrain == 60  # 60 new samples, below the retrain interval
+    again = vs.ModelState.resume(spark, cfg, os.path.join(workdir, "feat"), os.path.join(workdir, "m"))
+    assert again.forest.version == model.versions[0] and again.n_samples == 120 and again.since_retrain == 60
 
 
 def test_retrain_trigger(spark, workdir):
@@ -148,12 +150,15 @@ def test_retrain_trigger(spark, workdir):
     mk = lambda ids: spark.createDataFrame(
         [(f"f{i}", t + dt.timedelta(minutes=i)) for i in ids], "feedback_id string, created_at timestamp_ntz")
     h(mk([1, 2]), 0)
-    assert "last_retrain" not in state
+    assert state["last_retrain"] is None
     h(mk([3]), 1)
     ev = spark.read.parquet(state["events_path"]).first()
     assert ev["event"] == "model_retrained" and ev["feedback_count"] == 3 and state["last_retrain"]
     h(mk([4]), 2)  # one new label since the retrain: below the threshold again
     assert spark.read.parquet(state["events_path"]).count() == 1
+    restarted = {k: v for k, v in state.items() if k != "last_retrain"}  # driver restart: mark recovered
+    vs.retrain_trigger(spark, cfg, restarted)(mk([5]), 3)
+    assert spark.read.parquet(state["events_path"]).count() == 1 and restarted["last_retrain"] == state["last_retrain"]
 
 
 def test_dashboard_refresh_sink(spark, workdir):

@@ -95,9 +95,9 @@ def alert_changelog(tx: DataFrame, cfg: EngineConfig, time_col: str = "event_tim
     w_in = (Window.partitionBy(*part, "chunk").orderBy("_t_ms", "transaction_id")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = base.withColumn("c_in", F.count(F.lit(1)).over(w_in)).withColumn("s_in", F.sum("amt").over(w_in))
-    # chunk totals from the windowed rows (already partitioned by the chunk key: no second shuffle of
-    # the input); the running count peaks at the chunk's last row
-    totals = local.groupBy(*part, "chunk").agg(F.max("c_in").alias("c_chunk"), F.max_by("s_in", "c_in").alias("s_chunk"))
+    # chunk totals straight from the input rows: a partially aggregated shuffle (one row per chunk per
+    # map task), so the input itself is shuffled only once (for the running window above)
+    totals = base.groupBy(*part, "chunk").agg(F.count(F.lit(1)).alias("c_chunk"), F.sum("amt").alias("s_chunk"))
     w_prev = Window.partitionBy(*part).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *part, "chunk",

@@ -103,7 +103,7 @@ def fraud_rings(tx: DataFrame, cfg: EngineConfig, pairs: DataFrame | None = None
 def ring_members(tx: DataFrame, cfg: EngineConfig, pairs: DataFrame | None = None,
                  rings: DataFrame | None = None) -> DataFrame:
     """Long membership table (ring_id, user_id, first_use): the ring's ``user_ids`` in member order."""
-    p = pairs if pairs is not None else resource_users(tx)
+    p = pairs if pairs is not None else materialize(resource_users(tx), "resource-users")
     rg = rings if rings is not None else fraud_rings(tx, cfg, p)
     m = p.join(rg.select("ring_id", F.col("shared_resource_type").alias("resource_type"),
                          F.col("shared_resource_id").alias("resource_id"), "n_users", "risk_score", "first_seen"),
@@ -114,7 +114,9 @@ def ring_members(tx: DataFrame, cfg: EngineConfig, pairs: DataFrame | None = Non
 def user_best_ring(tx: DataFrame, cfg: EngineConfig) -> DataFrame:
     """The highest-risk ring of each member; ties go to the ring created first (device before
     IP within one transaction), as in the reference's node order. ``min_by`` keeps it an aggregate."""
-    p = resource_users(tx)
+    # the pair table feeds both the ring aggregate and the membership join: written once to the
+    # shared folder instead of scanning and shuffling the transactions twice
+    p = materialize(resource_users(tx), "resource-users")
     m = ring_members(tx, cfg, p)
     type_rank = F.when(F.col("resource_type") == "device", F.lit(0)).otherwise(F.lit(1))
     best = m.groupBy("user_id").agg(F.min_by(

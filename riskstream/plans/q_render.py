@@ -9,6 +9,7 @@ from riskstream.plans.fixture_sql import with_fx
 from riskstream.plans.q_graph import _ctes  # noqa: F401  (shared CTE splitter)
 from riskstream.plans.q_velocity import CFG, SCORE_EXTRA, _SCORE_ALERTS, ring_ctes, scored_alerts
 from riskstream.plans.registry import query
+from riskstream.session import materialize
 from riskstream.sources import fixtures as fx
 
 
@@ -49,7 +50,7 @@ def q_transaction_prompt(spark, sf):
 
 def _rings(spark, sf):
     tx = fx.fx_transactions(spark, sf)
-    pairs = graph.resource_users(tx)
+    pairs = materialize(graph.resource_users(tx), "resource-users")  # read by two branches
     rings = graph.fraud_rings(tx, CFG, pairs)
     return tx, pairs, rings
 

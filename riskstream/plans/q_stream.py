@@ -18,3 +18,13 @@ def q_stream_velocity(spark, sf):
 def q_stream_alerts(spark, sf):
     """Threshold filter on the update stream; the latest row per window equals the final alert."""
     return stream_velocity_windows(spark, sf, CFG, alerts_only=True)
+
+
+@query("stream_alerts_final", with_fx(f"""
+SELECT * FROM alerts
+WHERE window_end <= (SELECT epoch_us(max(event_time)) // 1000 FROM fx_transactions) - {24 * 3_600_000}""",
+                                      "fx_transactions", extra=WA))
+def q_stream_alerts_final(spark, sf):
+    """Append mode emits each alert once, when its window has closed behind the 24 h watermark
+    (max event time - 24 h); windows still open at the end of the input are held in state."""
+    return stream_velocity_windows(spark, sf, CFG, mode="append", alerts_only=True)

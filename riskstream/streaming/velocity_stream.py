@@ -28,7 +28,7 @@ ALERT_KEYS = ["dimension", "dimension_key", "window_start"]
 def events_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
     """A1 test twin: the driver's events table as a file stream (the Kafka source plugs in the same
     way: ``readStream.format('kafka')`` then ``from_json`` with the TRANSACTION schema)."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    schema = spark.read.parquet(f"{sf_dir}/events*.parquet").schema
     r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)

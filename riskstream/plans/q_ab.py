@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from riskstream.operators import ab
 from riskstream.plans.fixture_sql import with_fx

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from riskstream.operators import graph, render, scoring
 from riskstream.plans.fixture_sql import with_fx
-from riskstream.plans.q_graph import _ctes  # noqa: F401  (shared CTE splitter)
 from riskstream.plans.q_velocity import CFG, SCORE_EXTRA, _SCORE_ALERTS, ring_ctes, scored_alerts
 from riskstream.plans.registry import query
 from riskstream.session import materialize

@@ -122,7 +122,7 @@ def minute_trend(tx: DataFrame, results: DataFrame, last: int = 20, label_only:
         F.date_trunc("minute", "event_time"), "yyyy-MM-dd HH:mm")
     g = j.groupBy(key.alias("minute_label")).agg(
         F.count(F.lit(1)).alias("scanned"), F.count_if(F.col("is_fraud")).alias("flagged"))
-    return g.orderBy(F.col("minute_label").desc()).limit(last)
+    return g.orderBy(F.col("minute_label").desc()).limit(last).orderBy("minute_label")
 
 
 def location_matrix(tx: DataFrame, results: DataFrame, top: int = 10) -> DataFrame:

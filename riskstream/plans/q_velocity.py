@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskstream.config import DAILY
+from riskstream.config import DAILY, REFERENCE
 from riskstream.operators import graph, rules, scoring, state, velocity
 from riskstream.plans.fixture_sql import with_fx
 from riskstream.plans.oracle_parts import (
@@ -31,6 +31,13 @@ def q_velocity_windows(spark, sf):
     return velocity.velocity_windows(_tx(spark, sf), CFG)
 
 
+@query("velocity_windows_1h", with_fx("SELECT * FROM windows", "fx_transactions",
+                                      extra=[("dims", dims_sql()), ("windows", windows_sql(REFERENCE))]))
+def q_velocity_windows_1h(spark, sf):
+    """D1 with the reference's own profile (1-hour tumbling windows)."""
+    return velocity.velocity_windows(_tx(spark, sf), REFERENCE)
+
+
 @query("velocity_alerts", with_fx("SELECT * FROM alerts", "fx_transactions", extra=WA))
 def q_velocity_alerts(spark, sf):
     return _alerts(spark, sf)

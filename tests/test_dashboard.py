@@ -47,3 +47,16 @@ def test_bucket_tier(spark):
 
     df = spark.createDataFrame([("0.7-0.8",), ("0.4-0.5",), ("0.1-0.2",), ("junk",)], "l string")
     assert [r[0] for r in df.select(D.bucket_tier(F.col("l"))).collect()] == ["high", "mid", "low", "low"]
+
+
+def test_empty_tables_all_parts(spark, transactions):
+    tx, res, fb, m = _empty(spark, transactions)
+    exp = spark.createDataFrame([], "experiment_id string, status string")
+    assert D.location_matrix(tx, res).count() == 0
+    assert D.top_risky_merchants(tx, res, DAILY).count() == 0
+    assert D.histogram_history(res).count() == 0 and D.channel_history(tx, res).count() == 0
+    assert D.newest_flagged_history(tx, res, DAILY).count() == 0
+    s = D.system_metrics(tx, res, fb.select("transaction_id"), exp).first()
+    assert all(v == 0 for v in s.asDict().values())
+    share = {r["action"]: r["pct"] for r in D.decision_share(D.decision_mix(spark, res)).collect()}
+    assert share == {"Allow": 0.0, "Block": 0.0, "Challenge": 0.0}

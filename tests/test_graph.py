@@ -72,3 +72,21 @@ def test_components_vs_brute_force(spark):
         got = graph.network_stats(df).first()
         assert got["components"] == _brute_components(rows)
         assert got["node_count"] == len({("U", r[0]) for r in rows} | {("D", r[1]) for r in rows} | {("I", r[2]) for r in rows})
+
+
+def test_hot_device_rings_and_components(transactions):
+    """One device used by a third of all users (the skew case), plus IP-sharing pairs."""
+    rows = []
+    for i in range(300):
+        dev = "Dev_HOT" if i % 3 == 0 else f"Dev_{i}"
+        rows.append({"user_id": f"User_{i % 150}", "device_id": dev, "ip_address": f"10.1.{i % 7}.{i % 5}",
+                     "amount": float(i)})
+    tx = transactions(rows)
+    rings = {(r["shared_resource_type"], r["shared_resource_id"]): r for r in graph.fraud_rings(tx, REFERENCE).collect()}
+    hot_users = {f"User_{i % 150}" for i in range(300) if i % 3 == 0}
+    assert rings[("device", "Dev_HOT")]["n_users"] == len(hot_users)
+    assert float(rings[("device", "Dev_HOT")]["total_transaction_amount"]) == sum(float(i) for i in range(0, 300, 3))
+    best = {r["user_id"]: r for r in graph.user_best_ring(tx, REFERENCE).collect()}
+    assert all(best[u]["ring_risk"] == 1.0 for u in hot_users)
+    got = graph.network_stats(tx).first()
+    assert got["components"] == _brute_components([(r["user_id"], r["device_id"], r["ip_address"]) for r in rows])

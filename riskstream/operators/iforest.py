@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskstream.config import EngineConfig
-from riskstream.session import ship_package
+from riskstream.session import materialize, ship_package
 
 FEATURES = ["txn_count_f", "total_amount_f", "duration_min", "amount_per_txn"]
 EULER = 0.5772156649015329
@@ -245,7 +245,8 @@ def tree_samples(feats: DataFrame, key: str, cfg: EngineConfig, n: int) -> DataF
 def fit(alerts: DataFrame, cfg: EngineConfig, key: str) -> Forest | None:
     """K2/K6: fit on the alerts (one row per ``key``); None below ``min_training_samples``."""
     ship_package(alerts.sparkSession)
-    feats = alert_features(alerts).select(key, *FEATURES)
+    # the training set is read three times (count, per-tree samples, offset pass): written once
+    feats = materialize(alert_features(alerts).select(key, *FEATURES), "iforest-train")
     n = feats.count()
     if n < cfg.min_training_samples:
         return None
@@ -266,7 +267,7 @@ def fit(alerts: DataFrame, cfg: EngineConfig, key: str) -> Forest | None:
 def fit_nodes(alerts: DataFrame, cfg: EngineConfig, key: str) -> DataFrame:
     """The fitted node table as a DataFrame (what K2 persists)."""
     ship_package(alerts.sparkSession)
-    feats = alert_features(alerts).select(key, *FEATURES)
+    feats = materialize(alert_features(alerts).select(key, *FEATURES), "iforest-train")
     n = feats.count()
     psi = min(cfg.max_samples, n)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))

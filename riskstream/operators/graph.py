@@ -12,16 +12,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskstream.config import EngineConfig
-from riskstream.functions import epoch_ms
 from riskstream.session import materialize
 
 TYPE_RANK = {"user": 0, "device": 1, "ip": 2}
 
 
+def ingest_seq(tx: DataFrame) -> Column:
+    """Arrival order of a transaction (the reference graph's insertion order) as a long: the
+    ``ingest_seq`` column when the table carries one (fixtures: the event id, which increases with
+    time), else the event time in microseconds. A long keeps every order-based aggregate below on
+    fixed-width buffers, i.e. hash aggregation instead of a map-side sort."""
+    if "ingest_seq" in tx.columns:
+        return F.col("ingest_seq").cast("bigint")
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("event_time"))
+
+
 def _order(tx: DataFrame) -> DataFrame:
-    """Insertion order of the reference graph = transaction order (time, then id)."""
     return tx.select("transaction_id", "user_id", "device_id", "ip_address", "amount", "event_time",
-                     epoch_ms("event_time").alias("_ms"))
+                     ingest_seq(tx).alias("_seq"))
 
 
 def graph_edges(tx: DataFrame) -> DataFrame:
@@ -35,10 +43,9 @@ def graph_edges(tx: DataFrame) -> DataFrame:
         F.struct(F.lit("device").alias("src_type"), F.col("device_id").alias("src"),
                  F.lit("ip").alias("dst_type"), F.col("ip_address").alias("dst")),
     )
-    e = t.select("amount", "_ms", "transaction_id", F.inline(pairs)).where(
-        F.col("src").isNotNull() & F.col("dst").isNotNull())
+    e = t.select("amount", "_seq", F.inline(pairs)).where(F.col("src").isNotNull() & F.col("dst").isNotNull())
     return e.groupBy("src_type", "src", "dst_type", "dst").agg(
-        F.max_by("amount", F.struct("_ms", "transaction_id")).alias("weight"),
+        F.max_by("amount", "_seq").alias("weight"),
         F.count(F.lit(1)).alias("n_txn"),
     )
 
@@ -51,8 +58,8 @@ def graph_vertices(tx: DataFrame) -> DataFrame:
         F.struct(F.lit("device").alias("type"), F.col("device_id").alias("id")),
         F.struct(F.lit("ip").alias("type"), F.col("ip_address").alias("id")),
     )
-    x = t.select("_ms", "transaction_id", F.inline(v)).where(F.col("id").isNotNull())
-    return x.groupBy("type", "id").agg(F.min(F.struct("_ms", "transaction_id")).alias("first_seen"))
+    x = t.select("_seq", F.inline(v)).where(F.col("id").isNotNull())
+    return x.groupBy("type", "id").agg(F.min("_seq").alias("first_seen"))
 
 
 def ring_id(rtype: Column, rid: Column) -> Column:
@@ -67,10 +74,10 @@ def resource_users(tx: DataFrame) -> DataFrame:
         F.struct(F.lit("device").alias("resource_type"), F.col("device_id").alias("resource_id")),
         F.struct(F.lit("ip").alias("resource_type"), F.col("ip_address").alias("resource_id")),
     )
-    x = t.select("user_id", "amount", "_ms", "transaction_id", "event_time", F.inline(res)).where(
+    x = t.select("user_id", "amount", "_seq", "event_time", F.inline(res)).where(
         F.col("resource_id").isNotNull() & F.col("user_id").isNotNull())
     return x.groupBy("resource_type", "resource_id", "user_id").agg(
-        F.min(F.struct("_ms", "transaction_id")).alias("first_use"),
+        F.min("_seq").alias("first_use"),
         F.sum(F.col("amount").cast("decimal(12,2)")).alias("amount"),
         F.max("event_time").alias("last_use"),
     )
@@ -111,20 +118,35 @@ def ring_members(tx: DataFrame, cfg: EngineConfig, pairs: DataFrame | None = Non
     return m
 
 
+def ring_order_key(n_users: Column, first_seen: Column, resource_type: Column) -> Column:
+    """One long that orders rings as the reference's lookup does: higher risk first (risk =
+    min(users / 10, 1), so the level is min(users, 10)), then the ring created first, device before
+    IP. Bits: 3 for the risk level, 51 for the creation sequence, 1 for the type."""
+    level = F.lit(10) - F.least(n_users, F.lit(10))
+    rank = F.when(resource_type == "device", F.lit(0)).otherwise(F.lit(1))
+    return F.shiftleft(level.cast("bigint"), 52) + F.shiftleft(first_seen.cast("bigint"), 1) + rank.cast("bigint")
+
+
 def user_best_ring(tx: DataFrame, cfg: EngineConfig) -> DataFrame:
     """The highest-risk ring of each member; ties go to the ring created first (device before
-    IP within one transaction), as in the reference's node order. ``min_by`` keeps it an aggregate."""
+    IP within one transaction), as in the reference's node order.
+
+    Per user a ``min`` over the packed :func:`ring_order_key` (a long: hash aggregation with partial
+    aggregation, no per-user sort); the key identifies the ring, whose details are joined back from
+    the ring table (one row per ring)."""
     # the pair table feeds both the ring aggregate and the membership join: written once to the
     # shared folder instead of scanning and shuffling the transactions twice
     p = materialize(resource_users(tx), "resource-users")
-    m = ring_members(tx, cfg, p)
-    type_rank = F.when(F.col("resource_type") == "device", F.lit(0)).otherwise(F.lit(1))
-    best = m.groupBy("user_id").agg(F.min_by(
-        F.struct("ring_id", F.col("resource_type").alias("ring_type"), F.col("resource_id").alias("ring_resource"),
-                 F.col("n_users").alias("ring_users"), F.col("risk_score").alias("ring_risk")),
-        F.struct((-F.col("risk_score")).alias("r"), F.col("first_seen"), type_rank.alias("t")),
-    ).alias("_b"))
-    return best.select("user_id", "_b.ring_id", "_b.ring_type", "_b.ring_resource", "_b.ring_users", "_b.ring_risk")
+    rings = fraud_rings(tx, cfg, p).withColumn(
+        "_key", ring_order_key(F.col("n_users"), F.col("first_seen"), F.col("shared_resource_type")))
+    m = p.select("resource_type", "resource_id", "user_id").join(
+        rings.select(F.col("shared_resource_type").alias("resource_type"),
+                     F.col("shared_resource_id").alias("resource_id"), "_key"), ["resource_type", "resource_id"])
+    best = m.groupBy("user_id").agg(F.min("_key").alias("_key"))
+    r = rings.select("_key", "ring_id", F.col("shared_resource_type").alias("ring_type"),
+                     F.col("shared_resource_id").alias("ring_resource"), F.col("n_users").alias("ring_users"),
+                     F.col("risk_score").alias("ring_risk"))
+    return best.join(r, "_key").select("user_id", "ring_id", "ring_type", "ring_resource", "ring_users", "ring_risk")
 
 
 def resource_amounts(tx: DataFrame) -> DataFrame:

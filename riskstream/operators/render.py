@@ -115,7 +115,7 @@ def ring_prompt_lines(rings: DataFrame, members: DataFrame, tx: DataFrame, detec
         r.select("ring_id", F.inline(trail)).select("ring_id", F.lit(2).alias("part"), "k1", F.lit("").alias("k2"), "line")
     ).unionByName(r.select("ring_id", F.lit(4).alias("part"), F.lit(0).cast("bigint").alias("k1"),
                            F.lit("").alias("k2"), F.lit(RING_CLOSE).alias("line")))
-    member_lines = members.select("ring_id", F.lit(1).alias("part"), F.col("first_use._ms").alias("k1"),
+    member_lines = members.select("ring_id", F.lit(1).alias("part"), F.col("first_use").alias("k1"),
                                   F.col("user_id").alias("k2"), F.concat(F.lit("    "), F.col("user_id")).alias("line"))
     res = F.array(F.struct(F.lit("device").alias("t"), F.col("device_id").alias("id")),
                   F.struct(F.lit("ip").alias("t"), F.col("ip_address").alias("id")))

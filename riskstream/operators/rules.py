@@ -159,5 +159,6 @@ def tier_range_join(windows: DataFrame, tiers: DataFrame) -> DataFrame:
     t = F.broadcast(tiers.select(F.col("dimension").alias("_td"), "threshold", "severity"))
     keys = ["dimension", "dimension_key", "window_start"]
     j = windows.join(t, (F.upper(windows["dimension"]) == t["_td"]) & (windows["txn_count"] >= t["threshold"]), "left")
-    best = j.groupBy(*keys, "txn_count").agg(F.max(F.struct("threshold", "severity")).alias("_best"))
-    return best.select(*keys, "txn_count", F.col("_best.severity").alias("velocity_severity"))
+    # severity of the highest matching threshold: numeric max_by keeps the aggregate hash-based
+    best = j.groupBy(*keys, "txn_count").agg(F.max_by("severity", "threshold").alias("velocity_severity"))
+    return best.select(*keys, "txn_count", "velocity_severity")

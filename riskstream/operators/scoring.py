@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from riskstream.config import EngineConfig
 from riskstream.functions import epoch_ms, prob_union
 from riskstream.operators.rules import default_rules, flag_blacklisted
-from riskstream.operators.velocity import ALERT_COLS, explode_dimensions
+from riskstream.operators.velocity import ALERT_COLS, DIMENSIONS, explode_dimensions
 
 RING_COLS = ["ring_type", "ring_resource", "ring_users", "ring_risk"]
 
@@ -114,10 +114,15 @@ def txn_risk(tx: DataFrame, scored: DataFrame, cfg: EngineConfig) -> DataFrame:
         epoch_ms(F.window("_t", cfg.window).start).alias("window_start"))
     s = scored.select("dimension", "dimension_key", "window_start", "score")
     j = rows.join(s, ["dimension", "dimension_key", "window_start"])
+    # (score, dimension) packed into one long so the per-transaction maximum is a hash aggregate
+    names = sorted(d for d, _ in DIMENSIONS)
+    rank = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("dimension")) - 1
     best = j.groupBy("transaction_id").agg(
-        F.max(F.struct("score", F.col("dimension"))).alias("_b"), F.count(F.lit(1)).alias("n_alerts"))
-    return best.select("transaction_id", F.col("_b.score").alias("score"), F.col("_b.dimension").alias("top_dimension"),
-                       "n_alerts", route(F.col("_b.score"), cfg).alias("routing"))
+        F.max(F.col("score") * F.lit(len(names)) + rank).alias("_b"), F.count(F.lit(1)).alias("n_alerts"))
+    score = F.floor(F.col("_b") / F.lit(len(names))).cast("bigint")
+    top = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("_b") % F.lit(len(names)) + 1).cast("int"))
+    return best.select("transaction_id", score.alias("score"), top.alias("top_dimension"),
+                       "n_alerts", route(score, cfg).alias("routing"))
 
 
 def txn_reasons(tx: DataFrame, scored: DataFrame, cfg: EngineConfig) -> DataFrame:

@@ -19,8 +19,11 @@ def set_from_log(ops: DataFrame, seq: str = "seq", op: str = "op", value: str =
     live = ops.where((F.col(op) != "clear") & F.col(value).isNotNull())
     if last_clear is not None:
         live = live.where(F.col(seq) > F.lit(last_clear))
-    latest = live.groupBy(value).agg(F.max_by(op, seq).alias("_op"))
-    return latest.where(F.col("_op") == "add").select(value)
+    # the op is reduced to a 0/1 flag so the aggregate buffer is fixed-width (hash aggregation,
+    # no map-side sort)
+    is_add = F.when(F.col(op) == "add", F.lit(1)).otherwise(F.lit(0))
+    latest = live.groupBy(value).agg(F.max_by(is_add, F.col(seq)).alias("_add"))
+    return latest.where(F.col("_add") == 1).select(value)
 
 
 def upsert_partial(changes: DataFrame, key: str | Sequence[str], update_cols: Sequence[str],

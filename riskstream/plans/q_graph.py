@@ -12,12 +12,12 @@ from riskstream.sources import fixtures as fx
 
 _EDGES = """
 edges_raw AS (
-  SELECT 'user' AS src_type, user_id AS src, 'device' AS dst_type, device_id AS dst, amount, event_time, transaction_id
+  SELECT 'user' AS src_type, user_id AS src, 'device' AS dst_type, device_id AS dst, amount, event_id
   FROM fx_transactions
-  UNION ALL SELECT 'user', user_id, 'ip', ip_address, amount, event_time, transaction_id FROM fx_transactions
-  UNION ALL SELECT 'device', device_id, 'ip', ip_address, amount, event_time, transaction_id FROM fx_transactions),
+  UNION ALL SELECT 'user', user_id, 'ip', ip_address, amount, event_id FROM fx_transactions
+  UNION ALL SELECT 'device', device_id, 'ip', ip_address, amount, event_id FROM fx_transactions),
 edges AS (
-  SELECT src_type, src, dst_type, dst, arg_max(amount, {'t': event_time, 'id': transaction_id}) AS weight,
+  SELECT src_type, src, dst_type, dst, arg_max(amount, event_id) AS weight,
          COUNT(*) AS n_txn
   FROM edges_raw WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY src_type, src, dst_type, dst)"""
 
@@ -47,12 +47,11 @@ def q_fraud_rings(spark, sf):
 
 
 @query("ring_members", with_fx("""
-SELECT r.ring_id, p.user_id, p.first_use.ms AS first_use_ms, p.first_use.t AS first_use_txn
+SELECT r.ring_id, p.user_id, p.first_use AS first_use_seq
 FROM pairs p JOIN rings r USING (resource_type, resource_id)""", "fx_transactions", extra=ring_ctes()))
 def q_ring_members(spark, sf):
     m = graph.ring_members(fx.fx_transactions(spark, sf), CFG)
-    return m.select("ring_id", "user_id", F.col("first_use._ms").alias("first_use_ms"),
-                    F.col("first_use.transaction_id").alias("first_use_txn"))
+    return m.select("ring_id", "user_id", F.col("first_use").alias("first_use_seq"))
 
 
 @query("user_best_ring", with_fx("SELECT * FROM best", "fx_transactions", extra=ring_ctes()))

@@ -64,7 +64,7 @@ def _ring_sql_lines() -> str:
             line = sql_format(t, [v]) if v is not None else "'" + t.replace("'", "''") + "'"
             sel.append(f"SELECT r.ring_id, {part} AS part, CAST({i} AS BIGINT) AS k1, '' AS k2, {line} AS line FROM rl r")
     sel.append(f"SELECT r.ring_id, 4, CAST(0 AS BIGINT), '', '{render.RING_CLOSE}' FROM rl r")
-    sel.append("SELECT r.ring_id, 1, p.first_use.ms, p.user_id, '    ' || p.user_id "
+    sel.append("SELECT r.ring_id, 1, p.first_use, p.user_id, '    ' || p.user_id "
                "FROM pairs p JOIN rl r USING (resource_type, resource_id)")
     tx_line = sql_format(render.RING_TX_LINE, [
         "t.transaction_id", "t.user_id", "CAST(t.amount AS VARCHAR)", "t.currency", "t.merchant_id",

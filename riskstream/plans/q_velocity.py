@@ -163,13 +163,13 @@ def q_risk_scores(spark, sf):
 def rings_sql(cfg=CFG) -> str:
     return f"""
 res AS (
-  SELECT 'device' AS resource_type, device_id AS resource_id, user_id, amount, (epoch_us(event_time) // 1000) AS ms, transaction_id
+  SELECT 'device' AS resource_type, device_id AS resource_id, user_id, amount, event_id
   FROM fx_transactions WHERE device_id IS NOT NULL AND user_id IS NOT NULL
   UNION ALL
-  SELECT 'ip', ip_address, user_id, amount, (epoch_us(event_time) // 1000), transaction_id
+  SELECT 'ip', ip_address, user_id, amount, event_id
   FROM fx_transactions WHERE ip_address IS NOT NULL AND user_id IS NOT NULL),
 pairs AS (
-  SELECT resource_type, resource_id, user_id, min({{'ms': ms, 't': transaction_id}}) AS first_use,
+  SELECT resource_type, resource_id, user_id, min(event_id) AS first_use,
          SUM(CAST(amount AS DECIMAL(12,2))) AS amount
   FROM res GROUP BY resource_type, resource_id, user_id),
 rings AS (

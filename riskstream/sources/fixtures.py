@@ -48,6 +48,7 @@ def transactions_from_events(ev: DataFrame, keep: tuple = ()) -> DataFrame:
         F.when(k < 20, F.concat(F.lit("Dev_SHARED_"), k.cast("string")))
         .otherwise(F.concat(F.lit("Dev_User_"), F.col("user_id").cast("string"))).alias("device_id"),
         F.concat(F.lit("10.0."), (F.col("user_id") % 50).cast("string"), F.lit("."), k.cast("string")).alias("ip_address"),
+        F.col("event_id").alias("ingest_seq"),  # arrival order (event ids increase with time)
         *[(F.col("user_id") if c == "uid" else F.col(c)).alias(c) for c in keep],
     )
 

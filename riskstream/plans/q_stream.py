@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from riskstream.plans.fixture_sql import with_fx
+from riskstream.plans.q_feedback import _PENDING
 from riskstream.plans.q_velocity import CFG, WA, W
 from riskstream.plans.registry import query
 from riskstream.streaming.velocity_stream import stream_velocity_windows
@@ -28,3 +29,28 @@ def q_stream_alerts_final(spark, sf):
     """Append mode emits each alert once, when its window has closed behind the 24 h watermark
     (max event time - 24 h); windows still open at the end of the input are held in state."""
     return stream_velocity_windows(spark, sf, CFG, mode="append", alerts_only=True)
+
+
+@query("stream_review_pending", with_fx("""
+SELECT transaction_id, position, score FROM (""" + _PENDING + ") p", "fx_review_events"))
+def q_stream_review_pending(spark, sf):
+    """I6 streaming: review-queue events replayed in two micro-batches (split at the median sequence)
+    through the ``applyInPandasWithState`` queue; the pending items equal the batch queue."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from riskstream.session import checkpoint_dir
+    from riskstream.sources import fixtures as fx
+    from riskstream.streaming import velocity_stream as vs
+
+    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-review-{uuid.uuid4().hex[:12]}"
+    ev = fx.fx_review_events(spark, sf).select("transaction_id", "seq", "kind", F.col("score").cast("double"))
+    cut = ev.agg(F.percentile_approx("seq", F.lit(0.5))).first()[0]
+    ev.where(F.col("seq") <= cut).write.parquet(f"{base}/src/events_a.parquet")
+    ev.where(F.col("seq") > cut).write.parquet(f"{base}/src/events_b.parquet")
+    schema = spark.read.parquet(f"{base}/src/events_a.parquet").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/src/events_*.parquet")
+    vs.run_available(vs.review_queue_stateful(stream), vs.batch_sink(f"{base}/out"), f"{base}/ck")
+    cur = vs.latest_by_key(spark, f"{base}/out", ["transaction_id"])
+    return cur.where("pending").select("transaction_id", "position", "score")

@@ -244,3 +244,50 @@ def dashboard_refresh_sink(spark: SparkSession, out_path: str, cfg: EngineConfig
         snap.write.mode("overwrite").parquet(f"{out_path}/snapshot/batch_id={batch_id}")
 
     return handle
+
+
+REVIEW_STATE = "last_review long, item_seqs array<long>, item_scores array<double>"
+REVIEW_OUT = "transaction_id string, pending boolean, position long, score double, last_seq long"
+
+
+def _review_step(key, pdfs, state):
+    """Per transaction: fold this micro-batch's events into the key's state, in any arrival order.
+
+    State = the last review's seq and the item arrivals after it (deduplicated by seq). A review drops
+    the arrivals it covers; the queue position is the earliest remaining arrival and the payload the
+    latest one — the batch operator's rule, so late, reordered or replayed events give the same result.
+    The state holds only arrivals since the key's last review."""
+    import pandas as pd
+
+    if state.exists:
+        last_review, seqs, scores = state.get
+        items = dict(zip([int(x) for x in seqs], scores))
+    else:
+        last_review, items = -1, {}
+    for r in pd.concat(list(pdfs)).itertuples(index=False):
+        if r.kind == "review":
+            last_review = max(last_review, int(r.seq))
+        elif r.kind == "item":
+            items[int(r.seq)] = None if pd.isna(r.score) else float(r.score)
+    items = {k: v for k, v in items.items() if k > last_review}
+    order = sorted(items)
+    state.update((last_review, order, [items[k] for k in order]))
+    pending = bool(order)
+    yield pd.DataFrame({"transaction_id": [key[0]], "pending": [pending],
+                        "position": [order[0] if pending else None],
+                        "score": [items[order[-1]] if pending else None],
+                        "last_seq": [max([last_review] + order)]})
+
+
+def review_queue_stateful(events: DataFrame) -> DataFrame:
+    """I6 as a stateful streaming operator: ``applyInPandasWithState`` keyed by transaction id keeps
+    one small state per key (bounded, not per event) and emits the key's queue status on every change
+    (update mode). The pending queue is ``where(pending)`` ordered by position."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from riskstream.session import ship_package
+
+    ship_package(events.sparkSession)
+    e = events.select("transaction_id", F.col("seq").cast("long"), "kind", F.col("score").cast("double"))
+    return e.groupBy("transaction_id").applyInPandasWithState(
+        _review_step, REVIEW_OUT, REVIEW_STATE, "update", GroupStateTimeout.NoTimeout)

@@ -264,13 +264,16 @@ def _review_step(key, pdfs, state):
         items = dict(zip([int(x) for x in seqs], scores))
     else:
         last_review, items = -1, {}
-    for r in pd.concat(list(pdfs)).itertuples(index=False):
-        if r.kind == "review":
-            last_review = max(last_review, int(r.seq))
-        elif r.kind == "item":
-            items[int(r.seq)] = None if pd.isna(r.score) else float(r.score)
-    items = {k: v for k, v in items.items() if k > last_review}
-    order = sorted(items)
+    for pdf in pdfs:
+        kind = pdf["kind"].to_numpy()
+        seq = pdf["seq"].to_numpy()
+        rv = seq[kind == "review"]
+        if len(rv):
+            last_review = max(last_review, int(rv.max()))
+        im = kind == "item"
+        for k, v in zip(seq[im].tolist(), pdf["score"].to_numpy()[im].tolist()):
+            items[int(k)] = None if v != v else v  # NaN -> None
+    order = sorted(k for k in items if k > last_review)
     state.update((last_review, order, [items[k] for k in order]))
     pending = bool(order)
     yield pd.DataFrame({"transaction_id": [key[0]], "pending": [pending],

@@ -10,28 +10,19 @@ from riskstream.plans.q_velocity import CFG, ring_ctes
 from riskstream.plans.registry import query
 from riskstream.sources import fixtures as fx
 
-_EDGES = """
-edges_raw AS (
+EDGE_CTES = [
+    ("edges_raw", """
   SELECT 'user' AS src_type, user_id AS src, 'device' AS dst_type, device_id AS dst, amount, event_id
   FROM fx_transactions
   UNION ALL SELECT 'user', user_id, 'ip', ip_address, amount, event_id FROM fx_transactions
-  UNION ALL SELECT 'device', device_id, 'ip', ip_address, amount, event_id FROM fx_transactions),
-edges AS (
-  SELECT src_type, src, dst_type, dst, arg_max(amount, event_id) AS weight,
-         COUNT(*) AS n_txn
-  FROM edges_raw WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY src_type, src, dst_type, dst)"""
+  UNION ALL SELECT 'device', device_id, 'ip', ip_address, amount, event_id FROM fx_transactions"""),
+    ("edges", """
+  SELECT src_type, src, dst_type, dst, arg_max(amount, event_id) AS weight, COUNT(*) AS n_txn
+  FROM edges_raw WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY src_type, src, dst_type, dst"""),
+]
 
 
-def _ctes(block: str):
-    out = []
-    for part in block.strip().split("),\n"):
-        name, body = part.split(" AS (", 1)
-        body = body.rstrip()
-        out.append((name.strip(), body[:-1] if body.endswith(")") else body))
-    return out
-
-
-@query("graph_edges", with_fx("SELECT * FROM edges", "fx_transactions", extra=_ctes(_EDGES)))
+@query("graph_edges", with_fx("SELECT * FROM edges", "fx_transactions", extra=EDGE_CTES))
 def q_graph_edges(spark, sf):
     return graph.graph_edges(fx.fx_transactions(spark, sf))
 
@@ -92,7 +83,7 @@ def _network_sql():
 SELECT 'device' AS resource_type, device_id AS resource_id, user_id FROM fx_transactions
 WHERE device_id IS NOT NULL AND user_id IS NOT NULL
 UNION ALL SELECT 'ip', ip_address, user_id FROM fx_transactions WHERE ip_address IS NOT NULL AND user_id IS NOT NULL"""
-    ctes = [("fx_k", FX["fx_k"]), ("fx_transactions", FX["fx_transactions"]), ("res", res)] + _ctes(_EDGES)
+    ctes = [("fx_k", FX["fx_k"]), ("fx_transactions", FX["fx_transactions"]), ("res", res)] + EDGE_CTES
     head = ",\n".join(f"{n} AS ({b}\n)" for n, b in ctes)
     return _NETWORK.replace("WITH RECURSIVE\n", "WITH RECURSIVE\n" + head + ",\n", 1)
 

@@ -160,42 +160,32 @@ def q_risk_scores(spark, sf):
 
 # ----------------------------------------------------------------- full scoring (rules + blacklist + rings)
 
-def rings_sql(cfg=CFG) -> str:
-    return f"""
-res AS (
+def ring_ctes(cfg=CFG) -> list[tuple[str, str]]:
+    """Shared-resource rings in SQL, as (name, body) CTEs: res -> pairs -> rings -> best."""
+    return [
+        ("res", """
   SELECT 'device' AS resource_type, device_id AS resource_id, user_id, amount, event_id
   FROM fx_transactions WHERE device_id IS NOT NULL AND user_id IS NOT NULL
   UNION ALL
   SELECT 'ip', ip_address, user_id, amount, event_id
-  FROM fx_transactions WHERE ip_address IS NOT NULL AND user_id IS NOT NULL),
-pairs AS (
+  FROM fx_transactions WHERE ip_address IS NOT NULL AND user_id IS NOT NULL"""),
+        ("pairs", """
   SELECT resource_type, resource_id, user_id, min(event_id) AS first_use,
          SUM(CAST(amount AS DECIMAL(12,2))) AS amount
-  FROM res GROUP BY resource_type, resource_id, user_id),
-rings AS (
+  FROM res GROUP BY resource_type, resource_id, user_id"""),
+        ("rings", f"""
   SELECT md5(resource_type || ':' || resource_id) AS ring_id, resource_type, resource_id,
          COUNT(*) AS n_users, least(CAST(COUNT(*) AS DOUBLE) / 10.0::DOUBLE, 1.0::DOUBLE) AS risk_score,
          SUM(amount) AS total_amount, min(first_use) AS first_seen
-  FROM pairs GROUP BY resource_type, resource_id HAVING COUNT(*) >= {cfg.ring_min_users}),
-best AS (
+  FROM pairs GROUP BY resource_type, resource_id HAVING COUNT(*) >= {cfg.ring_min_users}"""),
+        ("best", """
   SELECT user_id, ring_id, resource_type AS ring_type, resource_id AS ring_resource, n_users AS ring_users,
          risk_score AS ring_risk
   FROM (SELECT p.user_id, r.*, row_number() OVER (PARTITION BY p.user_id ORDER BY r.risk_score DESC, r.first_seen,
                CASE r.resource_type WHEN 'device' THEN 0 ELSE 1 END) AS rn
         FROM pairs p JOIN rings r USING (resource_type, resource_id)) x
-  WHERE rn = 1)"""
-
-
-def ring_ctes():
-    """rings_sql as (name, body) pairs for with_fx(extra=...)."""
-    out = []
-    for block in rings_sql().strip().split("),\n"):
-        name, body = block.split(" AS (", 1)
-        body = body.rstrip()
-        if body.endswith(")"):
-            body = body[:-1]
-        out.append((name.strip(), body))
-    return out
+  WHERE rn = 1"""),
+    ]
 
 
 _SCORED_SQL = f"""

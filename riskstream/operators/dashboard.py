@@ -371,15 +371,18 @@ def snapshot(spark: SparkSession, tx: DataFrame, results: DataFrame, feedback: D
 
 def newest_flagged_history(tx: DataFrame, results: DataFrame, cfg: EngineConfig) -> DataFrame:
     """The newest flagged transaction as of the end of each day (newest time, then smallest id)
-    and whether it changed since the previous day's snapshot. Per day a ``min_by`` aggregate; across
-    days a running ``min_by`` over the per-day table (one row per day: bounded by the time span)."""
+    and whether it changed since the previous day's snapshot.
+
+    Per day the newest time is a hash ``max`` over microseconds; only the rows at that time are
+    joined back to pick the smallest id. Across days a running ``min_by`` over the per-day table
+    (one row per day: bounded by the time span)."""
     j = tx_results(tx.select("transaction_id", "event_time"), results.where(F.col("score") >= cfg.flagged_score))
     us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("event_time"))
-    daily = j.groupBy(_day("scored_at").alias("day")).agg(
-        F.min_by("transaction_id", F.struct((-us).alias("nt"), F.col("transaction_id"))).alias("d_id"),
-        F.max(us).alias("d_us"))
+    j = j.select("transaction_id", _day("scored_at").alias("day"), us.alias("us"))
+    newest = j.groupBy("day").agg(F.max("us").alias("us"))
+    daily = j.join(newest, ["day", "us"]).groupBy("day", "us").agg(F.min("transaction_id").alias("d_id"))
     run = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = daily.select("day", F.min_by("d_id", F.struct((-F.col("d_us")).alias("nt"), F.col("d_id"))).over(run)
+    out = daily.select("day", F.min_by("d_id", F.struct((-F.col("us")).alias("nt"), F.col("d_id"))).over(run)
                        .alias("newest_id"))
     prev = F.lag("newest_id").over(Window.orderBy("day"))
     return out.select("day", F.concat(F.substring("newest_id", 1, 12), F.lit("...")).alias("tranID"),

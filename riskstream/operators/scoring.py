@@ -14,6 +14,7 @@ from riskstream.config import EngineConfig
 from riskstream.functions import epoch_ms, prob_union
 from riskstream.operators.rules import default_rules, flag_blacklisted
 from riskstream.operators.velocity import ALERT_COLS, DIMENSIONS, explode_dimensions
+from riskstream.session import materialize
 
 RING_COLS = ["ring_type", "ring_resource", "ring_users", "ring_risk"]
 
@@ -127,13 +128,20 @@ def txn_risk(tx: DataFrame, scored: DataFrame, cfg: EngineConfig) -> DataFrame:
 
 def txn_reasons(tx: DataFrame, scored: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Per transaction inside alerting windows: the score, routing and reasons of its top alert
-    (highest score, then dimension name)."""
+    (highest score, then dimension name). The pick is a hash aggregate over a packed long
+    (score, dimension rank); the reasons are then joined from the chosen alert, which the
+    transaction identifies by its own key in that dimension and its window."""
+    names = sorted(d for d, _ in DIMENSIONS)
     rows = explode_dimensions(tx, "event_time", extra=("transaction_id",)).select(
         "transaction_id", "dimension", "dimension_key",
         epoch_ms(F.window("_t", cfg.window).start).alias("window_start"))
-    s = scored.select("dimension", "dimension_key", "window_start", "score", "reasons")
-    j = rows.join(s, ["dimension", "dimension_key", "window_start"])
-    best = j.groupBy("transaction_id").agg(F.max_by(F.struct("score", "dimension", "reasons"),
-                                                    F.struct("score", "dimension")).alias("_b"))
-    return best.select("transaction_id", "_b.score", F.col("_b.dimension").alias("top_dimension"), "_b.reasons",
-                       route(F.col("_b.score"), cfg).alias("routing"))
+    # read twice (pick, then reasons): the alert-sized scored table is written once
+    s = materialize(scored.select("dimension", "dimension_key", "window_start", "score", "reasons"), "scored-alerts")
+    j = rows.join(s.drop("reasons"), ["dimension", "dimension_key", "window_start"])
+    rank = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("dimension")) - 1
+    best = j.groupBy("transaction_id").agg(F.max(F.col("score") * F.lit(len(names)) + rank).alias("_b"))
+    top = best.select("transaction_id", F.element_at(F.array(*[F.lit(n) for n in names]),
+                                                     (F.col("_b") % F.lit(len(names)) + 1).cast("int")).alias("dimension"))
+    chosen = rows.join(top, ["transaction_id", "dimension"]).join(s, ["dimension", "dimension_key", "window_start"])
+    return chosen.select("transaction_id", "score", F.col("dimension").alias("top_dimension"), "reasons",
+                         route(F.col("score"), cfg).alias("routing"))

@@ -98,8 +98,11 @@ def model_registry(results: DataFrame, feedback: DataFrame, seed: DataFrame | No
 def apply_correctness(metrics: DataFrame, corrections: DataFrame, seq: str = "seq") -> DataFrame:
     """L3: set ``was_correct`` on every metric row of a transaction from its latest correction
     (UPDATE ... WHERE transaction_id = ?): a left join with the latest correction per key and
-    ``coalesce(new, old)``."""
-    latest = corrections.groupBy("transaction_id").agg(F.max_by("was_correct", seq).alias("_new"))
+    ``coalesce(new, old)``. ``seq`` is an integer order (e.g. created-at microseconds); the pick is a
+    hash ``max`` over seq * 2 + verdict bit, so equal sequences resolve to "correct"."""
+    packed = F.col(seq).cast("bigint") * 2 + F.col("was_correct").cast("int")
+    latest = corrections.groupBy("transaction_id").agg(F.max(packed).alias("_p")).select(
+        "transaction_id", (F.col("_p") % 2 == 1).alias("_new"))
     j = metrics.join(latest, "transaction_id", "left")
     return j.select(*[F.coalesce("_new", "was_correct").alias("was_correct") if c == "was_correct" else F.col(c)
                       for c in metrics.columns])
@@ -108,7 +111,8 @@ def apply_correctness(metrics: DataFrame, corrections: DataFrame, seq: str = "se
 def corrections_from_feedback(feedback: DataFrame) -> DataFrame:
     """Analyst verdicts as model correctness: only a confirmed fraud (true_positive) was right."""
     return feedback.select("transaction_id", (F.col("verdict") == "true_positive").alias("was_correct"),
-                           F.struct("created_at", "feedback_id").alias("seq"))
+                           F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                                            F.col("created_at")).alias("seq"))
 
 
 EXPERIMENT_EVENT = ("seq long, experiment_id string, action string, traffic_split double, status string, "

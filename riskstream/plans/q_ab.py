@@ -91,7 +91,8 @@ SELECT experiment_id, model_version, COUNT(*) AS total,
        CAST(SUM(latency_ms) AS DOUBLE) / COUNT(*) AS avg_latency_ms
 FROM (SELECT m.experiment_id, m.model_version, m.latency_ms, coalesce(c.was_correct, m.was_correct) AS was_correct
       FROM fx_ab_metrics m LEFT JOIN (
-        SELECT transaction_id, arg_max(verdict = 'true_positive', {'t': created_at, 'f': feedback_id}) AS was_correct
+        SELECT transaction_id,
+               max(epoch_us(created_at) * 2 + CAST(verdict = 'true_positive' AS INTEGER)) % 2 = 1 AS was_correct
         FROM fx_feedback GROUP BY transaction_id) c USING (transaction_id)) x
 GROUP BY experiment_id, model_version""", "fx_ab_metrics", "fx_feedback"))
 def q_ab_metrics_corrected(spark, sf):

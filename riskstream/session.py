@@ -85,3 +85,25 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(out)
     _SHIPPED.add(app)
+
+
+def cluster_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20) -> dict:
+    """Settings sized for a job over ``input_bytes`` on ``total_cores`` executor cores.
+
+    Shuffle partitions start at input / ``partition_bytes`` (at least 2 x cores) and AQE coalesces
+    them down to the advisory size at run time, so a wide stage never holds more than about
+    ``partition_bytes`` per task (spill stays bounded); file splits use the same size; skew handling
+    splits any partition more than 5 x the median and over 1 GiB. For 100 TB on 8000 cores this
+    gives ~400k initial partitions, coalesced by AQE to what each stage really shuffles."""
+    parts = max(2 * total_cores, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1 << 30),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+    }

@@ -19,7 +19,7 @@ from riskstream.functions import EPOCH_NTZ, to_ntz
 from riskstream.operators import iforest
 from riskstream.operators.scoring import score_alerts
 from riskstream.operators.velocity import ALERT_COLS, AMOUNT_DEC, DIMENSIONS, alert_filter
-from riskstream.session import checkpoint_dir
+from riskstream.session import checkpoint_dir, path_exists
 from riskstream.sources.fixtures import transactions_from_events
 
 ALERT_KEYS = ["dimension", "dimension_key", "window_start"]
@@ -103,10 +103,9 @@ def stream_velocity_windows(spark: SparkSession, sf_dir: str, cfg: EngineConfig,
     if alerts_only:
         upd = alert_filter(upd, cfg)
     run_available(upd, batch_sink(f"{base}/sink"), f"{base}/checkpoint", mode)
-    try:
-        return latest_by_key(spark, f"{base}/sink", ALERT_KEYS).select(*ALERT_COLS)
-    except Exception:  # noqa: BLE001  (no batch produced rows: empty table)
+    if not path_exists(spark, f"{base}/sink"):  # no micro-batch produced rows: empty table
         return spark.createDataFrame([], upd.schema).select(*ALERT_COLS)
+    return latest_by_key(spark, f"{base}/sink", ALERT_KEYS).select(*ALERT_COLS)
 
 
 @dataclass
@@ -128,16 +127,15 @@ class ModelState:
     @classmethod
     def resume(cls, spark: SparkSession, cfg: EngineConfig, features_path: str, model_path: str) -> "ModelState":
         st = cls(cfg=cfg, features_path=features_path, model_path=model_path)
-        try:
-            st.n_samples = spark.read.parquet(features_path).count()
-        except Exception:  # noqa: BLE001  (no batch yet)
+        if not path_exists(spark, features_path):  # no batch yet
             return st
-        try:
+        st.n_samples = spark.read.parquet(features_path).count()
+        if path_exists(spark, f"{model_path}/state"):
             st.forest = iforest.Forest.load(model_path, spark)
             fitted_at = spark.read.parquet(f"{model_path}/state").first()["n_samples"]
             st.since_retrain = st.n_samples - fitted_at
             st.versions.append(st.forest.version)
-        except Exception:  # noqa: BLE001  (no model yet)
+        else:  # no model yet
             st.since_retrain = st.n_samples
         return st
 
@@ -195,10 +193,9 @@ def retrain_trigger(spark: SparkSession, cfg: EngineConfig, state: dict):
         feedback.write.mode("overwrite").parquet(f"{state['feedback_path']}/batch_id={batch_id}")
         allfb = spark.read.parquet(state["feedback_path"])
         if "last_retrain" not in state:  # restarted driver: the mark is the newest event written
-            try:
-                state["last_retrain"] = spark.read.parquet(state["events_path"]).agg(F.max("timestamp")).first()[0]
-            except Exception:  # noqa: BLE001  (no retrain yet)
-                state["last_retrain"] = None
+            state["last_retrain"] = (
+                spark.read.parquet(state["events_path"]).agg(F.max("timestamp")).first()[0]
+                if path_exists(spark, state["events_path"]) else None)
         mark = state.get("last_retrain")
         recent = allfb if mark is None else allfb.where(F.col("created_at") > F.lit(mark).cast("timestamp_ntz"))
         agg = recent.agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("t")).first()

@@ -13,9 +13,12 @@ BUCKET_SQL = "(('0x' || substr(md5(transaction_id), 1, 8))::BIGINT % 10000)"
 
 
 def _versions(spark, sf):
-    """Model versions known to the registry (a handful of rows), oldest first."""
-    reg = ab.model_registry(fx.fx_fraud_results(spark, sf), fx.fx_feedback(spark, sf))
-    return [r["version"] for r in reg.orderBy("trained_at", "version").select("version").collect()]
+    """Model versions in use (a handful of rows), oldest first: one partially aggregated pass over
+    the results, not the whole registry (which also joins feedback)."""
+    from pyspark.sql import functions as F
+
+    v = fx.fx_fraud_results(spark, sf).groupBy("model_version").agg(F.min("scored_at").alias("t"))
+    return [r["model_version"] for r in v.orderBy("t", "model_version").collect()]
 
 
 @query("ab_assign", with_fx(f"""

@@ -99,6 +99,7 @@ def alert_changelog(tx: DataFrame, cfg: EngineConfig, time_col: str = "event_tim
     Rows are therefore split into fixed time chunks: running totals are computed inside each chunk,
     chunk totals (a small table: windows x chunks) get exclusive prefix sums, and the two are joined
     back on the chunk key. Equal to a single ordered window, but no task holds more than one chunk.
+    Rows of windows that never reach the threshold are dropped first (they cannot emit).
     """
     chunk = cfg.changelog_chunk_ms
     base = explode_dimensions(tx, time_col, extra=("transaction_id",)).select(
@@ -106,6 +107,13 @@ def alert_changelog(tx: DataFrame, cfg: EngineConfig, time_col: str = "event_tim
         epoch_ms("_t").alias("_t_ms"), *_window_bounds(cfg),
     ).withColumn("chunk", F.floor((F.col("_t_ms") - F.col("window_start")) / F.lit(chunk)))
     part = ["dimension", "dimension_key", "window_start"]
+    # only windows whose final count reaches the threshold can emit rows (running counts never exceed
+    # the final count): keep just their rows, so the ordered-window shuffle below carries the alerting
+    # windows only. The per-window counts are a partially aggregated shuffle and the alerting keys a
+    # small table that AQE broadcasts into the semi join.
+    alerting = base.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).where(
+        F.col("_n") >= threshold_for(cfg)).select(*part)
+    base = base.join(alerting, part, "left_semi")
     w_in = (Window.partitionBy(*part, "chunk").orderBy("_t_ms", "transaction_id")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = base.withColumn("c_in", F.count(F.lit(1)).over(w_in)).withColumn("s_in", F.sum("amt").over(w_in))

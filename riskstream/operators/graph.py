@@ -127,7 +127,7 @@ def ring_order_key(n_users: Column, first_seen: Column, resource_type: Column) -
     return F.shiftleft(level.cast("bigint"), 52) + F.shiftleft(first_seen.cast("bigint"), 1) + rank.cast("bigint")
 
 
-def user_best_ring(tx: DataFrame, cfg: EngineConfig) -> DataFrame:
+def user_best_ring(tx: DataFrame, cfg: EngineConfig, pairs: DataFrame | None = None) -> DataFrame:
     """The highest-risk ring of each member; ties go to the ring created first (device before
     IP within one transaction), as in the reference's node order.
 
@@ -136,7 +136,7 @@ def user_best_ring(tx: DataFrame, cfg: EngineConfig) -> DataFrame:
     the ring table (one row per ring)."""
     # the pair table feeds both the ring aggregate and the membership join: written once to the
     # shared folder instead of scanning and shuffling the transactions twice
-    p = materialize(resource_users(tx), "resource-users")
+    p = pairs if pairs is not None else materialize(resource_users(tx), "resource-users")
     rings = fraud_rings(tx, cfg, p).withColumn(
         "_key", ring_order_key(F.col("n_users"), F.col("first_seen"), F.col("shared_resource_type")))
     m = p.select("resource_type", "resource_id", "user_id").join(

@@ -230,13 +230,27 @@ class Forest:
 
 
 def tree_samples(feats: DataFrame, key: str, cfg: EngineConfig, n: int) -> DataFrame:
-    """Per-tree subsamples: the ``psi`` rows with the smallest hash(seed, tree, key) for every tree."""
+    """Per-tree subsamples of at most ``psi`` rows, deterministic for the seed.
+
+    Large training sets (n >= 4 x trees x psi, the normal case at scale): one hash per row both
+    pre-filters (about 4 x psi candidates per tree survive) and assigns the row to a single tree, so
+    the subsamples are disjoint — indistinguishable from independent draws when n >> trees x psi —
+    and each row costs one codegen'd hash. Small sets: every tree draws its own ``psi`` rows with the
+    smallest hash(seed, tree, key), so subsamples overlap as they must. Either way each tree's window
+    holds about 4 x psi rows."""
     psi = min(cfg.max_samples, n)
-    p = min(1.0, 4.0 * psi / max(n, 1))
-    trees = F.sequence(F.lit(0), F.lit(cfg.n_trees - 1))
     k = F.col(key).cast("string")
-    cand = feats.select(key, *FEATURES, F.explode(F.filter(trees, lambda t: _hash_frac(cfg.seed, t, k) < F.lit(p)))
-                        .alias("tree"))
+    if n >= 4 * cfg.n_trees * psi:
+        per_tree = 4.0 * psi / n  # hash-fraction width of one tree's candidate slice
+        u = _hash_frac(cfg.seed, F.lit(-1), k)
+        cand = feats.where(u < F.lit(per_tree * cfg.n_trees)).select(
+            key, *FEATURES, F.floor(u / F.lit(per_tree)).cast("int").alias("tree"))
+        cand = cand.where(F.col("tree") < cfg.n_trees)
+    else:
+        p = min(1.0, 4.0 * psi / max(n, 1))
+        trees = F.sequence(F.lit(0), F.lit(cfg.n_trees - 1))
+        cand = feats.select(key, *FEATURES, F.explode(F.filter(trees, lambda t: _hash_frac(cfg.seed, t, k) < F.lit(p)))
+                            .alias("tree"))
     cand = cand.withColumn("_h", F.xxhash64(F.lit(cfg.seed), F.col("tree"), k))
     w = Window.partitionBy("tree").orderBy("_h", key)
     return cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= psi).drop("_rn")

@@ -50,3 +50,21 @@ def test_retrain_policy():
 
 def test_avg_path():
     assert iforest.avg_path(np.array([1, 2]))[0] == 0 and iforest.avg_path(np.array([2]))[0] == 1
+
+
+def test_large_set_disjoint_sampling(spark):
+    """n >= 4 x trees x psi: one hash per row, disjoint per-tree subsamples of exactly psi rows."""
+    cfg = REFERENCE.with_(n_trees=10, max_samples=16)
+    a = _alerts(spark, n=2000, outliers=0)
+    feats = iforest.alert_features(a).select("k", *iforest.FEATURES)
+    s = iforest.tree_samples(feats, "k", cfg, 2000).collect()
+    per_tree = {}
+    for r in s:
+        per_tree.setdefault(r["tree"], []).append(r["k"])
+    assert sorted(per_tree) == list(range(10)) and all(len(v) == 16 for v in per_tree.values())
+    keys = [k for v in per_tree.values() for k in v]
+    assert len(keys) == len(set(keys))  # disjoint
+    again = iforest.tree_samples(feats, "k", cfg, 2000).collect()
+    assert sorted((r["tree"], r["k"]) for r in again) == sorted((r["tree"], r["k"]) for r in s)
+    f = iforest.fit(a, cfg, "k")
+    assert f is not None and f.nodes["tree"].nunique() == 10

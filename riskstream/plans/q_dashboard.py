@@ -176,7 +176,8 @@ FROM (
          coalesce(lag("Challenge") OVER w, 0) AS prev_Challenge, coalesce(lag(total) OVER w, 0) AS prev_total
   FROM (
     SELECT channel, day,
-           SUM(a) OVER r AS "Allow", SUM(b) OVER r AS "Block", SUM(c) OVER r AS "Challenge", SUM(t) OVER r AS total
+           CAST(SUM(a) OVER r AS BIGINT) AS "Allow", CAST(SUM(b) OVER r AS BIGINT) AS "Block",
+           CAST(SUM(c) OVER r AS BIGINT) AS "Challenge", CAST(SUM(t) OVER r AS BIGINT) AS total
     FROM (SELECT t.location AS channel, strftime(date_trunc('day', r.scored_at), '%Y-%m-%d') AS day,
                  COUNT(*) FILTER (WHERE r.routed_to = 'approved-transactions') AS a,
                  COUNT(*) FILTER (WHERE r.routed_to = 'fraud-alerts') AS b,

@@ -75,7 +75,7 @@ def q_user_history(spark, sf):
     WindowGroupLimit before the shuffle, so a hot user ships at most k rows per map task."""
     t = fx.fx_transactions(spark, sf)
     w = Window.partitionBy("user_id").orderBy(F.col("event_time").desc(), F.col("transaction_id"))
-    return t.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= 100).select(
+    return t.withColumn("rn", F.row_number().over(w).cast("bigint")).where(F.col("rn") <= 100).select(
         "user_id", "transaction_id", "rn", "amount", F.date_format("event_time", TS_SPARK).alias("event_time"))
 
 

@@ -60,3 +60,20 @@ def test_empty_tables_all_parts(spark, transactions):
     assert all(v == 0 for v in s.asDict().values())
     share = {r["action"]: r["pct"] for r in D.decision_share(D.decision_mix(spark, res)).collect()}
     assert share == {"Allow": 0.0, "Block": 0.0, "Challenge": 0.0}
+
+
+def test_band_and_alarm_boundaries(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(24.0,), (23.99,), (14.0,), (13.99,)], "p double")
+    assert [r[0] for r in df.select(D.risk_band(F.col("p"))).collect()] == ["high", "medium", "medium", "low"]
+    mix = spark.createDataFrame([("Allow", 48), ("Block", 30), ("Challenge", 22)], "action string, count bigint")
+    alarms = {r["action"]: r["alarm"] for r in D.decision_share(mix).collect()}
+    assert alarms == {"Allow": None, "Block": "danger", "Challenge": "warn"}
+
+
+def test_action_mapping_both_schemes(spark):
+    df = spark.createDataFrame([("fraud-alerts",), ("block",), ("human-review",), ("review",),
+                                ("approved-transactions",), ("allow",), (None,)], "r string")
+    got = [r[0] for r in df.select(D.action_of("r")).collect()]
+    assert got == ["Block", "Block", "Challenge", "Challenge", "Allow", "Allow", "Allow"]

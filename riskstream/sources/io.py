@@ -55,11 +55,16 @@ def decode_json(lines: DataFrame, schema: T.StructType, value_col: str = "value"
 
 
 def parse_iso(ts: Column) -> Column:
-    """ISO-8601 text (with or without offset) to a wall-clock UTC timestamp_ntz."""
-    return F.coalesce(
-        F.to_timestamp_ntz(F.regexp_replace(ts, r"(Z|[+-]00:?00)$", "")),
-        F.try_to_timestamp(ts).cast("timestamp_ntz"),
-    )
+    """ISO-8601 text (with or without offset) to a wall-clock UTC timestamp_ntz; malformed text
+    gives null (never an error, so a bad record cannot fail a decode job). A non-UTC offset is
+    converted through the instant's epoch microseconds, independent of the session time zone."""
+    from riskstream.functions import EPOCH_NTZ
+
+    utc = F.regexp_replace(ts, r"(Z|[+-]00:?00)$", "").try_cast("timestamp_ntz")
+    other = F.timestamp_add("MICROSECOND", F.unix_micros(F.try_to_timestamp(ts)), EPOCH_NTZ())
+    # casting to timestamp_ntz would silently drop a non-zero offset, so such strings take the instant path
+    shifted = ts.rlike(r"[+-][0-9]{2}:?[0-9]{2}$") & ~ts.rlike(r"[+-]00:?00$")
+    return F.when(shifted, other).otherwise(utc)
 
 
 def coerce_transactions(df: DataFrame) -> DataFrame:

@@ -229,3 +229,19 @@ def test_review_state_order_insensitive():
     assert out["pending"] and out["position"] == 30 and out["score"] == 0.7
     out = step(st, [("t1", 40, "review", None)])
     assert not out["pending"] and out["position"] is None
+
+
+def test_parse_iso_variants(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("2026-01-15T10:30:00+00:00",), ("2026-01-15T10:30:00Z",), ("2026-01-15T10:30:00",),
+                                ("2026-01-15 10:30:00.250000",), ("not a time",)], "s string")
+    got = [None if r[0] is None else str(r[0]) for r in df.select(io.parse_iso(F.col("s"))).collect()]
+    assert got == ["2026-01-15 10:30:00", "2026-01-15 10:30:00", "2026-01-15 10:30:00", "2026-01-15 10:30:00.250000", None]
+
+
+def test_parse_iso_offset(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("2026-01-15T12:30:00+02:00",)], "s string")
+    assert str(df.select(io.parse_iso(F.col("s"))).first()[0]) == "2026-01-15 10:30:00"

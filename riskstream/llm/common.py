@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskstream.session import materialize, ship_package
+from riskstream.session import checkpoint_dir, materialize, ship_package
 from riskstream.sources.tables import load_table
 
-__all__ = ["WORD", "SPACES", "ascii_lower", "documents", "materialize", "ship_package", "word_count", "partitions"]
+__all__ = ["WORD", "SPACES", "ascii_lower", "documents", "materialize", "ship_package", "word_count", "partitions", "checkpoint_path"]
 
 #: A word, and what separates words: the six ASCII white-space characters only.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,3 +33,8 @@ def ascii_lower(text: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def checkpoint_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex[:12]}"

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskstream.llm import mixing, sketch
+from riskstream.llm import mixing, sketch, warc
 from riskstream.llm.common import documents
+from riskstream.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +100,23 @@ FROM s
 @_query("op5_threshold_sketch", FINGERPRINT_SQL)
 def op5_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(documents(spark, sf_dir))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, strlen(COALESCE(html, ''))::BIGINT AS payload_bytes, sha1(COALESCE(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + ((('0x' || substr(h, (1 + 5 * (i // 4))::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
+@_query("op3_warc_merge", WARC_SQL)
+def op3_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages have no capture time: they count as captured a second apart, by ``page_id``."""
+    pages = load_table(spark, sf_dir, "pages")
+    captured = F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) + F.lit(1704067200))
+    return warc.archive(pages, captured).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskstream.llm import mixing, sketch, warc
+from riskstream.llm import arrow_tokens, mixing, sketch, warc
 from riskstream.llm.common import documents
 from riskstream.sources.tables import load_table
 
@@ -120,3 +120,15 @@ def op3_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load_table(spark, sf_dir, "pages")
     captured = F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) + F.lit(1704067200))
     return warc.archive(pages, captured).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query("op7_arrow_sequences")
+def op7_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arrow_tokens.tokenized(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))

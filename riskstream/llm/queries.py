@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskstream.llm import arrow_tokens, mixing, sketch, warc
+from riskstream.llm import arrow_tokens, mixing, pieces, secrets, sketch, warc
 from riskstream.llm.common import documents
 from riskstream.sources.tables import load_table
 
@@ -132,3 +132,13 @@ def vocabulary(name: str) -> str:
 @_query("op7_arrow_sequences")
 def op7_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_tokens.tokenized(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+@_query("op6_secret_scan")
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
+@_query("op4_streaming_viterbi")
+def op4_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskstream.llm import arrow_tokens, mixing, pieces, secrets, sketch, warc
+from riskstream.llm import arrow_tokens, mixing, pieces, quality, secrets, sketch, warc
 from riskstream.llm.common import documents
 from riskstream.sources.tables import load_table
 
@@ -142,3 +142,8 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_streaming_viterbi")
 def op4_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
+@_query("op8_kneser_ney_rules")
+def op8_kneser_ney_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(documents(spark, sf_dir))

@@ -136,7 +136,7 @@ def scan(docs: DataFrame) -> DataFrame:
     ship_package(docs.sparkSession)
     d = docs.select("doc_id", spans(F.col("text")).alias("spans"))
     base = F.filter(F.split("spans", ","), lambda s: F.substring_index(s, ":", 1).isin(*BASE_KINDS))
-    counts = [F.size(F.filter("base", lambda s, k=k: s.startswith(k + ":"))).cast("long").alias(f"n_{k}")
+    counts = [F.expr(f"size(filter(base, s -> startswith(s, '{k}:')))").cast("long").alias(f"n_{k}")
               for k in BASE_KINDS]
     return d.withColumn("base", base).select("doc_id", *counts, F.sha2(F.array_join("base", ","), 256)
                                              .alias("base_sha256"), "spans")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskstream.llm import arrow_tokens, mixing, pieces, quality, secrets, sketch, warc
+from riskstream.llm import arrow_tokens, lattice, mixing, partenum, pieces, quality, secrets, sketch, warc
 from riskstream.llm.common import documents
 from riskstream.sources.tables import load_table
 
@@ -147,3 +147,30 @@ def op4_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_kneser_ney_rules")
 def op8_kneser_ney_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(documents(spark, sf_dir))
+
+
+#: All pairs are compared here: for small tables only.
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS sh FROM
+  (SELECT doc_id, w, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [1] ELSE range(1, len(w) - 3) END) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 80 * (na.n + nb.n - i)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS root, doc_id AS node FROM documents UNION SELECT r.root, e.b FROM r JOIN e ON e.a = r.node)
+SELECT d.doc_id, COALESCE(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT root, min(node) AS component_id FROM r GROUP BY 1) c ON c.root = d.doc_id
+"""
+
+
+@_query("op10_partenum_join", JACCARD_SQL)
+def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.classes(documents(spark, sf_dir))
+
+
+@_query("op2_lattice_likelihood")
+def op2_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.scores(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))

@@ -1,11 +1,15 @@
 """Subword lattice likelihood: marginal probability of a text over all ways to cut its words into pieces.
 
 The pieces are those of an existing vocabulary file. Its scores, the ranks of the pieces, give the first weights,
-``1 / (RANK_OFFSET - score)``; ``ROUNDS`` rounds of expectation maximization over the training words make them
+``1 / (RANK_OFFSET - score)``; ``ROUNDS`` rounds of expectation maximization over the distinct training words make them
 probabilities: each adds up, over all words and all their segmentations, how often a piece is expected, with the first
-weights as ``PRIOR`` pseudo-counts. A character without a piece is written in bytes, which share one class. The probability
-of a word is computed by the forward recursion in log space, over many words of equal length at once; that of a text is the
-product of its words' and of one end piece.
+weights as ``PRIOR`` pseudo-counts. A character without a piece is written in bytes, which share one class. The sum over a
+word's segmentations is computed by the forward recursion in log space, over many words of equal length at once.
+
+A word that training texts have is also one edge of its lattice, from its start to its end, with the share of its count
+less ``DISCOUNT``; what the discounts leave is the weight of all paths through pieces. So the probability of a word is
+``max(c - DISCOUNT, 0) / N + DISCOUNT * types / N * pieces(word)``, and that of a text is the product of its words' and of
+the end token's, its count in N: it sums to at most 1 over all texts.
 
 Both the word counts that the base score needs and the lattice depend on a word only. So all distinct words are counted
 first, in Spark, and scored once each; the documents then look up the ``HEAVY`` most frequent words at most in a broadcast
@@ -33,6 +37,7 @@ SPACE = "▁"
 RANK_OFFSET = 10.0
 ROUNDS = 2
 PRIOR = 1000.0
+DISCOUNT = 0.75
 HEAVY = 1 << 18
 WORDS = 400_000  # distinct words that a counting task holds
 ALPHA = 0.1
@@ -57,7 +62,7 @@ def _codes(words: list[str]) -> np.ndarray:
 
 
 class Lattice:
-    """The pieces of a vocabulary file, numbered from 0; number ``size`` is the class of bytes, ``size + 1`` the end."""
+    """The pieces of a vocabulary file, numbered from 0; number ``size`` is the class of bytes."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -72,7 +77,7 @@ class Lattice:
         self.hashes, self.numbers = hashes[order], order.astype(np.int32)
         weight = np.array([1 / (RANK_OFFSET - sp.get_score(i)) for i in ids])
         rare = np.sort(weight)[len(weight) // 100]
-        self.first = np.concatenate([weight, [rare, rare]])
+        self.first = np.append(weight, rare)
         self.first /= self.first.sum()
         self.powers = [_U(pow(int(_BASE), i, 1 << 64)) for i in range(self.max_len + 1)]
 
@@ -128,7 +133,7 @@ class Lattice:
 
     def expected(self, words: list[str], times: np.ndarray, logs: np.ndarray) -> np.ndarray:
         """How often each piece is expected in ``times`` copies of the words."""
-        total = np.zeros(self.size + 2)
+        total = np.zeros(self.size + 1)
         for at in self.batches(words):
             edges, sizes = self._edges([words[i] for i in at])
             weights = self._weights(edges, sizes, logs)
@@ -178,43 +183,44 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _expect(path, logs):
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(path)
-        total = np.zeros(lat.size + 2)
+        total = np.zeros(lat.size + 1)
         for b in batches:
-            total += lat.expected(b.column("word").to_pylist(), b.column("c").to_numpy().astype(float), logs.value)
+            total += lat.expected(b.column("word").to_pylist(), np.ones(b.num_rows), logs.value)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"piece": some, "times": total[some]})
 
     return expect
 
 
-def piece_logs(words: DataFrame, training_docs: int, vocabulary: str) -> np.ndarray:
-    """Natural logs of the piece probabilities learned from (word, c)."""
+def piece_logs(words: DataFrame, vocabulary: str) -> np.ndarray:
+    """Natural logs of the piece probabilities learned from the words with c > 0 of (word, c)."""
     spark, lat = words.sparkSession, lattice(vocabulary)
     p = lat.first
     for _ in range(ROUNDS):
-        got = (words.where("c > 0").select("word", "c")
+        got = (words.where("c > 0").select("word")
                .mapInArrow(_expect(vocabulary, spark.sparkContext.broadcast(np.log(p))), "piece long, times double")
                .groupBy("piece").agg(F.sum("times").alias("times")).collect())  # a row a piece
         total = PRIOR * lat.first
         for r in got:
             total[r.piece] += r.times
-        total[lat.size + 1] += training_docs
         p = total / total.sum()
     return np.log(p)
 
 
-def _score_words(path, logs, n_train, n_types):
+def _score_words(path, logs, n_train, word_types):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         lat = lattice(path)
+        left = math.log(DISCOUNT * word_types / n_train) if word_types else 0.0
         for b in batches:
             words, c = b.column("word").to_pylist(), b.column("c").to_numpy()
             keys = np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in words], _U).astype(np.int64)
             yield pa.RecordBatch.from_pydict({
                 "word": b.column("word"), "n": b.column("n"), "key": keys, "known": (c > 0).astype(np.int32),
-                "base": np.log10((c + ALPHA) / (n_train + ALPHA * (n_types + 1))),
-                "score": lat.log10(words, logs.value)})
+                "base": np.log10((c + ALPHA) / (n_train + ALPHA * (word_types + (n_train > 0) + 1))),
+                "score": np.logaddexp(np.log(np.maximum(c - DISCOUNT, 1e-300) / max(n_train, 1)),
+                                      left + lat.log10(words, logs.value) * math.log(10)) / math.log(10)})
 
     return score
 
@@ -289,8 +295,8 @@ def scores(docs: DataFrame, vocabulary: str, held_out_of: int = 10) -> DataFrame
     training_docs = d.where("not held_out").count()
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count_if(F.col("c") > 0).alias("types")).first()
     n_train, n_types = total.c + training_docs, total.types + (training_docs > 0)
-    logs = piece_logs(words, training_docs, vocabulary)
-    scored = materialize(words.mapInArrow(_score_words(vocabulary, spark.sparkContext.broadcast(logs), n_train, n_types),
+    logs = piece_logs(words, vocabulary)
+    scored = materialize(words.mapInArrow(_score_words(vocabulary, spark.sparkContext.broadcast(logs), n_train, total.types),
                                           "word string, n long, key long, known int, base double, score double"),
                          "lm-scored")
     top = _heavy(scored)
@@ -298,7 +304,7 @@ def scores(docs: DataFrame, vocabulary: str, held_out_of: int = 10) -> DataFrame
                                           np.array([r.known for r in top], np.int64), np.array([r.base for r in top]),
                                           np.array([r.score for r in top])))
     end = (int(training_docs > 0), math.log10((training_docs + ALPHA) / (n_train + ALPHA * (n_types + 1))),
-           float(logs[-1]) / math.log(10))
+           math.log10(training_docs / n_train) if training_docs else 0.0)
     rows = d.mapInArrow(_score_docs(heavy, end), DOC)
     w = scored.select(F.col("key").alias("w_key"), F.col("known").alias("w_known"), F.col("base").alias("w_base"),
                       F.col("score").alias("w_score"))

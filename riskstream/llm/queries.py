@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskstream.llm import arrow_tokens, lattice, mixing, partenum, pieces, quality, secrets, sketch, warc
+from riskstream.llm import arrow_tokens, classifier, lattice, mixing, partenum, pieces, quality, secrets, sketch, warc
 from riskstream.llm.common import documents
 from riskstream.sources.tables import load_table
 
@@ -174,3 +174,8 @@ def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op2_lattice_likelihood")
 def op2_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.scores(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
+@_query("op9_random_indexing")
+def op9_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.quality(documents(spark, sf_dir), load_table(spark, sf_dir, "labels"))

@@ -18,11 +18,13 @@ allows, else in 32.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +35,12 @@ SEQUENCE = 2048
 BATCH_ROWS = 256
 FILE_ROWS = 4096
 MAGIC = b"ARROW1"
-CACHE = 500_000  # chunks remembered by a Python worker
+CACHE = 1_000_000  # chunks remembered by a Python worker
+SLICE_BYTES = 8 << 20  # of texts encoded at once, about
+JOINED = 64  # of them encoded as one text
+
+#: Two white-space characters in a row, in the widest sense.
+ODD = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]{2}"
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -46,69 +53,91 @@ class Encoder:
 
     def __init__(self, path: str):
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
-        self.odd = re.compile(r"\s\s").search
         self.dtype = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.line = self.lib.encode("\n", add_special_tokens=False).ids
+        self.marks = dict(zip(",.", self._encode([",", "."])))
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Like ``_encode``, but in one call: joined by line ends, which stay tokens of their own between chunks that
+        """Like ``_encode``, but many in one text: joined by line ends, which stay tokens of their own between chunks that
         neither hold nor end in white space and start with at most a space."""
-        rest = [c[1:] if c[:1] == " " else c for c in chunks]
-        if len(self.line) != 1 or not all(r and r.strip() == r and "\n" not in r for r in rest):
-            plain = [bool(r) and r.strip() == r and "\n" not in r for r in rest]
-            if len(self.line) != 1 or not any(plain):
-                return self._encode(chunks)
-            odd = iter(self._encode([c for c, ok in zip(chunks, plain) if not ok]))
-            even = iter(self._encode_chunks([c for c, ok in zip(chunks, plain) if ok]))
-            return [next(even) if ok else next(odd) for ok in plain]
-        ids = np.array(self.lib.encode_batch_fast(["\n".join(chunks)], add_special_tokens=False)[0].ids, self.dtype)
-        size, data = self.dtype.itemsize, ids.tobytes()
-        stops = (np.flatnonzero(ids == self.line[0]) * size).tolist() + [len(data)]
-        return [data[a:z] for a, z in zip([0, *(x + size for x in stops)], stops)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as bytes."""
+        if len(self.line) != 1:
+            return self._encode(chunks)
+        plain, rest, done = [], [], {}
+        for c in chunks:
+            s = c.strip()
+            (plain if s and "\n" not in s and (c == s or c == " " + s) else rest).append(c)
+        done.update(zip(rest, self._encode(rest)))
+        size, line = self.dtype.itemsize, self.line[0]
+        groups = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
+        for g, e in zip(groups, self.lib.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False)):
+            ids, start = e.ids, 0
+            data = array(self.code, ids).tobytes()
+            for c in g:
+                try:
+                    stop = ids.index(line, start)
+                except ValueError:
+                    stop = len(ids)
+                done[c] = data[start * size:stop * size]
+                start = stop + 1
+        return [done[c] for c in chunks]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has."""
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
-        known, chunks = self.known, []
-        for t in texts:
-            if "\x00" in t or self.odd(t):
-                chunks.append(None)
-            else:  # a space goes to the chunk after it
-                chunks.append(t.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00"))
-        found = [None if cs is None else list(map(known.get, cs)) for cs in chunks]
-        holes = [i for i, ids in enumerate(found) if ids is not None and None in ids]
-        self._learn(list({c for i in holes for c, ids in zip(chunks[i], found[i]) if ids is None}))
-        for i in holes:
-            found[i] = [known[c] if ids is None else ids for c, ids in zip(chunks[i], found[i])]
-        whole = [i for i, cs in enumerate(chunks) if cs is None]
-        done = dict(zip(whole, self._encode([texts[i] for i in whole])))
-        return [done[i] if ids is None else b"".join(ids) for i, ids in enumerate(found)]
+        odd = pc.or_(pc.match_substring_regex(texts, ODD), pc.match_substring(texts, "\x00"))
+        even = pc.if_else(odd, "", texts)
+        cut = pc.replace_substring(pc.replace_substring(even, "\n", "\x00\n\x00"), " ", "\x00 ")
+        chunks = pc.split_pattern(cut, "\x00")  # a space goes to the chunk after it
+        coded = chunks.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self._learn([c for c in words if c not in self.known])
+        own = [self.known[c] for c in words]
+        ids, lengths = self._gather(own, coded.indices.to_numpy())
+        stops = np.concatenate([[0], np.cumsum(lengths)])[chunks.offsets.to_numpy()]
+        lengths = np.diff(stops)
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(whole):
+            own = [ids[a:z].tobytes() for a, z in zip(stops, stops[1:])]
+            for i, x in zip(whole, self._encode([texts[int(i)].as_py() for i in whole])):
+                own[i] = x
+            ids, lengths = self._gather(own, np.arange(len(own)))
+        return ids, lengths
+
+    def _gather(self, parts: list[bytes], order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``parts`` in the given order, and how many each has."""
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
+        starts = np.cumsum(sizes) - sizes
+        lengths = sizes[order]
+        at = np.repeat(starts[order] - (np.cumsum(lengths) - lengths), lengths)
+        at += np.arange(len(at))
+        return np.frombuffer(b"".join(parts), self.dtype)[at], lengths
 
     def _learn(self, new: list[str]) -> None:
         """Put the ids of chunks into ``known``. A last comma or full stop after a letter is a token of its own."""
         known, older = self.known, self.older
-        known.update((c, older[c]) for c in new if c in older)
-        new = [c for c in new if c not in known]
-        ended = [c for c in new if c[-1:] in (",", ".") and "a" <= c[-2:-1].lower() <= "\u024f" and c[-2].isalpha()]
-        words = set(new).difference(ended).union(c[:-1] for c in ended)
-        words = [c for c in words if c not in known]
+        if older:
+            known.update((c, older[c]) for c in new if c in older)
+            new = [c for c in new if c not in known]
+        ended = [c for c in new if c[-1:] in self.marks and "a" <= c[-2:-1].lower() <= "\u024f" and c[-2].isalpha()]
+        words = set(new).difference(ended).union([c[:-1] for c in ended]).difference(known)
         if words:
+            words = list(words)
             known.update(zip(words, self._encode_chunks(words)))
-        marks = {m: x for m, x in zip(",.", self._encode([",", "."]))}
-        known.update((c, known[c[:-1]] + marks[c[-1]]) for c in ended)
+        for c in ended:
+            known[c] = known[c[:-1]] + self.marks[c[-1]]
 
 
 def encoder(path: str) -> Encoder:
@@ -124,13 +153,13 @@ def _schema(dtype: np.dtype, order: tuple[int, int]) -> pa.Schema:
                      metadata={"part": str(order[0]), "file": str(order[1])})
 
 
-def file_bytes(ids: np.ndarray, docs: list, lengths: list[int], order: tuple[int, int]) -> bytes:
+def file_bytes(ids: np.ndarray, docs: list, lengths: np.ndarray, order: tuple[int, int]) -> bytes:
     """An Arrow file of ``ids``, the ids of ``docs`` with the ``lengths`` one after the other."""
     rows = -(-len(ids) // SEQUENCE)
     padded = np.zeros(rows * SEQUENCE, ids.dtype)
     padded[:len(ids)] = ids
     mask = np.arange(rows * SEQUENCE) < len(ids)
-    stops = np.cumsum(np.array(lengths, np.int64))
+    stops = np.cumsum(lengths)
     schema = _schema(ids.dtype, order)
     per_row = np.searchsorted(stops, np.arange(rows + 1) * SEQUENCE, side="right")
     ends = pa.ListArray.from_arrays(pa.array(per_row, pa.int32()), pa.StructArray.from_arrays(
@@ -152,29 +181,35 @@ def sequence(file: pa.ipc.RecordBatchFileReader, i: int) -> tuple[np.ndarray, pa
 
 
 def _writer(path: str):
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part, file = encoder(path), TaskContext.get().partitionId(), 0
-        end = np.array([END_ID], enc.dtype).tobytes()
-        docs, held, size = [], [], 0
+        enc, task, file = encoder(path), TaskContext.get().partitionId(), 0
+        docs, held, counts, size = [], [], [], 0
 
         def flush():
-            return pd.DataFrame({"file": [file_bytes(np.frombuffer(b"".join(held), enc.dtype), docs,
-                                                     [len(x) // enc.dtype.itemsize for x in held], (part, file))
-                                          .removesuffix(MAGIC)]})
+            content = file_bytes(np.concatenate(held), docs, np.concatenate(counts), (task, file))
+            return pa.RecordBatch.from_pydict({"file": pa.array([content.removesuffix(MAGIC)], pa.binary())})
 
         for b in batches:
-            ids = list(b["doc_id"].astype(object).where(b["doc_id"].notna(), None))
-            texts = list(b["text"])
-            for i in range(0, len(texts), 256):
-                for d, x in zip(ids[i:i + 256], enc(texts[i:i + 256])):
-                    docs.append(None if d is None else int(d))
-                    held.append(x + end)
-                    size += len(held[-1])
-                    if size >= FILE_ROWS * SEQUENCE * enc.dtype.itemsize:
+            step = max(1, b.num_rows * SLICE_BYTES // (b.nbytes + 1))
+            for i in range(0, b.num_rows, step):
+                part = b.slice(i, step)
+                ids, lengths = enc(part.column("text"))
+                stops = np.cumsum(lengths)
+                ids, stops = np.insert(ids, stops, END_ID), stops + np.arange(1, len(stops) + 1)
+                names = part.column("doc_id").to_pylist()
+                first, at = 0, 0
+                for j, stop in enumerate(stops.tolist()):
+                    if size + stop - at >= FILE_ROWS * SEQUENCE or j + 1 == len(names):
+                        docs += names[first:j + 1]
+                        held.append(ids[at:stop])
+                        counts.append(np.diff(stops[first:j + 1], prepend=at))
+                        size += stop - at
+                        first, at = j + 1, stop
+                    if size >= FILE_ROWS * SEQUENCE:
                         yield flush()
-                        file, docs, held, size = file + 1, [], [], 0
+                        file, docs, held, counts, size = file + 1, [], [], [], 0
         if docs:
             yield flush()
 
@@ -187,8 +222,7 @@ def write_files(docs: DataFrame, path: str, vocabulary: str) -> None:
     d = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
          .repartitionByRange(2 * partitions(spark), F.col("doc_id").asc_nulls_first())
          .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text"))
-    # a null id would turn its whole column into doubles in pandas
-    (d.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_writer(vocabulary), "file binary")
+    (d.mapInArrow(_writer(vocabulary), "file binary")
      .select(F.col("file").cast("string")).write.option("lineSep", MAGIC.decode()).option("maxRecordsPerFile", 1)
      .text(path))
 

@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskstream.llm.common import materialize, ship_package
+from riskstream.llm.piecetable import SPACE, code_points, equal_lengths, piece_table
 
-SPACE = "▁"
 RANK_OFFSET = 10.0
 ROUNDS = 2
 PRIOR = 1000.0
@@ -41,57 +41,26 @@ DISCOUNT = 0.75
 HEAVY = 1 << 18
 WORDS = 400_000  # distinct words that a counting task holds
 ALPHA = 0.1
-CELLS = 1 << 21  # of the lattices computed at once
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _LATTICES: dict[str, Lattice] = {}
 
 
-def _poly(codes: np.ndarray) -> np.ndarray:
-    """Running polynomial hashes of each row, one more column than ``codes``."""
-    h = np.zeros((codes.shape[0], codes.shape[1] + 1), _U)
-    for i in range(codes.shape[1]):
-        h[:, i + 1] = h[:, i] * _BASE + codes[:, i] + _U(1)
-    return h
-
-
-def _codes(words: list[str]) -> np.ndarray:
-    """Code points of words of equal length, a row each."""
-    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1).astype(_U)
-
-
 class Lattice:
     """The pieces of a vocabulary file, numbered from 0; number ``size`` is the class of bytes."""
 
     def __init__(self, path: str):
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = sp.get_piece_size()
-        ids = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
-        pieces = [sp.id_to_piece(i) for i in ids]
-        self.size, self.max_len = len(pieces), max(map(len, pieces))
-        hashes = np.array([_poly(_codes([p]))[0, -1] for p in pieces], _U)
-        order = np.argsort(hashes)
-        self.hashes, self.numbers = hashes[order], order.astype(np.int32)
-        weight = np.array([1 / (RANK_OFFSET - sp.get_score(i)) for i in ids])
-        rare = np.sort(weight)[len(weight) // 100]
-        self.first = np.append(weight, rare)
+        self.table = piece_table(path)
+        self.size, self.max_len = self.table.size, self.table.max_len
+        weight = 1 / (RANK_OFFSET - self.table.scores)
+        self.first = np.append(weight, np.sort(weight)[len(weight) // 100])
         self.first /= self.first.sum()
-        self.powers = [_U(pow(int(_BASE), i, 1 << 64)) for i in range(self.max_len + 1)]
 
     def _edges(self, words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-        """For each length the piece numbers at each place, -1 where there is none; and the bytes of each character."""
-        codes = _codes([SPACE + w for w in words])
-        h, width = _poly(codes), codes.shape[1]
-        edges = []
-        for k in range(1, min(self.max_len, width) + 1):
-            part = h[:, k:] - h[:, :width + 1 - k] * self.powers[k]
-            at = np.minimum(np.searchsorted(self.hashes, part), self.size - 1)
-            edges.append(np.where(self.hashes[at] == part, self.numbers[at], -1))
-        sizes = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
-        return edges, sizes
+        """The pieces in words of equal length, and the bytes of each of their characters."""
+        codes = code_points([SPACE + w for w in words])
+        return self.table.edges(codes), 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
 
     def _weights(self, edges: list[np.ndarray], sizes: np.ndarray, logs: np.ndarray) -> list[np.ndarray]:
         padded = np.append(logs[:self.size], -np.inf)
@@ -112,21 +81,10 @@ class Lattice:
             a[j] = top + np.log(np.exp(t - top).sum(axis=0))
         return a
 
-    def batches(self, words: list[str]) -> Iterator[np.ndarray]:
-        """Numbers of words of equal length, a bounded batch at a time."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        order = np.argsort(lengths, kind="stable")
-        cuts = np.flatnonzero(np.diff(lengths[order])) + 1
-        for same in np.split(order, cuts):
-            if len(same):
-                step = max(1, CELLS // (self.max_len * (int(lengths[same[0]]) + 1)))
-                for i in range(0, len(same), step):
-                    yield same[i:i + step]
-
     def log10(self, words: list[str], logs: np.ndarray) -> np.ndarray:
         """Marginal log10 probability of each word."""
         out = np.empty(len(words))
-        for at in self.batches(words):
+        for at in equal_lengths(words, self.max_len):
             w = self._weights(*self._edges([words[i] for i in at]), logs)
             out[at] = self._sums(w, False)[-1]
         return out / math.log(10)
@@ -134,7 +92,7 @@ class Lattice:
     def expected(self, words: list[str], times: np.ndarray, logs: np.ndarray) -> np.ndarray:
         """How often each piece is expected in ``times`` copies of the words."""
         total = np.zeros(self.size + 1)
-        for at in self.batches(words):
+        for at in equal_lengths(words, self.max_len):
             edges, sizes = self._edges([words[i] for i in at])
             weights = self._weights(edges, sizes, logs)
             a, b = self._sums(weights, False), self._sums(weights, True)

@@ -16,18 +16,23 @@ becomes byte pieces. Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskstream.llm.common import ship_package
+from riskstream.llm.piecetable import SPACE, code_points, equal_lengths, gather, piece_table
 
-SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE = 400_000  # stretches remembered by a Python worker, of at most STRETCH characters
+SLICE_BYTES = 4 << 20  # of texts encoded at once, about
+CACHE = 500_000  # stretches remembered by a Python worker, of at most STRETCH characters
 STRETCH = 40
 
 _CODECS: dict[str, Codec] = {}
@@ -110,82 +115,111 @@ class Codec:
     """Encoder and decoder of one vocabulary file."""
 
     def __init__(self, path: str):
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = sp.get_piece_size()
-        special = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
-        self.ids = {sp.id_to_piece(i): i for i in range(n) if i not in special and not sp.is_byte(i)}
-        self.scores = {p: sp.get_score(i) for p, i in self.ids.items()}
-        self.byte_ids = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
-        self.max_len = max(map(len, self.ids))
+        t = self.table = piece_table(path)
+        self.ids = dict(zip(t.pieces, t.ids.tolist()))
+        self.scores = dict(zip(t.pieces, t.scores.tolist()))
         self.unknown = min(self.scores.values()) - UNKNOWN_PENALTY
         self.reach = dict.fromkeys(p[:i] for p in self.scores for i in range(1, len(p))) | self.scores
-        inside = {a + b for p in self.ids for a, b in zip(p, p[1:])}
+        inside = {a + b for p in t.pieces for a, b in zip(p, p[1:])}
         self.cut_lines = not any("\n" in x for x in inside)
         self.cut_words = not any(x[1] == SPACE and x[0] != SPACE for x in inside)
-        self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
-        self.bytes = [b""] * n
+        self.dtype = np.dtype("<u2" if t.vocabulary_size <= 1 << 16 else "<u4")
+        self.bytes = [b""] * t.vocabulary_size
         for p, i in self.ids.items():
             self.bytes[i] = p.replace(SPACE, " ").encode()
-        for b, i in self.byte_ids.items():
+        for b, i in t.byte_ids.items():
             self.bytes[i] = bytes([b])
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _ids(self, pieces: list[str]) -> list[int]:
+    def search(self, stretch: str) -> bytes:
+        """Ids of a stretch of any length."""
+        v = StreamingViterbi(self.reach, self.table.max_len, self.unknown)
         out = []
-        for p in pieces:
+        for p in [*v.feed(stretch), *v.finish()]:
             i = self.ids.get(p)
-            out += [i] if i is not None else [self.byte_ids[b] for b in p.encode()]
+            out += [i] if i is not None else [self.table.byte_ids[b] for b in p.encode()]
+        return np.array(out, self.dtype).tobytes()
+
+    def search_many(self, stretches: list[str]) -> list[bytes]:
+        """Ids of short stretches: those of equal length go through the search position by position together."""
+        out = [b""] * len(stretches)
+        scores = np.append(self.table.scores, -np.inf)
+        for at in equal_lengths(stretches, self.table.max_len):
+            if len(stretches[at[0]]) == 0:
+                continue
+            words = [stretches[i] for i in at]
+            edges = self.table.edges(code_points(words))
+            rows, width = edges[0].shape
+            best, back = np.zeros((width + 1, rows)), np.zeros((width + 1, rows), np.int64)
+            for end in range(1, width + 1):
+                reach = [k for k in range(min(self.table.max_len, end), 0, -1)]  # of equal scores the longest last piece
+                sums = np.stack([best[end - k] + scores[edges[k - 1][:, end - k]] for k in reach])
+                top = sums.argmax(axis=0)
+                best[end], back[end] = sums[top, np.arange(rows)], np.array(reach)[top]
+            strange = (edges[0] < 0).any(axis=1)  # a character without a piece
+            place, number, pieces = np.full(rows, width), np.arange(rows), np.zeros((rows, width), self.dtype)
+            first = np.full(rows, width)
+            while len(number):
+                k = back[place[number], number]
+                place[number] -= k
+                first[number] -= 1
+                for size in np.unique(k):
+                    mine = number[k == size]
+                    pieces[mine, first[mine]] = self.table.ids[edges[size - 1][mine, place[mine]]]
+                number = number[place[number] > 0]
+            for j, i in enumerate(at):
+                out[i] = self.search(words[j]) if strange[j] else pieces[j, first[j]:].tobytes()
         return out
 
-    def search(self, stretch: str) -> bytes:
-        v = StreamingViterbi(self.reach, self.max_len, self.unknown)
-        pieces = list(v.feed(stretch))
-        return np.array(self._ids(pieces + v.finish()), self.dtype).tobytes()
-
-    def _learn(self, stretch: str) -> bytes:
-        ids = self.older.get(stretch)
-        if ids is None:
-            ids = self.search(stretch)
-        if len(stretch) <= STRETCH:
-            self.known[stretch] = ids
-        return ids
+    def _learn(self, stretches: list[str]) -> list[bytes]:
+        """Ids of distinct stretches, of which the short ones are remembered."""
+        known, older = self.known, self.older
+        if older:
+            known.update((s, older[s]) for s in stretches if s in older)
+        short = [s for s in stretches if len(s) <= STRETCH and s not in known]
+        known.update(zip(short, self.search_many(short)))
+        return [known[s] if s in known else self.search(s) for s in stretches]
 
     def stretches(self, text: str, inner: bool = False) -> list[str]:
         """``text`` with the space that goes before it (if not ``inner``), cut where no piece crosses."""
-        t = text if inner else " " + text
-        if not self.cut_words or "\x00" in t:
-            return [t.replace(" ", SPACE)]
-        cut = t.replace(" ", "\x00" + SPACE)
-        if "  " in t:  # runs of spaces stay together
-            cut = cut.replace(SPACE + "\x00" + SPACE, SPACE + SPACE).replace(SPACE + "\x00" + SPACE, SPACE + SPACE)
-        if self.cut_lines:
-            cut = cut.replace("\n", "\x00\n\x00")
-        return cut.split("\x00")
+        t = (text if inner else " " + text).replace(" ", SPACE)
+        if not self.cut_words:
+            return [t]
+        parts = re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", t)
+        return [x for p in parts for x in (re.split("(\n)", p) if self.cut_lines else [p]) if x]
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
+        """The ids of one text, of any kind."""
+        sign = bytes(0).join(np.array([self.table.byte_ids[b]], self.dtype).tobytes() for b in SPACE.encode())
+        parts = text.split(SPACE) if text else []  # the sign for a space goes into byte pieces where the text has it
+        return np.frombuffer(sign.join(b"".join(self._learn(self.stretches(p, i > 0))) for i, p in enumerate(parts)),
+                             self.dtype)
+
+    def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has."""
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
-        if SPACE in text:  # the sign that stands for a space goes into byte pieces where the text itself has it
-            sign = np.array([self.byte_ids[b] for b in SPACE.encode()], self.dtype).tobytes()
-            ids = [sign.join(b"".join(self._encode(self.stretches(t, i > 0))) for i, t in enumerate(text.split(SPACE)))]
-        else:
-            ids = self._encode(self.stretches(text))
-        return np.frombuffer(b"".join(ids), self.dtype).astype(np.int32)
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        ids = list(map(self.known.get, parts))
-        if None in ids:
-            ids = [self._learn(p) if x is None else x for p, x in zip(parts, ids)]
-        return ids
-
-    def decode(self, ids) -> str:
-        out = b"".join(map(self.bytes.__getitem__, ids)).decode()
-        return out[1:]
+        odd = pc.match_substring_regex(texts, f"  |\\x00|{SPACE}|^$")
+        if not (self.cut_words and self.cut_lines):
+            odd = pc.or_(odd, True)
+        cut = pc.binary_join_element_wise(SPACE, pc.replace_substring(pc.replace_substring(
+            pc.if_else(odd, "", texts), "\n", "\x00\n\x00"), " ", "\x00" + SPACE), "")
+        stretches = pc.split_pattern(cut, "\x00")
+        coded = stretches.flatten().dictionary_encode()
+        ids, lengths = gather(self._learn(coded.dictionary.to_pylist()), coded.indices.to_numpy(), self.dtype)
+        stops = np.concatenate([[0], np.cumsum(lengths)])[stretches.offsets.to_numpy()]
+        lengths = np.diff(stops)
+        other = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(other):
+            own = [ids[a:z].tobytes() for a, z in zip(stops, stops[1:])]
+            for i in other:
+                own[i] = self.encode(texts[int(i)].as_py()).tobytes()
+            ids, lengths = gather(own, np.arange(len(own)), self.dtype)
+        return ids, lengths
+
+    def decode(self, ids: list[int]) -> str:
+        return b"".join(map(self.bytes.__getitem__, ids)).decode()[1:]
 
 
 def codec(path: str) -> Codec:
@@ -194,35 +228,69 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def encoded(text: Column, vocabulary: str) -> Column:
-    """The piece ids of ``text`` as an array."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        step = max(1, b.num_rows * SLICE_BYTES // (b.nbytes + 1))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
 
-    def each(texts: pd.Series) -> pd.Series:
+
+def _encoder(vocabulary: str):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
-        return pd.Series([c.encode(t or "") for t in texts], dtype=object)
+        for b in _slices(batches):
+            ids, lengths = c.encode_many(b.column("text"))
+            stops = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.ListArray.from_arrays(pa.array(stops), pa.array(ids.astype(np.int32)))],
+                names=["doc_id", "ids"])
 
-    return F.pandas_udf(each, "array<int>")(text)
+    return encode
 
 
-def decoded(ids: Column, vocabulary: str) -> Column:
-    def each(arrays: pd.Series) -> pd.Series:
+def _round_trip(vocabulary: str):
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
-        return pd.Series([c.decode(a.tolist()) if len(a) else "" for a in arrays], dtype=object)
-
-    return F.pandas_udf(each, "string")(ids)
+        for b in _slices(batches):
+            ids, lengths = c.encode_many(b.column("text"))
+            stops = np.concatenate([[0], np.cumsum(lengths)]).tolist()
+            words = ids.astype("<u4")
+            back = [c.decode(ids[a:z].tolist()) for a, z in zip(stops, stops[1:])]
+            texts = b.column("text").to_pylist()
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": b.column("doc_id"), "n_chars": pa.array(map(len, texts), pa.int64()),
+                "n_ids": pa.array(lengths, pa.int64()),
+                "ids_crc32": pa.array([zlib.crc32(words[a:z].tobytes()) for a, z in zip(stops, stops[1:])], pa.int64()),
+                "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()),
+                "exact": pa.array([x == t for x, t in zip(back, texts)], pa.bool_())})
+
+    return check
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    ship_package(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def with_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
+def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, ids) of each document."""
-    ship_package(docs.sparkSession)
-    return docs.select("doc_id", encoded(F.coalesce("text", F.lit("")), vocabulary).alias("ids"))
+    return _texts(docs).mapInArrow(_encoder(vocabulary), "doc_id long, ids array<int>")
+
+
+def decoded(pieces: DataFrame, vocabulary: str) -> DataFrame:
+    """(doc_id, text) of (doc_id, ids)."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(vocabulary)
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text": pa.array(
+                [c.decode(x) if x else "" for x in b.column("ids").to_pylist()], pa.string())})
+
+    ship_package(pieces.sparkSession)
+    return pieces.select("doc_id", "ids").mapInArrow(decode, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, n_chars, n_ids, ids_hash, decoded_sha256, exact): what encoding and decoding each document gives."""
-    ship_package(docs.sparkSession)
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d = d.withColumn("ids", encoded(F.col("text"), vocabulary)).withColumn("back", decoded(F.col("ids"), vocabulary))
-    return d.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.size("ids").cast("long").alias("n_ids"),
-                    F.xxhash64("ids").alias("ids_hash"), F.sha2("back", 256).alias("decoded_sha256"),
-                    (F.col("back") == F.col("text")).alias("exact"))
+    """(doc_id, n_chars, n_ids, ids_crc32, decoded_sha256, exact): what encoding and decoding each document gives."""
+    return _texts(docs).mapInArrow(_round_trip(vocabulary), "doc_id long, n_chars long, n_ids long, ids_crc32 long, "
+                                   "decoded_sha256 string, exact boolean")

@@ -1,10 +1,56 @@
-"""The corpus pipeline: quality rules, near duplicates, secrets, mixing and tokenizing over ``documents``."""
+"""The corpus pipeline: quality rules, near duplicates, secrets, mixing and tokenizing over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns a table with the columns of ``documents``, but for the last, which has
+(doc_id, ids). ``run`` writes what a stage returns to the shared folder and hands the written table to the next."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from riskstream.llm import mixing, partenum, pieces, quality, secrets
+from riskstream.llm.common import documents, materialize
+from riskstream.llm.queries import vocabulary
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the counts or lie outside their language's perplexity band go."""
+    return quality.kept(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of similar documents the one with the smallest id stays."""
+    return partenum.representatives(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts."""
+    return secrets.redacted(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are left out or doubled so that their sources meet their shares."""
+    return mixing.mixed_documents(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids) of each document of the mix."""
+    return pieces.encoded(docs, vocabulary("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secret_scans),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding", encode_pieces),
+]
+
+#: The perplexity model, the signatures and the piece search are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.split()[0].lower()}")
+    return docs

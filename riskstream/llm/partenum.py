@@ -92,7 +92,7 @@ def _slices(b: pa.RecordBatch, size: int = 256) -> Iterator[pa.RecordBatch]:
         yield b.slice(i, size)
 
 
-READ = "row_key long, doc_id long, n long, set long, shingle long, times long"
+READ = "row_key long, text_key long, doc_id long, n long, set long, shingle long, times long"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +113,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in _slices(batch):
             sets = shingle_sets(b.column("text").to_pylist())
-            yield rows(row_key=b.column("row_key"), doc_id=b.column("doc_id"), n=[len(s) for s in sets], set=[set_id(s) for s in sets])
+            yield rows(row_key=b.column("row_key"), text_key=b.column("text_key"), doc_id=b.column("doc_id"), n=[len(s) for s in sets], set=[set_id(s) for s in sets])
             held += sets
             size += sum(map(len, sets))
             if size >= WINDOW:
@@ -293,18 +293,25 @@ def _candidates(rows: DataFrame, sets: DataFrame, percent: int, last: bool) -> t
     return links, stuck
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with row_key, the id or if it is null a hash of the text; text_key; and pe_text, the text or empty."""
+    return (docs.withColumn("pe_text", F.coalesce("text", F.lit(""))).withColumn("text_key", F.xxhash64("pe_text"))
+            .withColumn("row_key", F.coalesce(F.col("doc_id").cast("long"), "text_key")))
+
+
 def similar(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(row_key, doc_id, n, set) of each document, its key, id, size and set, and the links (a, b) between sets that join its similar sets."""
+    """(row_key, text_key, doc_id, n, set) of each document, and the links (a, b) that join the similar sets."""
     spark = docs.sparkSession
     ship_package(spark)
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn(
-        "row_key", F.coalesce("doc_id", F.xxhash64("text")))
-    read = materialize(d.select("row_key", "doc_id", "text").mapInArrow(_read, READ), "pe-read")
+    d = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    read = materialize(d.select("row_key", "text_key", "doc_id", "pe_text").withColumnRenamed("pe_text", "text")
+                       .mapInArrow(_read, READ), "pe-read")
+    d = d.select("row_key", F.col("pe_text").alias("text"))
     often = (read.where("times is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
              .orderBy(F.desc("times"), "shingle").limit(FREQUENT_MAX).select("shingle").toPandas())
     frequent = spark.sparkContext.broadcast(np.sort(often["shingle"].to_numpy(np.int64).astype(_U)))
     rows = _shared_rows(d.select("text").mapInArrow(_sign_texts(frequent, percent), SIGNED), "pe-rows")
-    own = read.where("set is not null").select("row_key", "doc_id", "n", "set")
+    own = read.where("set is not null").select("row_key", "text_key", "doc_id", "n", "set")
     wanted = materialize(own.join(rows.select("set").distinct(), "set").groupBy("set")
                          .agg(F.min("row_key").alias("row_key")), "pe-wanted")
     sets = materialize(d.join(wanted, "row_key").select("set", "text").mapInArrow(_items, ITEMS)
@@ -324,15 +331,38 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
     return own, reduce(DataFrame.unionByName, found)
 
 
+def _grouped(own: DataFrame, links: DataFrame) -> DataFrame:
+    """(s, comp): the component of each set that is not empty."""
+    label = components(links, "a", "b")
+    sets = own.where("n > 0").select(F.col("set").alias("s")).distinct()
+    return materialize(sets.join(label, sets["s"] == label["node"], "left")
+                       .select("s", F.coalesce("label", "s").alias("comp")), "pe-grouped")
+
+
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document."""
     own, links = similar(docs, percent)
-    label = components(links, "a", "b")
-    least = own.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("least"))
-    named = materialize(least.join(label, least["set"] == label["node"], "left").select(
-        "set", "least", F.coalesce("label", "set").alias("comp")), "pe-named")
-    multi = named.groupBy("comp").agg(F.min("least").alias("component"))
-    by_set = materialize(named.join(multi, "comp").select(F.col("set").alias("s"), "component"), "pe-component")
-    return own.join(by_set, (F.col("set") == F.col("s")) & (F.col("n") > 0), "left").select(
+    group = _grouped(own, links)
+    in_set = (F.col("set") == F.col("s")) & (F.col("n") > 0)
+    least = own.groupBy("set", "n").agg(F.min("doc_id").alias("least")).join(group, in_set)
+    named = group.join(least.groupBy("comp").agg(F.min("least").alias("component")), "comp").select("s", "component")
+    return own.join(materialize(named, "pe-named"), in_set, "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row of ``docs`` for each component, that with the smallest id, and all rows without shingles."""
+    own, links = similar(docs, percent)
+    placed = own.join(_grouped(own, links), (F.col("set") == F.col("s")) & (F.col("n") > 0))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "row_key", "text_key")
+    top = placed.groupBy("comp").agg(F.min(order).alias("top"))
+    rows = (placed.groupBy("comp", "row_key", "text_key").agg(F.count("*").alias("times")).join(top, "comp")
+            .withColumn("stays", (F.col("row_key") == F.col("top.row_key")) & (F.col("text_key") == F.col("top.text_key"))))
+    rows = materialize(rows.where("not stays or times > 1").select("row_key", "text_key", "stays"), "pe-others")
+    keys, d = ["row_key", "text_key"], keyed(docs)
+    out = d.join(rows.select(keys), keys, "left_anti")
+    again = rows.where("stays")  # repeated rows, of which one stays
+    if not again.isEmpty():
+        out = out.unionByName(d.join(again.select(keys), keys, "left_semi").dropDuplicates(keys))
+    return out.select(*docs.columns)

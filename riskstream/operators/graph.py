@@ -2,7 +2,7 @@
 
 Vertices are (type, id) for users, devices and IPs; edges are the user-device, user-ip and device-ip
 pairs of each transaction. Nothing is held in driver memory: rings come from a two-stage aggregate,
-the best ring per user from a ``min_by`` aggregate (partial aggregation, no per-user sort), and
+the best ring per user from a ``min`` over an ordering struct (partial aggregation, no window), and
 connected components from iterative large-star / small-star rounds with reliable checkpoints.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskstream.config import EngineConfig
-from riskstream.session import materialize
+from riskstream.session import discard, materialize
 
 TYPE_RANK = {"user": 0, "device": 1, "ip": 2}
 
@@ -118,35 +118,27 @@ def ring_members(tx: DataFrame, cfg: EngineConfig, pairs: DataFrame | None = Non
     return m
 
 
-def ring_order_key(n_users: Column, first_seen: Column, resource_type: Column) -> Column:
-    """One long that orders rings as the reference's lookup does: higher risk first (risk =
-    min(users / 10, 1), so the level is min(users, 10)), then the ring created first, device before
-    IP. Bits: 3 for the risk level, 51 for the creation sequence, 1 for the type."""
-    level = F.lit(10) - F.least(n_users, F.lit(10))
-    rank = F.when(resource_type == "device", F.lit(0)).otherwise(F.lit(1))
-    return F.shiftleft(level.cast("bigint"), 52) + F.shiftleft(first_seen.cast("bigint"), 1) + rank.cast("bigint")
-
-
 def user_best_ring(tx: DataFrame, cfg: EngineConfig, pairs: DataFrame | None = None) -> DataFrame:
-    """The highest-risk ring of each member; ties go to the ring created first (device before
-    IP within one transaction), as in the reference's node order.
+    """The highest-risk ring of each member, one row per user. Risk is min(users / 10, 1), so the level is
+    min(users, 10); ties go to the ring created first, device before IP, then to the smaller resource id, which decides
+    where two rings were first used at the same time.
 
-    Per user a ``min`` over the packed :func:`ring_order_key` (a long: hash aggregation with partial
-    aggregation, no per-user sort); the key identifies the ring, whose details are joined back from
-    the ring table (one row per ring)."""
+    The ring's columns ride along in the aggregated struct: one join of the pairs with their rings, one aggregate."""
     # the pair table feeds both the ring aggregate and the membership join: written once to the
     # shared folder instead of scanning and shuffling the transactions twice
     p = pairs if pairs is not None else materialize(resource_users(tx), "resource-users")
-    rings = fraud_rings(tx, cfg, p).withColumn(
-        "_key", ring_order_key(F.col("n_users"), F.col("first_seen"), F.col("shared_resource_type")))
-    m = p.select("resource_type", "resource_id", "user_id").join(
-        rings.select(F.col("shared_resource_type").alias("resource_type"),
-                     F.col("shared_resource_id").alias("resource_id"), "_key"), ["resource_type", "resource_id"])
-    best = m.groupBy("user_id").agg(F.min("_key").alias("_key"))
-    r = rings.select("_key", "ring_id", F.col("shared_resource_type").alias("ring_type"),
-                     F.col("shared_resource_id").alias("ring_resource"), F.col("n_users").alias("ring_users"),
-                     F.col("risk_score").alias("ring_risk"))
-    return best.join(r, "_key").select("user_id", "ring_id", "ring_type", "ring_resource", "ring_users", "ring_risk")
+    rings = fraud_rings(tx, cfg, p).select(
+        F.col("shared_resource_type").alias("resource_type"), F.col("shared_resource_id").alias("resource_id"),
+        "ring_id", "n_users", "risk_score", "first_seen")
+    m = p.select("resource_type", "resource_id", "user_id").join(rings, ["resource_type", "resource_id"])
+    order = F.struct(
+        (-F.least("n_users", F.lit(10))).alias("level"), "first_seen",
+        F.when(F.col("resource_type") == "device", 0).otherwise(1).alias("rank"), "resource_id",
+        "ring_id", "resource_type", "n_users", "risk_score")
+    best = m.groupBy("user_id").agg(F.min(order).alias("r"))
+    return best.select("user_id", "r.ring_id", F.col("r.resource_type").alias("ring_type"),
+                       F.col("r.resource_id").alias("ring_resource"), F.col("r.n_users").alias("ring_users"),
+                       F.col("r.risk_score").alias("ring_risk"))
 
 
 def resource_amounts(tx: DataFrame) -> DataFrame:
@@ -157,20 +149,19 @@ def resource_amounts(tx: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- connected components
 
-def _node(t: str, c: str) -> Column:
-    return F.concat(F.lit(t + ":"), F.col(c))
+def node_id(kind: Column, name: Column) -> Column:
+    """A vertex as a long, so that the rounds move and compare fixed-width values."""
+    return F.when(name.isNotNull(), F.xxhash64(kind, name))
 
 
 def _undirected(tx: DataFrame) -> DataFrame:
-    e = tx.select(
-        F.explode(F.array(
-            F.array(_node("U", "user_id"), _node("D", "device_id")),
-            F.array(_node("U", "user_id"), _node("I", "ip_address")),
-            F.array(_node("D", "device_id"), _node("I", "ip_address")),
-        )).alias("p"))
-    e = e.where(F.col("p")[0].isNotNull() & F.col("p")[1].isNotNull())
-    return e.select(F.least(F.col("p")[0], F.col("p")[1]).alias("u"),
-                    F.greatest(F.col("p")[0], F.col("p")[1]).alias("v")).where("u <> v").distinct()
+    u, d, i = (node_id(F.lit(t), F.col(c)) for t, c in (("user", "user_id"), ("device", "device_id"), ("ip", "ip_address")))
+    e = tx.select(u.alias("a"), d.alias("b"), i.alias("c")).select(
+        F.inline(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")),
+                         F.struct(F.col("a").alias("x"), F.col("c").alias("y")),
+                         F.struct(F.col("b").alias("x"), F.col("c").alias("y")))))
+    return (e.where("x is not null and y is not null and x <> y")
+            .select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -200,15 +191,20 @@ def _is_star_forest(e: DataFrame) -> bool:
     return bad.isEmpty()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64, pre_materialized: bool = False) -> DataFrame:
+def connected_components(edges: DataFrame, pre_materialized: bool = False) -> DataFrame:
     """Label every node that has an edge with the smallest node of its component.
 
-    ``edges`` has string columns u < v. Alternating large-star / small-star (Kiveris et al., 2014)
-    converges in O(log^2 n) rounds; each round is written to the shared checkpoint folder
-    (:func:`materialize`) so lineage and recovery cost stay flat. Returns (node, label)."""
+    ``edges`` has columns u < v. Alternating large-star / small-star (Kiveris et al., 2014) converges in O(log^2 n)
+    rounds and is run until it has converged; each round is written to the shared checkpoint folder
+    (:func:`materialize`) so lineage and recovery cost stay flat, and the round before it is removed.
+    Returns (node, label)."""
     e = edges if pre_materialized else materialize(edges, "cc-edges")
-    for i in range(max_rounds):
-        e = materialize(_small_star(_large_star(e)), f"cc-round{i}")
+    first = e
+    while True:
+        after = materialize(_small_star(_large_star(e)), "cc-round")
+        if e is not first:
+            discard(e)
+        e = after
         if _is_star_forest(e):
             break
     # converged: every edge is (root, node)
@@ -224,14 +220,11 @@ def network_stats(tx: DataFrame) -> DataFrame:
     come from :func:`connected_components`; vertices without any edge (a user whose device and IP are
     both missing) are their own components, so nodes are left-joined to labels and counted in one
     aggregate."""
-    spark = tx.sparkSession
     edges = materialize(_undirected(tx), "cc-edges")
-    edge_count = edges.count()
     comps = connected_components(edges, pre_materialized=True)
-    verts = graph_vertices(tx).select(
-        F.concat(F.upper(F.substring("type", 1, 1)), F.lit(":"), F.col("id")).alias("node"))
-    stats = verts.join(comps, "node", "left").agg(
+    verts = graph_vertices(tx).select(node_id(F.col("type"), F.col("id")).alias("node"))
+    nodes = verts.join(comps, "node", "left").agg(
         F.count(F.lit(1)).alias("node_count"),
-        F.countDistinct(F.coalesce("label", "node")).alias("components")).first()
-    return spark.createDataFrame([(stats["node_count"], edge_count, stats["components"])],
-                                 "node_count bigint, edge_count bigint, components bigint")
+        F.countDistinct(F.coalesce("label", "node")).alias("components"))
+    return nodes.join(F.broadcast(edges.agg(F.count(F.lit(1)).alias("edge_count")))).select(  # one row each
+        "node_count", "edge_count", "components")

@@ -1,12 +1,12 @@
 """Isolation forest on Spark (K1-K6), after Liu, Ting and Zhou (2008).
 
-Fit: every tree draws its own subsample of at most ``max_samples`` rows without replacement: the rows
-with the smallest hash(seed, tree, row key). A Bernoulli pre-filter keeps about 4 x max_samples
+Fit: every tree draws its own subsample of min(``max_samples``, rows) rows without replacement: the rows
+with the smallest hash(seed, tree, row key) of a common pool. A hash filter keeps about 4 x max_samples
 candidates per tree, so the per-tree window and the per-tree ``applyInPandas`` group hold a bounded
 number of rows whatever the table size. Each group grows one tree with numpy and returns its nodes.
 
 Score: the node table is bounded by n_trees x (2 x max_samples - 1) rows, so it is shipped to the
-tasks once; ``mapInPandas`` walks all trees for an Arrow batch at a time (vectorised over rows).
+tasks once; a pandas UDF over the four features walks all trees for an Arrow batch at a time (vectorised over rows).
 The anomaly threshold is the ``contamination`` quantile of the training scores (percentile_approx).
 """
 
@@ -104,8 +104,13 @@ def _build_tree_fn(seed: int, max_depth: int):
     return build
 
 
-def _hash_frac(seed: int, tree: Column, key: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), tree, key), F.lit(1 << 31)).cast("double") / F.lit(float(1 << 31))
+def _hash63(seed: int, tree: Column, key: Column) -> Column:
+    return F.xxhash64(F.lit(seed), tree, key).bitwiseAND(F.lit((1 << 63) - 1))
+
+
+def _below(share: float) -> Column:
+    """The 63-bit hash below which about ``share`` of all rows lie."""
+    return F.lit((1 << 63) - 1 if share >= 1 else int(share * (1 << 63)))
 
 
 def dense_nodes(nodes: pd.DataFrame) -> tuple:
@@ -187,21 +192,16 @@ class Forest:
         return self._bc[app]
 
     def _map(self, feats: DataFrame, column: str, kind: str) -> DataFrame:
+        """Add ``column``; only the four feature doubles go through Python."""
         ship_package(feats.sparkSession)
         bc = self.broadcast(feats.sparkSession)
-        schema = T.StructType(feats.schema.fields + [T.StructField(column, T.DoubleType())])
 
-        def run(batches):
+        def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
             dense, psi, offset = bc.value
-            for pdf in batches:
-                x = pdf[FEATURES].to_numpy(dtype=float)
-                if kind == "ml":
-                    pdf[column] = ml_score_np(dense, psi, offset, x) if len(pdf) else np.zeros(0)
-                else:
-                    pdf[column] = score_samples_np(dense, psi, x) if len(pdf) else np.zeros(0)
-                yield pdf
+            x = np.column_stack([a, b, c, d]).astype(float)
+            return pd.Series(ml_score_np(dense, psi, offset, x) if kind == "ml" else score_samples_np(dense, psi, x))
 
-        return feats.mapInPandas(run, schema)
+        return feats.withColumn(column, F.pandas_udf(run, "double")(*FEATURES))
 
     def scorer(self, column: str = "ml_score"):
         """A DataFrame -> DataFrame function adding ``column`` (for :func:`score_alerts`)."""
@@ -230,32 +230,34 @@ class Forest:
 
 
 def tree_samples(feats: DataFrame, key: str, cfg: EngineConfig, n: int) -> DataFrame:
-    """Per-tree subsamples of at most ``psi`` rows, deterministic for the seed.
-
-    Large training sets (n >= 4 x trees x psi, the normal case at scale): one hash per row both
-    pre-filters (about 4 x psi candidates per tree survive) and assigns the row to a single tree, so
-    the subsamples are disjoint — indistinguishable from independent draws when n >> trees x psi —
-    and each row costs one codegen'd hash. Small sets: every tree draws its own ``psi`` rows with the
-    smallest hash(seed, tree, key), so subsamples overlap as they must. Either way each tree's window
-    holds about 4 x psi rows."""
+    """Per-tree subsamples of min(psi, n) rows without replacement, deterministic for the seed.
+
+    One rule at every size: a pool of about 8 x trees x psi rows, those with the smallest hash of their key, or all rows
+    if there are fewer; from it every tree draws the psi rows with the smallest hash(seed, tree, key). Before the
+    per-tree window only about 4 x psi candidates a tree remain, so a row outside the pool costs one hash."""
     psi = min(cfg.max_samples, n)
     k = F.col(key).cast("string")
-    if n >= 4 * cfg.n_trees * psi:
-        per_tree = 4.0 * psi / n  # hash-fraction width of one tree's candidate slice
-        u = _hash_frac(cfg.seed, F.lit(-1), k)
-        cand = feats.where(u < F.lit(per_tree * cfg.n_trees)).select(
-            key, *FEATURES, F.floor(u / F.lit(per_tree)).cast("int").alias("tree"))
-        cand = cand.where(F.col("tree") < cfg.n_trees)
-    else:
-        p = min(1.0, 4.0 * psi / max(n, 1))
-        trees = F.sequence(F.lit(0), F.lit(cfg.n_trees - 1))
-        cand = feats.select(key, *FEATURES, F.explode(F.filter(trees, lambda t: _hash_frac(cfg.seed, t, k) < F.lit(p)))
-                            .alias("tree"))
-    cand = cand.withColumn("_h", F.xxhash64(F.lit(cfg.seed), F.col("tree"), k))
+    pool = min(1.0, 8.0 * cfg.n_trees * psi / max(n, 1))
+    share = min(1.0, 4.0 * psi / max(pool * n, 1))
+    trees = F.sequence(F.lit(0), F.lit(cfg.n_trees - 1))
+    cand = (feats.where(_hash63(cfg.seed, F.lit(-1), k) <= _below(pool)).select(
+        key, *FEATURES, F.explode(F.filter(trees, lambda t: _hash63(cfg.seed, t, k) <= _below(share))).alias("tree"))
+        .withColumn("_h", _hash63(cfg.seed, F.col("tree"), k)))
     w = Window.partitionBy("tree").orderBy("_h", key)
     return cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= psi).drop("_rn")
 
 
+def _trees(feats: DataFrame, cfg: EngineConfig, key: str, n: int) -> DataFrame:
+    depth = int(math.ceil(math.log2(max(min(cfg.max_samples, n), 2))))
+    return tree_samples(feats, key, cfg, n).groupBy("tree").applyInPandas(_build_tree_fn(cfg.seed, depth), NODE_SCHEMA)
+
+
+def model_version(nodes: pd.DataFrame) -> str:
+    """An id of the node table itself: equal forests, and only those, share it."""
+    ordered = nodes.sort_values(["tree", "node"])[[f.name for f in NODE_SCHEMA]]
+    return "if-" + hashlib.md5(pd.util.hash_pandas_object(ordered, index=False).to_numpy().tobytes()).hexdigest()[:12]
+
+
 def fit(alerts: DataFrame, cfg: EngineConfig, key: str) -> Forest | None:
     """K2/K6: fit on the alerts (one row per ``key``); None below ``min_training_samples``."""
     ship_package(alerts.sparkSession)
@@ -265,11 +267,8 @@ def fit(alerts: DataFrame, cfg: EngineConfig, key: str) -> Forest | None:
     if n < cfg.min_training_samples:
         return None
     psi = min(cfg.max_samples, n)
-    max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    samples = tree_samples(feats, key, cfg, n)
-    nodes_df = samples.groupBy("tree").applyInPandas(_build_tree_fn(cfg.seed, max_depth), NODE_SCHEMA)
-    nodes = nodes_df.toPandas()  # bounded: n_trees x (2 psi - 1) rows
-    version = "if-" + hashlib.md5(f"{cfg.seed}:{n}:{cfg.n_trees}:{psi}".encode()).hexdigest()[:8]
+    nodes = _trees(feats, cfg, key, n).toPandas()  # bounded: n_trees x (2 psi - 1) rows
+    version = model_version(nodes)
     forest = Forest(nodes=nodes, psi=psi, offset=0.0, version=version, n_trees=cfg.n_trees)
     scored = forest.score_column_df(feats)
     offset = scored.agg(F.percentile_approx("score_sample", F.lit(cfg.contamination), F.lit(100000))).first()[0]
@@ -279,14 +278,13 @@ def fit(alerts: DataFrame, cfg: EngineConfig, key: str) -> Forest | None:
 
 
 def fit_nodes(alerts: DataFrame, cfg: EngineConfig, key: str) -> DataFrame:
-    """The fitted node table as a DataFrame (what K2 persists)."""
+    """The fitted node table as a DataFrame (what K2 persists); no rows below ``min_training_samples`` (K6)."""
     ship_package(alerts.sparkSession)
     feats = materialize(alert_features(alerts).select(key, *FEATURES), "iforest-train")
     n = feats.count()
-    psi = min(cfg.max_samples, n)
-    max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    return tree_samples(feats, key, cfg, n).groupBy("tree").applyInPandas(_build_tree_fn(cfg.seed, max_depth),
-                                                                            NODE_SCHEMA)
+    if n < cfg.min_training_samples:
+        return alerts.sparkSession.createDataFrame([], NODE_SCHEMA)
+    return _trees(feats, cfg, key, n)
 
 
 def should_retrain(n_samples: int, since_retrain: int, trained: bool, cfg: EngineConfig) -> bool:

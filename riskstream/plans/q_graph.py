@@ -50,6 +50,12 @@ def q_user_best_ring(spark, sf):
     return graph.user_best_ring(fx.fx_transactions(spark, sf), CFG)
 
 
+@query("user_best_ring_by_time", with_fx("SELECT * FROM best", "fx_transactions", extra=ring_ctes(order="event_time")))
+def q_user_best_ring_by_time(spark, sf):
+    """The same without an arrival sequence, as real sources have none: rings are ordered by event time."""
+    return graph.user_best_ring(fx.fx_transactions(spark, sf).drop("ingest_seq"), CFG)
+
+
 @query("resource_amounts", with_fx("""
 SELECT resource_type, resource_id, CAST(SUM(amount) AS DOUBLE) AS total_amount FROM pairs
 GROUP BY resource_type, resource_id""", "fx_transactions", extra=ring_ctes()))

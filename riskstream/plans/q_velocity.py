@@ -160,17 +160,18 @@ def q_risk_scores(spark, sf):
 
 # ----------------------------------------------------------------- full scoring (rules + blacklist + rings)
 
-def ring_ctes(cfg=CFG) -> list[tuple[str, str]]:
-    """Shared-resource rings in SQL, as (name, body) CTEs: res -> pairs -> rings -> best."""
+def ring_ctes(cfg=CFG, order: str = "event_id") -> list[tuple[str, str]]:
+    """Shared-resource rings in SQL, as (name, body) CTEs: res -> pairs -> rings -> best; ``order`` is what tells which
+    ring was there first."""
     return [
-        ("res", """
-  SELECT 'device' AS resource_type, device_id AS resource_id, user_id, amount, event_id
+        ("res", f"""
+  SELECT 'device' AS resource_type, device_id AS resource_id, user_id, amount, {order} AS seq
   FROM fx_transactions WHERE device_id IS NOT NULL AND user_id IS NOT NULL
   UNION ALL
-  SELECT 'ip', ip_address, user_id, amount, event_id
+  SELECT 'ip', ip_address, user_id, amount, {order}
   FROM fx_transactions WHERE ip_address IS NOT NULL AND user_id IS NOT NULL"""),
         ("pairs", """
-  SELECT resource_type, resource_id, user_id, min(event_id) AS first_use,
+  SELECT resource_type, resource_id, user_id, min(seq) AS first_use,
          SUM(CAST(amount AS DECIMAL(12,2))) AS amount
   FROM res GROUP BY resource_type, resource_id, user_id"""),
         ("rings", f"""
@@ -182,7 +183,7 @@ def ring_ctes(cfg=CFG) -> list[tuple[str, str]]:
   SELECT user_id, ring_id, resource_type AS ring_type, resource_id AS ring_resource, n_users AS ring_users,
          risk_score AS ring_risk
   FROM (SELECT p.user_id, r.*, row_number() OVER (PARTITION BY p.user_id ORDER BY r.risk_score DESC, r.first_seen,
-               CASE r.resource_type WHEN 'device' THEN 0 ELSE 1 END) AS rn
+               CASE r.resource_type WHEN 'device' THEN 0 ELSE 1 END, r.resource_id) AS rn
         FROM pairs p JOIN rings r USING (resource_type, resource_id)) x
   WHERE rn = 1"""),
     ]

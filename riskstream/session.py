@@ -34,7 +34,8 @@ def build_session(master: str | None = None, app: str = "riskstream", **conf) ->
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only when the session names none (local tests) a private folder is created.
+    Only in local mode, where driver and executors are one machine, a private folder is created when the session
+    names none; on a cluster executors would write to disks of their own, so that raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -42,6 +43,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="riskstream-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -56,7 +59,16 @@ def materialize(df, name: str):
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.materialized_path = path
+    return out
+
+
+def discard(df) -> None:
+    """Delete the files of a :func:`materialize` result that no later query reads."""
+    spark = df.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.materialized_path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 _SHIPPED: set[str] = set()
@@ -87,24 +99,24 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def cluster_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20) -> dict:
+def cluster_conf(input_bytes: int, total_cores: int, shuffled_share: float = 0.2,
+                 partition_bytes: int = 1 << 30, split_bytes: int = 256 << 20) -> dict:
     """Settings sized for a job over ``input_bytes`` on ``total_cores`` executor cores.
 
-    Shuffle partitions start at input / ``partition_bytes`` (at least 2 x cores) and AQE coalesces
-    them down to the advisory size at run time, so a wide stage never holds more than about
-    ``partition_bytes`` per task (spill stays bounded); file splits use the same size; skew handling
-    splits any partition more than 5 x the median and over 1 GiB. For 100 TB on 8000 cores this
-    gives ~400k initial partitions, coalesced by AQE to what each stage really shuffles."""
-    parts = max(2 * total_cores, -(-input_bytes // partition_bytes))
+    Shuffle partitions follow the bytes that reach a shuffle after map-side aggregation (``shuffled_share`` of the
+    input), about ``partition_bytes`` each and at least 2 x cores; AQE coalesces smaller stages. The driver keeps an
+    entry per map task and shuffle partition, so the count stays in the tens of thousands at 100 TB (20,000 partitions
+    for 8000 cores), not one per input split; skew handling splits any partition over 5 x the median and 2 GiB."""
+    parts = max(2 * total_cores, -(-int(input_bytes * shuffled_share) // partition_bytes))
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
-        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(split_bytes),
+        "spark.sql.files.maxPartitionBytes": str(split_bytes),
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1 << 30),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 << 30),
         "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
     }
 

@@ -90,3 +90,38 @@ def test_hot_device_rings_and_components(transactions):
     assert all(best[u]["ring_risk"] == 1.0 for u in hot_users)
     got = graph.network_stats(tx).first()
     assert got["components"] == _brute_components([(r["user_id"], r["device_id"], r["ip_address"]) for r in rows])
+
+
+def test_equal_first_times_give_one_ring_per_user(transactions):
+    """Without an arrival sequence, rings first used at the same time must not mix their members."""
+    import datetime as dt
+
+    t0 = dt.datetime(2026, 1, 15, 10, 30)
+    tx = transactions([{"user_id": f"User_{d}{i}", "device_id": f"Dev_{d}", "ip_address": f"10.0.{d}.{i}", "event_time": t0}
+                       for d in (1, 2) for i in range(3)])
+    assert "ingest_seq" not in tx.columns
+    best = graph.user_best_ring(tx, REFERENCE).collect()
+    assert {r["user_id"]: r["ring_resource"] for r in best} == {f"User_{d}{i}": f"Dev_{d}" for d in (1, 2) for i in range(3)}
+    assert len(best) == 6
+    # a user in both rings gets the one with the smaller id, and scoring keeps one row per alert
+    both = tx.unionByName(transactions([{"user_id": "User_10", "device_id": "Dev_2", "ip_address": "10.0.9.9", "event_time": t0}]))
+    mine = [r for r in graph.user_best_ring(both, REFERENCE).collect() if r["user_id"] == "User_10"]
+    assert [r["ring_resource"] for r in mine] == ["Dev_2"]  # four users there, three at Dev_1
+
+
+def test_scored_alerts_keep_one_row_each(spark):
+    from riskstream.config import DAILY
+    from riskstream.operators import scoring, velocity
+
+    tx = fx.fx_transactions(spark, SF_SMALL).drop("ingest_seq")
+    alerts = velocity.velocity_alerts(tx, DAILY)
+    blocked = spark.createDataFrame([], "value string")
+    got = scoring.score_alerts(alerts, DAILY, blacklist=blocked, user_rings=graph.user_best_ring(tx, DAILY))
+    assert got.count() == alerts.count() > 0
+
+
+def test_components_of_a_long_path(spark):
+    """One component, however many rounds it takes."""
+    edges = spark.range(201).selectExpr("id as u", "id + 1 as v")
+    labels = graph.connected_components(edges).collect()
+    assert len(labels) == 202 and {r["label"] for r in labels} == {0}

@@ -1,6 +1,8 @@
 """Isolation forest: planted outliers are found, fits are deterministic, small inputs are refused."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from riskstream.config import REFERENCE
 from riskstream.operators import iforest
@@ -52,19 +54,36 @@ def test_avg_path():
     assert iforest.avg_path(np.array([1, 2]))[0] == 0 and iforest.avg_path(np.array([2]))[0] == 1
 
 
-def test_large_set_disjoint_sampling(spark):
-    """n >= 4 x trees x psi: one hash per row, disjoint per-tree subsamples of exactly psi rows."""
+@pytest.mark.parametrize("n", [10, 16, 300, 1279, 1281, 5000])
+def test_one_sampling_rule_at_every_size(spark, n):
+    """Each tree holds exactly min(psi, n) different rows, around and far beyond the size of the pool."""
     cfg = REFERENCE.with_(n_trees=10, max_samples=16)
-    a = _alerts(spark, n=2000, outliers=0)
-    feats = iforest.alert_features(a).select("k", *iforest.FEATURES)
-    s = iforest.tree_samples(feats, "k", cfg, 2000).collect()
+    feats = iforest.alert_features(_alerts(spark, n=n, outliers=0)).select("k", *iforest.FEATURES)
+    s = iforest.tree_samples(feats, "k", cfg, n).collect()
     per_tree = {}
     for r in s:
         per_tree.setdefault(r["tree"], []).append(r["k"])
-    assert sorted(per_tree) == list(range(10)) and all(len(v) == 16 for v in per_tree.values())
-    keys = [k for v in per_tree.values() for k in v]
-    assert len(keys) == len(set(keys))  # disjoint
-    again = iforest.tree_samples(feats, "k", cfg, 2000).collect()
+    assert sorted(per_tree) == list(range(10)) and all(len(v) == len(set(v)) == min(16, n) for v in per_tree.values())
+    again = iforest.tree_samples(feats.repartition(5), "k", cfg, n).collect()
     assert sorted((r["tree"], r["k"]) for r in again) == sorted((r["tree"], r["k"]) for r in s)
-    f = iforest.fit(a, cfg, "k")
-    assert f is not None and f.nodes["tree"].nunique() == 10
+
+
+def test_models_on_different_rows_have_different_ids(spark):
+    cfg = REFERENCE.with_(n_trees=5, max_samples=16)
+    one = iforest.fit(_alerts(spark, n=200, outliers=0), cfg, "k")
+    other = iforest.fit(_alerts(spark, n=200, outliers=0).withColumn("total_amount", F.col("total_amount") * 2), cfg, "k")
+    same = iforest.fit(_alerts(spark, n=200, outliers=0), cfg, "k")
+    assert one.version == same.version != other.version
+
+
+def test_nodes_below_the_minimum_are_none(spark):
+    cfg = REFERENCE.with_(n_trees=5, max_samples=16)
+    assert iforest.fit_nodes(_alerts(spark, n=cfg.min_training_samples - 1, outliers=0), cfg, "k").isEmpty()
+
+
+def test_scoring_leaves_other_columns_alone(spark):
+    cfg = REFERENCE.with_(n_trees=5, max_samples=16)
+    a = _alerts(spark, n=200, outliers=0).withColumn("big", F.when(F.col("k").isNotNull(), F.lit(9007199254740993)))
+    a = a.unionByName(a.limit(1).withColumn("big", F.lit(None).cast("bigint")))
+    scored = iforest.fit(a, cfg, "k").scorer()(a)
+    assert {r.big for r in scored.collect()} == {9007199254740993, None}

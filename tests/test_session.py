@@ -1,6 +1,8 @@
 """Session helpers: shared checkpoint folder, materialisation, path checks, scale sizing."""
 
-from riskstream.session import checkpoint_dir, cluster_conf, materialize, path_exists
+import pytest
+
+from riskstream.session import checkpoint_dir, cluster_conf, discard, materialize, path_exists
 
 
 def test_materialize_under_checkpoint_dir(spark):
@@ -12,9 +14,32 @@ def test_materialize_under_checkpoint_dir(spark):
     assert m.count() == 100 and not path_exists(spark, base.rstrip("/") + "/tables/does-not-exist")
 
 
+def test_discard_removes_the_files(spark):
+    m = materialize(spark.range(5), "gone")
+    discard(m)
+    assert not path_exists(spark, m.materialized_path)
+
+
+def test_no_private_folder_on_a_cluster():
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {"spark.checkpoint.dir": None}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session())
+
+
 def test_cluster_conf_sizes():
     c = cluster_conf(100 * 2**40, 8000)
-    assert int(c["spark.sql.shuffle.partitions"]) == 100 * 2**40 // (256 << 20)
+    assert int(c["spark.sql.shuffle.partitions"]) == 20_480  # 20 TiB shuffled, 1 GiB each
     small = cluster_conf(1 << 20, 8)
     assert int(small["spark.sql.shuffle.partitions"]) == 16  # at least 2 x cores
     assert c["spark.sql.adaptive.enabled"] == "true" and c["spark.sql.adaptive.skewJoin.enabled"] == "true"

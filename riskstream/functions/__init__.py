@@ -3,7 +3,7 @@ from riskstream.functions.columns import (
     ab_bucket,
     epoch_ms,
     fmt_amount,
-    guarded_div,
+    money,
     prob_union,
     py_round,
     tier_case,
@@ -15,7 +15,7 @@ __all__ = [
     "ab_bucket",
     "epoch_ms",
     "fmt_amount",
-    "guarded_div",
+    "money",
     "prob_union",
     "py_round",
     "tier_case",

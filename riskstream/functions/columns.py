@@ -9,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def EPOCH_NTZ() -> Column:  # noqa: N802  (a Column needs an active session, so build lazily)
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
@@ -45,20 +44,23 @@ def prob_union(severities: Sequence) -> Column:
     return F.least(py_round((F.lit(1.0) - prod) * F.lit(100.0)), F.lit(100).cast("bigint"))
 
 
-def tier_case(value, tiers: Iterable[tuple], guard: Column | None = None) -> Column:
+def tier_case(value, tiers: Iterable[tuple]) -> Column:
     """Highest tier wins: tiers are (threshold, severity) ordered from the highest threshold."""
     v = _c(value)
     out = None
     for threshold, severity in tiers:
         cond = v >= F.lit(threshold)
-        if guard is not None:
-            cond = guard & cond
         out = F.when(cond, F.lit(severity)) if out is None else out.when(cond, F.lit(severity))
     return out
 
 
-def guarded_div(n, d, default=0.0) -> Column:
-    return F.when(_c(d) > 0, _c(n).cast("double") / _c(d).cast("double")).otherwise(F.lit(default))
+AMOUNT = "decimal(20,2)"
+
+
+def money(x) -> Column:
+    """An amount as an exact decimal; null where it is NaN, infinite or beyond the type, so that one bad value neither
+    ends a job nor turns a sum into NaN. Such messages are dead letters where they are decoded."""
+    return _c(x).try_cast(AMOUNT)
 
 
 def ab_bucket(key, buckets: int = 10000) -> Column:

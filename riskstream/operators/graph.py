@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskstream.config import EngineConfig
+from riskstream.functions import money
 from riskstream.session import discard, materialize
 
 TYPE_RANK = {"user": 0, "device": 1, "ip": 2}
@@ -78,7 +79,7 @@ def resource_users(tx: DataFrame) -> DataFrame:
         F.col("resource_id").isNotNull() & F.col("user_id").isNotNull())
     return x.groupBy("resource_type", "resource_id", "user_id").agg(
         F.min("_seq").alias("first_use"),
-        F.sum(F.col("amount").cast("decimal(12,2)")).alias("amount"),
+        F.sum(money("amount")).alias("amount"),
         F.max("event_time").alias("last_use"),
     )
 
@@ -102,7 +103,7 @@ def fraud_rings(tx: DataFrame, cfg: EngineConfig, pairs: DataFrame | None = None
         F.col("resource_id").alias("shared_resource_id"),
         "n_users",
         F.least(F.col("n_users") / F.lit(10.0), F.lit(1.0)).alias("risk_score"),
-        F.col("_amt").cast("decimal(14,2)").alias("total_transaction_amount"),
+        F.col("_amt").alias("total_transaction_amount"),
         "first_seen", "last_seen",
     )
 

@@ -145,3 +145,27 @@ def txn_reasons(tx: DataFrame, scored: DataFrame, cfg: EngineConfig) -> DataFram
     chosen = rows.join(top, ["transaction_id", "dimension"]).join(s, ["dimension", "dimension_key", "window_start"])
     return chosen.select("transaction_id", "score", F.col("dimension").alias("top_dimension"), "reasons",
                          route(F.col("score"), cfg).alias("routing"))
+
+
+ROUTE_TOPICS = {"block": "fraud-alerts", "review": "human-review", "allow": "approved-transactions"}
+
+
+def fraud_results(tx: DataFrame, scored: DataFrame, cfg: EngineConfig, user_rings: DataFrame | None = None,
+                  model_version: str | None = None) -> DataFrame:
+    """FRAUD_RESULT rows of the transactions inside alerting windows: their top alert's score on the 0..1 scale and
+    reasons, fraud where it is blocked, the topic of the routing, the first reason as the rule, and the best ring of the
+    transaction's user. ``scored_at`` is the event time: results of a batch do not depend on when it runs."""
+    r = txn_reasons(tx, scored, cfg)
+    t = tx.select("transaction_id", F.col("user_id").alias("_user"), F.col("event_time").alias("scored_at"))
+    out = r.join(t, "transaction_id")
+    ring = F.lit(None).cast("string")
+    if user_rings is not None:
+        rings = user_rings.select(F.col("user_id").alias("_ring_user"), "ring_id")
+        out, ring = out.join(rings, F.col("_user") == F.col("_ring_user"), "left"), F.col("ring_id")
+    topic = F.create_map(*[F.lit(x) for kv in ROUTE_TOPICS.items() for x in kv])
+    return out.select(
+        "transaction_id", (F.col("routing") == "block").alias("is_fraud"),
+        (F.col("score") / F.lit(100.0)).cast("decimal(5,4)").alias("score"), "reasons",
+        F.get("reasons", F.lit(0)).alias("rule_triggered"), F.lit(model_version).cast("string").alias("model_version"),
+        ring.alias("fraud_ring_id"), F.lit(None).cast("string").alias("llm_summary"),
+        F.element_at(topic, F.col("routing")).alias("routed_to"), "scored_at")

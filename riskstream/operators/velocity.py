@@ -12,11 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskstream.config import EngineConfig
-from riskstream.functions import epoch_ms
+from riskstream.functions import epoch_ms, money
 
 DIMENSIONS = (("IP", "ip_address"), ("USER", "user_id"), ("DEVICE", "device_id"), ("MERCHANT", "merchant_id"))
 ALERT_COLS = ["dimension", "window_size", "dimension_key", "txn_count", "total_amount", "window_start", "window_end"]
-AMOUNT_DEC = "decimal(12,2)"
 
 
 def explode_dimensions(tx: DataFrame, time_col: str = "event_time", extra: tuple = ()) -> DataFrame:
@@ -44,7 +43,7 @@ def velocity_windows(tx: DataFrame, cfg: EngineConfig, time_col: str = "event_ti
     rows = explode_dimensions(tx, time_col).select("dimension", "dimension_key", "amount", *_window_bounds(cfg))
     agg = rows.groupBy("dimension", "dimension_key", "window_start", "window_end").agg(
         F.count(F.lit(1)).alias("txn_count"),
-        F.sum(F.col("amount").cast(AMOUNT_DEC)).alias("_sum"),
+        F.sum(money("amount")).alias("_sum"),
     )
     return agg.select(
         "dimension", F.lit(cfg.window_label).alias("window_size"), "dimension_key", "txn_count",
@@ -78,7 +77,7 @@ def dimension_alerts(tx: DataFrame, cfg: EngineConfig, dimension: str, time_col:
         F.col("dimension_key").isNotNull() & (F.col("dimension_key") != ""))
     agg = rows.select("dimension_key", "amount", *_window_bounds(cfg)).groupBy(
         "dimension_key", "window_start", "window_end").agg(
-        F.count(F.lit(1)).alias("txn_count"), F.sum(F.col("amount").cast(AMOUNT_DEC)).alias("_sum"))
+        F.count(F.lit(1)).alias("txn_count"), F.sum(money("amount")).alias("_sum"))
     out = agg.select(F.lit(dimension).alias("dimension"), F.lit(cfg.window_label).alias("window_size"),
                      "dimension_key", "txn_count", F.col("_sum").cast("double").alias("total_amount"),
                      "window_start", "window_end")
@@ -93,43 +92,38 @@ def per_dimension_alerts(tx: DataFrame, cfg: EngineConfig, time_col: str = "even
 
 def alert_changelog(tx: DataFrame, cfg: EngineConfig, time_col: str = "event_time") -> DataFrame:
     """One row per transaction that updates a window already at/over its threshold, with the
-    running count and sum at that point (the EMIT CHANGES stream, batch form).
+    running count and sum at that point (the EMIT CHANGES stream, batch form), in the order of event time (in full
+    resolution), then transaction id.
 
     A running count over (dimension, key, window) would put a hot key's whole window into one task.
     Rows are therefore split into fixed time chunks: running totals are computed inside each chunk,
     chunk totals (a small table: windows x chunks) get exclusive prefix sums, and the two are joined
-    back on the chunk key. Equal to a single ordered window, but no task holds more than one chunk.
-    Rows of windows that never reach the threshold are dropped first (they cannot emit).
+    on the chunk key. Equal to a single ordered window, but no task holds more than one chunk.
     """
-    chunk = cfg.changelog_chunk_ms
+    part = ["dimension", "dimension_key", "window_start"]
     base = explode_dimensions(tx, time_col, extra=("transaction_id",)).select(
-        "dimension", "dimension_key", "transaction_id", F.col("amount").cast(AMOUNT_DEC).alias("amt"),
+        "dimension", "dimension_key", "transaction_id", money("amount").alias("amt"), F.col("_t").alias("at"),
         epoch_ms("_t").alias("_t_ms"), *_window_bounds(cfg),
-    ).withColumn("chunk", F.floor((F.col("_t_ms") - F.col("window_start")) / F.lit(chunk)))
-    part = ["dimension", "dimension_key", "window_start"]
-    # only windows whose final count reaches the threshold can emit rows (running counts never exceed
-    # the final count): keep just their rows, so the ordered-window shuffle below carries the alerting
-    # windows only. The per-window counts are a partially aggregated shuffle and the alerting keys a
-    # small table that AQE broadcasts into the semi join.
-    alerting = base.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).where(
-        F.col("_n") >= threshold_for(cfg)).select(*part)
-    base = base.join(alerting, part, "left_semi")
-    w_in = (Window.partitionBy(*part, "chunk").orderBy("_t_ms", "transaction_id")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = base.withColumn("c_in", F.count(F.lit(1)).over(w_in)).withColumn("s_in", F.sum("amt").over(w_in))
-    # chunk totals straight from the input rows: a partially aggregated shuffle (one row per chunk per
-    # map task), so the input itself is shuffled only once (for the running window above)
+    ).withColumn("chunk", F.floor((F.col("_t_ms") - F.col("window_start")) / F.lit(cfg.changelog_chunk_ms)))
+    # one partially aggregated pass (a row per chunk and map task) gives each chunk's totals, the exclusive sums before
+    # it and, over all chunks of a window, the final count: running counts never exceed it, so windows below the
+    # threshold cannot emit and their rows are dropped by the same join that brings the offsets
     totals = base.groupBy(*part, "chunk").agg(F.count(F.lit(1)).alias("c_chunk"), F.sum("amt").alias("s_chunk"))
-    w_prev = Window.partitionBy(*part).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    by_chunk = Window.partitionBy(*part).orderBy("chunk")
+    w_prev = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    w_all = by_chunk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = totals.select(
-        *part, "chunk",
+        *part, "chunk", F.sum("c_chunk").over(w_all).alias("_n"),
         F.coalesce(F.sum("c_chunk").over(w_prev), F.lit(0)).alias("c_off"),
-        F.coalesce(F.sum("s_chunk").over(w_prev), F.lit(0).cast("decimal(22,2)")).alias("s_off"),
-    )
-    out = local.join(offsets, part + ["chunk"]).select(
+        F.coalesce(F.sum("s_chunk").over(w_prev), F.lit(0).cast("decimal(38,2)")).alias("s_off"),
+    ).where(F.col("_n") >= threshold_for(cfg)).drop("_n")
+    w_in = (Window.partitionBy(*part, "chunk").orderBy("at", "transaction_id")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = base.join(offsets, part + ["chunk"]).select(
         "dimension", F.lit(cfg.window_label).alias("window_size"), "dimension_key",
-        (F.col("c_in") + F.col("c_off")).alias("txn_count"),
-        (F.col("s_in") + F.col("s_off")).cast("double").alias("total_amount"),
+        (F.count(F.lit(1)).over(w_in) + F.col("c_off")).alias("txn_count"),
+        (F.coalesce(F.sum("amt").over(w_in), F.lit(0).cast("decimal(30,2)")) + F.col("s_off")).cast("double")
+        .alias("total_amount"),
         "window_start", "window_end", "transaction_id", F.col("_t_ms").alias("event_ms"),
     )
     return out.where(F.col("txn_count") >= threshold_for(cfg))

@@ -138,3 +138,29 @@ FROM fx_transactions WHERE event_id % 97 = 0 OR event_id % 89 = 0 OR event_id %
 def q_dead_letter(spark, sf):
     _, bad = io.decode_json(_json_lines(spark, sf), io.TRANSACTION_JSON, keep=("line_id",))
     return bad.select("line_id", "reason")
+
+
+def _value_lines(spark, sf):
+    """Transaction messages whose values are bad in different ways, by event id modulo 40."""
+    t = fx.transactions_from_events(fx.events(spark, sf), keep=("event_id",))
+    kind = F.col("event_id") % 40
+    amount = (F.when(kind == 1, F.lit('1e300')).when(kind == 2, F.lit('"NaN"')).when(kind == 3, F.lit('"12,5"'))
+              .when(kind == 4, F.lit("1e11")).when(kind == 5, F.lit("null")).otherwise(F.col("amount").cast("string")))
+    time = F.when(kind == 6, F.lit("yesterday")).otherwise(F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    ident = F.when(kind == 7, F.lit("null")).otherwise(F.concat(F.lit('"'), "transaction_id", F.lit('"')))
+    return t.select(F.col("event_id").alias("line_id"), F.concat(
+        F.lit('{"transaction_id":'), ident, F.lit(',"amount":'), amount, F.lit(',"timestamp":"'), time, F.lit('"}'))
+        .alias("value"))
+
+
+@query("dead_letter_values", with_fx("""
+SELECT event_id AS line_id,
+       CASE event_id % 40 WHEN 1 THEN 'bad_amount' WHEN 2 THEN 'bad_amount' WHEN 3 THEN 'malformed' WHEN 6 THEN 'bad_timestamp'
+            WHEN 7 THEN 'missing_field' END AS reason,
+       CASE WHEN event_id % 40 IN (1, 2, 3, 5, 6, 7) THEN NULL WHEN event_id % 40 = 4 THEN 1e11::DOUBLE ELSE amount END AS amount
+FROM fx_transactions""", "fx_transactions"))
+def q_dead_letter_values(spark, sf):
+    """Every message once: its amount, or why it is a dead letter."""
+    good, bad = io.transactions_of(_value_lines(spark, sf), keep=("line_id",))
+    return good.select("line_id", F.lit(None).cast("string").alias("reason"), "amount").unionByName(
+        bad.select("line_id", "reason", F.lit(None).cast("double").alias("amount")))

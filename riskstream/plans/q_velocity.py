@@ -266,12 +266,47 @@ def q_txn_risk(spark, sf):
     return scoring.txn_risk(_tx(spark, sf), scored_alerts(spark, sf), CFG)
 
 
+_TOPIC_SQL = "CASE routing WHEN 'block' THEN 'fraud-alerts' WHEN 'review' THEN 'human-review' ELSE 'approved-transactions' END"
+
+
+@query("fraud_results_from_alerts", with_fx(f"""
+SELECT transaction_id, routing = 'block' AS is_fraud, CAST(score AS DOUBLE) / 100.0::DOUBLE AS score, {_TOPIC_SQL} AS routed_to,
+       b.ring_id AS fraud_ring_id, strftime(event_time, '%Y-%m-%d %H:%M:%S.%f') AS scored_at
+FROM (SELECT transaction_id, max(score) AS score, {route_sql('max(score)')} AS routing
+      FROM (SELECT d.transaction_id, s.score
+            FROM dims d JOIN (SELECT dimension, dimension_key, window_start, score FROM ({_SCORE_ALERTS}) z) s
+              ON d.dimension = s.dimension AND d.dimension_key = s.dimension_key
+             AND ((epoch_us(d.event_time) // 1000) // {CFG.window_ms}) * {CFG.window_ms} = s.window_start) j
+      GROUP BY transaction_id) x
+JOIN fx_transactions t USING (transaction_id) LEFT JOIN best b ON b.user_id = t.user_id""",
+                                             "fx_transactions", "fx_blacklist_ops", extra=SCORE_EXTRA))
+def q_fraud_results_from_alerts(spark, sf):
+    tx = _tx(spark, sf)
+    r = scoring.fraud_results(tx, scored_alerts(spark, sf), CFG, graph.user_best_ring(tx, CFG))
+    return r.select("transaction_id", "is_fraud", F.col("score").cast("double").alias("score"), "routed_to",
+                    "fraud_ring_id", F.date_format("scored_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("scored_at"))
+
+
+_ADHOC = ["s_vel", "s_amt", "s_bl", "s_ring"]
+
+
 @query("adhoc_scores", with_fx(f"""
-SELECT transaction_id, dimension_key, CAST({amount_case(CFG)} AS BIGINT) AS amount_severity,
-       {union_sql([amount_case(CFG)])} AS score, {route_sql(union_sql([amount_case(CFG)]))} AS routing
-FROM (SELECT transaction_id, user_id AS dimension_key, amount AS total_amount FROM fx_transactions) t""",
-                                "fx_transactions"))
+SELECT transaction_id, dimension_key, CAST(s_vel AS BIGINT) AS velocity_severity, CAST(s_amt AS BIGINT) AS amount_severity,
+       CAST(s_bl AS BIGINT) AS blacklist_severity, CAST(s_ring AS BIGINT) AS ring_severity,
+       {union_sql(_ADHOC)} AS score, {route_sql(union_sql(_ADHOC))} AS routing
+FROM (SELECT t.*, {velocity_case(CFG)} AS s_vel, {amount_case(CFG)} AS s_amt,
+             CASE WHEN dimension_key IN (SELECT value FROM bl) THEN 100 END AS s_bl,
+             CASE WHEN b.ring_risk IS NOT NULL THEN least(round_even(b.ring_risk * 100.0::DOUBLE, 0), 100) END AS s_ring
+      FROM (SELECT transaction_id, 'USER' AS dimension, user_id AS dimension_key, 1 AS txn_count, amount AS total_amount
+            FROM fx_transactions) t LEFT JOIN best b ON t.dimension_key = b.user_id) u""",
+                                "fx_transactions", "fx_blacklist_ops", extra=[("bl", BLACKLIST_SQL)] + ring_ctes()))
 def q_adhoc_scores(spark, sf):
-    a = scoring.adhoc_alerts(_tx(spark, sf), label=CFG.window_label)
-    sc = scoring.score_alerts(a, CFG, rules=[rules.VelocityRule(CFG), rules.AmountRule(CFG)], keep=("transaction_id",))
-    return sc.select("transaction_id", "dimension_key", "amount_severity", "score", "routing")
+    """All layers but the model's, whose scores no SQL gives (see score_alerts_ml)."""
+    tx = _tx(spark, sf)
+    a = scoring.adhoc_alerts(tx, label=CFG.window_label)
+    sc = scoring.score_alerts(a, CFG, blacklist=_blacklist(spark, sf), user_rings=graph.user_best_ring(tx, CFG),
+                              keep=("transaction_id",))
+    return sc.select("transaction_id", "dimension_key",
+                     *[F.col(c).cast("bigint").alias(c) for c in ("velocity_severity", "amount_severity",
+                                                                  "blacklist_severity", "ring_severity")],
+                     "score", "routing")

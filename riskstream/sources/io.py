@@ -35,8 +35,10 @@ def encode_json(df: DataFrame, key: str | None = None) -> DataFrame:
 
 
 def decode_json(lines: DataFrame, schema: T.StructType, value_col: str = "value",
-                required: Sequence[str] = ("transaction_id",), keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """A3: parse JSON lines permissively; returns (good rows, dead letters with a reason)."""
+                required: Sequence[str] = ("transaction_id",), keep: Sequence[str] = (),
+                checks: Sequence[tuple] = ()) -> tuple[DataFrame, DataFrame]:
+    """A3: parse JSON lines permissively; returns (good rows, dead letters with a reason). ``checks`` are (reason,
+    function of the parsed struct that is true for a bad value)."""
     full = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
     parsed = lines.select(*keep, F.col(value_col).alias("_raw"),
                           F.from_json(F.col(value_col), full,
@@ -47,6 +49,8 @@ def decode_json(lines: DataFrame, schema: T.StructType, value_col: str = "value"
         missing = cond if missing is None else (missing | cond)
     reason = (F.when(F.col("_j").isNull() | F.col(f"_j.{CORRUPT}").isNotNull(), F.lit("malformed"))
               .when(missing, F.lit("missing_field")))
+    for name, bad_value in checks:
+        reason = reason.when(F.coalesce(bad_value(F.col("_j")), F.lit(False)), F.lit(name))
     tagged = parsed.withColumn("_reason", reason)
     good = tagged.where(F.col("_reason").isNull()).select(*keep, *[F.col(f"_j.{f.name}").alias(f.name) for f in schema.fields])
     bad = tagged.where(F.col("_reason").isNotNull()).select(*keep, F.col("_raw").alias("value"),
@@ -67,15 +71,62 @@ def parse_iso(ts: Column) -> Column:
     return F.when(shifted, other).otherwise(utc)
 
 
-def coerce_transactions(df: DataFrame) -> DataFrame:
+def coerce_columns() -> list[Column]:
     """Casts and defaults of the TRANSACTION entity (currency defaults to USD)."""
-    return df.select(
+    return [
         F.col("transaction_id").cast("string"), F.col("user_id").cast("string"),
         F.col("amount").try_cast("double").alias("amount"),
         F.coalesce(F.col("currency"), F.lit("USD")).alias("currency"),
         parse_iso(F.col("timestamp")).alias("event_time"),
         *[F.col(c).cast("string") for c in ["merchant_id", "location", "device_id", "ip_address"]],
-    )
+    ]
+
+
+def coerce_transactions(df: DataFrame) -> DataFrame:
+    return df.select(*coerce_columns())
+
+
+#: What an amount column can hold (see :func:`riskstream.functions.money`).
+AMOUNT_LIMIT = 1e18
+
+TRANSACTION_CHECKS = (
+    ("bad_amount", lambda j: F.isnan(j["amount"]) | (F.abs(j["amount"]) >= AMOUNT_LIMIT)),
+    ("bad_timestamp", lambda j: j["timestamp"].isNotNull() & parse_iso(j["timestamp"]).isNull()),
+)
+
+
+def transactions_of(lines: DataFrame, value_col: str = "value", keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Transactions and dead letters of JSON lines, in a batch or a stream: malformed text, missing ids, amounts
+    that are NaN, infinite or too large, and times that cannot be read do not end the job."""
+    good, bad = decode_json(lines, TRANSACTION_JSON, value_col, keep=keep, checks=TRANSACTION_CHECKS)
+    return good.select(*keep, *coerce_columns()), bad
+
+
+ALERT_TYPES = {"dimension": "string", "window_size": "string", "dimension_key": "string", "txn_count": "bigint",
+               "total_amount": "double", "window_start": "bigint", "window_end": "bigint"}
+
+
+def alerts_of(lines: DataFrame, value_col: str = "value", keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """A2: velocity alerts and dead letters of JSON lines whose field names may be in either case, as the streaming SQL
+    engine emits them in capitals; of names that differ in case only the last counts."""
+    fields = F.map_entries(F.from_json(F.col(value_col), "map<string,string>"))
+    parsed = lines.select(*keep, F.col(value_col).alias("_raw"), fields.alias("_f"))
+
+    def text(name):
+        mine = F.filter("_f", lambda e: F.lower(e["key"]) == name)
+        return F.try_element_at(mine, F.lit(-1))["value"]
+
+    typed = {c: text(c).try_cast(t) for c, t in ALERT_TYPES.items()}
+    lost = [text(c).isNotNull() & v.isNull() for c, v in typed.items() if ALERT_TYPES[c] != "string"]
+    bad_value = lost[0]
+    for x in lost[1:]:
+        bad_value = bad_value | x
+    reason = (F.when(F.col("_f").isNull(), F.lit("malformed"))
+              .when(text("dimension").isNull() | text("dimension_key").isNull(), F.lit("missing_field"))
+              .when(F.coalesce(bad_value, F.lit(False)), F.lit("bad_value")))
+    tagged = parsed.withColumn("_reason", reason)
+    return (tagged.where("_reason is null").select(*keep, *[v.alias(c) for c, v in typed.items()]),
+            tagged.where("_reason is not null").select(*keep, F.col("_raw").alias("value"), F.col("_reason").alias("reason")))
 
 
 FRAUD_RESULT_JSON = T.StructType([
@@ -92,16 +143,18 @@ FRAUD_RESULT_JSON = T.StructType([
 ])
 
 
-def lowercase_columns(df: DataFrame) -> DataFrame:
-    """A2: the alert stream's upper-case field names (as the streaming SQL engine emits them) to lower case."""
-    return df.toDF(*[c.lower() for c in df.columns])
+def unit_score(score: Column) -> Column:
+    """A score on the 0..1 scale of stored results: values above 1 are on the scorer's 0..100 scale; what lies outside
+    both is null."""
+    s = F.when(score > 1, score / F.lit(100.0)).otherwise(score)
+    return F.when(s.between(0, 1), s.try_cast("decimal(5,4)"))
 
 
 def coerce_results(df: DataFrame) -> DataFrame:
-    """A15 for FRAUD_RESULT: reasons default to [], score to decimal(5,4) on the 0..1 scale."""
+    """A15 for FRAUD_RESULT: reasons default to [], score to decimal(5,4) on the 0..1 scale (:func:`unit_score`)."""
     return df.select(
         "transaction_id", F.coalesce(F.col("is_fraud"), F.lit(False)).alias("is_fraud"),
-        F.col("score").cast("decimal(5,4)").alias("score"),
+        unit_score(F.col("score")).alias("score"),
         F.coalesce(F.col("reasons"), F.array().cast("array<string>")).alias("reasons"),
         "rule_triggered", "model_version", "fraud_ring_id", "llm_summary", "routed_to",
         parse_iso(F.col("scored_at")).alias("scored_at"))

@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskstream.config import EngineConfig
-from riskstream.functions import EPOCH_NTZ, to_ntz
+from riskstream.functions import EPOCH_NTZ, money, to_ntz
 from riskstream.operators import iforest
 from riskstream.operators.scoring import score_alerts
-from riskstream.operators.velocity import ALERT_COLS, AMOUNT_DEC, DIMENSIONS, alert_filter
+from riskstream.operators.velocity import ALERT_COLS, DIMENSIONS, alert_filter
 from riskstream.session import checkpoint_dir, path_exists
+from riskstream.sources import io
 from riskstream.sources.fixtures import transactions_from_events
 
 ALERT_KEYS = ["dimension", "dimension_key", "window_start"]
@@ -35,14 +36,30 @@ def events_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None
     return r.parquet(f"{sf_dir}/events*.parquet")
 
 
-def kafka_transactions(spark: SparkSession, servers: str, topic: str) -> DataFrame:
-    """A1/A2: the production source (needs the Kafka connector on the classpath)."""
-    from riskstream.sources.io import TRANSACTION_JSON, coerce_transactions
+def kafka_lines(spark: SparkSession, servers: str, topic: str) -> DataFrame:
+    """A1/A2: the messages of a topic as text (needs the Kafka connector on the classpath)."""
+    return (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
+            .option("startingOffsets", "earliest").load().select(F.col("value").cast("string").alias("value")))
 
-    raw = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
-           .option("subscribe", topic).option("startingOffsets", "earliest").load())
-    j = raw.select(F.from_json(F.col("value").cast("string"), TRANSACTION_JSON).alias("j")).select("j.*")
-    return coerce_transactions(j)
+
+def kafka_transactions(spark: SparkSession, servers: str, topic: str) -> tuple[DataFrame, DataFrame]:
+    """A1: transactions and dead letters of the transaction topic; both are streams of their own."""
+    return io.transactions_of(kafka_lines(spark, servers, topic))
+
+
+def kafka_alerts(spark: SparkSession, servers: str, topic: str) -> tuple[DataFrame, DataFrame]:
+    """A2: velocity alerts and dead letters of the alert topic."""
+    return io.alerts_of(kafka_lines(spark, servers, topic))
+
+
+def json_sink(path: str, key: str):
+    """foreachBatch writer of keyed JSON messages, one folder a batch (idempotent replay). A message keeps its
+    key beside its value, so messages of one key can be kept in order by whatever reads them."""
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        io.encode_json(df, key).write.mode("overwrite").json(f"{path}/batch_id={batch_id}")
+
+    return write
 
 
 def velocity_updates(tx: DataFrame, cfg: EngineConfig, watermark: str | None = None) -> DataFrame:
@@ -52,7 +69,7 @@ def velocity_updates(tx: DataFrame, cfg: EngineConfig, watermark: str | None = N
     rows = t.select("event_ts", "amount", F.inline(pairs)).where(
         F.col("dimension_key").isNotNull() & (F.col("dimension_key") != ""))
     agg = rows.groupBy(F.window("event_ts", cfg.window).alias("w"), "dimension", "dimension_key").agg(
-        F.count(F.lit(1)).alias("txn_count"), F.sum(F.col("amount").cast(AMOUNT_DEC)).alias("_sum"))
+        F.count(F.lit(1)).alias("txn_count"), F.sum(money("amount")).alias("_sum"))
     return agg.select(
         "dimension", F.lit(cfg.window_label).alias("window_size"), "dimension_key", "txn_count",
         F.col("_sum").cast("double").alias("total_amount"),

@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from riskstream.config import DAILY
+from riskstream.config import DAILY, REFERENCE
 from riskstream.operators import velocity
 from riskstream.sources import fixtures as fx
 from riskstream.sources import io
@@ -108,14 +108,52 @@ def test_review_queue_stream_handler(spark, workdir):
     assert got == ["t1", "t3"]
 
 
-def test_lowercase_and_result_coercion(spark):
-    df = spark.createDataFrame([("IP", 3)], "DIMENSION string, TXN_COUNT int")
-    assert io.lowercase_columns(df).columns == ["dimension", "txn_count"]
-    lines = spark.createDataFrame([('{"transaction_id":"t1","score":0.42,"routed_to":"human-review"}',)], "value string")
+def test_result_coercion_keeps_scores_on_one_scale(spark):
+    lines = spark.createDataFrame([('{"transaction_id":"t1","score":0.42,"routed_to":"human-review"}',),
+                                   ('{"transaction_id":"t2","score":84.0}',), ('{"transaction_id":"t3","score":1e9}',),
+                                   ('{"transaction_id":"t4","score":-1}',)], "value string")
     good, _ = io.decode_json(lines, io.FRAUD_RESULT_JSON)
-    r = io.coerce_results(good).first()
-    assert r["reasons"] == [] and float(r["score"]) == 0.42 and r["is_fraud"] is False
-
+    r = {x["transaction_id"]: x for x in io.coerce_results(good).collect()}
+    assert r["t1"]["reasons"] == [] and float(r["t1"]["score"]) == 0.42 and r["t1"]["is_fraud"] is False
+    assert float(r["t2"]["score"]) == 0.84 and r["t3"]["score"] is None and r["t4"]["score"] is None
+
+
+def test_alert_messages_in_either_case(spark):
+    lines = spark.createDataFrame([
+        ('{"DIMENSION":"IP","DIMENSION_KEY":"1.2.3.4","TXN_COUNT":3,"TOTAL_AMOUNT":12.5,"WINDOW_START":0,"WINDOW_END":9}',),
+        ('{"dimension":"USER","Dimension_Key":"u","txn_count":"x"}',), ('{"dimension":"USER"}',), ("not json",), (None,),
+        ('{"DIMENSION":"IP","dimension":"USER","dimension_key":"u","txn_count":1}',)], "value string")
+    good, bad = io.alerts_of(lines)
+    assert [(r["dimension"], r["dimension_key"], r["txn_count"], r["total_amount"]) for r in good.collect()] == \
+        [("IP", "1.2.3.4", 3, 12.5), ("USER", "u", 1, None)]
+    assert sorted(r["reason"] for r in bad.collect()) == ["bad_value", "malformed", "malformed", "missing_field"]
+
+
+def test_stream_survives_bad_messages(spark, workdir):
+    """One impossible amount, one unreadable time and one broken line: the windows hold the others, the rest is kept."""
+    src = os.path.join(workdir, "lines")
+    body = '{"transaction_id":"t%d","user_id":"u","amount":%s,"timestamp":"%s"}'
+    lines = [body % (i, "10.0", "2026-01-15T10:00:0%d" % i) for i in range(4)]
+    lines += [body % (9, "1e300", "2026-01-15T10:00:00"), body % (8, "5.0", "soon"), "{broken", body % (7, "1e12", "2026-01-15T10:00:00")]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(src)
+    tx, dead = io.transactions_of(spark.readStream.schema("value string").text(src))
+    out, letters = os.path.join(workdir, "out"), os.path.join(workdir, "dead")
+    vs.run_available(vs.velocity_updates(tx, REFERENCE), vs.batch_sink(out), os.path.join(workdir, "ck1"))
+    vs.run_available(dead, vs.json_sink(letters, "reason"), os.path.join(workdir, "ck2"), "append")
+    got = vs.latest_by_key(spark, out, vs.ALERT_KEYS).where("dimension = 'USER'").first()
+    assert got["txn_count"] == 5 and got["total_amount"] == 40.0 + 1e12
+    assert sorted(r["key"] for r in spark.read.json(letters).collect()) == ["bad_amount", "bad_timestamp", "malformed"]
+
+
+def test_json_sink_keeps_keys_and_is_idempotent(spark, workdir):
+    out = os.path.join(workdir, "topic")
+    write = vs.json_sink(out, "transaction_id")
+    rows = spark.createDataFrame([("t1", 0.5), ("t2", None)], "transaction_id string, score double")
+    write(rows, 0)
+    write(rows, 0)  # replay
+    got = {r["key"]: r["value"] for r in spark.read.json(out).collect()}
+    assert got == {"t1": '{"transaction_id":"t1","score":0.5}', "t2": '{"transaction_id":"t2"}'}
+    assert spark.read.json(out).count() == 2
 
 def test_online_model_across_batches(spark, workdir):
     """I8/K5: the scorer fits after min_training_samples alerts and scores later batches with it."""

@@ -6,7 +6,7 @@ import datetime as dt
 import pandas as pd
 from pyspark.sql import functions as F
 
-from riskstream.config import DAILY
+from riskstream.config import DAILY, REFERENCE
 from riskstream.operators import velocity
 from riskstream.sources import fixtures as fx
 
@@ -69,3 +69,21 @@ def test_single_pass_equals_fan_in(spark):
     a = sorted(map(tuple, velocity.velocity_alerts(tx, DAILY).collect()))
     b = sorted(map(tuple, velocity.fan_in(*velocity.per_dimension_alerts(tx, DAILY)).collect()))
     assert a == b
+
+
+def test_events_within_a_millisecond_keep_their_order(transactions):
+    import datetime as dt
+
+    t0 = dt.datetime(2026, 1, 15, 10, 30)
+    rows = [{"transaction_id": f"z{9 - i}", "event_time": t0 + dt.timedelta(microseconds=100 * i), "amount": 1.0 + i}
+            for i in range(9)]
+    cfg = REFERENCE.with_(velocity_tiers={d: ((1, 60),) for d in ("IP", "USER", "DEVICE", "MERCHANT")})
+    got = [r for r in velocity.alert_changelog(transactions(rows), cfg).collect() if r["dimension"] == "USER"]
+    by_count = [r["transaction_id"] for r in sorted(got, key=lambda r: r["txn_count"])]
+    assert by_count == [f"z{9 - i}" for i in range(9)]
+
+
+def test_bad_amounts_do_not_end_or_spoil_a_window(transactions):
+    tx = transactions([{"amount": a} for a in (10.0, 1e11, float("nan"), float("inf"), 1e30)])
+    got = {r["dimension"]: r for r in velocity.velocity_windows(tx, REFERENCE).collect()}
+    assert got["USER"]["txn_count"] == 5 and got["USER"]["total_amount"] == 1e11 + 10

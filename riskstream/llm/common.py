@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riskstream.session import checkpoint_dir, materialize, ship_package
 from riskstream.sources.tables import load_table
 
-__all__ = ["WORD", "SPACES", "ascii_lower", "documents", "materialize", "ship_package", "word_count", "partitions", "checkpoint_path"]
+__all__ = ["WORD", "SPACES", "ascii_lower", "documents", "materialize", "ship_package", "word_count", "partitions", "checkpoint_path", "packed", "unpacked"]
 
 #: A word, and what separates words: the six ASCII white-space characters only.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,3 +38,14 @@ def partitions(spark: SparkSession) -> int:
 def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
     return f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def packed(docs: DataFrame, needed: list[str]) -> DataFrame:
+    """The ``needed`` columns of ``docs`` and one struct of all others, so that no added column meets theirs."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+    return docs.select(*needed, F.struct(*(others or [F.lit(0).alias("none")])).alias("packed_row"))
+
+
+def unpacked(df: DataFrame, docs: DataFrame, needed: list[str]) -> DataFrame:
+    """The columns of ``docs`` from what was ``packed``."""
+    return df.select(*[F.col(c) if c in needed else F.col("packed_row").getField(c).alias(c) for c in docs.columns])

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskstream.llm.common import materialize, word_count
+from riskstream.llm.common import materialize, packed, unpacked, word_count
 
 HEX_DIGITS, SPLIT = 6, 3  # of the key, and of its coarse bucket
 ALL = 16 ** HEX_DIGITS
@@ -120,5 +120,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share:
     """The rows of the mix with the columns of ``docs``: a document taken twice is there twice."""
     keyed = materialize(sizes(docs), "mix-sizes")
     cuts = materialize(thresholds(keyed, weights, share, max_repeats), "mix-cuts")
-    return (apply_mix(docs, cuts, mix_key(F.col("doc_id"), F.col("text"))).where("mix_copies > 0")
-            .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns))
+    needed = ["doc_id", "source", "text"]
+    taken = (apply_mix(packed(docs, needed), cuts, mix_key(F.col("doc_id"), F.col("text"))).where("mix_copies > 0")
+             .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))))
+    return unpacked(taken, docs, needed)

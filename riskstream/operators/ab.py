@@ -27,7 +27,8 @@ def ab_assign(tx: DataFrame, experiments: DataFrame, versions: list[str], cfg: E
     default = versions[0] if versions else None
     b = ab_bucket(F.col(key), cfg.ab_buckets)
     if exp is None:
-        return tx.select(key, b.alias("bucket"), F.lit("default").alias("arm"), F.lit(default).alias("model_version"))
+        return tx.select(key, b.alias("bucket"), F.lit("default").alias("arm"),
+                         F.lit(default).cast("string").alias("model_version"), F.lit(None).cast("string").alias("experiment_id"))
     control = exp["control_model_version"] if exp["control_model_version"] in versions else default
     challenger = exp["challenger_model_version"] if exp["challenger_model_version"] in versions else control
     to_ch = b < F.lit(int(round(exp["traffic_split"] * cfg.ab_buckets)))
@@ -50,17 +51,12 @@ def ab_metrics(metrics: DataFrame) -> DataFrame:
 
 def ab_report(metrics: DataFrame, experiments: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Per experiment one wide row {control, challenger}; versions matching neither arm are
-    dropped; ``ready`` when both arms reached the minimum sample size. The experiment table is
-    configuration-sized, so its arms become literal conditions instead of a join."""
+    dropped; ``ready`` when both arms reached the minimum sample size. The arms join the aggregated metrics."""
     m = ab_metrics(metrics)
-    arm = None
-    for e in experiments.select("experiment_id", "control_model_version", "challenger_model_version").collect():
-        for name, v in (("control", e["control_model_version"]), ("challenger", e["challenger_model_version"])):
-            cond = (F.col("experiment_id") == e["experiment_id"]) & (F.col("model_version") == v)
-            arm = (F.when if arm is None else arm.when)(cond, F.lit(name))
-    if arm is None:
-        arm = F.lit(None).cast("string")
-    j = m.withColumn("arm", arm).where(F.col("arm").isNotNull())
+    arms = experiments.select("experiment_id", F.inline(F.array(
+        F.struct(F.lit("control").alias("arm"), F.col("control_model_version").alias("model_version")),
+        F.struct(F.lit("challenger").alias("arm"), F.col("challenger_model_version").alias("model_version")))))
+    j = m.join(arms, ["experiment_id", "model_version"])
     w = j.groupBy("experiment_id").pivot("arm", ["control", "challenger"]).agg(
         F.first("model_version").alias("version"), F.first("total").alias("total"),
         F.first("correct_count").alias("correct"), F.first("avg_latency_ms").alias("avg_latency_ms"))

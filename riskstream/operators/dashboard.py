@@ -65,6 +65,7 @@ def kpis(tx: DataFrame, results: DataFrame, feedback: DataFrame, metrics: DataFr
         F.round(F.coalesce(F.col("_p95"), F.lit(0.0)), 2).alias("p95_latency_ms"),
         F.round(F.when(total > 0, (F.col("review_count") + F.col("fraud_count")).cast("double") / total * 100)
                 .otherwise(0.0), 2).alias("false_positive_proxy_pct"),
+        F.lit(MODEL_ERRORS).cast("bigint").alias("model_error_count"),
         F.lit(cfg.risk_threshold).alias("risk_threshold"),
         "fraud_count", "review_count", "feedback_count",
     )
@@ -254,8 +255,17 @@ def melt(df: DataFrame, part: str, item: str | None, metrics: list[str]) -> Data
     return long.select(F.lit(part).alias("part"), "item", "metric", "value", F.lit(None).cast("string").alias("text"))
 
 
+def melt_text(df: DataFrame, part: str, item: str, metrics: list[str]) -> DataFrame:
+    """The same for metrics that are texts."""
+    wide = df.select(F.col(item).cast("string").alias("item"), *[F.col(m).cast("string").alias(m) for m in metrics])
+    long = wide.unpivot(["item"], metrics, "metric", "text")
+    return long.select(F.lit(part).alias("part"), "item", "metric", F.lit(None).cast("double").alias("value"), "text")
+
+
 KPI_METRICS = ["transactions_scanned", "high_risk_rate_pct", "avg_model_score", "p95_latency_ms",
-               "false_positive_proxy_pct", "risk_threshold"]
+               "false_positive_proxy_pct", "model_error_count", "risk_threshold"]
+#: The reference reports no model errors and no latency of single transactions: both are the constant 0.
+MODEL_ERRORS = 0
 
 
 def shared_rollup(tx: DataFrame, results: DataFrame, cfg: EngineConfig) -> DataFrame:
@@ -325,7 +335,7 @@ def snapshot(spark: SparkSession, tx: DataFrame, results: DataFrame, feedback: D
         F.round(F.when(F.col("sn") > 0, F.col("ss").cast("double") / F.col("sn")).otherwise(0.0), 4).alias("avg_model_score"),
         F.round(F.coalesce(F.col("p95"), F.lit(0.0)), 2).alias("p95_latency_ms"),
         F.round(F.when(t > 0, (F.col("rv") + F.col("f")).cast("double") / t * 100).otherwise(0.0), 2)
-        .alias("false_positive_proxy_pct"),
+        .alias("false_positive_proxy_pct"), F.lit(MODEL_ERRORS).alias("model_error_count"),
         F.lit(cfg.risk_threshold).alias("risk_threshold"), F.coalesce(F.col("fb"), F.lit(0)).alias("feedback_count"))
     note = F.when(F.col("feedback_count") > 0,
                   F.format_string("%d analyst feedback entries recorded", F.col("feedback_count")))
@@ -354,6 +364,7 @@ def snapshot(spark: SparkSession, tx: DataFrame, results: DataFrame, feedback: D
         F.round(F.col("s_score").cast("double") / F.col("n_res"), 4).alias("avg_score"),
         F.round(F.col("n_fraud").cast("double") / F.col("n_res") * 100, 2).alias("high_risk_rate_pct"),
     ).orderBy(F.col("flagged_count").desc(), F.col("merchant")).limit(10)
+    flagged = materialize(recent_flagged(tx, results, cfg), "dashboard-flagged")  # 20 rows, read by two parts
     parts = [
         kp_rows,
         melt(hist, "score_distribution", "bucket_label", ["count"]),
@@ -361,7 +372,8 @@ def snapshot(spark: SparkSession, tx: DataFrame, results: DataFrame, feedback: D
         melt(trend, "trend", "minute_label", ["scanned", "flagged"]),
         melt(chan, "channel_matrix", "channel", ["Allow", "Block", "Challenge", "total"]),
         melt(mer, "top_risky_merchants", "merchant", ["flagged_count", "avg_score", "high_risk_rate_pct"]),
-        melt(recent_flagged(tx, results, cfg), "recent_flagged_transactions", "tranID", ["score"]),
+        melt(flagged, "recent_flagged_transactions", "tranID", ["score", "latency_ms"]),
+        melt_text(flagged, "recent_flagged_transactions", "tranID", ["event_time", "merchant", "channel", "action"]),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -46,6 +46,16 @@ def retrain_due(feedback: DataFrame, ts: str | None, cfg: EngineConfig) -> DataF
                     (F.col("feedback_count") >= cfg.feedback_retrain_threshold).alias("due"))
 
 
+def retrain_event(feedback: DataFrame, tx: DataFrame, ts: str | None, cfg: EngineConfig) -> DataFrame:
+    """The retrain event when the feedback since ``ts`` reaches the threshold and some of it is labelled, else no row."""
+    n = since(feedback, "created_at", ts).agg(F.count(F.lit(1)).alias("feedback_count"), F.max("created_at").alias("at"))
+    used = labeled_data(feedback, tx, ts).agg(F.count(F.lit(1)).alias("samples_used"))
+    both = n.join(F.broadcast(used)).where(  # one row each
+        (F.col("feedback_count") >= cfg.feedback_retrain_threshold) & (F.col("samples_used") > 0))
+    return both.select(F.lit("model_retrained").alias("event"),
+                       F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"), "samples_used", "feedback_count")
+
+
 def retrain_set(feedback: DataFrame, tx: DataFrame, ts: str | None, cfg: EngineConfig) -> DataFrame:
     """M4 (G5 fixed): labelled transactions since ``ts`` with the K1 features of their USER velocity
     window; the unsupervised refit uses the features, the label rides along."""

@@ -216,7 +216,7 @@ class Forest:
         return self._map(feats, column, "raw")
 
     def save(self, path: str, spark) -> None:
-        """Persist the node table and parameters (shared folder), so a restarted driver resumes."""
+        """Persist the node table and, last, the parameters: a folder without ``meta`` holds no model."""
         spark.createDataFrame(self.nodes, NODE_SCHEMA).write.mode("overwrite").parquet(f"{path}/nodes")
         spark.createDataFrame([(self.psi, self.offset, self.version, self.n_trees)],
                               "psi int, offset double, version string, n_trees int") \

@@ -11,34 +11,44 @@ ROUTES = ("fraud-alerts", "human-review", "approved-transactions")
 STATUSES = ("active", "paused", "completed", "draft")
 
 
-def _v(df: DataFrame, table: str, rule: str, key: str) -> DataFrame:
-    return df.select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"))
+def _flags(df: DataFrame, table: str, key: str, *flags: tuple) -> DataFrame:
+    """(table_name, rule, key) for each rule that holds for a row; one scan for all of them."""
+    found = F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(rule)) for rule, bad in flags]),
+                     lambda r: r.isNotNull())
+    return df.select(F.lit(table).alias("table_name"), F.explode(found).alias("rule"), F.col(key).cast("string").alias("key"))
 
 
 def constraint_violations(tx_log: DataFrame, results: DataFrame, feedback: DataFrame, experiments: DataFrame,
                           max_split: float = 0.5) -> DataFrame:
-    """Enum, range, NOT NULL, primary-key and foreign-key checks. PK duplicates come from a grouped
-    count, FKs from ``left_anti`` joins; the experiments table is configuration-sized."""
-    tx_keys = tx_log.select("transaction_id").distinct()
-    out = [
-        _v(tx_log.groupBy("transaction_id").count().where("count > 1"), "transactions", "pk_duplicate", "transaction_id"),
-        _v(tx_log.where(F.col("user_id").isNull() | F.col("amount").isNull() | F.col("event_time").isNull()),
-           "transactions", "not_null", "transaction_id"),
-        _v(results.where(~F.col("routed_to").isin(*ROUTES) | F.col("routed_to").isNull()),
-           "fraud_results", "routed_to_enum", "transaction_id"),
-        _v(results.join(tx_keys, "transaction_id", "left_anti"), "fraud_results", "fk_transaction", "transaction_id"),
-        _v(results.groupBy("transaction_id").count().where("count > 1"), "fraud_results", "pk_duplicate", "transaction_id"),
-        _v(feedback.where(~F.col("verdict").isin(*VERDICTS) | F.col("verdict").isNull()),
-           "analyst_feedback", "verdict_enum", "feedback_id"),
-        _v(feedback.join(tx_keys, "transaction_id", "left_anti"), "analyst_feedback", "fk_transaction", "feedback_id"),
-        _v(experiments.where(~F.col("status").isin(*STATUSES)), "ab_experiments", "status_enum", "experiment_id"),
-        _v(experiments.where((F.col("traffic_split") < 0) | (F.col("traffic_split") > max_split)),
-           "ab_experiments", "split_range", "experiment_id"),
-        _v(experiments.where(F.col("status") == "active").groupBy(F.lit(1).alias("g"))
-           .agg(F.count(F.lit(1)).alias("n"), F.min("experiment_id").alias("experiment_id")).where("n > 1"),
-           "ab_experiments", "one_active", "experiment_id"),
-    ]
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+    """Enum, range, NOT NULL, primary-key and foreign-key checks.
+
+    Each data table is read once for the checks of its own columns: keys are counted in an aggregate that also carries how
+    often each column check failed. Foreign keys of both referencing tables are one anti join against the keys."""
+    lost = F.col("user_id").isNull() | F.col("amount").isNull() | F.col("event_time").isNull()
+    tx = tx_log.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(lost).alias("lost"))
+    bad_route = F.col("routed_to").isNull() | ~F.col("routed_to").isin(*ROUTES)
+    res = results.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad_route).alias("routes"))
+    # as many rows of a rule as there are rows that break it
+    def times(n):
+        return F.explode(F.sequence(F.lit(1), n))
+
+    broken = _flags(tx, "transactions", "transaction_id", ("pk_duplicate", F.col("n") > 1)).unionByName(
+        tx.where("lost > 0").select(F.lit("transactions").alias("table_name"), F.lit("not_null").alias("rule"),
+                                    F.col("transaction_id").cast("string").alias("key"), times(F.col("lost"))).drop("col"))
+    broken = broken.unionByName(_flags(res, "fraud_results", "transaction_id", ("pk_duplicate", F.col("n") > 1))).unionByName(
+        res.where("routes > 0").select(F.lit("fraud_results").alias("table_name"), F.lit("routed_to_enum").alias("rule"),
+                                       F.col("transaction_id").cast("string").alias("key"), times(F.col("routes"))).drop("col"))
+    verdict = F.col("verdict").isNull() | ~F.col("verdict").isin(*VERDICTS)
+    broken = broken.unionByName(_flags(feedback, "analyst_feedback", "feedback_id", ("verdict_enum", verdict)))
+    refs = results.select(F.lit("fraud_results").alias("table_name"), F.col("transaction_id").cast("string").alias("key"),
+                          "transaction_id").unionByName(
+        feedback.select(F.lit("analyst_feedback").alias("table_name"), F.col("feedback_id").cast("string").alias("key"),
+                        "transaction_id"))
+    broken = broken.unionByName(refs.join(tx_log.select("transaction_id").distinct(), "transaction_id", "left_anti")
+                                .select("table_name", F.lit("fk_transaction").alias("rule"), "key"))
+    split = (F.col("traffic_split") < 0) | (F.col("traffic_split") > max_split)
+    broken = broken.unionByName(_flags(experiments, "ab_experiments", "experiment_id",
+                                       ("status_enum", ~F.col("status").isin(*STATUSES)), ("split_range", split)))
+    active = experiments.where(F.col("status") == "active").agg(F.count(F.lit(1)).alias("n"),
+                                                                F.min("experiment_id").alias("experiment_id"))
+    return broken.unionByName(_flags(active, "ab_experiments", "experiment_id", ("one_active", F.col("n") > 1)))

@@ -67,15 +67,23 @@ def iso_time(ts: str) -> Column:
 
 
 def py_float_str(x: Column) -> Column:
-    """str(float) for ordinary magnitudes (Spark's double-to-string agrees for 1e-3 <= |x| < 1e7)."""
-    return x.cast("double").cast("string")
+    """str(float) as Python prints it: plain digits for magnitudes from 1e-4 up to 1e16, else an exponent of two digits at
+    least. Both print the shortest digits that read back as the same double."""
+    d = x.cast("double")
+    s = d.cast("string")
+    plain = F.regexp_replace(F.regexp_replace(s.try_cast("decimal(38,20)").cast("string"), "0+$", ""), r"\.$", ".0")
+    power = F.substring_index(s, "E", -1).try_cast("int")
+    exponent = F.concat(F.regexp_replace(F.substring_index(s, "E", 1), r"\.0$", ""),
+                        F.when(power < 0, "e-").otherwise("e+"), F.format_string("%02d", F.abs(power)))
+    return (F.when(~s.contains("E"), s)
+            .when((F.abs(d) >= 1e-4) & (F.abs(d) < 1e16), plain).otherwise(exponent))
 
 
 def rule_score_map(reasons: Column) -> Column:
-    """Reason texts -> {text before the first ':' (trimmed): 1.0}; later duplicates win."""
+    """Reason texts -> {text before the first ':' (trimmed): 1.0}; of equal names one is left, at the first's place."""
     parts = F.transform(reasons, lambda r: F.split(r, ":", 2))
-    pairs = F.filter(parts, lambda p: F.size(p) == 2)
-    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.trim(p[0]).alias("k"), F.lit(1.0).alias("v"))))
+    names = F.array_distinct(F.transform(F.filter(parts, lambda p: F.size(p) == 2), lambda p: F.trim(p[0])))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.lit(1.0)))
 
 
 def rules_text(m: Column) -> Column:
@@ -126,7 +134,11 @@ def ring_prompt_lines(rings: DataFrame, members: DataFrame, tx: DataFrame, detec
     tx_lines = t.join(r.select("ring_id", F.col("shared_resource_type").alias("t"), F.col("shared_resource_id").alias("id")),
                       ["t", "id"]).select("ring_id", F.lit(3).alias("part"), epoch_ms("event_time").alias("k1"),
                                           F.col("transaction_id").alias("k2"), line.alias("line"))
-    return fixed_lines.unionByName(member_lines).unionByName(tx_lines)
+    with_tx = tx_lines.select("ring_id").distinct()
+    none = r.join(with_tx, "ring_id", "left_anti").select(
+        "ring_id", F.lit(3).alias("part"), F.lit(0).cast("bigint").alias("k1"), F.lit("").alias("k2"),
+        F.lit(RING_NO_TX).alias("line"))
+    return fixed_lines.unionByName(member_lines).unionByName(tx_lines).unionByName(none)
 
 
 def ring_narrative(rings: DataFrame) -> DataFrame:

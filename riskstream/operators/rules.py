@@ -93,6 +93,16 @@ class AmountRule:
         return hit(sev.isNotNull(), "high_window_amount", "HighWindowAmountRule", sev, F.lit("amt"), reason)
 
 
+def py_repr(text: Column) -> Column:
+    """A string as Python's repr prints it: in double quotes if it holds single ones only, else in single quotes."""
+    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for c, escape in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(c), F.lit(escape))
+    double = text.contains("'") & ~text.contains('"')
+    return F.when(double, F.concat(F.lit('"'), out, F.lit('"'))).otherwise(
+        F.concat(F.lit("'"), F.replace(out, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
 @dataclass(frozen=True)
 class BlacklistRule:
     """Needs a boolean column ``_blacklisted`` (see :func:`flag_blacklisted`)."""
@@ -103,7 +113,7 @@ class BlacklistRule:
         key = F.coalesce(F.col("dimension_key"), F.lit(""))
         return hit(F.coalesce(F.col("_blacklisted"), F.lit(False)), "blacklist", "BlacklistRule",
                    F.lit(self.cfg.blacklist_severity), F.lit("bl"),
-                   F.concat(F.lit("dimension_key '"), key, F.lit("' is blacklisted")))
+                   F.concat(F.lit("dimension_key "), py_repr(key), F.lit(" is blacklisted")))
 
 
 @dataclass(frozen=True)

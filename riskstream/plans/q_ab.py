@@ -31,6 +31,16 @@ def q_ab_assign(spark, sf):
     return ab.ab_assign(fx.fx_transactions(spark, sf), fx.experiments(spark), _versions(spark, sf), CFG)
 
 
+@query("ab_assign_fallback", with_fx(f"""
+SELECT transaction_id, {BUCKET_SQL} AS bucket,
+       CASE WHEN {BUCKET_SQL} < 2000 THEN 'challenger' ELSE 'control' END AS arm, 'v1.0' AS model_version,
+       'exp-001' AS experiment_id
+FROM fx_transactions""", "fx_transactions"))
+def q_ab_assign_fallback(spark, sf):
+    """L2: the challenger's model is not there, so its share gets the control model."""
+    return ab.ab_assign(fx.fx_transactions(spark, sf), fx.experiments(spark), ["v1.0"], CFG)
+
+
 _METRICS = """
 SELECT experiment_id, model_version, COUNT(*) AS total, COUNT(*) FILTER (WHERE coalesce(was_correct, false)) AS correct_count,
        CAST(SUM(latency_ms) AS DOUBLE) / COUNT(*) AS avg_latency_ms

@@ -22,6 +22,7 @@ SELECT t AS transactions_scanned,
        round(CASE WHEN sn > 0 THEN CAST(ss AS DOUBLE) / sn ELSE 0 END, 4) AS avg_model_score,
        round(coalesce(p95, 0), 2) AS p95_latency_ms,
        round(CASE WHEN t > 0 THEN CAST(rv + f AS DOUBLE) / t * 100 ELSE 0 END, 2) AS false_positive_proxy_pct,
+       CAST(0 AS BIGINT) AS model_error_count,
        {CFG.risk_threshold}::DOUBLE AS risk_threshold, f AS fraud_count, rv AS review_count, fb AS feedback_count
 FROM (SELECT (SELECT COUNT(*) FROM fx_transactions) AS t,
              (SELECT COUNT(*) FROM fx_fraud_results WHERE is_fraud) AS f,
@@ -206,9 +207,11 @@ def _snapshot_sql() -> str:
         ("trend", "minute_label", ["scanned", "flagged"], "minute_trend"),
         ("channel_matrix", "channel", ["Allow", "Block", "Challenge", "total"], "location_matrix"),
         ("top_risky_merchants", "merchant", ["flagged_count", "avg_score", "high_risk_rate_pct"], "top_risky_merchants"),
-        ("recent_flagged_transactions", "tranID", ["score"], "recent_flagged"),
+        ("recent_flagged_transactions", "tranID", ["score", "latency_ms"], "recent_flagged"),
     ]
     sql = [_melt_sql(p, i, m, ORACLES[q]) for p, i, m, q in parts]
+    sql += [f"SELECT 'recent_flagged_transactions', CAST(\"tranID\" AS VARCHAR), '{m}', CAST(NULL AS DOUBLE), "
+            f"CAST({m} AS VARCHAR) FROM ({ORACLES['recent_flagged']}) x" for m in ("event_time", "merchant", "channel", "action")]
     sql.append("SELECT 'state', '', 'state_note', CAST(NULL AS DOUBLE), CASE WHEN feedback_count > 0 THEN "
                "feedback_count || ' analyst feedback entries recorded' END FROM (" + ORACLES["dashboard_kpis"] + ") x")
     return "\nUNION ALL\n".join(sql)

@@ -104,3 +104,27 @@ FROM (SELECT f.verdict, coalesce(r.model_version, 'unknown') AS original_model_v
 GROUP BY original_model_version""", "fx_feedback", "fx_fraud_results"))
 def q_feedback_quality(spark, sf):
     return FB.feedback_quality(fx.fx_feedback(spark, sf), fx.fx_fraud_results(spark, sf))
+
+
+@query("feedback_submitted", with_fx("""
+SELECT f.feedback_id, f.transaction_id, f.verdict, coalesce(CAST(r.score AS DOUBLE), 0.0::DOUBLE) AS original_score,
+       coalesce(r.model_version, 'unknown') AS original_model_version, f.transaction_id AS message_key,
+       epoch_us(f.created_at) // 1000 AS dequeue_seq
+FROM fx_feedback f LEFT JOIN fx_fraud_results r USING (transaction_id)
+WHERE f.verdict IN ('true_positive', 'false_positive', 'false_negative')""", "fx_feedback", "fx_fraud_results"))
+def q_feedback_submitted(spark, sf):
+    """M2: the stored rows, with their messages' keys and the queue events that they cause."""
+    rows, messages, dequeue = FB.submit_feedback(fx.fx_feedback(spark, sf), fx.fx_fraud_results(spark, sf))
+    keys = messages.select(F.get_json_object("value", "$.feedback_id").alias("feedback_id"), F.col("key").alias("message_key"))
+    events = dequeue.select("transaction_id", F.col("seq").alias("dequeue_seq"))
+    return rows.join(keys, "feedback_id").join(events, "transaction_id").select(
+        "feedback_id", "transaction_id", "verdict", "original_score", "original_model_version", "message_key", "dequeue_seq")
+
+
+@query("retrain_event", with_fx(f"""
+SELECT 'model_retrained' AS event, strftime(max(created_at), '%Y-%m-%d %H:%M:%S.%f') AS timestamp,
+       (SELECT COUNT(*) FROM fx_feedback f JOIN fx_transactions t USING (transaction_id)) AS samples_used,
+       COUNT(*) AS feedback_count
+FROM fx_feedback HAVING COUNT(*) >= {CFG.feedback_retrain_threshold}""", "fx_feedback", "fx_transactions"))
+def q_retrain_event(spark, sf):
+    return FB.retrain_event(fx.fx_feedback(spark, sf), fx.fx_transactions(spark, sf), None, CFG)

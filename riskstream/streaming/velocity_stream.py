@@ -2,8 +2,8 @@
 
 One streaming aggregate serves all four dimensions (one state store). Sinks are written per
 micro-batch into a directory named by the batch id with overwrite, so a replayed batch after a
-failure rewrites the same files (idempotent, at-least-once source + deterministic sink = exactly-once
-results); the current table is the latest row per key across batches.
+failure rewrites the same files (idempotent; with the model state below it also computes the same rows);
+the current table is the latest row per key across batches.
 """
 
 from __future__ import annotations
@@ -125,59 +125,65 @@ def stream_velocity_windows(spark: SparkSession, sf_dir: str, cfg: EngineConfig,
     return latest_by_key(spark, f"{base}/sink", ALERT_KEYS).select(*ALERT_COLS)
 
 
+def batch_ids(spark: SparkSession, path: str, done: str = "") -> list[int]:
+    """The batch ids of the folders ``path/batch_id=N`` that have ``done`` in them, in order."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id=*/{done}".rstrip("/"))
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted(int(str(f.getPath()).split("batch_id=")[1].split("/")[0]) for f in found or [])
+
+
 @dataclass
 class ModelState:
     """I8/K5: online model policy across micro-batches (fit on earlier batches, score the current).
 
-    Features of every batch are appended (idempotently, by batch id) under ``features_path``; a fitted
-    forest is saved under ``model_path`` with the sample count it was fitted at, so a restarted driver
-    :meth:`resume`-s with the same model and counters."""
+    Everything is derived from two folders, so a restart or a replay of any batch gives the same result: features are
+    written by batch id, and a model fitted after batch ``b`` goes to a folder of its own, whose ``meta`` is written last
+    and makes it valid. Batch ``b`` is scored by the newest model of a batch before it, and fitted on the features of
+    batches up to it; neither depends on how often it ran."""
 
     cfg: EngineConfig
     features_path: str
-    model_path: str | None = None
-    forest: object | None = None
-    n_samples: int = 0
-    since_retrain: int = 0
-    versions: list = field(default_factory=list)
-
-    @classmethod
-    def resume(cls, spark: SparkSession, cfg: EngineConfig, features_path: str, model_path: str) -> "ModelState":
-        st = cls(cfg=cfg, features_path=features_path, model_path=model_path)
-        if not path_exists(spark, features_path):  # no batch yet
-            return st
-        st.n_samples = spark.read.parquet(features_path).count()
-        if path_exists(spark, f"{model_path}/state"):
-            st.forest = iforest.Forest.load(model_path, spark)
-            fitted_at = spark.read.parquet(f"{model_path}/state").first()["n_samples"]
-            st.since_retrain = st.n_samples - fitted_at
-            st.versions.append(st.forest.version)
-        else:  # no model yet
-            st.since_retrain = st.n_samples
-        return st
+    model_path: str
+    _loaded: dict = field(default_factory=dict)
+
+    def model_before(self, spark: SparkSession, batch_id: int) -> iforest.Forest | None:
+        """The model that scores batch ``batch_id``."""
+        ids = [i for i in batch_ids(spark, self.model_path, "meta/_SUCCESS") if i < batch_id]
+        if not ids:
+            return None
+        path = f"{self.model_path}/batch_id={ids[-1]}"
+        if ids[-1] not in self._loaded:
+            self._loaded = {ids[-1]: iforest.Forest.load(path, spark)}
+        return self._loaded[ids[-1]]
+
+    def samples(self, spark: SparkSession, first: int, last: int) -> int:
+        """Alerts in the batches from ``first`` to ``last``."""
+        if not batch_ids(spark, self.features_path):
+            return 0
+        return spark.read.parquet(self.features_path).where(F.col("batch_id").between(first, last)).count()
 
     def observe(self, spark: SparkSession, alerts: DataFrame, batch_id: int) -> None:
         feats = iforest.alert_features(alerts).select(*ALERT_KEYS, *iforest.FEATURES)
         feats.write.mode("overwrite").parquet(f"{self.features_path}/batch_id={batch_id}")
-        n = spark.read.parquet(f"{self.features_path}/batch_id={batch_id}").count()
-        self.n_samples += n
-        self.since_retrain += n
-        if iforest.should_retrain(self.n_samples, self.since_retrain, self.forest is not None, self.cfg):
-            hist = spark.read.parquet(self.features_path).withColumn(
-                "_k", F.concat_ws("|", *[F.col(c).cast("string") for c in ALERT_KEYS + ["batch_id"]]))
-            hist = hist.select("_k", F.col("txn_count_f").alias("txn_count"),
-                               F.col("total_amount_f").alias("total_amount"),
-                               F.lit(0).cast("bigint").alias("window_start"),
-                               (F.col("duration_min") * 60000).cast("bigint").alias("window_end"))
-            forest = iforest.fit(hist, self.cfg, "_k")
+        fitted = [i for i in batch_ids(spark, self.model_path, "meta/_SUCCESS") if i < batch_id]
+        last = fitted[-1] if fitted else -1
+        if iforest.should_retrain(self.samples(spark, 0, batch_id), self.samples(spark, last + 1, batch_id), bool(fitted),
+                                  self.cfg):
+            hist = spark.read.parquet(self.features_path).where(F.col("batch_id") <= batch_id)
+            forest = fit_features(hist.withColumn("_k", F.concat_ws("|", *[F.col(c).cast("string") for c in
+                                                                            ALERT_KEYS + ["batch_id"]])), self.cfg, "_k")
             if forest is not None:
-                self.forest = forest
-                self.since_retrain = 0
-                self.versions.append(forest.version)
-                if self.model_path:
-                    forest.save(self.model_path, spark)
-                    spark.createDataFrame([(self.n_samples,)], "n_samples long").write.mode("overwrite") \
-                        .parquet(f"{self.model_path}/state")
+                self._loaded.pop(batch_id, None)
+                forest.save(f"{self.model_path}/batch_id={batch_id}", spark)
+
+
+def fit_features(feats: DataFrame, cfg: EngineConfig, key: str) -> iforest.Forest | None:
+    """A forest fitted on rows that already have the K1 features."""
+    rows = feats.select(key, F.col("txn_count_f").alias("txn_count"), F.col("total_amount_f").alias("total_amount"),
+                        F.lit(0).cast("bigint").alias("window_start"),
+                        (F.col("duration_min") * 60000).cast("bigint").alias("window_end"))
+    return iforest.fit(rows, cfg, key)
 
 
 def scoring_sink(spark: SparkSession, out_path: str, cfg: EngineConfig, blacklist_path: str | None = None,
@@ -188,7 +194,7 @@ def scoring_sink(spark: SparkSession, out_path: str, cfg: EngineConfig, blacklis
     def handle(alerts: DataFrame, batch_id: int) -> None:
         bl = spark.read.parquet(blacklist_path) if blacklist_path else None
         rings = spark.read.parquet(rings_path) if rings_path else None
-        forest = model.forest if model is not None else None
+        forest = model.model_before(spark, batch_id) if model is not None else None
         scored = score_alerts(alerts, cfg, blacklist=bl, user_rings=rings,
                               ml_scorer=forest.scorer() if forest is not None else None,
                               model_version=forest.version if forest is not None else None)
@@ -201,31 +207,43 @@ def scoring_sink(spark: SparkSession, out_path: str, cfg: EngineConfig, blacklis
     return handle
 
 
-def retrain_trigger(spark: SparkSession, cfg: EngineConfig, state: dict):
-    """Per trigger (processingTime = retrain_check_seconds), count feedback since the last
-    retrain; at the threshold emit a retrain event row and move the mark. ``state`` holds the paths and
-    the mark; after a restart the mark is recovered from the event table."""
+def retrain_trigger(spark: SparkSession, cfg: EngineConfig, feedback_path: str, events_path: str, refit):
+    """Per trigger (processingTime = retrain_check_seconds), count the labels of the batches since the last
+    retrain; at the threshold refit on them and, if that gave a model, write a retrain event.
+
+    ``refit`` takes the labels (feedback rows) and returns a model or None. Labels are counted by the batch that brought
+    them, not by the time they carry, so one that arrives late counts once, and the mark is the newest event of a batch
+    before this one, so a replayed batch decides alike."""
 
     def handle(feedback: DataFrame, batch_id: int) -> None:
-        feedback.write.mode("overwrite").parquet(f"{state['feedback_path']}/batch_id={batch_id}")
-        allfb = spark.read.parquet(state["feedback_path"])
-        if "last_retrain" not in state:  # restarted driver: the mark is the newest event written
-            state["last_retrain"] = (
-                spark.read.parquet(state["events_path"]).agg(F.max("timestamp")).first()[0]
-                if path_exists(spark, state["events_path"]) else None)
-        mark = state.get("last_retrain")
-        recent = allfb if mark is None else allfb.where(F.col("created_at") > F.lit(mark).cast("timestamp_ntz"))
-        agg = recent.agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("t")).first()
-        if agg["n"] >= cfg.feedback_retrain_threshold:
-            ev = spark.createDataFrame(
-                [("model_retrained", str(agg["t"]), int(agg["n"]), int(agg["n"]))],
-                "event string, timestamp string, samples_used bigint, feedback_count bigint")
-            ev.write.mode("overwrite").parquet(f"{state['events_path']}/batch_id={batch_id}")
-            state["last_retrain"] = str(agg["t"])
+        feedback.write.mode("overwrite").parquet(f"{feedback_path}/batch_id={batch_id}")
+        earlier = [i for i in batch_ids(spark, events_path, "_SUCCESS") if i < batch_id]
+        labels = spark.read.parquet(feedback_path).where(
+            F.col("batch_id").between((earlier[-1] if earlier else -1) + 1, batch_id)).drop("batch_id")
+        agg = labels.agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("t")).first()
+        if agg["n"] < cfg.feedback_retrain_threshold or refit(labels) is None:
+            return
+        ev = spark.createDataFrame(
+            [("model_retrained", str(agg["t"]), int(agg["n"]), int(agg["n"]))],
+            "event string, timestamp string, samples_used bigint, feedback_count bigint")
+        ev.write.mode("overwrite").parquet(f"{events_path}/batch_id={batch_id}")
 
     return handle
 
 
+def refit_on_labels(spark: SparkSession, tx_path: str, cfg: EngineConfig, model_path: str):
+    """M4: a ``refit`` for :func:`retrain_trigger`: the forest of the labelled transactions' window features, saved."""
+    from riskstream.operators.feedback import retrain_set
+
+    def refit(labels: DataFrame) -> iforest.Forest | None:
+        forest = fit_features(retrain_set(labels, spark.read.parquet(tx_path), None, cfg), cfg, "transaction_id")
+        if forest is not None:
+            forest.save(f"{model_path}/{forest.version}", spark)
+        return forest
+
+    return refit
+
+
 def review_queue_sink(spark: SparkSession, log_path: str):
     """Append the micro-batch's review-queue events (items from the human-review stream,
     reviews from feedback) to an event log, idempotently by batch id; the pending queue is

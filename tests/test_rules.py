@@ -89,3 +89,30 @@ def test_tier_range_join_equals_when_chain(spark, alerts):
     b = {r["dimension_key"]: r["s"] for r in w.select("dimension_key", rules.VelocityRule(REFERENCE).severity()
                                                       .alias("s")).collect()}
     assert a == b
+
+
+def test_keys_are_quoted_as_python_does(spark):
+    from riskstream.operators.rules import py_repr
+
+    keys = ["plain", "it's", 'say "x"', "both ' and \"", "back\\slash", "tab\tline\n"]
+    got = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k string").select(py_repr(F.col("k"))).collect()]
+    assert got == [repr(k) for k in keys]
+
+
+def test_amounts_print_as_python_does(spark):
+    from riskstream.operators.render import py_float_str
+
+    xs = [0.0, 1.0, 12345678.5, 1e7, 99999999999.25, 1e15, 1e16, 1.5e300, 0.0005, 0.00012345, 1e-5, -2.5e7, 123.456, -1e-7]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(py_float_str(F.col("x"))).collect()]
+    assert got == [str(x) for x in xs]
+
+
+def test_rule_names_in_a_plain_session(spark):
+    from riskstream.operators.render import rule_score_map
+
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "EXCEPTION")
+    try:
+        df = spark.createDataFrame([(["a: 1", "b", "a: 2", "c : d:e"],)], "reasons array<string>")
+        assert df.select(rule_score_map(F.col("reasons"))).first()[0] == {"a": 1.0, "c": 1.0}
+    finally:
+        spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")

@@ -155,48 +155,80 @@ def test_json_sink_keeps_keys_and_is_idempotent(spark, workdir):
     assert got == {"t1": '{"transaction_id":"t1","score":0.5}', "t2": '{"transaction_id":"t2"}'}
     assert spark.read.json(out).count() == 2
 
-def test_online_model_across_batches(spark, workdir):
-    """I8/K5: the scorer fits after min_training_samples alerts and scores later batches with it."""
-    from riskstream.config import REFERENCE
 
+def test_online_model_across_batches(spark, workdir):
+    """I8/K5: the scorer fits after min_training_samples alerts and scores later batches with it; a replayed batch or a
+    restarted driver gives equal models, counts and rows."""
     cfg = REFERENCE.with_(min_training_samples=50, retrain_interval=100, n_trees=10)
-    rows = [("USER", "1h", f"u{i}", 30 + i % 7, 100.0 + i, 0, 3_600_000) for i in range(120)]
+    rows = [("USER", "1h", f"u{i}", 30 + i % 7, 100.0 + i, 0, 3_600_000) for i in range(180)]
     schema = ("dimension string, window_size string, dimension_key string, txn_count bigint, total_amount double, "
               "window_start bigint, window_end bigint")
-    model = vs.ModelState(cfg=cfg, features_path=os.path.join(workdir, "feat"), model_path=os.path.join(workdir, "m"))
-    out = os.path.join(workdir, "scored")
+    feat, models, out = (os.path.join(workdir, x) for x in ("feat", "m", "scored"))
+    batches = [spark.createDataFrame(rows[i:i + 60], schema) for i in (0, 60, 120)]
+    model = vs.ModelState(cfg, feat, models)
     sink = vs.scoring_sink(spark, out, cfg, model=model)
-    sink(spark.createDataFrame(rows[:60], schema), 0)
-    assert model.forest is not None and len(model.versions) == 1
-    sink(spark.createDataFrame(rows[60:], schema), 1)
-    b1 = spark.read.parquet(f"{out}/batch_id=1")
-    assert {r[0] for r in b1.select("model_version").distinct().collect()} == {model.versions[0]}
-    assert model.since_retrain == 60  # 60 new samples, below the retrain interval
-    again = vs.ModelState.resume(spark, cfg, os.path.join(workdir, "feat"), os.path.join(workdir, "m"))
-    assert again.forest.version == model.versions[0] and again.n_samples == 120 and again.since_retrain == 60
+    assert model.model_before(spark, 0) is None
+
+    def scored(b):
+        return sorted(map(tuple, spark.read.parquet(f"{out}/batch_id={b}").collect()), key=repr)
+
+    for b, df in enumerate(batches):
+        sink(df, b)
+    first = model.model_before(spark, 1).version
+    assert {r[0] for r in spark.read.parquet(f"{out}/batch_id=1").select("model_version").distinct().collect()} == {first}
+    assert vs.batch_ids(spark, models, "meta/_SUCCESS") == [0, 2]  # 60, then 120 since the first fit
+    assert model.model_before(spark, 2).version == first != model.model_before(spark, 3).version
+    before = [scored(b) for b in range(3)]
+    again = vs.ModelState(cfg, feat, models)  # a restarted driver, and every batch once more
+    sink = vs.scoring_sink(spark, out, cfg, model=again)
+    for b in (2, 0, 1, 2):
+        sink(batches[b], b)
+    assert [scored(b) for b in range(3)] == before
+    assert again.samples(spark, 0, 2) == 180 and vs.batch_ids(spark, models, "meta/_SUCCESS") == [0, 2]
+
+
+def test_model_folder_without_meta_is_ignored(spark, workdir):
+    models = os.path.join(workdir, "m")
+    spark.range(1).write.parquet(f"{models}/batch_id=4/nodes")
+    assert vs.ModelState(REFERENCE, os.path.join(workdir, "f"), models).model_before(spark, 9) is None
 
 
 def test_retrain_trigger(spark, workdir):
     import datetime as dt
 
-    from riskstream.config import REFERENCE
-
     cfg = REFERENCE.with_(feedback_retrain_threshold=3)
-    state = {"feedback_path": os.path.join(workdir, "fb"), "events_path": os.path.join(workdir, "ev")}
-    h = vs.retrain_trigger(spark, cfg, state)
-    t = dt.datetime(2024, 1, 1)
+    fb, ev = os.path.join(workdir, "fb"), os.path.join(workdir, "ev")
+    t, fits = dt.datetime(2024, 1, 1), []
     mk = lambda ids: spark.createDataFrame(
         [(f"f{i}", t + dt.timedelta(minutes=i)) for i in ids], "feedback_id string, created_at timestamp_ntz")
-    h(mk([1, 2]), 0)
-    assert state["last_retrain"] is None
-    h(mk([3]), 1)
-    ev = spark.read.parquet(state["events_path"]).first()
-    assert ev["event"] == "model_retrained" and ev["feedback_count"] == 3 and state["last_retrain"]
-    h(mk([4]), 2)  # one new label since the retrain: below the threshold again
-    assert spark.read.parquet(state["events_path"]).count() == 1
-    restarted = {k: v for k, v in state.items() if k != "last_retrain"}  # driver restart: mark recovered
-    vs.retrain_trigger(spark, cfg, restarted)(mk([5]), 3)
-    assert spark.read.parquet(state["events_path"]).count() == 1 and restarted["last_retrain"] == state["last_retrain"]
+
+    def refit(labels):
+        fits.append(sorted(r["feedback_id"] for r in labels.collect()))
+        return "model" if len(fits) != 1 else None
+
+    h = vs.retrain_trigger(spark, cfg, fb, ev, refit)
+    h(mk([10, 20]), 0)
+    assert fits == []
+    h(mk([30]), 1)  # the first fit fails: no event
+    assert fits == [["f10", "f20", "f30"]] and vs.batch_ids(spark, ev) == []
+    h(mk([5]), 2)  # a late label, older than all others, counts
+    assert fits[1] == ["f10", "f20", "f30", "f5"]
+    e = spark.read.parquet(ev).first()
+    assert e["event"] == "model_retrained" and e["feedback_count"] == e["samples_used"] == 4
+    h(mk([40]), 3)
+    h(mk([5]), 2)  # a replay: the same decision and one event
+    assert len(fits) == 3 and fits[2] == fits[1] and spark.read.parquet(ev).count() == 1
+    vs.retrain_trigger(spark, cfg, fb, ev, refit)(mk([1, 2]), 4)  # a restarted driver goes on from the event's batch
+    assert fits[3] == ["f1", "f2", "f40"] and spark.read.parquet(ev).count() == 2
+
+
+def test_refit_uses_the_labels_windows(spark, workdir):
+    tx_path = os.path.join(workdir, "tx")
+    fx.fx_transactions(spark, SF_SMALL).write.parquet(tx_path)
+    cfg = DAILY.with_(min_training_samples=20, n_trees=5)
+    forest = vs.refit_on_labels(spark, tx_path, cfg, os.path.join(workdir, "m"))(fx.fx_feedback(spark, SF_SMALL))
+    assert forest is not None and forest.nodes["tree"].nunique() == 5
+    assert vs.iforest.Forest.load(os.path.join(workdir, "m", forest.version), spark).version == forest.version
 
 
 def test_dashboard_refresh_sink(spark, workdir):

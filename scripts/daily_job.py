@@ -6,8 +6,9 @@ Writes (parquet, overwrite):
   alerts/          velocity alerts, partitioned by window day
   scored_alerts/   scored alerts (reasons as text), partitioned by routing
   rings/           shared-resource rings;  ring_members/  membership;  user_best_ring/
+  fraud_results/   one result per transaction inside an alerting window
   dashboard/       the dashboard snapshot (long form)
-With ``--cores`` the session is sized by ``cluster_conf`` from the input size.
+With ``--cores`` the session is sized by ``cluster_conf`` from ``--input-bytes``.
 """
 
 from __future__ import annotations
@@ -40,12 +41,16 @@ def run(spark, src: str, out: str, cfg) -> dict:
     best.write.mode("overwrite").parquet(f"{out}/user_best_ring")
     bl = state.set_from_log(fx.fx_blacklist_ops(spark, src))
     scored = scoring.score_alerts(alerts, cfg, blacklist=bl, user_rings=spark.read.parquet(f"{out}/user_best_ring"))
+    scored = materialize(scored, "job-scored")  # read by the write and the results
     scored.select(*velocity.ALERT_COLS, "score", "routing", F.array_join("reasons", " | ").alias("reasons")) \
         .write.mode("overwrite").partitionBy("routing").parquet(f"{out}/scored_alerts")
-    dashboard.snapshot(spark, tx, fx.fx_fraud_results(spark, src), fx.fx_feedback(spark, src),
+    results = scoring.fraud_results(tx, scored, cfg, spark.read.parquet(f"{out}/user_best_ring"))
+    results.write.mode("overwrite").parquet(f"{out}/fraud_results")
+    results = spark.read.parquet(f"{out}/fraud_results")
+    dashboard.snapshot(spark, tx, results, fx.fx_feedback(spark, src),
                        fx.fx_ab_metrics(spark, src), cfg).write.mode("overwrite").parquet(f"{out}/dashboard")
     return {name: spark.read.parquet(f"{out}/{name}").count()
-            for name in ["alerts", "scored_alerts", "rings", "ring_members", "user_best_ring", "dashboard"]}
+            for name in ["alerts", "scored_alerts", "rings", "ring_members", "user_best_ring", "fraud_results", "dashboard"]}
 
 
 def main() -> None:
@@ -54,12 +59,11 @@ def main() -> None:
     ap.add_argument("output_dir")
     ap.add_argument("--profile", choices=["daily", "reference"], default="daily")
     ap.add_argument("--cores", type=int, default=0)
+    ap.add_argument("--input-bytes", type=int, default=0, help="size of the input, for --cores")
     a = ap.parse_args()
     conf = {}
     if a.cores:
-        size = sum(os.path.getsize(os.path.join(a.input_dir, f)) for f in os.listdir(a.input_dir)
-                   if os.path.isfile(os.path.join(a.input_dir, f)))
-        conf = cluster_conf(size, a.cores)
+        conf = cluster_conf(a.input_bytes, a.cores)
     spark = build_session(None if a.cores else "local[*]", app="riskstream-daily-job", **conf)
     checkpoint_dir(spark)
     print(run(spark, a.input_dir, a.output_dir, DAILY if a.profile == "daily" else REFERENCE))

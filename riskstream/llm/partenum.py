@@ -1,3 +1,4 @@
+
 """Similarity join of word-shingle sets by PartEnum signatures, and its connected components.
 
 Two sets whose Jaccard similarity is at least ``percent`` differ in at most (a + b) * (100 - p) / (100 + p) elements, and
@@ -9,11 +10,12 @@ those of empty partitions, and those that very many different sets share. To kee
 frequent within a task's input are left out of the first level's partitions.
 
 A set for which more than ``slack`` signatures would have to go is taken to the next level, together with all other such
-sets, where the domain is dealt by another hash and no shingle is left out; the last level sets nothing aside and so
-finds every pair that is left. No case is dropped at any level.
+sets, where the domain is dealt by another hash and no shingle is left out. There large groups are not set aside: groups
+with common members are one family, whose members are compared block by block. The last level takes the few sets that
+have too many empty partitions, and uses those as signatures too. No case is dropped at any level.
 
 Only components are asked for, so a signature group is not expanded into pairs: first each member is compared with one
-member, the one that shares most signatures; the links found are contracted, and only pairs of members still in different
+member, the one that shares most signatures; the links found are contracted, and only members still in different
 components are compared after that. Every comparison is exact, on the sets of 64-bit shingle hashes.
 
 Copies: texts with equal sets are one set throughout. Defined results: null and empty texts and those without words have
@@ -25,27 +27,43 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+
 from functools import reduce
+
 from itertools import chain
 
 import numpy as np
+
+import pandas as pd
+
 import pyarrow as pa
+
 from pyspark.sql import DataFrame
+
 from pyspark.sql import functions as F
 
-from riskstream.llm.common import materialize, ship_package
+from riskstream.llm.common import materialize, packed, ship_package, unpacked
+
 from riskstream.llm.components import components
 
 SHINGLE = 5
+
 PERCENT = 80
+
 #: A shingle is frequent if this many documents among about WINDOW shingles of one task have it.
 FREQUENT, WINDOW = 8, 1 << 22
+
 FREQUENT_MAX = 1 << 20  # entries of the list; what is beyond it only costs time
-#: Different sets in a group from which on its signature is set aside, but for the last level.
+
+#: Sets in a group that are compared pair by pair; larger groups are set aside at the first level, families after it.
 GROUP = 32
+
+BLOCK, COLUMNS = 1024, 4096
+
 LEVELS = 3
 
 _U = np.uint64
+
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F],
                  _U)
 
@@ -263,8 +281,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> Dat
     return materialize(both.select("a", "b", (100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).alias("ok")), name)
 
 
-def _candidates(rows: DataFrame, sets: DataFrame, percent: int, last: bool) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) among the sets that share signatures, and the sets for which too many groups were set aside."""
+def _candidates(rows: DataFrame, sets: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) among the sets that share signatures, and the sets that the next level has to look at again."""
     groups = rows.where("meta >= 0")
     sizes = groups.groupBy("sig").agg(F.count("*").alias("m"))
     degree = groups.join(sizes, "sig").groupBy("set").agg(F.sum("m").alias("degree"))
@@ -279,18 +297,67 @@ def _candidates(rows: DataFrame, sets: DataFrame, percent: int, last: bool) -> t
     open_groups = (placed.groupBy("sig").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                    .where("lo != hi").select("sig", "m"))
     rest = materialize(placed.join(open_groups, "sig"), "pe-open")
-    near = rest if last else rest.where(F.col("m") <= GROUP)
+    near = rest.where(F.col("m") <= GROUP)
     u, v = (near.select("sig", F.col("set").alias(s), F.col("comp").alias(f"c{s}")) for s in "ab")
     cross = (u.join(v, "sig").where("a < b and ca != cb").select("a", "b").distinct()
              .join(star, ["a", "b"], "left_anti"))
     second = _verified(cross, sets, percent, "pe-cross-ok")
     links = links.unionByName(second.where("ok").select("a", "b"))
-    stuck = rows.where("meta < 0").select("set")
-    if not last:
-        over = (rest.where(F.col("m") > GROUP).groupBy("set", F.expr("meta DIV 256").alias("instance"))
+    stuck, large = rows.where("meta < 0").select("set"), rest.where(F.col("m") > GROUP)
+    if level:
+        links = links.unionByName(_families(large, sets, percent))
+    else:
+        over = (large.groupBy("set", F.expr("meta DIV 256").alias("instance"))
                 .agg(F.count("*").alias("aside"), F.min(F.col("meta") % 256 - 1).alias("room")))
-        stuck = stuck.unionByName(over.where("aside > room").select("set")).distinct()
-    return links, stuck
+        stuck = stuck.unionByName(over.where("aside > room").select("set"))
+    return links, stuck.distinct()
+
+
+def _block_links(percent: int):
+    """Compare the members of block i with those of block j of a family, by a product of their membership matrices, and
+    give a link for each two components that it joins."""
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        i, j = group["i"].iloc[0], group["j"].iloc[0]
+        group = group.sort_values("set")
+        x, y = group[group["block"] == i], group[group["block"] == j]
+        items = [np.asarray(s, np.int64) for s in (x["items"] if i == j else chain(x["items"], y["items"]))]
+        values, at, times = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+        shared = np.cumsum(times > 1) - 1  # columns of items that more than one member has
+        owner = np.repeat(np.arange(len(items)), [len(s) for s in items])[times[at] > 1]
+        column = shared[at[times[at] > 1]]
+        common = np.zeros((len(x), len(y)), np.float32)
+        for first in range(0, int((times > 1).sum()), COLUMNS):
+            here = (column >= first) & (column < first + COLUMNS)
+            m = np.zeros((len(items), COLUMNS), np.float32)
+            m[owner[here], column[here] - first] = 1
+            common += m[:len(x)] @ (m if i == j else m[len(x):]).T
+        size = np.array([len(s) for s in items])
+        union = size[:len(x), None] + (size if i == j else size[len(x):])[None, :] - common
+        a, b = np.nonzero(100 * common >= percent * union)
+        found = pd.DataFrame({"a": x["set"].to_numpy()[a], "b": y["set"].to_numpy()[b],
+                              "ca": x["comp"].to_numpy()[a], "cb": y["comp"].to_numpy()[b]})
+        return found[found["ca"] != found["cb"]].drop_duplicates(["ca", "cb"])[["a", "b"]]
+
+    return compare
+
+
+def _families(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components among sets that share signatures of large groups. Groups that have members in common
+    are one family, so that two sets are compared once however many groups they share; a family is cut into blocks of
+    about ``BLOCK`` sets, and each two blocks are one task's work."""
+    if large.isEmpty():
+        return sets.sparkSession.createDataFrame([], "a long, b long")
+    family = components(large, "set", "sig")
+    member = (large.select("set", "comp").distinct().join(family, F.col("set") == F.col("node"))
+              .select("set", "comp", F.col("label").alias("family")))
+    sized = member.groupBy("family").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    member = (member.join(sized, "family").withColumn("block", F.pmod(F.xxhash64("set"), "blocks").cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    member = member.select("family", "set", "comp", "block", F.least("block", "other").alias("i"),
+                           F.greatest("block", "other").alias("j"))
+    return materialize(member.join(sets, "set").groupBy("family", "i", "j")
+                       .applyInPandas(_block_links(percent), "a long, b long"), "pe-family-links")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -318,11 +385,11 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
                        .dropDuplicates(["set"]), "pe-sets")
     found = []
     for level in range(LEVELS):
-        links, stuck = _candidates(rows, sets, percent, level == LEVELS - 1)
+        links, stuck = _candidates(rows, sets, percent, level)
         found.append(materialize(links, "pe-links"))
         if level == LEVELS - 1:
             break
-        stuck = materialize(stuck.distinct(), "pe-stuck")
+        stuck = materialize(stuck, "pe-stuck")
         if stuck.isEmpty():
             break
         again = sets.join(stuck, "set")
@@ -360,9 +427,10 @@ def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = (placed.groupBy("comp", "row_key", "text_key").agg(F.count("*").alias("times")).join(top, "comp")
             .withColumn("stays", (F.col("row_key") == F.col("top.row_key")) & (F.col("text_key") == F.col("top.text_key"))))
     rows = materialize(rows.where("not stays or times > 1").select("row_key", "text_key", "stays"), "pe-others")
-    keys, d = ["row_key", "text_key"], keyed(docs)
+    needed, keys = ["doc_id", "text"], ["row_key", "text_key"]
+    d = keyed(packed(docs, needed))
     out = d.join(rows.select(keys), keys, "left_anti")
     again = rows.where("stays")  # repeated rows, of which one stays
     if not again.isEmpty():
         out = out.unionByName(d.join(again.select(keys), keys, "left_semi").dropDuplicates(keys))
-    return out.select(*docs.columns)
+    return unpacked(out, docs, needed)

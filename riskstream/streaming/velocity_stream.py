@@ -282,15 +282,26 @@ REVIEW_STATE = "last_review long, item_seqs array<long>, item_scores array<doubl
 REVIEW_OUT = "transaction_id string, pending boolean, position long, score double, last_seq long"
 
 
+#: How late an event may be: for so long, in event time, the state of a transaction without pending items is kept.
+REVIEW_TTL_MS = 30 * 86_400_000
+
+
 def _review_step(key, pdfs, state):
     """Per transaction: fold this micro-batch's events into the key's state, in any arrival order.
 
     State = the last review's seq and the item arrivals after it (deduplicated by seq). A review drops
     the arrivals it covers; the queue position is the earliest remaining arrival and the payload the
     latest one — the batch operator's rule, so late, reordered or replayed events give the same result.
-    The state holds only arrivals since the key's last review."""
+    The state holds only arrivals since the key's last review, and goes when nothing is pending and its newest event is
+    ``REVIEW_TTL_MS`` old; a transaction that waits for review keeps its state however long that takes."""
     import pandas as pd
 
+    if state.hasTimedOut:
+        if state.get[1]:
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + REVIEW_TTL_MS)
+        else:
+            state.remove()
+        return
     if state.exists:
         last_review, seqs, scores = state.get
         items = dict(zip([int(x) for x in seqs], scores))
@@ -307,6 +318,8 @@ def _review_step(key, pdfs, state):
             items[int(k)] = None if v != v else v  # NaN -> None
     order = sorted(k for k in items if k > last_review)
     state.update((last_review, order, [items[k] for k in order]))
+    newest = max([last_review] + order)
+    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 1)  # the watermark is REVIEW_TTL_MS behind
     pending = bool(order)
     yield pd.DataFrame({"transaction_id": [key[0]], "pending": [pending],
                         "position": [order[0] if pending else None],
@@ -316,13 +329,15 @@ def _review_step(key, pdfs, state):
 
 def review_queue_stateful(events: DataFrame) -> DataFrame:
     """I6 as a stateful streaming operator: ``applyInPandasWithState`` keyed by transaction id keeps
-    one small state per key (bounded, not per event) and emits the key's queue status on every change
+    one small state per key (bounded, not per event; removed some time after its last review) and emits the key's queue status on every change
     (update mode). The pending queue is ``where(pending)`` ordered by position."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     from riskstream.session import ship_package
 
     ship_package(events.sparkSession)
-    e = events.select("transaction_id", F.col("seq").cast("long"), "kind", F.col("score").cast("double"))
+    e = events.select("transaction_id", F.col("seq").cast("long"), "kind", F.col("score").cast("double"),
+                      F.timestamp_millis(F.col("seq").cast("long")).alias("at")).withWatermark(
+        "at", f"{REVIEW_TTL_MS // 1000} seconds")
     return e.groupBy("transaction_id").applyInPandasWithState(
-        _review_step, REVIEW_OUT, REVIEW_STATE, "update", GroupStateTimeout.NoTimeout)
+        _review_step, REVIEW_OUT, REVIEW_STATE, "update", GroupStateTimeout.EventTimeTimeout)

@@ -268,9 +268,21 @@ def test_review_queue_stateful_equals_batch(spark, workdir):
 
 
 class _State:
+    hasTimedOut = False
+    timeout = None
+
     def __init__(self):
         self.value = None
 
+    def setTimeoutTimestamp(self, ms):
+        self.timeout = ms
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+    def remove(self):
+        self.value = None
+
     @property
     def exists(self):
         return self.value is not None
@@ -297,8 +309,13 @@ def test_review_state_order_insensitive():
     assert out["position"] == 10 and out["score"] == 0.7
     out = step(st, [("t1", 20, "review", None)])                     # late review between the two
     assert out["pending"] and out["position"] == 30 and out["score"] == 0.7
+    st.hasTimedOut = True  # nobody looked at it for long: it stays
+    assert list(vs._review_step(("t1",), iter([]), st)) == [] and st.exists and st.timeout == vs.REVIEW_TTL_MS
+    st.hasTimedOut = False
     out = step(st, [("t1", 40, "review", None)])
     assert not out["pending"] and out["position"] is None
+    st.hasTimedOut = True
+    assert list(vs._review_step(("t1",), iter([]), st)) == [] and not st.exists
 
 
 def test_parse_iso_variants(spark):

@@ -92,7 +92,7 @@ def _context(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = total[:BUCKETS * DIM]
     total = total.reshape(BUCKETS, DIM)
     used = np.flatnonzero(np.abs(total).sum(axis=1))
-    yield pd.DataFrame({"bucket": used, "vector": list(total[used])})
+    yield pd.DataFrame({"bucket": used, "vector": pd.Series([v.tolist() for v in total[used]], dtype=object)})
 
 
 def pooled(text: str, vectors: np.ndarray) -> np.ndarray:
@@ -158,7 +158,8 @@ class Network:
 def _pool(vectors):
     def pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"y": b["y"], "x": [pooled(t, vectors.value) for t in b["text"]]})
+            yield pd.DataFrame({"y": b["y"], "x": pd.Series([pooled(t, vectors.value).tolist() for t in b["text"]],
+                                                            dtype=object)})
 
     return pool
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riskstream.session import checkpoint_dir, materialize, ship_package
 from riskstream.sources.tables import load_table
 
-__all__ = ["WORD", "SPACES", "ascii_lower", "documents", "materialize", "ship_package", "word_count", "partitions", "checkpoint_path", "packed", "unpacked"]
+__all__ = ["WORD", "SPACES", "ascii_lower", "documents", "materialize", "ship_package", "word_count", "partitions", "checkpoint_path", "packed", "unpacked", "slices"]
 
 #: A word, and what separates words: the six ASCII white-space characters only.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,3 +49,11 @@ def packed(docs: DataFrame, needed: list[str]) -> DataFrame:
 def unpacked(df: DataFrame, docs: DataFrame, needed: list[str]) -> DataFrame:
     """The columns of ``docs`` from what was ``packed``."""
     return df.select(*[F.col(c) if c in needed else F.col("packed_row").getField(c).alias(c) for c in docs.columns])
+
+
+def slices(batches, size: int):
+    """Arrow record batches cut to about ``size`` bytes, so that what a task holds at once does not follow Spark's batches."""
+    for b in batches:
+        step = max(1, b.num_rows * size // (b.nbytes + 1))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)

@@ -1,4 +1,3 @@
-
 """Similarity join of word-shingle sets by PartEnum signatures, and its connected components.
 
 Two sets whose Jaccard similarity is at least ``percent`` differ in at most (a + b) * (100 - p) / (100 + p) elements, and
@@ -27,43 +26,29 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-
 from functools import reduce
-
 from itertools import chain
 
 import numpy as np
-
 import pandas as pd
-
 import pyarrow as pa
-
 from pyspark.sql import DataFrame
-
 from pyspark.sql import functions as F
 
 from riskstream.llm.common import materialize, packed, ship_package, unpacked
-
 from riskstream.llm.components import components
 
 SHINGLE = 5
-
 PERCENT = 80
-
 #: A shingle is frequent if this many documents among about WINDOW shingles of one task have it.
-FREQUENT, WINDOW = 8, 1 << 22
-
+FREQUENT, WINDOW = 8, 1 << 21
 FREQUENT_MAX = 1 << 20  # entries of the list; what is beyond it only costs time
-
 #: Sets in a group that are compared pair by pair; larger groups are set aside at the first level, families after it.
 GROUP = 32
-
 BLOCK, COLUMNS = 1024, 4096
-
 LEVELS = 3
 
 _U = np.uint64
-
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F],
                  _U)
 
@@ -77,35 +62,105 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    import xxhash
+def _inverse(x: int) -> int:
+    return pow(x, -1, 1 << 64)
 
-    words = [t.encode().lower().split() for t in texts]  # of bytes: A-Z only, and the six white-space characters
-    hashed = {w: xxhash.xxh3_64_intdigest(w) for w in set().union(*words)}
-    lengths = [len(w) for w in words]
-    flat = np.fromiter(map(hashed.__getitem__, chain.from_iterable(words)), _U, sum(lengths))
-    n = max(0, len(flat) - SHINGLE + 1)
-    runs = mixed(sum((flat[j:j + n] * _MULT[j] for j in range(SHINGLE)), np.zeros(n, _U)))
-    out, at = [], 0
-    for size in lengths:
-        if size >= SHINGLE:
-            out.append(np.unique(runs[at:at + size - SHINGLE + 1]))
-        elif size:
-            w = flat[at:at + size]
-            out.append(mixed((w * _MULT[:size]).sum(keepdims=True, dtype=_U) + _U(size)))
-        else:
-            out.append(np.zeros(0, _U))
-        at += size
-    return out
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base^2, ... modulo 2^64."""
+    out = np.ones(1, _U)
+    step = base
+    while len(out) < n:
+        out = np.concatenate([out, out * _U(step)])
+        step = step * step & (2 ** 64 - 1)
+    return out[:n]
+
+
+_BASE = 0x9E3779B97F4A7C15
+_LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
+_WORD = np.array([i not in b"\x20\x09\x0a\x0b\x0c\x0d" for i in range(256)])
+
+
+class Sets:
+    """The distinct shingle hashes of some texts: ``items``, sorted within each text, and how many each has."""
+
+    def __init__(self, items: np.ndarray, sizes: np.ndarray):
+        self.items, self.sizes = items, sizes
+        self.stops = np.cumsum(sizes)
+        self.starts = self.stops - sizes
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sums of the items' values by text, modulo 2^64."""
+        c = np.concatenate([np.zeros(1, _U), np.cumsum(values, dtype=_U)])
+        return c[self.stops] - c[self.starts]
 
-def set_id(s: np.ndarray) -> int:
-    """A 64-bit hash of a set."""
-    return int(mixed(np.array([mixed(s ^ _MULT[1]).sum(dtype=_U) ^ _U(len(s))], _U))[0].astype(np.int64))
+    def ids(self) -> np.ndarray:
+        """A 64-bit hash of each set."""
+        return mixed(self.sums(mixed(self.items ^ _MULT[1])) ^ self.sizes.astype(_U)).astype(np.int64)
 
+    def take(self, which: np.ndarray) -> Sets:
+        keep = np.repeat(which, self.sizes)
+        return Sets(self.items[keep], self.sizes[which])
 
-def _slices(b: pa.RecordBatch, size: int = 256) -> Iterator[pa.RecordBatch]:
+    def lists(self) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], self.stops]).astype(np.int32)),
+                                        pa.array(self.items.astype(np.int64)))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of all texts one after the other, and how many words each has.
+
+    A word's hash is the polynomial of its bytes, A-Z lowered, from running sums over all bytes of the texts."""
+    texts = pa.concat_arrays([texts]).cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    offsets = offsets - offsets[0]
+    inside = np.zeros(len(data) + 2, bool)  # a place before and one after the bytes
+    inside[1:-1] = _WORD[data]
+    first = inside[1:-1] & ~inside[:-2]
+    last = inside[1:-1] & ~inside[2:]
+    edge = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]  # a word ends with its text
+    first[edge] |= inside[1:-1][edge]
+    last[edge - 1] |= inside[1:-1][edge - 1]
+    starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
+    sums = np.zeros(len(data) + 1, _U)
+    np.cumsum((_LOWER[data].astype(_U) + _U(1)) * _powers(_BASE, len(data)), out=sums[1:])
+    hashes = (sums[stops] - sums[starts]) * _powers(_inverse(_BASE), len(data) + 1)[starts]
+    return mixed(hashes), np.diff(np.searchsorted(starts, offsets))
+
+
+def shingle_sets(texts: pa.Array) -> Sets:
+    """The sets of the texts; a text of fewer words than a shingle is one shingle."""
+    flat, lengths = word_hashes(texts)
+    stops = np.cumsum(lengths)
+    counts = np.where(lengths >= SHINGLE, lengths - SHINGLE + 1, np.minimum(lengths, 1))
+    n = max(0, len(flat) - SHINGLE + 1)
+    runs = mixed(sum((flat[j:j + n] * _MULT[j] for j in range(SHINGLE)), np.zeros(n, _U)))
+    starts = stops - lengths
+    ends = np.cumsum(counts)
+    at = np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+    short = np.repeat((lengths > 0) & (lengths < SHINGLE), counts)
+    items = np.zeros(len(at), _U)
+    items[~short] = runs[at[~short]]
+    items[short] = [mixed((w * _MULT[:len(w)]).sum(keepdims=True, dtype=_U) + _U(len(w)))[0]
+                    for w in (flat[a:z] for a, z in zip(starts, stops) if 0 < z - a < SHINGLE)]
+    for a, z in zip(ends - counts, ends):
+        items[a:z].sort()
+    new = np.ones(len(items), bool)
+    new[1:] = items[1:] != items[:-1]
+    new[(ends - counts)[counts > 0]] = True
+    sizes = np.zeros(len(counts), np.int64)
+    if len(items):
+        c = np.concatenate([[0], np.cumsum(new)])
+        sizes = c[ends] - c[ends - counts]
+    return Sets(items[new], sizes)
+
+
+SLICE_BYTES = 1 << 20  # of texts handled at once, about
+
+
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    size = max(1, b.num_rows * SLICE_BYTES // (b.nbytes + 1))
     for i in range(0, b.num_rows, size):
         yield b.slice(i, size)
 
@@ -130,10 +185,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for b in _slices(batch):
-            sets = shingle_sets(b.column("text").to_pylist())
-            yield rows(row_key=b.column("row_key"), text_key=b.column("text_key"), doc_id=b.column("doc_id"), n=[len(s) for s in sets], set=[set_id(s) for s in sets])
-            held += sets
-            size += sum(map(len, sets))
+            sets = shingle_sets(b.column("text"))
+            yield rows(row_key=b.column("row_key"), text_key=b.column("text_key"), doc_id=b.column("doc_id"),
+                       n=sets.sizes, set=sets.ids())
+            held.append(sets.items)
+            size += len(sets.items)
             if size >= WINDOW:
                 yield frequent()
                 held, size = [], 0
@@ -166,43 +222,51 @@ def instances(size: int, percent: int) -> list[tuple[int, int, int]]:
     return sized
 
 
-def signatures(s: np.ndarray, me: int, level: int, percent: int, frequent: np.ndarray, last: bool):
-    """(signatures, meta) of a set; meta is the instance * 256 plus the signatures that may still be set aside plus 1.
-
-    A set that has more empty partitions than slack gets one more signature of its own, with meta -1."""
-    whole = s
-    if len(frequent) and len(s):
-        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-        whole = s[frequent[at] != s]
-    sigs, metas, stuck = [], [], False
-    for number, parts, slack in instances(len(s), percent):
-        salt = _U((number * 0x9E3779B97F4A7C15 + (level + 1) * 0xC2B2AE3D27D4EB4F) & (2 ** 64 - 1))
-        h = mixed(whole ^ salt)
-        p = ((h >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
-        order = np.argsort(p, kind="stable")
-        sums = np.concatenate([np.zeros(1, _U), np.cumsum(mixed(h)[order], dtype=_U)])
-        stops = np.cumsum(np.bincount(p, minlength=parts))
-        starts = np.concatenate([[0], stops[:-1]])
-        full = np.ones(parts, bool) if last else stops > starts
-        left = slack - int((stops == starts).sum())
-        sigs.append(mixed((sums[stops] - sums[starts])[full] + mixed(np.flatnonzero(full).astype(_U) + salt)))
-        metas.append(np.full(int(full.sum()), number * 256 + min(max(left, -1), 200) + 1))
-        stuck |= left < 0
-    if stuck and not last:
-        sigs.append(mixed(np.array([me], np.int64).astype(_U) ^ _MULT[4]))
-        metas.append(np.array([-1]))
-    return np.concatenate(sigs), np.concatenate(metas)
+def signatures(sets: Sets, ids: np.ndarray, level: int, percent: int, frequent: np.ndarray, last: bool):
+    """(signature, set, meta) rows of non-empty sets as arrays; meta is the instance * 256 plus the signatures that may
+    still be set aside plus 1. A set that has more empty partitions than slack gets one more signature of its own, with
+    meta -1."""
+    plan = [(i, *x) for i, n in enumerate(sets.sizes.tolist()) for x in instances(n, percent)]
+    which, number, parts, slack = (np.array(x, np.int64) for x in zip(*plan))
+    whole = sets
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, sets.items), len(frequent) - 1)
+        rare = frequent[at] != sets.items
+        c = np.concatenate([[0], np.cumsum(rare)])
+        whole = Sets(sets.items[rare], c[sets.stops] - c[sets.starts])
+    salt = number.astype(_U) * _U(0x9E3779B97F4A7C15) + _U((level + 1) * 0xC2B2AE3D27D4EB4F & (2 ** 64 - 1))
+    base = np.cumsum(parts) - parts  # of each instance's cells among all
+    sizes = whole.sizes[which]
+    at = np.repeat(whole.starts[which] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    h = mixed(whole.items[at] ^ np.repeat(salt, sizes))
+    cell = ((h >> _U(32)) * np.repeat(parts, sizes).astype(_U) >> _U(32)).astype(np.int64) + np.repeat(base, sizes)
+    h, cells = mixed(h), int(parts.sum())
+    held = np.bincount(cell, minlength=cells)
+    low = np.bincount(cell, (h & _U(0xFFFFFFFF)).astype(float), cells)  # exact: below 2^53
+    high = np.bincount(cell, (h >> _U(32)).astype(float), cells)
+    place = np.arange(cells) - np.repeat(base, parts)
+    sig = mixed(low.astype(_U) + (high.astype(_U) << _U(32)) + mixed(place.astype(_U) + np.repeat(salt, parts)))
+    empty = held == 0
+    left = slack - np.add.reduceat(empty, base, dtype=np.int64)
+    meta = np.repeat(number * 256 + np.clip(left, -1, 200) + 1, parts)
+    owner = np.repeat(ids[which], parts)
+    if last:
+        return sig, owner, meta
+    stuck = np.unique(ids[which][left < 0])
+    return (np.concatenate([sig[~empty], mixed(stuck.astype(_U) ^ _MULT[4])]), np.concatenate([owner[~empty], stuck]),
+            np.concatenate([meta[~empty], np.full(len(stuck), -1)]))
 
 
 SIGNED = "sig long, set long, meta int"
 
 
-def _signed(sets: list[tuple[int, np.ndarray]], level, percent, frequent, last) -> pa.RecordBatch:
-    parts = [(*signatures(s, me, level, percent, frequent, last), me) for me, s in sets if len(s)]
-    sig = np.concatenate([p[0] for p in parts] or [np.zeros(0, _U)]).astype(np.int64)
-    meta = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)]).astype(np.int32)
-    me = np.repeat(np.array([p[2] for p in parts], np.int64), [len(p[0]) for p in parts])
-    return pa.RecordBatch.from_pydict({"sig": sig, "set": me, "meta": meta})
+def _signed(sets: Sets, ids: np.ndarray, level, percent, frequent, last) -> pa.RecordBatch:
+    some = sets.sizes > 0
+    if not some.any():
+        return pa.RecordBatch.from_pydict({"sig": pa.array([], pa.int64()), "set": pa.array([], pa.int64()),
+                                           "meta": pa.array([], pa.int32())})
+    sig, me, meta = signatures(sets.take(some), ids[some], level, percent, frequent, last)
+    return pa.RecordBatch.from_pydict({"sig": sig.astype(np.int64), "set": me, "meta": meta.astype(np.int32)})
 
 
 def _sign_texts(frequent, percent):
@@ -210,10 +274,14 @@ def _sign_texts(frequent, percent):
         seen = set()  # copies within the task's input
         for batch in batches:
             for b in _slices(batch):
-                sets = [(set_id(s), s) for s in shingle_sets(b.column("text").to_pylist())]
-                new = {me: s for me, s in sets if me not in seen}
-                seen.update(new)
-                yield _signed(list(new.items()), 0, percent, frequent.value, False)
+                sets = shingle_sets(b.column("text"))
+                ids = sets.ids()
+                new = np.zeros(len(ids), bool)
+                for i, me in enumerate(ids.tolist()):
+                    if me not in seen:
+                        seen.add(me)
+                        new[i] = True
+                yield _signed(sets.take(new), ids[new], 0, percent, frequent.value, False)
 
     return sign
 
@@ -224,8 +292,9 @@ def _sign_sets(level, percent, last):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in _slices(batch):
-                sets = [x.values.to_numpy().astype(_U) for x in b.column("items")]
-                yield _signed(list(zip(b.column("set").to_pylist(), sets)), level, percent, none, last)
+                lists = b.column("items")
+                sets = Sets(lists.flatten().to_numpy().astype(_U), lists.value_lengths().to_numpy().astype(np.int64))
+                yield _signed(sets, b.column("set").to_numpy(), level, percent, none, last)
 
     return sign
 
@@ -266,10 +335,10 @@ ITEMS = "set long, items array<long>"
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in _slices(batch):
-            sets = shingle_sets(b.column("text").to_pylist())
-            keep = [(me, s.astype(np.int64)) for me, s in zip(b.column("set").to_pylist(), sets) if set_id(s) == me]
-            yield pa.RecordBatch.from_pydict({"set": pa.array([k for k, _ in keep], pa.int64()),
-                                              "items": pa.array([s for _, s in keep], pa.list_(pa.int64()))})
+            sets = shingle_sets(b.column("text"))
+            own = sets.ids() == b.column("set").to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column("set").filter(pa.array(own)), sets.take(own).lists()],
+                                             names=["set", "items"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:

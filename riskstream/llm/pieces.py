@@ -31,8 +31,8 @@ from riskstream.llm.common import ship_package
 from riskstream.llm.piecetable import SPACE, code_points, equal_lengths, gather, piece_table
 
 UNKNOWN_PENALTY = 10.0
-SLICE_BYTES = 4 << 20  # of texts encoded at once, about
-CACHE = 500_000  # stretches remembered by a Python worker, of at most STRETCH characters
+SLICE_BYTES = 2 << 20  # of texts encoded at once, about
+CACHE = 150_000  # stretches remembered by a Python worker, of at most STRETCH characters
 STRETCH = 40
 
 _CODECS: dict[str, Codec] = {}
@@ -200,7 +200,7 @@ class Codec:
         """The ids of all texts one after the other, and how many each has."""
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
-        odd = pc.match_substring_regex(texts, f"  |\\x00|{SPACE}|^$")
+        odd = pc.match_substring_regex(texts, f"  |^ |\\x00|{SPACE}|^$")
         if not (self.cut_words and self.cut_lines):
             odd = pc.or_(odd, True)
         cut = pc.binary_join_element_wise(SPACE, pc.replace_substring(pc.replace_substring(

@@ -143,10 +143,10 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with every secret replaced; n_chars, if there, follows the text."""
+    """``docs`` with every secret replaced; n_chars, if there, follows the texts that change."""
     ship_package(docs.sparkSession)
-    out = docs.withColumn("text", _on_series(_redact)(F.col("text")))
+    out = docs.withColumn("text", F.struct(F.col("text").alias("was"), _on_series(_redact)(F.col("text")).alias("now")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars"))
-                             .otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col("text.was") != F.col("text.now"), F.length("text.now"))
+                             .otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.withColumn("text", F.col("text.now")).select(*docs.columns)

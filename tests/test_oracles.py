@@ -62,7 +62,7 @@ def test_model_queries_against_their_alerts(spark, name):
     alerts = E.queries()["alert_features"](spark, SF_SMALL)
     if name == "iforest_fit":
         trees = df.groupBy("tree").agg(
-            F.count_if("feature < 0").alias("leaves"), F.count_if("feature >= 0").alias("inner"),
+            F.count_if(F.col("feature") < 0).alias("leaves"), F.count_if(F.col("feature") >= 0).alias("inner"),
             F.sum(F.when(F.col("feature") < 0, F.col("size"))).alias("rows"), F.max("depth").alias("depth")).collect()
         psi = min(DAILY.max_samples, alerts.count())
         assert len(trees) == DAILY.n_trees

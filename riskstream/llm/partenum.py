@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskstream.llm.common import materialize, packed, ship_package, unpacked
+from riskstream.session import discard
 from riskstream.llm.components import components
 
 SHINGLE = 5
@@ -46,6 +47,7 @@ FREQUENT_MAX = 1 << 20  # entries of the list; what is beyond it only costs time
 #: Sets in a group that are compared pair by pair; larger groups are set aside at the first level, families after it.
 GROUP = 32
 BLOCK, COLUMNS = 1024, 4096
+BITS = 512  # of a set's bitmap
 LEVELS = 3
 
 _U = np.uint64
@@ -102,6 +104,15 @@ class Sets:
         keep = np.repeat(which, self.sizes)
         return Sets(self.items[keep], self.sizes[which])
 
+    def bits(self) -> pa.Array:
+        """A bitmap of each set as 64-bit integers, in which each element turns one bit over: two bitmaps differ in no more
+        bits than the sets differ in elements."""
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        at = (mixed(self.items ^ _MULT[2]) % _U(BITS)).astype(np.int64) + owner * BITS
+        odd = (np.bincount(at, minlength=len(self.sizes) * BITS) & 1).astype(np.uint8)
+        words = np.packbits(odd).view(np.int64)
+        return pa.FixedSizeListArray.from_arrays(pa.array(words), BITS // 64).cast(pa.list_(pa.int64()))
+
     def lists(self) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], self.stops]).astype(np.int32)),
                                         pa.array(self.items.astype(np.int64)))
@@ -329,7 +340,7 @@ def _shared_rows(signed: DataFrame, name: str) -> DataFrame:
     return materialize(signed.repartition("sig").sortWithinPartitions("sig", "set").mapInArrow(_shared, SIGNED), name)
 
 
-ITEMS = "set long, items array<long>"
+ITEMS = "set long, items array<long>, bits array<long>"
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,17 +348,29 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batch):
             sets = shingle_sets(b.column("text"))
             own = sets.ids() == b.column("set").to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column("set").filter(pa.array(own)), sets.take(own).lists()],
-                                             names=["set", "items"])
+            mine = sets.take(own)
+            yield pa.RecordBatch.from_arrays([b.column("set").filter(pa.array(own)), mine.lists(), mine.bits()],
+                                             names=["set", "items", "bits"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """``pairs`` (a, b) with ok, whether the sets are similar, as a table."""
+    """The similar ones of ``pairs`` (a, b), as a table.
+
+    Sizes and bitmaps rule most pairs out before whole sets are brought together: similar sets differ in at most
+    (n + m) * (100 - p) / (100 + p) elements, and their bitmaps in no more bits."""
+    light = sets.select("set", F.size("items").alias("n"), "bits")
+    x = light.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    y = light.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    apart = " + ".join(f"bit_count(xa[{i}] ^ xb[{i}])" for i in range(BITS // 64))
+    near = pairs.join(x, "a").join(y, "b").where(
+        (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        & (F.expr(apart) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)))
+    near = materialize(near.select("a", "b"), f"{name}-near")
     x = sets.select(F.col("set").alias("a"), F.col("items").alias("x"))
     y = sets.select(F.col("set").alias("b"), F.col("items").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").select(
+    both = near.join(x, "a").join(y, "b").select(
         "a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("i"))
-    return materialize(both.select("a", "b", (100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).alias("ok")), name)
+    return materialize(both.where(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b"), name)
 
 
 def _candidates(rows: DataFrame, sets: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame]:
@@ -358,8 +381,7 @@ def _candidates(rows: DataFrame, sets: DataFrame, percent: int, level: int) -> t
     hubs = groups.join(degree, "set").groupBy("sig").agg(F.max(F.struct("degree", "set")).alias("top"))
     star = materialize(groups.join(hubs, "sig").where("set != top.set").select(
         F.least("set", "top.set").alias("a"), F.greatest("set", "top.set").alias("b")).distinct(), "pe-star")
-    first = _verified(star, sets, percent, "pe-star-ok")
-    links = first.where("ok").select("a", "b")
+    links = _verified(star, sets, percent, "pe-star-ok")
     label = components(links, "a", "b")
     placed = groups.join(label, groups["set"] == label["node"], "left").select(
         "sig", "set", "meta", F.coalesce("label", "set").alias("comp"))
@@ -370,8 +392,7 @@ def _candidates(rows: DataFrame, sets: DataFrame, percent: int, level: int) -> t
     u, v = (near.select("sig", F.col("set").alias(s), F.col("comp").alias(f"c{s}")) for s in "ab")
     cross = (u.join(v, "sig").where("a < b and ca != cb").select("a", "b").distinct()
              .join(star, ["a", "b"], "left_anti"))
-    second = _verified(cross, sets, percent, "pe-cross-ok")
-    links = links.unionByName(second.where("ok").select("a", "b"))
+    links = links.unionByName(_verified(cross, sets, percent, "pe-cross-ok"))
     stuck, large = rows.where("meta < 0").select("set"), rest.where(F.col("m") > GROUP)
     if level:
         links = links.unionByName(_families(large, sets, percent))
@@ -425,7 +446,7 @@ def _families(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
     member = member.select("family", "set", "comp", "block", F.least("block", "other").alias("i"),
                            F.greatest("block", "other").alias("j"))
-    return materialize(member.join(sets, "set").groupBy("family", "i", "j")
+    return materialize(member.join(sets.select("set", "items"), "set").groupBy("family", "i", "j")
                        .applyInPandas(_block_links(percent), "a long, b long"), "pe-family-links")
 
 
@@ -459,11 +480,13 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
         if level == LEVELS - 1:
             break
         stuck = materialize(stuck, "pe-stuck")
+        discard(rows)
         if stuck.isEmpty():
             break
-        again = sets.join(stuck, "set")
+        again = sets.select("set", "items").join(stuck, "set")
         last = level + 1 == LEVELS - 1
         rows = _shared_rows(again.mapInArrow(_sign_sets(level + 1, percent, last), SIGNED), "pe-rows")
+    discard(sets)
     return own, reduce(DataFrame.unionByName, found)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riskstream.session import checkpoint_dir, materialize, ship_package
 from riskstream.sources.tables import load_table
 
-__all__ = ["WORD", "SPACES", "ascii_lower", "documents", "materialize", "ship_package", "word_count", "partitions", "checkpoint_path", "packed", "unpacked", "slices"]
+__all__ = ["WORD", "SPACES", "ascii_lower", "documents", "materialize", "ship_package", "word_count", "partitions", "checkpoint_path", "packed", "unpacked", "slices", "table"]
 
 #: A word, and what separates words: the six ASCII white-space characters only.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,3 +57,19 @@ def slices(batches, size: int):
         step = max(1, b.num_rows * size // (b.nbytes + 1))
         for i in range(0, b.num_rows, step):
             yield b.slice(i, step)
+
+
+#: Rows that go to a Python worker at once where a table of whole texts is written.
+BATCH_ROWS = 3000
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """``materialize`` with small Arrow batches: the texts that the JVM and a worker hold at once stay few. The session's
+    own setting is put back."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        return materialize(df, name)
+    finally:
+        conf.set(key, before)

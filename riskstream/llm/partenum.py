@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskstream.llm.common import materialize, packed, ship_package, unpacked
+from riskstream.llm.common import materialize, packed, ship_package, table, unpacked
 from riskstream.session import discard
 from riskstream.llm.components import components
 
@@ -337,7 +337,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared_rows(signed: DataFrame, name: str) -> DataFrame:
-    return materialize(signed.repartition("sig").sortWithinPartitions("sig", "set").mapInArrow(_shared, SIGNED), name)
+    return table(signed.repartition("sig").sortWithinPartitions("sig", "set").mapInArrow(_shared, SIGNED), name)
 
 
 ITEMS = "set long, items array<long>, bits array<long>"
@@ -461,7 +461,7 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
     spark = docs.sparkSession
     ship_package(spark)
     d = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    read = materialize(d.select("row_key", "text_key", "doc_id", "pe_text").withColumnRenamed("pe_text", "text")
+    read = table(d.select("row_key", "text_key", "doc_id", "pe_text").withColumnRenamed("pe_text", "text")
                        .mapInArrow(_read, READ), "pe-read")
     d = d.select("row_key", F.col("pe_text").alias("text"))
     often = (read.where("times is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
@@ -471,7 +471,7 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
     own = read.where("set is not null").select("row_key", "text_key", "doc_id", "n", "set")
     wanted = materialize(own.join(rows.select("set").distinct(), "set").groupBy("set")
                          .agg(F.min("row_key").alias("row_key")), "pe-wanted")
-    sets = materialize(d.join(wanted, "row_key").select("set", "text").mapInArrow(_items, ITEMS)
+    sets = table(d.join(wanted, "row_key").select("set", "text").mapInArrow(_items, ITEMS)
                        .dropDuplicates(["set"]), "pe-sets")
     found = []
     for level in range(LEVELS):

@@ -1,12 +1,12 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a small network with calibrated outputs.
 
 A token's index vector has ``NONZERO`` entries of plus or minus one at places given by its hash. Its word vector is the sum
-of the index vectors of the tokens within ``WINDOW`` places of it, over the fitting texts; tokens share ``BUCKETS`` vectors
-by hash, so the table has a fixed size. A document is the mean of its tokens' word vectors, each of length one, with three
+of the index vectors of the tokens within ``WINDOW`` places of it, over the texts of all documents, labelled or not; tokens
+share ``BUCKETS`` vectors by hash, so the table has a fixed size. A document is the mean of its tokens' word vectors, each of length one, with three
 measures of its length, variety and repetition. A network of two layers, trained in numpy, gives a logit, and a temperature that
 minimizes the loss on rows kept aside turns it into a probability.
 
-Vectors and network are fitted on at most about ``SAMPLE`` labelled rows, chosen by a hash of the id, outside the held-out
+The network is fitted on at most about ``SAMPLE`` labelled rows, chosen by a hash of the id, outside the held-out
 part; every document is scored, over its whole text. Language, source, id and labels are no inputs of a score.
 
 Defined results: a null text counts as empty; a text without tokens has the zero vector and is scored like any other;
@@ -30,7 +30,7 @@ from riskstream.llm.common import materialize, ship_package
 
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 64, 4, 2
 SAMPLE = 20_000
-FIT_PARTS = 8  # tasks that add up vectors, each with a table of its own
+FIT_PARTS = 8  # tasks that pool the labelled rows
 HIDDEN, STEPS, RATE, BATCH, DECAY = 32, 3000, 0.005, 256, 1e-4
 ASIDE = 5  # one fitting row in so many is kept for the temperature
 THRESHOLD = 0.7
@@ -174,10 +174,11 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_of: int = 4, held_out: int
     share = min(1.0, SAMPLE / max(1, mine.count()))
     chosen = mine.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select(
         F.col("doc_id").alias("label_id"), "y")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts.join(
         F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))  # SAMPLE rows, about, by choice
     rows = materialize(rows.select("doc_id", "text", "y").repartition(FIT_PARTS, "doc_id"), "quality-fit")
-    sums = rows.select("text").coalesce(FIT_PARTS).mapInPandas(_context, "bucket int, vector array<double>")
+    sums = texts.select("text").mapInPandas(_context, "bucket int, vector array<double>")
     total = np.zeros((BUCKETS, DIM))
     for r in sums.groupBy("bucket").agg(*[F.sum(F.get("vector", F.lit(i))).alias(f"v{i}") for i in range(DIM)]).collect():
         total[r.bucket] = r[1:]  # BUCKETS rows at most

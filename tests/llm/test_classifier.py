@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 
 from riskstream.llm import classifier as C
 
@@ -57,3 +58,16 @@ def test_edges(spark, edges, clashing, nothing):
     equal = rows(C.quality(clashing, some)) == rows(C.quality(edges, some))
     assert equal
     assert C.quality(nothing, labels).count() == 0
+
+
+def test_word_vectors_come_from_all_documents(spark):
+    docs, labels, _ = corpus(spark, 40)
+    more = [f"zeta{i} eta{i % 3} theta{i % 5} unlabelled" for i in range(30)]
+    every = docs.unionAll(spark.createDataFrame([(1000 + i, t, "en", "s", 0) for i, t in enumerate(more)], docs.schema))
+    vectors, _ = C.fit(every, labels)
+    sums = pd.concat(C._context([every.select("text").toPandas()]))
+    want = np.zeros((C.BUCKETS, C.DIM))
+    want[sums["bucket"]] = np.stack(sums["vector"])
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(vectors.value, want, atol=1e-6)
+    assert np.abs(vectors.value[C.buckets("unlabelled")]).sum() > 0

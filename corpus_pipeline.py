@@ -33,8 +33,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids) of each document of the mix."""
-    return pieces.encoded(docs, vocabulary("piece_bpe_32k.model"))
+    """(doc_id, ids) of each document of the mix; the ids are decoded and compared with the text."""
+    return pieces.encoded(docs, vocabulary("piece_bpe_32k.model"), check=True)
 
 
 STAGES = [
@@ -42,7 +42,7 @@ STAGES = [
     ("n-gram Jaccard join", near_duplicates),
     ("secret scans", secret_scans),
     ("mixing sources to target weights", mix_sources),
-    ("SentencePiece encoding", encode_pieces),
+    ("SentencePiece encoding and decoding", encode_pieces),
 ]
 
 #: The perplexity model, the signatures and the piece search are beyond SQL.

@@ -235,12 +235,16 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(i, step)
 
 
-def _encoder(vocabulary: str):
+def _encoder(vocabulary: str, check: bool = False):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
         for b in _slices(batches):
             ids, lengths = c.encode_many(b.column("text"))
             stops = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            if check:
+                for a, z, doc_id, text in zip(stops, stops[1:], b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                    if (c.decode(ids[a:z].tolist()) if z > a else "") != text:
+                        raise ValueError(f"the ids of document {doc_id} do not decode to its text")
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.ListArray.from_arrays(pa.array(stops), pa.array(ids.astype(np.int32)))],
                 names=["doc_id", "ids"])
@@ -272,9 +276,9 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, ids) of each document."""
-    return _texts(docs).mapInArrow(_encoder(vocabulary), "doc_id long, ids array<int>")
+def encoded(docs: DataFrame, vocabulary: str, check: bool = False) -> DataFrame:
+    """(doc_id, ids) of each document; with ``check`` the ids are decoded too, and the job fails if a text does not come back."""
+    return _texts(docs).mapInArrow(_encoder(vocabulary, check), "doc_id long, ids array<int>")
 
 
 def decoded(pieces: DataFrame, vocabulary: str) -> DataFrame:

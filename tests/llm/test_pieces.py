@@ -77,3 +77,13 @@ def test_operator(edges, clashing, nothing):
     equal = rows(back) == sorted(((i, t or "") for i, t, *_ in edge_rows()), key=repr)
     assert equal
     assert P.encoded(nothing, path).count() == 0
+
+
+def test_checked_encoding_decodes_its_ids(monkeypatch):
+    path = vocabulary("piece_bpe_32k.model")
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(TEXTS)), pa.int64()), "text": pa.array(TEXTS, pa.string())})
+    plain, checked = (pa.Table.from_batches(P._encoder(path, check)([batch])) for check in (False, True))
+    assert checked == plain
+    monkeypatch.setattr(P.Codec, "decode", lambda self, ids: "x")
+    with pytest.raises(ValueError, match="do not decode"):
+        list(P._encoder(path, True)([batch]))

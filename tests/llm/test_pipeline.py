@@ -36,3 +36,7 @@ def test_stages_keep_columns_and_take_nothing(spark, edges, clashing, nothing):
         assert P.STAGES[-1][1](spark, docs, SF).columns == ["doc_id", "ids"]
     for _, stage in P.STAGES:
         assert stage(spark, nothing, SF).count() == 0
+
+
+def test_last_stage_is_named_as_dealt():
+    assert P.STAGES[-1][0] == "SentencePiece encoding and decoding"

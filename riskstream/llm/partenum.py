@@ -457,7 +457,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(row_key, text_key, doc_id, n, set) of each document, and the links (a, b) that join the similar sets."""
+    """(row_key, text_key, doc_id, n, set) of each document, and links (a, b) enough to join the similar sets: not all."""
     spark = docs.sparkSession
     ship_package(spark)
     d = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))

@@ -242,9 +242,9 @@ def _encoder(vocabulary: str, check: bool = False):
             ids, lengths = c.encode_many(b.column("text"))
             stops = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             if check:
-                for a, z, doc_id, text in zip(stops, stops[1:], b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                    if (c.decode(ids[a:z].tolist()) if z > a else "") != text:
-                        raise ValueError(f"the ids of document {doc_id} do not decode to its text")
+                for a, z, doc_id, text in zip(stops, stops[1:], b.column("doc_id"), b.column("text")):  # one at a time
+                    if (c.decode(ids[a:z].tolist()) if z > a else "") != text.as_py():
+                        raise ValueError(f"the ids of document {doc_id.as_py()} do not decode to its text")
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.ListArray.from_arrays(pa.array(stops), pa.array(ids.astype(np.int32)))],
                 names=["doc_id", "ids"])

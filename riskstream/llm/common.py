@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskstream.session import checkpoint_dir, materialize, ship_package
+from riskstream.session import checkpoint_dir, discard, materialize, ship_package
 from riskstream.sources.tables import load_table
 
-__all__ = ["WORD", "SPACES", "ascii_lower", "documents", "materialize", "ship_package", "word_count", "partitions", "checkpoint_path", "packed", "unpacked", "slices", "table"]
+__all__ = ["WORD", "SPACES", "ascii_lower", "discard", "documents", "materialize", "ship_package", "word_count", "partitions", "checkpoint_path", "packed", "unpacked", "slices", "table"]
 
 #: A word, and what separates words: the six ASCII white-space characters only.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,12 +63,12 @@ def slices(batches, size: int):
 BATCH_ROWS = 3000
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
     """``materialize`` with small Arrow batches: the texts that the JVM and a worker hold at once stay few. The session's
     own setting is put back."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(key)
-    conf.set(key, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
     try:
         return materialize(df, name)
     finally:

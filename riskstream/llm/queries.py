@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskstream.llm import arrow_tokens, classifier, lattice, mixing, partenum, pieces, quality, secrets, sketch, warc
+from riskstream.llm import arrow_tokens, classifier, hard_negatives, lattice, mixing, partenum, pieces, quality, secrets, sketch, warc
 from riskstream.llm.common import documents
 from riskstream.sources.tables import load_table
 
@@ -179,3 +179,30 @@ def op2_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_random_indexing")
 def op9_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality(documents(spark, sf_dir), load_table(spark, sf_dir, "labels"))
+
+
+#: Rows that repeat another count once, as in the operator; all anchors meet all rows.
+NEGATIVES_SQL = """
+WITH r AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label, embedding
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM r),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    COALESCE(list_sum(list_transform(range(1, least(len(a.v), len(b.v)) + 1), lambda i: a.v[i] * b.v[i])), 0)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id IS DISTINCT FROM b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id NULLS LAST) <= 5)
+SELECT anchor_id, positive_id,
+  row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+@_query("op12_strassen_negatives", NEGATIVES_SQL)
+def op12_strassen_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load_table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskstream.llm import arrow_tokens, classifier, hard_negatives, lattice, mixing, partenum, pieces, quality, secrets, sketch, warc
+from riskstream.llm import arrow_tokens, classifier, hard_negatives, lattice, licenses, mixing, partenum, pieces, prefix_trie, quality, secrets, sketch, warc
 from riskstream.llm.common import documents
 from riskstream.sources.tables import load_table
 
@@ -206,3 +206,65 @@ def op12_strassen_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.col("label").cast("long")
     vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
     return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+#: Unsigned CRC-32, bit by bit.
+_CRC_SQL = """xor(list_reduce(list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT), lambda crc, byte:
+    list_reduce(range(8), lambda r, i: xor(r >> 1, 3988292384 * (r & 1)), xor(crc, byte)), 4294967295::BIGINT), 4294967295::BIGINT)"""
+
+#: Every prefix of every conversation, and each node beside all nodes below it: for small tables only.
+TRIE_SQL = """
+WITH t AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT *, sha256(length(role)::VARCHAR || ':' || role || text) AS k FROM t),
+o AS (SELECT conv_id, list(k ORDER BY turn NULLS FIRST, k) AS seq, list(length(text) ORDER BY turn NULLS FIRST, k) AS chars FROM k GROUP BY 1),
+h AS (SELECT *, ({crc} % 6)::INTEGER AS h FROM o),
+r AS (SELECT h.conv_id, list_concat(COALESCE(b.seq, [])[1:h], h.seq[h + 1:]) AS seq, list_concat(COALESCE(b.chars, [])[1:h], h.chars[h + 1:]) AS chars
+  FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 100),
+d AS (SELECT conv_id, seq, chars, unnest(range(0, len(seq) + 1)) AS d FROM r),
+n AS (SELECT seq[1:d] AS p, d, min(conv_id) AS conv_id, count(*) AS n_convs, count(DISTINCT seq[d + 1]) AS n_children,
+    CASE WHEN d > 0 THEN any_value(chars[d]) ELSE 0 END AS chars,
+    sha256(COALESCE(string_agg(CASE WHEN len(seq) = d THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM d GROUP BY 1, 2),
+b AS (SELECT a.p, a.d, sum(CASE WHEN x.n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((x.n_convs - 1) * x.chars)::BIGINT AS saved_tokens
+  FROM n a JOIN n x ON x.p[1:a.d] = a.p AND x.d >= a.d GROUP BY 1, 2)
+SELECT n.conv_id, n.d::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves, b.saved_tokens, n.ends_sha256
+FROM n JOIN b ON b.p = n.p AND b.d = n.d LEFT JOIN n u ON u.d = n.d - 1 AND u.p = n.p[1:n.d - 1]
+""".format(crc=_CRC_SQL.format("conv_id::VARCHAR"))
+
+
+@_query("op13_prefix_trie", TRIE_SQL)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation starts with up to five turns of the first one of its hundred."""
+    convs = prefix_trie.encoded(load_table(spark, sf_dir, "conversations"))
+    head = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int")
+    return prefix_trie.trie(prefix_trie.spliced(convs, F.col("conv_id") - F.col("conv_id") % 100, head, 5))
+
+
+def _labels_sql() -> str:
+    """Every block of every text beside every template of its size, without order, prefixes or positions. Small tables only."""
+    kinds = licenses.templates_of(licenses.TEMPLATES, licenses.CONTAINMENT)
+    rows = ", ".join(f"('{t['label']}', {t['size']}, {t['need']}, {t['words']})" for t in kinds)
+    places = " UNION ALL ".join(
+        f"SELECT row, i, '{label}' AS label FROM p WHERE " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split(), 1))
+        for phrase, label in licenses.PHRASES.items())
+    return rf"""
+WITH t(label, size, need, ws) AS (VALUES {rows}),
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+p AS (SELECT row, w, unnest(range(0, len(w))) AS i FROM d),
+b AS (SELECT row, min(i) AS first_word, max(i) AS last_word, count(*) AS n_base, list(DISTINCT label) AS base FROM ({places}) GROUP BY 1),
+k AS (SELECT row, w, size, unnest(range(0, greatest(1, (len(w) + size // 2 - 1) // (size // 2) - 1))) * (size // 2) AS s
+  FROM d, (SELECT DISTINCT size FROM t)),
+m AS (SELECT row, label, len(list_intersect(list_distinct(w[s + 1:s + k.size]), ws)) AS n, need, len(ws) AS total FROM k JOIN t ON t.size = k.size),
+h AS (SELECT row, list(DISTINCT label) AS found, max(n::DOUBLE / total) AS best FROM m WHERE n >= need GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, COALESCE(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+  COALESCE(array_to_string(list_sort(base), ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(COALESCE(base, []), COALESCE(found, [])))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE COALESCE(best, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN b USING (row) LEFT JOIN h USING (row)
+"""
+
+
+@_query("op11_license_join", _labels_sql())
+def op11_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.labelled(documents(spark, sf_dir))

@@ -37,11 +37,15 @@ def upsert_partial(changes: DataFrame, key: str | Sequence[str], update_cols: Se
     return out.select(*[c for c in changes.columns if c != seq], "n_versions")
 
 
-def insert_ignore(existing: DataFrame, incoming: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """Rows of ``incoming`` whose key is not present yet (INSERT ... no-op on duplicate),
-    appended to ``existing``."""
+def insert_ignore(existing: DataFrame, incoming: DataFrame, key: str | Sequence[str], order: str | None = None) -> DataFrame:
+    """Rows of ``incoming`` whose key is not present yet (INSERT ... no-op on duplicate), appended to ``existing``. Of
+    incoming rows with one key the first by ``order`` (a column of ``incoming``) is inserted, then the one with the smallest
+    values."""
     keys = [key] if isinstance(key, str) else list(key)
-    new = incoming.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+    others = [c for c in existing.columns if c not in keys]
+    ranked = F.struct(*([F.col(order).alias("_order")] if order else []), *[F.col(c) for c in others])
+    first = incoming.groupBy(*keys).agg(F.min(ranked).alias("_row"))
+    new = first.select(*keys, *[F.col("_row")[c].alias(c) for c in others]).join(existing.select(*keys), keys, "left_anti")
     return existing.unionByName(new.select(*existing.columns))
 
 

@@ -2,41 +2,87 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskstream.operators import quality, state
 from riskstream.plans.fixture_sql import with_fx
 from riskstream.plans.registry import query
+from riskstream.session import checkpoint_dir
 from riskstream.sources import fixtures as fx
 from riskstream.sources import io
+from riskstream.sources.keyed_table import KeyedTable
 
 TS = "%Y-%m-%d %H:%M:%S.%f"
 TS_SPARK = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
-@query("upsert_transactions", with_fx(f"""
+UPSERTED_TRANSACTIONS = with_fx(f"""
 SELECT transaction_id, arg_max(user_id, seq) AS user_id, arg_max(amount, seq) AS amount,
        arg_min(currency, seq) AS currency, strftime(arg_min(event_time, seq), '{TS}') AS event_time,
        arg_min(merchant_id, seq) AS merchant_id, arg_min(location, seq) AS location,
        arg_min(device_id, seq) AS device_id, arg_min(ip_address, seq) AS ip_address, COUNT(*) AS n_versions
-FROM fx_transaction_updates GROUP BY transaction_id""", "fx_transaction_updates"))
+FROM fx_transaction_updates GROUP BY transaction_id""", "fx_transaction_updates")
+
+
+@query("upsert_transactions", UPSERTED_TRANSACTIONS)
 def q_upsert_transactions(spark, sf):
     u = state.upsert_partial(fx.fx_transaction_updates(spark, sf), "transaction_id", ["user_id", "amount"])
     return u.withColumn("event_time", F.date_format("event_time", TS_SPARK))
 
 
-@query("upsert_fraud_results", with_fx(f"""
+UPSERTED_RESULTS = with_fx(f"""
 SELECT transaction_id, CAST(arg_max(score, seq) AS DOUBLE) AS score, arg_max(is_fraud, seq) AS is_fraud,
        arg_max(routed_to, seq) AS routed_to, arg_min(model_version, seq) AS model_version,
        strftime(arg_min(scored_at, seq), '{TS}') AS scored_at, COUNT(*) AS n_versions
-FROM fx_result_updates GROUP BY transaction_id""", "fx_result_updates"))
+FROM fx_result_updates GROUP BY transaction_id""", "fx_result_updates")
+
+
+@query("upsert_fraud_results", UPSERTED_RESULTS)
 def q_upsert_fraud_results(spark, sf):
     u = state.upsert_partial(fx.fx_result_updates(spark, sf), "transaction_id", ["score", "is_fraud", "routed_to"])
     return u.select("transaction_id", F.col("score").cast("double").alias("score"), "is_fraud", "routed_to",
                     "model_version", F.date_format("scored_at", TS_SPARK).alias("scored_at"), "n_versions")
 
 
+def _merged(spark, name, changes, update, batches, buckets=16):
+    """A new keyed table with the change log merged one batch of sequence numbers after the other."""
+    table = KeyedTable.create(spark, f"{checkpoint_dir(spark).rstrip('/')}/keyed/{name}-{uuid.uuid4().hex[:12]}",
+                              changes.drop("seq").schema, ["transaction_id"], update, buckets)
+    for n in batches:
+        table = table.merge(changes.where(F.col("seq") == n), batch_id=n)
+    return table
+
+
+@query("upsert_transactions_incremental", UPSERTED_TRANSACTIONS)
+def q_upsert_transactions_incremental(spark, sf):
+    """The change log as three merges into a keyed table."""
+    t = _merged(spark, "transactions", fx.fx_transaction_updates(spark, sf), ["user_id", "amount"], (1, 2, 3))
+    return t.read().withColumn("event_time", F.date_format("event_time", TS_SPARK))
+
+
+@query("upsert_fraud_results_incremental", UPSERTED_RESULTS)
+def q_upsert_fraud_results_incremental(spark, sf):
+    """A10: the re-scored results arrive before the first ones; what is first and latest follows the sequence."""
+    t = _merged(spark, "results", fx.fx_result_updates(spark, sf), ["score", "is_fraud", "routed_to"], ())
+    changes = fx.fx_result_updates(spark, sf)
+    for n in (2, 1):
+        t = t.merge(changes.where(F.col("seq") == n))
+    return t.read().select("transaction_id", F.col("score").cast("double").alias("score"), "is_fraud", "routed_to", "model_version",
+                           F.date_format("scored_at", TS_SPARK).alias("scored_at"), "n_versions")
+
+
+@query("lookup_by_key", with_fx("""
+SELECT transaction_id, CAST(score AS DOUBLE) AS score, routed_to FROM fx_fraud_results
+WHERE transaction_id IN (SELECT transaction_id FROM fx_review_events)""", "fx_review_events", "fx_fraud_results"))
+def q_lookup_by_key(spark, sf):
+    """The results of the transactions that ever waited for a review, by key from the keyed table."""
+    t = _merged(spark, "lookup", fx.fx_fraud_results(spark, sf).withColumn("seq", F.lit(1)), ["score", "is_fraud", "routed_to"], (1,))
+    return t.lookup(fx.fx_review_events(spark, sf)).select("transaction_id", F.col("score").cast("double").alias("score"), "routed_to")
+
+
 @query("transaction_detail", with_fx("""
 SELECT q.transaction_id, t.user_id, t.amount, t.merchant_id, r.transaction_id IS NOT NULL AS has_result,
        CAST(r.score AS DOUBLE) AS score, r.routed_to, r.model_version

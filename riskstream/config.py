@@ -4,22 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-# ---------------------------------------------------------------------------
-# Fixed values that must equal the reference's for identical results.
-# Velocity tiers per dimension, as (min txn_count, severity), highest first:
-#   IP       100 -> 95,  80 -> 80,  60 -> 60
-#   USER      60 -> 95,  45 -> 80,  30 -> 60
-#   DEVICE    60 -> 95,  45 -> 80,  30 -> 60
-#   MERCHANT 300 -> 95, 200 -> 80, 150 -> 60
-# Window-amount tiers, as (min total_amount, severity): 50000 -> 90, 20000 -> 70, 10000 -> 50
-# Alert thresholds (lowest velocity tier): IP 60, USER 30, DEVICE 30, MERCHANT 150
-# Routing cuts on the 0-100 score: >= 80 block, >= 30 review, else allow
-# Blacklist severity 100; ring minimum 3 users; ring risk = min(users / 10, 1)
-# Isolation forest: contamination 0.1, min 50 samples, retrain every 100, seed 42
-# Feedback retrain threshold 100 labels, checked every 300 s
-# A/B: max traffic split 0.5, min sample size 500, hash buckets 10000
-# ---------------------------------------------------------------------------
-
+# Fixed values that must equal the reference's for identical results: the severities, and EngineConfig's defaults.
 VELOCITY_SEVERITIES = (95, 80, 60)
 AMOUNT_SEVERITIES = (90, 70, 50)
 
@@ -53,8 +38,9 @@ class EngineConfig:
     min_sample_size: int = 500
     ab_buckets: int = 10000
     watermark: str = "24 hours"
-    # running-count chunk for alert changelogs: bounds one window task's share of a hot key
+    # alert changelogs: the time of a chunk, and how many rows one may have before it is cut by rank
     changelog_chunk_ms: int = 60_000
+    changelog_chunk_rows: int = 1_000_000
     flagged_score: float = 0.3
     risk_threshold: float = 0.8
 

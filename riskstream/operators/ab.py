@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from riskstream.config import EngineConfig
 from riskstream.functions import ab_bucket
+from riskstream.operators.quantiles import quantiles
 
 
 def active_experiment(experiments: DataFrame):
@@ -64,12 +65,11 @@ def ab_report(metrics: DataFrame, experiments: DataFrame, cfg: EngineConfig) ->
 
 
 def latency_p95(metrics: DataFrame) -> DataFrame:
-    """Exact 95th percentile of latency per version. Spark's exact percentile keeps a count per
-    distinct value (partial aggregation merges them), so its buffer is bounded by the value domain
-    (decimal(8,2) milliseconds), not by the row count; ``percentile_approx`` is the sketch form."""
-    return metrics.groupBy("model_version").agg(
-        F.round(F.percentile(F.col("latency_ms").cast("double"), F.lit(0.95)), 2).alias("p95_latency_ms"),
-        F.count(F.lit(1)).alias("n"))
+    """Exact 95th percentile of latency per version (:mod:`riskstream.operators.quantiles`)."""
+    p = quantiles(metrics, "latency_ms", 0.95, ["model_version"])
+    n = metrics.groupBy("model_version").agg(F.count(F.lit(1)).alias("n"))
+    p = p.select(F.col("model_version").alias("version"), F.round("quantile", 2).alias("p95_latency_ms"))
+    return n.join(p, F.col("model_version").eqNullSafe(F.col("version")), "left").select("model_version", "p95_latency_ms", "n")
 
 
 def model_registry(results: DataFrame, feedback: DataFrame, seed: DataFrame | None = None) -> DataFrame:

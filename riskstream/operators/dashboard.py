@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskstream.config import EngineConfig
+from riskstream.operators.quantiles import quantile
 
 ACTIONS = ("Allow", "Block", "Challenge")
 
@@ -30,21 +31,20 @@ def tx_results(tx: DataFrame, results: DataFrame, how: str = "inner") -> DataFra
 
 def kpis(tx: DataFrame, results: DataFrame, feedback: DataFrame, metrics: DataFrame | None,
          cfg: EngineConfig) -> DataFrame:
-    """D2 (+ D11, G14): one row. A single global aggregate over a tagged union of narrow projections."""
-    def part(df, tag, score=None, fraud=None, review=None, latency=None):
+    """D2 (+ D11, G14): one row. A single global aggregate over a tagged union of narrow projections; the percentile comes from
+    :func:`riskstream.operators.quantiles.quantile`."""
+    def part(df, tag, score=None, fraud=None, review=None):
         return df.select(
             F.lit(tag).alias("src"),
             (score if score is not None else F.lit(None)).cast("decimal(5,4)").alias("score"),
             (fraud if fraud is not None else F.lit(None)).cast("boolean").alias("fraud"),
             (review if review is not None else F.lit(None)).cast("boolean").alias("review"),
-            (latency if latency is not None else F.lit(None)).cast("double").alias("latency"),
         )
 
     u = part(tx, "t").unionByName(part(
         results, "r", F.col("score"), F.col("is_fraud"), F.col("routed_to") == "human-review"
     )).unionByName(part(feedback, "f"))
-    if metrics is not None:
-        u = u.unionByName(part(metrics, "m", latency=F.col("latency_ms")))
+    p95 = quantile(metrics, "latency_ms", 0.95) if metrics is not None else None
     src = F.col("src")
     a = u.agg(
         F.count_if(src == "t").alias("transactions_scanned"),
@@ -53,7 +53,6 @@ def kpis(tx: DataFrame, results: DataFrame, feedback: DataFrame, metrics: DataFr
         F.sum(F.when(src == "r", F.col("score"))).alias("_ssum"),
         F.count(F.when(src == "r", F.col("score"))).alias("_sn"),
         F.count_if(src == "f").alias("feedback_count"),
-        F.percentile(F.when(src == "m", F.col("latency")), F.lit(0.95)).alias("_p95"),
     )
     total = F.col("transactions_scanned")
     return a.select(
@@ -62,7 +61,7 @@ def kpis(tx: DataFrame, results: DataFrame, feedback: DataFrame, metrics: DataFr
         .alias("high_risk_rate_pct"),
         F.round(F.when(F.col("_sn") > 0, F.col("_ssum").cast("double") / F.col("_sn")).otherwise(0.0), 4)
         .alias("avg_model_score"),
-        F.round(F.coalesce(F.col("_p95"), F.lit(0.0)), 2).alias("p95_latency_ms"),
+        F.round(F.lit(p95 or 0.0), 2).alias("p95_latency_ms"),
         F.round(F.when(total > 0, (F.col("review_count") + F.col("fraud_count")).cast("double") / total * 100)
                 .otherwise(0.0), 2).alias("false_positive_proxy_pct"),
         F.lit(MODEL_ERRORS).cast("bigint").alias("model_error_count"),
@@ -316,24 +315,20 @@ def snapshot(spark: SparkSession, tx: DataFrame, results: DataFrame, feedback: D
     g = materialize(shared_rollup(tx, results, cfg), "dashboard-rollup")
     gid = F.col("gid")
     tot = g.where(gid == _gid())
-    others = feedback.select(F.lit("f").alias("src"), F.lit(None).cast("double").alias("lat")).unionByName(
-        metrics.select(F.lit("m").alias("src"), F.col("latency_ms").cast("double").alias("lat")))
-    side = others.agg(F.count_if(F.col("src") == "f").alias("feedback_count"),
-                      F.percentile(F.when(F.col("src") == "m", F.col("lat")), F.lit(0.95)).alias("_p95"))
+    p95 = quantile(metrics, "latency_ms", 0.95)
     # both are single-row aggregates; combine them through a tagged union + max instead of a join
     one = tot.select(F.col("n").alias("t"), F.col("n_fraud").alias("f"), F.col("n_review").alias("rv"),
-                     F.col("s_score").alias("ss"), F.col("n_res").alias("sn"),
-                     F.lit(None).cast("bigint").alias("fb"), F.lit(None).cast("double").alias("p95")).unionByName(
-        side.select(*[F.lit(None).cast(t).alias(c) for c, t in
-                      [("t", "bigint"), ("f", "bigint"), ("rv", "bigint"), ("ss", "decimal(15,4)"), ("sn", "bigint")]],
-                    F.col("feedback_count").alias("fb"), F.col("_p95").alias("p95")))
-    k = one.agg(*[F.max(c).alias(c) for c in ["t", "f", "rv", "ss", "sn", "fb", "p95"]])
+                     F.col("s_score").alias("ss"), F.col("n_res").alias("sn"), F.lit(None).cast("bigint").alias("fb")).unionByName(
+        feedback.agg(F.count(F.lit(1)).alias("fb")).select(
+            *[F.lit(None).cast(t).alias(c) for c, t in
+              [("t", "bigint"), ("f", "bigint"), ("rv", "bigint"), ("ss", "decimal(15,4)"), ("sn", "bigint")]], "fb"))
+    k = one.agg(*[F.max(c).alias(c) for c in ["t", "f", "rv", "ss", "sn", "fb"]])
     t = F.coalesce(F.col("t"), F.lit(0))
     kp = k.select(
         t.alias("transactions_scanned"),
         F.round(F.when(t > 0, F.col("f").cast("double") / t * 100).otherwise(0.0), 2).alias("high_risk_rate_pct"),
         F.round(F.when(F.col("sn") > 0, F.col("ss").cast("double") / F.col("sn")).otherwise(0.0), 4).alias("avg_model_score"),
-        F.round(F.coalesce(F.col("p95"), F.lit(0.0)), 2).alias("p95_latency_ms"),
+        F.round(F.lit(p95 or 0.0), 2).alias("p95_latency_ms"),
         F.round(F.when(t > 0, (F.col("rv") + F.col("f")).cast("double") / t * 100).otherwise(0.0), 2)
         .alias("false_positive_proxy_pct"), F.lit(MODEL_ERRORS).alias("model_error_count"),
         F.lit(cfg.risk_threshold).alias("risk_threshold"), F.coalesce(F.col("fb"), F.lit(0)).alias("feedback_count"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from riskstream.config import EngineConfig
 from riskstream.functions import epoch_ms, money
+from riskstream.session import materialize
 
 DIMENSIONS = (("IP", "ip_address"), ("USER", "user_id"), ("DEVICE", "device_id"), ("MERCHANT", "merchant_id"))
 ALERT_COLS = ["dimension", "window_size", "dimension_key", "txn_count", "total_amount", "window_start", "window_end"]
@@ -95,31 +96,12 @@ def alert_changelog(tx: DataFrame, cfg: EngineConfig, time_col: str = "event_tim
     running count and sum at that point (the EMIT CHANGES stream, batch form), in the order of event time (in full
     resolution), then transaction id.
 
-    A running count over (dimension, key, window) would put a hot key's whole window into one task.
-    Rows are therefore split into fixed time chunks: running totals are computed inside each chunk,
-    chunk totals (a small table: windows x chunks) get exclusive prefix sums, and the two are joined
-    on the chunk key. Equal to a single ordered window, but no task holds more than one chunk.
-    """
-    part = ["dimension", "dimension_key", "window_start"]
-    base = explode_dimensions(tx, time_col, extra=("transaction_id",)).select(
-        "dimension", "dimension_key", "transaction_id", money("amount").alias("amt"), F.col("_t").alias("at"),
-        epoch_ms("_t").alias("_t_ms"), *_window_bounds(cfg),
-    ).withColumn("chunk", F.floor((F.col("_t_ms") - F.col("window_start")) / F.lit(cfg.changelog_chunk_ms)))
-    # one partially aggregated pass (a row per chunk and map task) gives each chunk's totals, the exclusive sums before
-    # it and, over all chunks of a window, the final count: running counts never exceed it, so windows below the
-    # threshold cannot emit and their rows are dropped by the same join that brings the offsets
-    totals = base.groupBy(*part, "chunk").agg(F.count(F.lit(1)).alias("c_chunk"), F.sum("amt").alias("s_chunk"))
-    by_chunk = Window.partitionBy(*part).orderBy("chunk")
-    w_prev = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    w_all = by_chunk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = totals.select(
-        *part, "chunk", F.sum("c_chunk").over(w_all).alias("_n"),
-        F.coalesce(F.sum("c_chunk").over(w_prev), F.lit(0)).alias("c_off"),
-        F.coalesce(F.sum("s_chunk").over(w_prev), F.lit(0).cast("decimal(38,2)")).alias("s_off"),
-    ).where(F.col("_n") >= threshold_for(cfg)).drop("_n")
-    w_in = (Window.partitionBy(*part, "chunk").orderBy("at", "transaction_id")
+    A running count over (dimension, key, window) would put a hot key's whole window into one task, so the rows are cut into
+    chunks (:func:`changelog_chunks`): running totals inside each, plus the totals of all chunks before it."""
+    rows = changelog_chunks(tx, cfg, time_col)
+    w_in = (Window.partitionBy(*CHUNK, "sub").orderBy("at", "transaction_id")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = base.join(offsets, part + ["chunk"]).select(
+    out = rows.select(
         "dimension", F.lit(cfg.window_label).alias("window_size"), "dimension_key",
         (F.count(F.lit(1)).over(w_in) + F.col("c_off")).alias("txn_count"),
         (F.coalesce(F.sum("amt").over(w_in), F.lit(0).cast("decimal(30,2)")) + F.col("s_off")).cast("double")
@@ -127,3 +109,49 @@ def alert_changelog(tx: DataFrame, cfg: EngineConfig, time_col: str = "event_tim
         "window_start", "window_end", "transaction_id", F.col("_t_ms").alias("event_ms"),
     )
     return out.where(F.col("txn_count") >= threshold_for(cfg))
+
+
+_WINDOW = ["dimension", "dimension_key", "window_start"]
+CHUNK = [*_WINDOW, "chunk"]
+
+
+def _offsets(totals: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Exclusive prefix sums of the counts and sums of ``totals``, and the count of the whole."""
+    w = Window.partitionBy(*by).orderBy(order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(
+        *by, order, "c", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"),
+        F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c_off"),
+        F.coalesce(F.sum("s").over(before), F.lit(0).cast("decimal(38,2)")).alias("s_off"))
+
+
+def changelog_chunks(tx: DataFrame, cfg: EngineConfig, time_col: str = "event_time") -> DataFrame:
+    """The rows of windows that reach their threshold, each in a chunk of its window with the count and sum before it.
+
+    Chunks are cut by time. Their totals (windows x chunks, by one partially aggregated pass) give the prefix sums and the
+    windows' final counts; running counts never exceed these, so the join that brings the offsets drops all windows that
+    cannot emit. A chunk of more than ``changelog_chunk_rows`` rows, of a key that is hot in one minute or one microsecond, is
+    cut again by rank: its rows are dealt by ranges of (time, id) and each range is a ``sub`` chunk with prefix sums of its own.
+    So no window partition follows the share of a key."""
+    base = explode_dimensions(tx, time_col, extra=("transaction_id",)).select(
+        "dimension", "dimension_key", "transaction_id", money("amount").alias("amt"), F.col("_t").alias("at"),
+        epoch_ms("_t").alias("_t_ms"), *_window_bounds(cfg),
+    ).withColumn("chunk", F.floor((F.col("_t_ms") - F.col("window_start")) / F.lit(cfg.changelog_chunk_ms)))
+    totals = base.groupBy(*CHUNK).agg(F.count(F.lit(1)).alias("c"), F.sum("amt").alias("s"))
+    offsets = _offsets(totals, _WINDOW, "chunk").where(F.col("n") >= threshold_for(cfg)).drop("n")
+    offsets = materialize(offsets, "changelog-offsets")
+    hot = offsets.where(F.col("c") > cfg.changelog_chunk_rows)
+    n_hot = hot.agg(F.sum("c")).first()[0]
+    if not n_hot:
+        return base.join(offsets.drop("c"), CHUNK).withColumn("sub", F.lit(0))
+    cool = base.join(hot.select(*CHUNK), CHUNK, "left_anti").join(offsets.where(F.col("c") <= cfg.changelog_chunk_rows).drop("c"), CHUNK)
+    ranges = -(-4 * int(n_hot) // cfg.changelog_chunk_rows)  # a quarter of the limit each: ranges are cut by a sample
+    dealt = (base.join(hot.drop("c"), CHUNK).repartitionByRange(ranges, *CHUNK, "at", "transaction_id")
+             .withColumn("sub", F.spark_partition_id()))
+    dealt = materialize(dealt, "changelog-hot")
+    subs = _offsets(dealt.groupBy(*CHUNK, "sub").agg(F.count(F.lit(1)).alias("c"), F.sum("amt").alias("s")), CHUNK, "sub").select(
+        *CHUNK, "sub", F.col("c_off").alias("c_sub"), F.col("s_off").alias("s_sub"))
+    rest = [c for c in base.columns if c not in CHUNK]
+    hot_rows = dealt.join(subs, [*CHUNK, "sub"]).select(
+        *CHUNK, *rest, (F.col("c_off") + F.col("c_sub")).alias("c_off"), (F.col("s_off") + F.col("s_sub")).alias("s_off"), "sub")
+    return cool.withColumn("sub", F.lit(0)).unionByName(hot_rows)

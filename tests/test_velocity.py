@@ -87,3 +87,29 @@ def test_bad_amounts_do_not_end_or_spoil_a_window(transactions):
     tx = transactions([{"amount": a} for a in (10.0, 1e11, float("nan"), float("inf"), 1e30)])
     got = {r["dimension"]: r for r in velocity.velocity_windows(tx, REFERENCE).collect()}
     assert got["USER"]["txn_count"] == 5 and got["USER"]["total_amount"] == 1e11 + 10
+
+
+def test_a_hot_key_is_cut_into_bounded_chunks(spark, transactions):
+    """A third of all rows has one merchant, minute and, for a part, one microsecond."""
+    import datetime as dt
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from riskstream.config import DAILY
+    from riskstream.operators.velocity import CHUNK, alert_changelog, changelog_chunks
+
+    t0 = dt.datetime(2026, 1, 15, 10, 30)
+    rows = [{"merchant_id": "hot" if i % 3 == 0 else f"m{i % 50}", "user_id": f"u{i % 40}", "amount": float(i % 17) if i % 19 else None,
+             "device_id": None, "ip_address": f"ip{i}", "event_time": t0 + dt.timedelta(microseconds=0 if i < 300 else i * 7000)}
+            for i in range(1500)]
+    tx = transactions(rows)
+    cfg = DAILY.with_(changelog_chunk_rows=100)
+    chunks = changelog_chunks(tx, cfg).groupBy(*CHUNK, "sub").count().collect()
+    assert max(r["count"] for r in chunks) <= 100 and len({r["sub"] for r in chunks}) > 3
+    got = alert_changelog(tx, cfg)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in alert_changelog(tx, DAILY).collect()}
+    w = Window.orderBy("event_time", "transaction_id")
+    hot = tx.where("merchant_id = 'hot'").select("transaction_id", F.row_number().over(w).alias("n"))
+    want = {r["transaction_id"]: r["n"] for r in hot.collect() if r["n"] >= DAILY.alert_threshold("MERCHANT")}
+    assert {r["transaction_id"]: r["txn_count"] for r in got.where("dimension_key = 'hot'").collect()} == want

@@ -161,11 +161,17 @@ def risk_band(pct: Column) -> Column:
     return F.when(pct >= 24, "high").when(pct >= 14, "medium").otherwise("low")
 
 
-def recent_flagged(tx: DataFrame, results: DataFrame, cfg: EngineConfig, n: int = 20) -> DataFrame:
-    """The ``n`` newest flagged transactions (id breaks time ties)."""
-    j = tx_results(tx.select("transaction_id", "event_time", "merchant_id", "location"),
-                   results.where(F.col("score") >= cfg.flagged_score))
-    top = j.orderBy(F.col("event_time").desc(), F.col("transaction_id")).limit(n)
+FLAGGED_COLUMNS = ["transaction_id", "event_time", "merchant_id", "location", "routed_to", "score"]
+
+
+def newest_flagged(rows: DataFrame, cfg: EngineConfig, n: int = 20) -> DataFrame:
+    """The ``n`` newest of joined transactions that are flagged (id breaks time ties). The newest of parts are the newest of
+    the whole, so results of parts can be merged by another call."""
+    flagged = rows.where(F.col("score") >= cfg.flagged_score).select(*FLAGGED_COLUMNS)
+    return flagged.orderBy(F.col("event_time").desc(), F.col("transaction_id")).limit(n)
+
+
+def flagged_table(top: DataFrame, cfg: EngineConfig) -> DataFrame:
     return top.select(
         F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("event_time"),
         F.concat(F.substring("transaction_id", 1, 12), F.lit("...")).alias("tranID"),
@@ -177,6 +183,13 @@ def recent_flagged(tx: DataFrame, results: DataFrame, cfg: EngineConfig, n: int
     )
 
 
+def recent_flagged(tx: DataFrame, results: DataFrame, cfg: EngineConfig, n: int = 20) -> DataFrame:
+    """The ``n`` newest flagged transactions (id breaks time ties)."""
+    j = tx_results(tx.select("transaction_id", "event_time", "merchant_id", "location"),
+                   results.where(F.col("score") >= cfg.flagged_score))
+    return flagged_table(newest_flagged(j, cfg, n), cfg)
+
+
 def system_metrics(tx: DataFrame, results: DataFrame, feedback: DataFrame, experiments: DataFrame) -> DataFrame:
     """Six totals from one aggregate over a tagged union."""
     u = (tx.select(F.lit("t").alias("src"), F.lit(None).cast("string").alias("v"))
@@ -267,25 +280,34 @@ KPI_METRICS = ["transactions_scanned", "high_risk_rate_pct", "avg_model_score",
 MODEL_ERRORS = 0
 
 
+ROLLUP_KEYS = ["minute", "location", "merchant_id", "flagged", "bucket", "routed_to"]
+ROLLUP_SUMS = ["n", "n_res", "n_fraud", "n_review", "n_allow", "n_block", "s_score"]
+
+
 def shared_rollup(tx: DataFrame, results: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """All grouped dashboard counters in ONE pass: transactions left-joined to results, expanded into
-    the grouping sets (), (minute), (location), (merchant, flagged), (bucket), (routed_to) and
-    aggregated with one shuffle. ``gid`` tells the sets apart; every part is a filter of this result,
-    so Spark reuses the single exchange for all of them."""
+    """All grouped dashboard counters in ONE pass: transactions left-joined to results (:func:`rollup`)."""
     j = tx_results(tx.select("transaction_id", "event_time", "location", "merchant_id"), results, "left")
+    return rollup(j.withColumn("w", F.lit(1)), cfg)
+
+
+def rollup(joined: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """Joined transactions expanded into the grouping sets (), (minute), (location), (merchant, flagged), (bucket) and
+    (routed_to) and aggregated with one shuffle. ``gid`` tells the sets apart; every part is a filter of this result,
+    so Spark reuses the single exchange for all of them. A row counts ``w`` times among all transactions: -1 takes back one
+    that was counted before it had a result. All measures are sums, so rollups of parts add up."""
     has = F.col("routed_to").isNotNull()
-    base = j.select(
+    base = joined.select(
         F.date_format(F.date_trunc("minute", "event_time"), "yyyy-MM-dd HH:mm").alias("minute"),
-        "location", "merchant_id", "routed_to", "score", "is_fraud",
+        "location", "merchant_id", "routed_to", "score", "is_fraud", "w",
         (F.col("score") >= F.lit(cfg.flagged_score)).alias("flagged"),
         F.least(F.floor(F.col("score") * 10), F.lit(9)).cast("bigint").alias("bucket"),
         has.alias("has_result"),
     )
     sets = [[], ["minute"], ["location"], ["merchant_id", "flagged"], ["bucket"], ["routed_to"]]
     r = F.col("routed_to")
-    return base.groupingSets(sets, "minute", "location", "merchant_id", "flagged", "bucket", "routed_to").agg(
+    return base.groupingSets(sets, *ROLLUP_KEYS).agg(
         F.grouping_id().alias("gid"),
-        F.count(F.lit(1)).alias("n"),
+        F.sum("w").alias("n"),
         F.count_if(F.col("has_result")).alias("n_res"),
         F.count_if(F.col("is_fraud")).alias("n_fraud"),
         F.count_if(r == "human-review").alias("n_review"),
@@ -295,9 +317,14 @@ def shared_rollup(tx: DataFrame, results: DataFrame, cfg: EngineConfig) -> DataF
     )
 
 
+def added_rollups(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two rollups as one."""
+    both = a.unionByName(b)
+    return both.groupBy("gid", *ROLLUP_KEYS).agg(*[F.sum(c).cast(both.schema[c].dataType).alias(c) for c in ROLLUP_SUMS])
+
+
 def _gid(*present: str) -> int:
-    cols = ["minute", "location", "merchant_id", "flagged", "bucket", "routed_to"]
-    return sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in present)
+    return sum(1 << (len(ROLLUP_KEYS) - 1 - i) for i, c in enumerate(ROLLUP_KEYS) if c not in present)
 
 
 def snapshot(spark: SparkSession, tx: DataFrame, results: DataFrame, feedback: DataFrame, metrics: DataFrame,
@@ -313,16 +340,19 @@ def snapshot(spark: SparkSession, tx: DataFrame, results: DataFrame, feedback: D
     # materialise the (small) rollup once in the shared checkpoint folder: every part reads it, and
     # without this each part's column pruning would specialise and recompute the scan + join
     g = materialize(shared_rollup(tx, results, cfg), "dashboard-rollup")
+    j = tx_results(tx.select("transaction_id", "event_time", "merchant_id", "location"),
+                   results.where(F.col("score") >= cfg.flagged_score))
+    flagged = materialize(newest_flagged(j, cfg), "dashboard-flagged")  # 20 rows, read by two parts
+    return snapshot_of(spark, g, flagged, quantile(metrics, "latency_ms", 0.95), feedback.count(), cfg)
+
+
+def snapshot_of(spark: SparkSession, g: DataFrame, flagged: DataFrame, p95: float | None, feedback_count: int,
+                cfg: EngineConfig) -> DataFrame:
+    """The snapshot from a written rollup, the newest flagged transactions, and what was counted of the other tables."""
     gid = F.col("gid")
     tot = g.where(gid == _gid())
-    p95 = quantile(metrics, "latency_ms", 0.95)
-    # both are single-row aggregates; combine them through a tagged union + max instead of a join
-    one = tot.select(F.col("n").alias("t"), F.col("n_fraud").alias("f"), F.col("n_review").alias("rv"),
-                     F.col("s_score").alias("ss"), F.col("n_res").alias("sn"), F.lit(None).cast("bigint").alias("fb")).unionByName(
-        feedback.agg(F.count(F.lit(1)).alias("fb")).select(
-            *[F.lit(None).cast(t).alias(c) for c, t in
-              [("t", "bigint"), ("f", "bigint"), ("rv", "bigint"), ("ss", "decimal(15,4)"), ("sn", "bigint")]], "fb"))
-    k = one.agg(*[F.max(c).alias(c) for c in ["t", "f", "rv", "ss", "sn", "fb"]])
+    k = tot.agg(F.max("n").alias("t"), F.max("n_fraud").alias("f"), F.max("n_review").alias("rv"), F.max("s_score").alias("ss"),
+                F.max("n_res").alias("sn"))
     t = F.coalesce(F.col("t"), F.lit(0))
     kp = k.select(
         t.alias("transactions_scanned"),
@@ -331,7 +361,7 @@ def snapshot(spark: SparkSession, tx: DataFrame, results: DataFrame, feedback: D
         F.round(F.lit(p95 or 0.0), 2).alias("p95_latency_ms"),
         F.round(F.when(t > 0, (F.col("rv") + F.col("f")).cast("double") / t * 100).otherwise(0.0), 2)
         .alias("false_positive_proxy_pct"), F.lit(MODEL_ERRORS).alias("model_error_count"),
-        F.lit(cfg.risk_threshold).alias("risk_threshold"), F.coalesce(F.col("fb"), F.lit(0)).alias("feedback_count"))
+        F.lit(cfg.risk_threshold).alias("risk_threshold"), F.lit(feedback_count).cast("bigint").alias("feedback_count"))
     note = F.when(F.col("feedback_count") > 0,
                   F.format_string("%d analyst feedback entries recorded", F.col("feedback_count")))
     kp_rows = kp.select(F.inline(F.array(
@@ -359,7 +389,7 @@ def snapshot(spark: SparkSession, tx: DataFrame, results: DataFrame, feedback: D
         F.round(F.col("s_score").cast("double") / F.col("n_res"), 4).alias("avg_score"),
         F.round(F.col("n_fraud").cast("double") / F.col("n_res") * 100, 2).alias("high_risk_rate_pct"),
     ).orderBy(F.col("flagged_count").desc(), F.col("merchant")).limit(10)
-    flagged = materialize(recent_flagged(tx, results, cfg), "dashboard-flagged")  # 20 rows, read by two parts
+    flagged = flagged_table(flagged, cfg)
     parts = [
         kp_rows,
         melt(hist, "score_distribution", "bucket_label", ["count"]),

@@ -229,6 +229,17 @@ class Forest:
         return Forest(nodes=nodes, psi=m["psi"], offset=m["offset"], version=m["version"], n_trees=m["n_trees"])
 
 
+def pool_share(cfg: EngineConfig, n: int) -> float:
+    """The share of ``n`` rows that is in the pool: about 8 x trees x psi rows, or all."""
+    return min(1.0, 8.0 * cfg.n_trees * min(cfg.max_samples, n) / max(n, 1))
+
+
+def pool_of(feats: DataFrame, key: str, cfg: EngineConfig, n: int) -> DataFrame:
+    """The rows that trees are grown from when there are ``n``. The share never grows with ``n`` above the pool's size, so the
+    pool of a longer history is a part of the older pools and the newer rows: pools can be kept in place of the history."""
+    return feats.where(_hash63(cfg.seed, F.lit(-1), F.col(key).cast("string")) <= _below(pool_share(cfg, n)))
+
+
 def tree_samples(feats: DataFrame, key: str, cfg: EngineConfig, n: int) -> DataFrame:
     """Per-tree subsamples of min(psi, n) rows without replacement, deterministic for the seed.
 
@@ -237,10 +248,9 @@ def tree_samples(feats: DataFrame, key: str, cfg: EngineConfig, n: int) -> DataF
     per-tree window only about 4 x psi candidates a tree remain, so a row outside the pool costs one hash."""
     psi = min(cfg.max_samples, n)
     k = F.col(key).cast("string")
-    pool = min(1.0, 8.0 * cfg.n_trees * psi / max(n, 1))
-    share = min(1.0, 4.0 * psi / max(pool * n, 1))
+    share = min(1.0, 4.0 * psi / max(pool_share(cfg, n) * n, 1))
     trees = F.sequence(F.lit(0), F.lit(cfg.n_trees - 1))
-    cand = (feats.where(_hash63(cfg.seed, F.lit(-1), k) <= _below(pool)).select(
+    cand = (pool_of(feats, key, cfg, n).select(
         key, *FEATURES, F.explode(F.filter(trees, lambda t: _hash63(cfg.seed, t, k) <= _below(share))).alias("tree"))
         .withColumn("_h", _hash63(cfg.seed, F.col("tree"), k)))
     w = Window.partitionBy("tree").orderBy("_h", key)
@@ -266,8 +276,23 @@ def fit(alerts: DataFrame, cfg: EngineConfig, key: str) -> Forest | None:
     n = feats.count()
     if n < cfg.min_training_samples:
         return None
-    psi = min(cfg.max_samples, n)
     nodes = _trees(feats, cfg, key, n).toPandas()  # bounded: n_trees x (2 psi - 1) rows
+    return _with_offset(nodes, feats, cfg, min(cfg.max_samples, n))
+
+
+def fit_pool(pool: DataFrame, cfg: EngineConfig, key: str, n: int) -> Forest | None:
+    """K2/I8: the forest of a history of ``n`` rows from its pool (:func:`pool_of`, with the K1 features): the same trees as
+    :func:`fit` grows from all rows. The offset is the quantile of the pool's scores, a uniform sample of the history by hash,
+    or all of it as long as that has no more than 8 x trees x psi rows."""
+    ship_package(pool.sparkSession)
+    if n < cfg.min_training_samples:
+        return None
+    feats = pool.select(key, *FEATURES)
+    nodes = _trees(feats, cfg, key, n).toPandas()  # bounded: n_trees x (2 psi - 1) rows
+    return _with_offset(nodes, feats, cfg, min(cfg.max_samples, n))
+
+
+def _with_offset(nodes: pd.DataFrame, feats: DataFrame, cfg: EngineConfig, psi: int) -> Forest:
     version = model_version(nodes)
     forest = Forest(nodes=nodes, psi=psi, offset=0.0, version=version, n_trees=cfg.n_trees)
     scored = forest.score_column_df(feats)

@@ -18,17 +18,19 @@ from riskstream.session import discard, materialize
 CELLS = 1024
 
 
-def quantiles(df: DataFrame, value: str, q: float, by: Sequence[str] = ()) -> DataFrame:
+def quantiles(df: DataFrame, value: str, q: float, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """(by..., n, quantile): the number of values and the ``q`` quantile of each group, between ranks linearly as
-    ``percentile`` does. Null, NaN and infinite values don't count; a group without values has no row. Null groups are groups.
+    ``percentile`` does. A row counts as ``weight`` rows (a whole number), if given. Null, NaN and infinite values don't count; a
+    group without values has no row. Null groups are groups.
 
     ``df`` is read once for the ranges and once a round."""
     v = F.col(value).cast("double")
-    rows = df.select(*[F.col(c).alias(f"g{i}") for i, c in enumerate(by)], F.lit(0).alias("g"), v.alias("v"))
-    rows = rows.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
+    w = (F.col(weight) if weight else F.lit(1)).cast("long")
+    rows = df.select(*[F.col(c).alias(f"g{i}") for i, c in enumerate(by)], F.lit(0).alias("g"), v.alias("v"), w.alias("w"))
+    rows = rows.where((F.col("w") > 0) & F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
     keys = [*[f"g{i}" for i in range(len(by))], "g"]
     rank = F.lit(q) * (F.col("n") - 1)
-    state = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    state = rows.groupBy(*keys).agg(F.sum("w").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     # rank: of the lower of the two rows that the quantile lies between; above: the value after it, once it is known
     state = materialize(state.select(*keys, "n", F.floor(rank).alias("rank"), (rank - F.floor(rank)).alias("part"), "lo", "hi",
                                      F.lit(0).cast("long").alias("before"), F.col("n").alias("inside"),
@@ -54,7 +56,7 @@ def _narrowed(rows: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
     cell = (F.when(F.col("v") == F.col("lo"), 0).when(F.col("v") == F.col("hi"), CELLS - 1)
             .otherwise(F.greatest(F.lit(0), F.least(F.lit(CELLS - 1), at))).cast("int"))
     inside = rows.join(open_ranges, same).where(F.col("v").between(F.col("lo"), F.col("hi")))
-    counts = inside.groupBy(*keys, cell.alias("cell")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("c_lo"), F.max("v").alias("c_hi"))
+    counts = inside.groupBy(*keys, cell.alias("cell")).agg(F.sum("w").alias("c"), F.min("v").alias("c_lo"), F.max("v").alias("c_hi"))
     order = Window.partitionBy(*keys).orderBy("cell")
     counts = counts.select(*[F.col(k).alias("c_" + k) for k in keys], "c", "c_lo", "c_hi",
                            F.sum("c").over(order).alias("upto"), F.lead("c_lo").over(order).alias("next"))
@@ -70,7 +72,7 @@ def _narrowed(rows: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
     return found.unionByName(state.where("lo = hi"))
 
 
-def quantile(df: DataFrame, value: str, q: float) -> float | None:
+def quantile(df: DataFrame, value: str, q: float, weight: str | None = None) -> float | None:
     """The ``q`` quantile of a column, None if it has no value."""
-    row = quantiles(df, value, q).first()
+    row = quantiles(df, value, q, weight=weight).first()
     return None if row is None else row["quantile"]

@@ -223,6 +223,29 @@ def q_dashboard_snapshot(spark, sf):
     return D.snapshot(spark, t, r, fx.fx_feedback(spark, sf), fx.fx_ab_metrics(spark, sf), CFG)
 
 
+@query("dashboard_view", _snapshot_sql())
+def q_dashboard_view(spark, sf):
+    """The same snapshot from three triggers of the incremental view. Results come with their transaction, a trigger
+    later or before it."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from riskstream.session import checkpoint_dir
+    from riskstream.streaming.dashboard_view import DashboardView
+
+    t, r = _tr(spark, sf)
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(3))
+    view = DashboardView(f"{checkpoint_dir(spark).rstrip('/')}/views/dashboard-{uuid.uuid4().hex[:12]}", CFG)
+    feedback, metrics = fx.fx_feedback(spark, sf), fx.fx_ab_metrics(spark, sf)
+    for b in range(3):
+        late = F.least(F.lit(2), of("transaction_id") + F.pmod(F.xxhash64("transaction_id", F.lit(1)), F.lit(2)))
+        early = F.when(F.pmod(F.xxhash64("transaction_id", F.lit(2)), F.lit(5)) == 0, F.lit(0)).otherwise(late)
+        snap = view.refresh(spark, t.where(of("transaction_id") == b), r.where(early == b), feedback.where(of("feedback_id") == b),
+                            metrics.where(of("transaction_id") == b), b)
+    return snap
+
+
 @query("newest_flagged_history", with_fx(f"""
 SELECT day, substring(newest_id, 1, 12) || '...' AS "tranID",
        (lag(newest_id) OVER (ORDER BY day)) IS NULL OR lag(newest_id) OVER (ORDER BY day) <> newest_id AS changed

@@ -3,7 +3,7 @@
 One streaming aggregate serves all four dimensions (one state store). Sinks are written per
 micro-batch into a directory named by the batch id with overwrite, so a replayed batch after a
 failure rewrites the same files (idempotent; with the model state below it also computes the same rows);
-the current table is the latest row per key across batches.
+the current table is the latest row per key across batches, compacted into a keyed table every few batches.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ from riskstream.functions import EPOCH_NTZ, money, to_ntz
 from riskstream.operators import iforest
 from riskstream.operators.scoring import score_alerts
 from riskstream.operators.velocity import ALERT_COLS, DIMENSIONS, alert_filter
-from riskstream.session import checkpoint_dir, path_exists
-from riskstream.sources import io
+from riskstream.session import checkpoint_dir
+from riskstream.sources import files, io
 from riskstream.sources.fixtures import transactions_from_events
+from riskstream.sources.keyed_table import KeyedTable
 
 ALERT_KEYS = ["dimension", "dimension_key", "window_start"]
 
@@ -96,12 +97,68 @@ def batch_sink(path: str, partition_by: list[str] | None = None):
 
 def latest_by_key(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Current table of an update-mode changelog sink: the latest batch's row per key."""
-    log = spark.read.parquet(path)
+    return _latest(spark.read.parquet(path), keys).drop("batch_id")
+
+
+def _latest(log: DataFrame, keys: list[str]) -> DataFrame:
     cols = [c for c in log.columns if c not in keys and c != "batch_id"]
-    agg = log.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch_id").alias("_v"))
+    agg = log.groupBy(*keys).agg(F.max_by(F.struct("batch_id", *cols), "batch_id").alias("_v"))
     return agg.select(*keys, "_v.*")
 
 
+@dataclass
+class ChangelogTable:
+    """The current table of an update-mode changelog, whose reading costs its current rows and the last few batches.
+
+    Batches are folders of a log. When ``every`` of them are open, they are merged into a keyed table, in one commit that
+    carries the last one's id as its mark; the log counts from the mark on, whatever else lies in it, so a crash between any
+    two steps leaves the same table. What a merge replaces is removed at the next one, so readers have that long to finish."""
+
+    path: str
+    keys: list[str]
+    every: int = 8
+    buckets: int = 64
+
+    def _base(self, spark: SparkSession) -> KeyedTable | None:
+        return KeyedTable.open(spark, f"{self.path}/base") if files.names(spark, f"{self.path}/base/commits") else None
+
+    def _open_batches(self, spark: SparkSession, base: KeyedTable | None) -> list[int]:
+        mark = -1 if base is None or base.batch is None else base.batch
+        return [b for b in batch_ids(spark, f"{self.path}/log", "_SUCCESS") if b > mark]
+
+    def _log(self, spark: SparkSession, ids: list[int]) -> DataFrame:
+        return spark.read.option("basePath", f"{self.path}/log").parquet(*[f"{self.path}/log/batch_id={b}" for b in ids])
+
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        """foreachBatch writer."""
+        spark = df.sparkSession
+        df.write.mode("overwrite").parquet(f"{self.path}/log/batch_id={batch_id}")
+        base = self._base(spark)
+        ids = self._open_batches(spark, base)
+        if len(ids) < self.every:
+            return
+        if base is None:
+            base = KeyedTable.create(spark, f"{self.path}/base", df.schema, self.keys,
+                                     [c for c in df.columns if c not in self.keys], self.buckets)
+        else:
+            base.vacuum()
+            for b in batch_ids(spark, f"{self.path}/log"):
+                if b < ids[0]:
+                    files.delete(spark, f"{self.path}/log/batch_id={b}")
+        base.merge(self._log(spark, ids), seq="batch_id", batch_id=ids[-1])
+
+    def read(self, spark: SparkSession) -> DataFrame | None:
+        """The latest row of every key; None if no batch was written."""
+        base = self._base(spark)
+        ids = self._open_batches(spark, base)
+        if not ids:
+            return None if base is None else base.read().drop("n_versions")
+        new = _latest(self._log(spark, ids), self.keys).drop("batch_id")
+        if base is None:
+            return new
+        return base.read().drop("n_versions").join(new.select(*self.keys), self.keys, "left_anti").select(*new.columns).unionByName(new)
+
+
 def run_available(query_df: DataFrame, sink, checkpoint: str, mode: str = "update"):
     """Run a streaming query over everything available now, then stop (tests and backfills)."""
     q = (query_df.writeStream.outputMode(mode).foreachBatch(sink)
@@ -111,18 +168,21 @@ def run_available(query_df: DataFrame, sink, checkpoint: str, mode: str = "updat
 
 
 def stream_velocity_windows(spark: SparkSession, sf_dir: str, cfg: EngineConfig, mode: str = "update",
-                            alerts_only: bool = False, work: str | None = None) -> DataFrame:
+                            alerts_only: bool = False, work: str | None = None, max_files: int | None = None,
+                            every: int = 8) -> DataFrame:
     """I1-I3 end to end: events stream -> transactions -> windowed aggregate -> changelog sink; returns
     the current table (latest update per window)."""
     base = work or f"{checkpoint_dir(spark).rstrip('/')}/stream-velocity-{uuid.uuid4().hex[:12]}"
-    tx = transactions_from_events(events_stream(spark, sf_dir))
+    tx = transactions_from_events(events_stream(spark, sf_dir, max_files))
     upd = velocity_updates(tx, cfg)
     if alerts_only:
         upd = alert_filter(upd, cfg)
-    run_available(upd, batch_sink(f"{base}/sink"), f"{base}/checkpoint", mode)
-    if not path_exists(spark, f"{base}/sink"):  # no micro-batch produced rows: empty table
-        return spark.createDataFrame([], upd.schema).select(*ALERT_COLS)
-    return latest_by_key(spark, f"{base}/sink", ALERT_KEYS).select(*ALERT_COLS)
+    table = ChangelogTable(f"{base}/sink", ALERT_KEYS, every, 16)
+    run_available(upd, table.write, f"{base}/checkpoint", mode)
+    current = table.read(spark)
+    if current is None:  # no micro-batch: empty table
+        current = spark.createDataFrame([], upd.schema)
+    return current.select(*ALERT_COLS)
 
 
 def batch_ids(spark: SparkSession, path: str, done: str = "") -> list[int]:
@@ -137,10 +197,11 @@ def batch_ids(spark: SparkSession, path: str, done: str = "") -> list[int]:
 class ModelState:
     """I8/K5: online model policy across micro-batches (fit on earlier batches, score the current).
 
-    Everything is derived from two folders, so a restart or a replay of any batch gives the same result: features are
-    written by batch id, and a model fitted after batch ``b`` goes to a folder of its own, whose ``meta`` is written last
-    and makes it valid. Batch ``b`` is scored by the newest model of a batch before it, and fitted on the features of
-    batches up to it; neither depends on how often it ran."""
+    After every batch a folder by its id holds the pool of the history so far (:func:`iforest.pool_of`: all rows, or about
+    8 x trees x psi of them by hash) and the number of rows seen; ``meta`` is written last and makes it valid. The pool comes
+    from the batch and the pool before it, so a trigger and a refit read and write a bounded number of rows however long the
+    history is, and the trees are those of a fit over all of it. Models go to folders of their own in the same way. Batch
+    ``b`` is scored by the newest model of a batch before it, and neither models nor pools depend on how often it ran."""
 
     cfg: EngineConfig
     features_path: str
@@ -157,22 +218,33 @@ class ModelState:
             self._loaded = {ids[-1]: iforest.Forest.load(path, spark)}
         return self._loaded[ids[-1]]
 
+    def seen(self, spark: SparkSession, last: int) -> int:
+        """Alerts in the batches up to ``last``."""
+        ids = [i for i in batch_ids(spark, self.features_path, "meta/_SUCCESS") if i <= last]
+        return spark.read.parquet(f"{self.features_path}/batch_id={ids[-1]}/meta").first()["n"] if ids else 0
+
     def samples(self, spark: SparkSession, first: int, last: int) -> int:
         """Alerts in the batches from ``first`` to ``last``."""
-        if not batch_ids(spark, self.features_path):
-            return 0
-        return spark.read.parquet(self.features_path).where(F.col("batch_id").between(first, last)).count()
+        return self.seen(spark, last) - self.seen(spark, first - 1)
+
+    def pool(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        return spark.read.parquet(f"{self.features_path}/batch_id={batch_id}/pool")
 
     def observe(self, spark: SparkSession, alerts: DataFrame, batch_id: int) -> None:
-        feats = iforest.alert_features(alerts).select(*ALERT_KEYS, *iforest.FEATURES)
-        feats.write.mode("overwrite").parquet(f"{self.features_path}/batch_id={batch_id}")
+        key = F.concat_ws("|", *[F.col(c).cast("string") for c in ALERT_KEYS], F.lit(str(batch_id)))
+        feats = iforest.alert_features(alerts).select(key.alias("_k"), *iforest.FEATURES)
+        here = f"{self.features_path}/batch_id={batch_id}"
+        feats.write.mode("overwrite").parquet(f"{here}/new")
+        feats = spark.read.parquet(f"{here}/new")
+        before = [i for i in batch_ids(spark, self.features_path, "meta/_SUCCESS") if i < batch_id]
+        n = feats.count() + (self.seen(spark, before[-1]) if before else 0)
+        rows = feats.unionByName(self.pool(spark, before[-1])) if before else feats
+        iforest.pool_of(rows, "_k", self.cfg, n).write.mode("overwrite").parquet(f"{here}/pool")
+        spark.createDataFrame([(n,)], "n long").write.mode("overwrite").parquet(f"{here}/meta")
         fitted = [i for i in batch_ids(spark, self.model_path, "meta/_SUCCESS") if i < batch_id]
         last = fitted[-1] if fitted else -1
-        if iforest.should_retrain(self.samples(spark, 0, batch_id), self.samples(spark, last + 1, batch_id), bool(fitted),
-                                  self.cfg):
-            hist = spark.read.parquet(self.features_path).where(F.col("batch_id") <= batch_id)
-            forest = fit_features(hist.withColumn("_k", F.concat_ws("|", *[F.col(c).cast("string") for c in
-                                                                            ALERT_KEYS + ["batch_id"]])), self.cfg, "_k")
+        if iforest.should_retrain(n, self.samples(spark, last + 1, batch_id), bool(fitted), self.cfg):
+            forest = iforest.fit_pool(self.pool(spark, batch_id), self.cfg, "_k", n)
             if forest is not None:
                 self._loaded.pop(batch_id, None)
                 forest.save(f"{self.model_path}/batch_id={batch_id}", spark)
@@ -262,22 +334,6 @@ def pending_reviews(spark: SparkSession, log_path: str) -> DataFrame:
     return review_pending(spark.read.parquet(log_path).drop("batch_id"))
 
 
-def dashboard_refresh_sink(spark: SparkSession, out_path: str, cfg: EngineConfig, results_path: str,
-                           feedback_path: str, metrics_path: str):
-    """On every trigger (e.g. ``processingTime='10 seconds'``) append the batch's transactions and
-    rewrite the dashboard snapshot table from the current tables (one directory per batch id)."""
-    from riskstream.operators.dashboard import snapshot
-
-    def handle(tx_batch: DataFrame, batch_id: int) -> None:
-        tx_batch.write.mode("overwrite").parquet(f"{out_path}/transactions/batch_id={batch_id}")
-        tx = spark.read.parquet(f"{out_path}/transactions").drop("batch_id")
-        snap = snapshot(spark, tx, spark.read.parquet(results_path), spark.read.parquet(feedback_path),
-                        spark.read.parquet(metrics_path), cfg)
-        snap.write.mode("overwrite").parquet(f"{out_path}/snapshot/batch_id={batch_id}")
-
-    return handle
-
-
 REVIEW_STATE = "last_review long, item_seqs array<long>, item_scores array<double>"
 REVIEW_OUT = "transaction_id string, pending boolean, position long, score double, last_seq long"
 

@@ -40,7 +40,7 @@ def test_no_groups_and_no_values(spark):
 
 
 def test_a_round_counts_cells_and_not_values(spark):
-    df = spark.range(200_000).selectExpr("cast(id as double) as v", "0 as g")
+    df = spark.range(200_000).selectExpr("cast(id as double) as v", "0 as g", "1L as w")
     state = spark.createDataFrame([(0, 200_000, 100_000, 0.0, 0.0, 199_999.0, 0, 200_000, None)],
                                   "g int, n long, rank long, part double, lo double, hi double, before long, inside long, above double")
     r = Q._narrowed(df, state, ["g"]).first()
@@ -50,3 +50,9 @@ def test_a_round_counts_cells_and_not_values(spark):
 def test_null_versions_keep_their_row(spark):
     m = spark.createDataFrame([("a", 1.0), ("a", 2.0), (None, 3.0), ("b", None)], "model_version string, latency_ms double")
     assert sorted((tuple(r) for r in latency_p95(m).collect()), key=repr) == sorted([("a", 1.95, 2), (None, 3.0, 1), ("b", None, 1)], key=repr)
+
+
+def test_weights_count_as_rows(spark):
+    df = spark.createDataFrame([(1.0, 3), (5.0, 1), (2.0, 16), (9.0, 0)], "x double, n int")
+    for q in (0.1, 0.5, 0.9, 0.97):
+        assert Q.quantile(df, "x", q, "n") == pytest.approx(want([1.0] * 3 + [2.0] * 16 + [5.0], q))

@@ -231,20 +231,6 @@ def test_refit_uses_the_labels_windows(spark, workdir):
     assert vs.iforest.Forest.load(os.path.join(workdir, "m", forest.version), spark).version == forest.version
 
 
-def test_dashboard_refresh_sink(spark, workdir):
-    base = os.path.join(workdir, "dash")
-    fx.fx_fraud_results(spark, SF_SMALL).write.parquet(f"{base}/results")
-    fx.fx_feedback(spark, SF_SMALL).write.parquet(f"{base}/feedback")
-    fx.fx_ab_metrics(spark, SF_SMALL).write.parquet(f"{base}/metrics")
-    h = vs.dashboard_refresh_sink(spark, f"{base}/out", DAILY, f"{base}/results", f"{base}/feedback", f"{base}/metrics")
-    tx = fx.fx_transactions(spark, SF_SMALL)
-    h(tx.where("transaction_id < 'txn-5'"), 0)
-    h(tx.where("transaction_id >= 'txn-5'"), 1)
-    snap = spark.read.parquet(f"{base}/out/snapshot/batch_id=1")
-    k = {r["metric"]: r["value"] for r in snap.where("part = 'kpis'").collect()}
-    assert k["transactions_scanned"] == tx.count()
-
-
 def test_review_queue_stateful_equals_batch(spark, workdir):
     """The stateful streaming queue (events arriving in two micro-batches, one replayed) ends in the
     same pending set, positions and payloads as the batch operator."""

@@ -155,9 +155,33 @@ def node_id(kind: Column, name: Column) -> Column:
     return F.when(name.isNotNull(), F.xxhash64(kind, name))
 
 
-def _undirected(tx: DataFrame) -> DataFrame:
-    u, d, i = (node_id(F.lit(t), F.col(c)) for t, c in (("user", "user_id"), ("device", "device_id"), ("ip", "ip_address")))
-    e = tx.select(u.alias("a"), d.alias("b"), i.alias("c")).select(
+def dense_ids(rows: DataFrame, start: int = 0, column: str = "node") -> DataFrame:
+    """``rows`` with numbers from ``start`` on, no two alike and none left out. The rows are written with their partition and
+    their place in it; the driver gets the rows' number of each partition."""
+    place = F.monotonically_increasing_id()  # the partition in the upper bits, the place in the lower 33
+    rows = materialize(rows.withColumn("_at", place), "dense-ids")
+    part, bits = F.shiftright("_at", 33), F.lit((1 << 33) - 1)
+    counts = rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
+    before, offsets = start, []
+    for r in counts:
+        offsets.append((r["p"], before))
+        before += r["n"]
+    offset = rows.sparkSession.createDataFrame(offsets, "_p long, _before long")  # a row per partition
+    out = rows.withColumn("_p", part).join(F.broadcast(offset), "_p")
+    return out.withColumn(column, F.col("_before") + F.col("_at").bitwiseAND(bits)).drop("_p", "_before", "_at")
+
+
+def undirected_edges(tx: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(u, v), u < v: the distinct edges between user, device and address of a transaction. Vertices are hashes, or the numbers
+    in ``ids`` (type, id, node)."""
+    ends = (("user", "user_id", "a"), ("device", "device_id", "b"), ("ip", "ip_address", "c"))
+    if ids is None:
+        e = tx.select(*[node_id(F.lit(t), F.col(c)).alias(x) for t, c, x in ends])
+    else:
+        e = tx.select(*[c for _, c, _ in ends]).distinct()
+        for t, c, x in ends:
+            e = e.join(ids.where(F.col("type") == t).select(F.col("id").alias(c), F.col("node").alias(x)), c, "left")
+    e = e.select(
         F.inline(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")),
                          F.struct(F.col("a").alias("x"), F.col("c").alias("y")),
                          F.struct(F.col("b").alias("x"), F.col("c").alias("y")))))
@@ -217,13 +241,17 @@ def connected_components(edges: DataFrame, pre_materialized: bool = False) -> Da
 def network_stats(tx: DataFrame) -> DataFrame:
     """Node count, edge count and number of connected components, one row.
 
-    The distinct undirected edge list is written once (its row count is the edge count); components
-    come from :func:`connected_components`; vertices without any edge (a user whose device and IP are
+    Vertices are 64-bit hashes as long as these are all different, which is counted; else they get dense numbers, so that
+    two vertices never merge their components. The distinct undirected edge list is written once (its row count is the edge
+    count); components come from :func:`connected_components`; vertices without any edge (a user whose device and IP are
     both missing) are their own components, so nodes are left-joined to labels and counted in one
     aggregate."""
-    edges = materialize(_undirected(tx), "cc-edges")
+    verts = materialize(graph_vertices(tx).select("type", "id", node_id(F.col("type"), F.col("id")).alias("node")), "cc-vertices")
+    ids = None
+    if not verts.groupBy("node").count().where("count > 1").isEmpty():
+        ids = verts = materialize(dense_ids(verts.drop("node")), "cc-vertices")
+    edges = materialize(undirected_edges(tx, ids), "cc-edges")
     comps = connected_components(edges, pre_materialized=True)
-    verts = graph_vertices(tx).select(node_id(F.col("type"), F.col("id")).alias("node"))
     nodes = verts.join(comps, "node", "left").agg(
         F.count(F.lit(1)).alias("node_count"),
         F.countDistinct(F.coalesce("label", "node")).alias("components"))

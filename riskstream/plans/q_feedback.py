@@ -68,6 +68,31 @@ def q_review_page(spark, sf):
     return FB.review_page(_pending(spark, sf), limit=50, offset=50)
 
 
+def _pages(spark, sf):
+    """The pending queue in ranges of about a tenth of it: written once, as a snapshot that pages are turned in."""
+    from riskstream.operators.pages import OrderedPages
+
+    p = _pending(spark, sf)
+    return OrderedPages.write(p, ["position", "transaction_id"], rows=max(1, p.count() // 10))
+
+
+@query("review_deep_page", with_fx("""SELECT * FROM pending ORDER BY position, transaction_id
+LIMIT 50 OFFSET (SELECT COUNT(*) * 3 // 4 FROM pending)""", "fx_review_events", extra=[("pending", _PENDING)]))
+def q_review_deep_page(spark, sf):
+    """the page three quarters down the queue, by the counts of its ranges."""
+    pages = _pages(spark, sf)
+    return pages.page(pages.count * 3 // 4, 50)
+
+
+@query("review_next_page", with_fx("""SELECT * FROM pending ORDER BY position, transaction_id
+LIMIT 50 OFFSET (SELECT COUNT(*) // 2 + 50 FROM pending)""", "fx_review_events", extra=[("pending", _PENDING)]))
+def q_review_next_page(spark, sf):
+    """the page after the last row of the one half way down, by that row's key."""
+    pages = _pages(spark, sf)
+    seen = pages.page(pages.count // 2, 50).collect()  # one page
+    return pages.after((seen[-1]["position"], seen[-1]["transaction_id"]), 50) if seen else pages.page(0, 50)
+
+
 @query("retrain_due", with_fx(f"""
 SELECT COUNT(*) AS feedback_count, {CFG.feedback_retrain_threshold} AS threshold,
        COUNT(*) >= {CFG.feedback_retrain_threshold} AS due

@@ -97,3 +97,20 @@ UNION ALL SELECT 'ip', ip_address, user_id FROM fx_transactions WHERE ip_address
 @query("network_stats", _network_sql())
 def q_network_stats(spark, sf):
     return graph.network_stats(fx.fx_transactions(spark, sf))
+
+
+@query("network_stats_growing", _network_sql())
+def q_network_stats_growing(spark, sf):
+    """The same numbers from three batches added to a growing graph."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from riskstream.session import checkpoint_dir
+    from riskstream.streaming.growing_graph import GrowingGraph
+
+    g = GrowingGraph(spark, f"{checkpoint_dir(spark).rstrip('/')}/graphs/{uuid.uuid4().hex[:16]}")
+    tx = fx.fx_transactions(spark, sf)
+    for b in range(3):
+        g.add(tx.where(F.pmod(F.xxhash64("transaction_id"), F.lit(3)) == b), b)
+    return g.stats()

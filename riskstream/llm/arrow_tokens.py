@@ -28,14 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskstream.llm.common import checkpoint_path, materialize, partitions, ship_package
+from riskstream.llm.common import checkpoint_path, given_back, materialize, partitions, ship_package
 
 END_ID = 0
 SEQUENCE = 2048
 BATCH_ROWS = 256
 FILE_ROWS = 4096
 MAGIC = b"ARROW1"
-CACHE = 1_000_000  # chunks remembered by a Python worker
+CACHE = 1_000_000  # chunks remembered by a Python worker, of about 200 bytes each, in up to two generations
 SLICE_BYTES = 8 << 20  # of texts encoded at once, about
 JOINED = 64  # of them encoded as one text
 
@@ -49,7 +49,7 @@ class Encoder:
     """Encodes texts chunk by chunk with a byte-level BPE file of the tokenizers library.
 
     Its pre-tokenizer starts a token at every single space between two other characters and makes a single line end a token
-    of its own, so what lies between is encoded alone and remembered. Texts with other white space are encoded whole."""
+    of its own, so what lies between is encoded alone and remembered. Texts with other white space, or with the text of an added token, are encoded whole."""
 
     def __init__(self, path: str):
         import os
@@ -58,7 +58,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.line = self.lib.encode("\n", add_special_tokens=False).ids
@@ -98,6 +98,8 @@ class Encoder:
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
         odd = pc.or_(pc.match_substring_regex(texts, ODD), pc.match_substring(texts, "\x00"))
+        for token in self.added:  # the library looks for these before it cuts a text
+            odd = pc.or_(odd, pc.match_substring(texts, token))
         even = pc.if_else(odd, "", texts)
         cut = pc.replace_substring(pc.replace_substring(even, "\n", "\x00\n\x00"), " ", "\x00 ")
         chunks = pc.split_pattern(cut, "\x00")  # a space goes to the chunk after it
@@ -222,7 +224,7 @@ def write_files(docs: DataFrame, path: str, vocabulary: str) -> None:
     d = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
          .repartitionByRange(2 * partitions(spark), F.col("doc_id").asc_nulls_first())
          .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text"))
-    (d.mapInArrow(_writer(vocabulary), "file binary")
+    (d.mapInArrow(given_back(_writer(vocabulary)), "file binary")
      .select(F.col("file").cast("string")).write.option("lineSep", MAGIC.decode()).option("maxRecordsPerFile", 1)
      .text(path))
 
@@ -253,7 +255,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the documents in the files below ``path``."""
     ship_package(spark)
     d = materialize(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-                    .mapInPandas(_reader, READ), "tokens-read")
+                    .mapInPandas(given_back(_reader), READ), "tokens-read")
     per = d.groupBy("part", "file").agg(F.sum("n_tokens").alias("n"))
     w = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     base = materialize(per.select(F.col("part").alias("p"), F.col("file").alias("f"),

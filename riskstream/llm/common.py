@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskstream.session import checkpoint_dir, discard, materialize, ship_package
 from riskstream.sources.tables import load_table
 
-__all__ = ["WORD", "SPACES", "ascii_lower", "discard", "documents", "materialize", "ship_package", "word_count", "partitions", "checkpoint_path", "packed", "unpacked", "slices", "table"]
+__all__ = ["WORD", "SPACES", "ascii_lower", "discard", "documents", "given_back", "materialize", "ship_package", "word_count", "partitions", "checkpoint_path", "packed", "unpacked", "slices", "table"]
 
 #: A word, and what separates words: the six ASCII white-space characters only.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -73,3 +75,21 @@ def table(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
         return materialize(df, name)
     finally:
         conf.set(key, before)
+
+
+def given_back(work, drop=None):
+    """``work`` on a task's batches; at the end of the task ``drop`` empties its caches and the worker returns what it no
+    longer uses to the machine. Spark keeps workers for later tasks, also of stages that need the memory for something else."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            if drop:
+                drop()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim:
+                trim(0)
+
+    return run

@@ -11,7 +11,7 @@ from riskstream.llm.queries import vocabulary
 from .conftest import LONG, edge_rows, rows
 
 TEXTS = ["", " ", " a", "a ", "a\n", "\n", "\na b\nc", "a  b", "a \nb", "don't stop 's 've x 　 y", "x\x00y z", "\ta b", "a b\t",
-         "a\tb c", "a b \x85", "a, b. c!, d., e's, ..x, é, 日, 本.", "\x0bq r\x0b s,\x0b", "a\xa0 b", "<|endoftext|> x", LONG]
+         "a\tb c", "a b \x85", "a, b. c!, d., e's, ..x, é, 日, 本.", "\x0bq r\x0b s,\x0b", "a\xa0 b", "<|endoftext|> x", "a<|endoftext|>b", "a <|endoftext|>\n<|endoftext|> b, c.", "<|endoftext", LONG]
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +23,6 @@ def whole(path, texts):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     return [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 

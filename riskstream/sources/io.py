@@ -143,18 +143,19 @@ FRAUD_RESULT_JSON = T.StructType([
 ])
 
 
-def unit_score(score: Column) -> Column:
-    """A score on the 0..1 scale of stored results: values above 1 are on the scorer's 0..100 scale; what lies outside
-    both is null."""
-    s = F.when(score > 1, score / F.lit(100.0)).otherwise(score)
+def unit_score(score: Column, scale: float = 1.0) -> Column:
+    """A score on the 0..1 scale of stored results, from one on the scale 0..``scale`` (100 for a scorer's). Nothing in a value
+    tells its scale, so the caller has to; what lies outside the scale is null."""
+    s = score / F.lit(float(scale))
     return F.when(s.between(0, 1), s.try_cast("decimal(5,4)"))
 
 
-def coerce_results(df: DataFrame) -> DataFrame:
-    """A15 for FRAUD_RESULT: reasons default to [], score to decimal(5,4) on the 0..1 scale (:func:`unit_score`)."""
+def coerce_results(df: DataFrame, scale: float = 1.0) -> DataFrame:
+    """A15 for FRAUD_RESULT: reasons default to [], score from 0..``scale`` to decimal(5,4) on the 0..1 scale
+    (:func:`unit_score`)."""
     return df.select(
         "transaction_id", F.coalesce(F.col("is_fraud"), F.lit(False)).alias("is_fraud"),
-        unit_score(F.col("score")).alias("score"),
+        unit_score(F.col("score"), scale).alias("score"),
         F.coalesce(F.col("reasons"), F.array().cast("array<string>")).alias("reasons"),
         "rule_triggered", "model_version", "fraud_ring_id", "llm_summary", "routed_to",
         parse_iso(F.col("scored_at")).alias("scored_at"))

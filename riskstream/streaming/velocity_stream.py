@@ -63,9 +63,19 @@ def json_sink(path: str, key: str):
     return write
 
 
+def distinct_transactions(tx: DataFrame, cfg: EngineConfig, watermark: str | None = None) -> DataFrame:
+    """A stream of transactions in which each id counts once within the watermark, whatever batches its copies are in and
+    also after a restart: the ids of that time are kept as state. Messages without an id are dropped: nothing tells them apart."""
+    t = tx.where("transaction_id is not null").withColumn("_at", event_instant("event_time"))
+    return t.withWatermark("_at", watermark or cfg.watermark).dropDuplicatesWithinWatermark(["transaction_id"])
+
+
 def velocity_updates(tx: DataFrame, cfg: EngineConfig, watermark: str | None = None) -> DataFrame:
     """Watermarked tumbling-window aggregate over the exploded dimensions (event time)."""
-    t = tx.withColumn("event_ts", event_instant("event_time")).withWatermark("event_ts", watermark or cfg.watermark)
+    if "_at" in tx.columns:  # of distinct_transactions, with its watermark
+        t = tx.withColumnRenamed("_at", "event_ts")
+    else:
+        t = tx.withColumn("event_ts", event_instant("event_time")).withWatermark("event_ts", watermark or cfg.watermark)
     pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(c).alias("dimension_key")) for d, c in DIMENSIONS])
     rows = t.select("event_ts", "amount", F.inline(pairs)).where(
         F.col("dimension_key").isNotNull() & (F.col("dimension_key") != ""))
@@ -363,7 +373,9 @@ def _review_step(key, pdfs, state):
         items = dict(zip([int(x) for x in seqs], scores))
     else:
         last_review, items = -1, {}
+    newest = -1
     for pdf in pdfs:
+        newest = max(newest, int(pdf["at_ms"].max()))
         kind = pdf["kind"].to_numpy()
         seq = pdf["seq"].to_numpy()
         rv = seq[kind == "review"]
@@ -374,7 +386,6 @@ def _review_step(key, pdfs, state):
             items[int(k)] = None if v != v else v  # NaN -> None
     order = sorted(k for k in items if k > last_review)
     state.update((last_review, order, [items[k] for k in order]))
-    newest = max([last_review] + order)
     state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 1)  # the watermark is REVIEW_TTL_MS behind
     pending = bool(order)
     yield pd.DataFrame({"transaction_id": [key[0]], "pending": [pending],
@@ -383,17 +394,21 @@ def _review_step(key, pdfs, state):
                         "last_seq": [max([last_review] + order)]})
 
 
-def review_queue_stateful(events: DataFrame) -> DataFrame:
+def review_queue_stateful(events: DataFrame, event_time: str | None = None) -> DataFrame:
     """I6 as a stateful streaming operator: ``applyInPandasWithState`` keyed by transaction id keeps
     one small state per key (bounded, not per event; removed some time after its last review) and emits the key's queue status on every change
-    (update mode). The pending queue is ``where(pending)`` ordered by position."""
+    (update mode). The pending queue is ``where(pending)`` ordered by position.
+
+    States expire in event time: that of the column ``event_time`` (a timestamp), or ``seq`` read as epoch milliseconds. Any
+    other sequence needs the column, or its states would expire at once or never. An event that comes again, in another batch
+    or after a restart, counts once: arrivals are kept by their sequence."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     from riskstream.session import ship_package
 
     ship_package(events.sparkSession)
+    at = F.col(event_time) if event_time else F.timestamp_millis(F.col("seq").cast("long"))
     e = events.select("transaction_id", F.col("seq").cast("long"), "kind", F.col("score").cast("double"),
-                      F.timestamp_millis(F.col("seq").cast("long")).alias("at")).withWatermark(
-        "at", f"{REVIEW_TTL_MS // 1000} seconds")
+                      at.alias("at"), F.unix_millis(at).alias("at_ms")).withWatermark("at", f"{REVIEW_TTL_MS // 1000} seconds")
     return e.groupBy("transaction_id").applyInPandasWithState(
         _review_step, REVIEW_OUT, REVIEW_STATE, "update", GroupStateTimeout.EventTimeTimeout)

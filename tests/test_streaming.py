@@ -110,12 +110,14 @@ def test_review_queue_stream_handler(spark, workdir):
 
 def test_result_coercion_keeps_scores_on_one_scale(spark):
     lines = spark.createDataFrame([('{"transaction_id":"t1","score":0.42,"routed_to":"human-review"}',),
-                                   ('{"transaction_id":"t2","score":84.0}',), ('{"transaction_id":"t3","score":1e9}',),
+                                   ('{"transaction_id":"t2","score":84.0}',), ('{"transaction_id":"t3","score":1e9}',), ('{"transaction_id":"t5","score":1}',),
                                    ('{"transaction_id":"t4","score":-1}',)], "value string")
     good, _ = io.decode_json(lines, io.FRAUD_RESULT_JSON)
     r = {x["transaction_id"]: x for x in io.coerce_results(good).collect()}
     assert r["t1"]["reasons"] == [] and float(r["t1"]["score"]) == 0.42 and r["t1"]["is_fraud"] is False
-    assert float(r["t2"]["score"]) == 0.84 and r["t3"]["score"] is None and r["t4"]["score"] is None
+    assert r["t2"]["score"] is None and r["t3"]["score"] is None and r["t4"]["score"] is None and float(r["t5"]["score"]) == 1
+    r = {x["transaction_id"]: x["score"] for x in io.coerce_results(good, scale=100).collect()}
+    assert float(r["t2"]) == 0.84 and float(r["t5"]) == 0.01 and r["t3"] is None and r["t4"] is None
 
 
 def test_alert_messages_in_either_case(spark):
@@ -286,6 +288,7 @@ def test_review_state_order_insensitive():
 
     def step(state, rows):
         pdf = pd.DataFrame(rows, columns=["transaction_id", "seq", "kind", "score"])
+        pdf["at_ms"] = pdf["seq"]
         return next(vs._review_step(("t1",), iter([pdf]), state)).iloc[0]
 
     st = _State()
@@ -318,3 +321,51 @@ def test_parse_iso_offset(spark):
 
     df = spark.createDataFrame([("2026-01-15T12:30:00+02:00",)], "s string")
     assert str(df.select(io.parse_iso(F.col("s"))).first()[0]) == "2026-01-15 10:30:00"
+
+
+def test_a_message_that_comes_again_counts_once(spark, workdir):
+    """Copies in one batch, in later batches and after a restart."""
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet").where("event_id < 60")
+    src, cfg = os.path.join(workdir, "src"), DAILY.with_(watermark="3000 days")
+    ev.unionByName(ev.where("event_id % 7 = 0")).coalesce(1).write.parquet(f"{src}/events_a.parquet")
+    ev.where("event_id % 2 = 0").coalesce(1).write.parquet(f"{src}/events_b.parquet")
+
+    def run():
+        tx = vs.distinct_transactions(fx.transactions_from_events(vs.events_stream(spark, src, max_files=1)), cfg)
+        out = tx.select("transaction_id", "event_time", "_at")
+        vs.run_available(out, vs.batch_sink(f"{workdir}/out"), f"{workdir}/ck", "append")
+
+    run()
+    ev.where("event_id % 3 = 0").coalesce(1).write.parquet(f"{src}/events_c.parquet")
+    run()
+    got = [r[0] for r in spark.read.parquet(f"{workdir}/out").select("transaction_id").collect()]
+    assert len(got) == len(set(got)) == ev.count()
+
+
+def test_windows_of_distinct_messages(spark, workdir):
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet").where("event_id < 60")
+    src, cfg = os.path.join(workdir, "src"), DAILY.with_(watermark="1 days")
+    for x in "ab":
+        ev.coalesce(1).write.parquet(f"{src}/events_{x}.parquet")
+    # a message behind the watermark closes nothing again; one far ahead closes all windows
+    ahead = ev.limit(1).withColumn("ts", F.col("ts") + F.expr("INTERVAL 900 DAYS")).withColumn("event_id", F.lit(99_999).cast("long"))
+    ahead.coalesce(1).write.parquet(f"{src}/events_c.parquet")
+    tx = vs.distinct_transactions(fx.transactions_from_events(vs.events_stream(spark, src)), cfg)
+    vs.run_available(vs.velocity_updates(tx, cfg), vs.batch_sink(f"{workdir}/out"), f"{workdir}/ck", "append")
+    cols = ["dimension", "dimension_key", "window_start", "txn_count", "total_amount"]
+    want = velocity.velocity_windows(fx.transactions_from_events(ev), cfg).select(*cols).collect()
+    assert sorted(map(tuple, spark.read.parquet(f"{workdir}/out").select(*cols).collect())) == sorted(map(tuple, want))
+
+
+def test_review_states_follow_an_event_time_column(spark, workdir):
+    """A sequence that is no time: states live by the column."""
+    rows = [("t1", 1, "item", 0.5, 1_700_000_000), ("t2", 2, "item", 0.4, 1_700_000_100), ("t1", 3, "review", None, 1_700_000_200),
+            ("t2", 2, "item", 0.4, 1_700_000_100)]
+    df = spark.createDataFrame(rows, "transaction_id string, seq long, kind string, score double, s long").withColumn(
+        "at", F.timestamp_seconds("s")).drop("s")
+    for i in range(4):
+        df.where(F.col("seq") == rows[i][1]).limit(1).coalesce(1).write.parquet(f"{workdir}/src/events_{i}.parquet")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{workdir}/src/events_*.parquet")
+    vs.run_available(vs.review_queue_stateful(stream, "at"), vs.batch_sink(f"{workdir}/out"), f"{workdir}/ck")
+    cur = vs.latest_by_key(spark, f"{workdir}/out", ["transaction_id"]).where("pending")
+    assert [(r["transaction_id"], r["position"], r["score"]) for r in cur.collect()] == [("t2", 2, 0.4)]

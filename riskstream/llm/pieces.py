@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskstream.llm.common import ship_package
+from riskstream.llm.common import given_back, ship_package
 from riskstream.llm.piecetable import SPACE, code_points, equal_lengths, gather, piece_table
 
 UNKNOWN_PENALTY = 10.0
@@ -218,6 +218,9 @@ class Codec:
             ids, lengths = gather(own, np.arange(len(own)), self.dtype)
         return ids, lengths
 
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode()[1:]
 
@@ -278,7 +281,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def encoded(docs: DataFrame, vocabulary: str, check: bool = False) -> DataFrame:
     """(doc_id, ids) of each document; with ``check`` the ids are decoded too, and the job fails if a text does not come back."""
-    return _texts(docs).mapInArrow(_encoder(vocabulary, check), "doc_id long, ids array<int>")
+    return _texts(docs).mapInArrow(given_back(_encoder(vocabulary, check), lambda: codec(vocabulary).forget()), "doc_id long, ids array<int>")
 
 
 def decoded(pieces: DataFrame, vocabulary: str) -> DataFrame:

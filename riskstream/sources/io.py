@@ -161,12 +161,13 @@ def coerce_results(df: DataFrame, scale: float = 1.0) -> DataFrame:
         parse_iso(F.col("scored_at")).alias("scored_at"))
 
 
-def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Append-only insert into a table path."""
-    w = df.write.mode("append")
+def append(df: DataFrame, path: str, partition_by: Sequence[str] = (), batch_id: int | None = None) -> None:
+    """Append-only insert into a table path. With a ``batch_id`` the rows go to folders of their own, which an insert of
+    the same id replaces, so one that is done again after a failure counts once; the table has the id as a column."""
+    w = df.write.mode("append" if batch_id is None else "overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    w.parquet(path if batch_id is None else f"{path}/batch_id={batch_id}")
 
 
 # Declared casts and defaults of the remaining entities (column -> (type, default or None))

@@ -53,12 +53,26 @@ def kafka_alerts(spark: SparkSession, servers: str, topic: str) -> tuple[DataFra
     return io.alerts_of(kafka_lines(spark, servers, topic))
 
 
-def json_sink(path: str, key: str):
-    """foreachBatch writer of keyed JSON messages, one folder a batch (idempotent replay). A message keeps its
-    key beside its value, so messages of one key can be kept in order by whatever reads them."""
+def json_sink(path: str, key: str, order: str | None = None):
+    """foreachBatch writer of keyed JSON messages, one folder a batch (idempotent replay). With ``order``, a column,
+    the files of a batch are ranges of (key, order) in the order of their names: read one after the other they give the messages
+    of every key in order, and those of a hot key lie in several files."""
 
     def write(df: DataFrame, batch_id: int) -> None:
-        io.encode_json(df, key).write.mode("overwrite").json(f"{path}/batch_id={batch_id}")
+        out = df
+        if order:
+            out = df.repartitionByRange(key, order).sortWithinPartitions(key, order)
+        io.encode_json(out, key).write.mode("overwrite").json(f"{path}/batch_id={batch_id}")
+
+    return write
+
+
+def append_sink(path: str, partition_by: tuple = ()):
+    """foreachBatch writer that inserts rows into an append-only table, partitioned by columns of theirs; a replayed batch
+    replaces what it had inserted (:func:`riskstream.sources.io.append`)."""
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        io.append(df, path, partition_by, batch_id)
 
     return write
 

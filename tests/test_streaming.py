@@ -369,3 +369,31 @@ def test_review_states_follow_an_event_time_column(spark, workdir):
     vs.run_available(vs.review_queue_stateful(stream, "at"), vs.batch_sink(f"{workdir}/out"), f"{workdir}/ck")
     cur = vs.latest_by_key(spark, f"{workdir}/out", ["transaction_id"]).where("pending")
     assert [(r["transaction_id"], r["position"], r["score"]) for r in cur.collect()] == [("t2", 2, 0.4)]
+
+
+def test_messages_of_a_key_are_in_order(spark, workdir):
+    import glob
+    import json
+
+    df = spark.range(3000).selectExpr("case when id % 3 = 0 then 'hot' else concat('k', id % 40) end k", "pmod(xxhash64(id), 100000) at", "id")
+    vs.json_sink(f"{workdir}/out", "k", "at")(df, 0)
+    seen, files_of = {}, {}
+    for f in sorted(glob.glob(f"{workdir}/out/batch_id=0/part-*")):
+        for line in open(f):
+            m = json.loads(line)
+            seen.setdefault(m["key"], []).append(json.loads(m["value"])["at"])
+            files_of.setdefault(m["key"], set()).add(f)
+    assert sum(map(len, seen.values())) == 3000 and all(v == sorted(v) for v in seen.values())
+
+
+def test_inserts_count_once(spark, workdir):
+    path = f"{workdir}/metrics"
+    sink = vs.append_sink(path, ("arm",))
+    rows = lambda a, n: spark.range(n).selectExpr(f"'{a}' arm", "id")
+    sink(rows("a", 5), 0)
+    sink(rows("b", 3), 1)
+    sink(rows("b", 3), 1)  # a replay
+    assert sorted((r["arm"], r["count"]) for r in spark.read.parquet(path).groupBy("arm").count().collect()) == [("a", 5), ("b", 3)]
+    io.append(rows("c", 2), f"{workdir}/plain")
+    io.append(rows("c", 2), f"{workdir}/plain")
+    assert spark.read.parquet(f"{workdir}/plain").count() == 4

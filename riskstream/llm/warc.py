@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskstream.llm.common import checkpoint_path, materialize, ship_package
+from riskstream.llm.common import checkpoint_path, materialize, partitions, ship_package
 
 CRLF = "\r\n"
 END = b"\r\n\r\n"
@@ -35,8 +35,8 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DIGITS32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
 FILE_BYTES = 16 << 20  # of html in an archive file, about
-RANGE_ROWS = 100_000  # captures merged by one task, about
-SAMPLE = 64  # sampled keys for each splitter
+RANGE_ROWS = 100_000  # captures of a range, about; more where that would give more ranges than 4 x shuffle partitions
+SAMPLE, SAMPLED = 64, 1 << 20  # sampled keys for each splitter, and for all of them at most
 BLOCK_ROWS = 512
 
 CAPTURE = ("page_id long, url_key string, captured long, record_type string, payload_bytes long, payload_digest string, "
@@ -280,10 +280,10 @@ def merged_index(runs: DataFrame) -> DataFrame:
     spark = runs.sparkSession
     ship_package(spark)
     n = runs.count()
-    parts = max(1, n // RANGE_ROWS)
+    parts = max(1, min(n // RANGE_ROWS, 4 * partitions(spark)))
     splitters = []
-    if parts > 1:  # SAMPLE * parts keys, about, whatever the input
-        share = min(1.0, SAMPLE * parts / n)
+    if parts > 1:
+        share = min(1.0, min(SAMPLE * parts, SAMPLED) / n)
         keys = sorted(order_key((r.page_id, r.url_key, r.captured)) for r in
                       runs.where(F.pmod(F.xxhash64("file", "offset"), F.lit(1 << 30)) < int(share * (1 << 30)))
                       .select("page_id", "url_key", "captured").collect())

@@ -65,18 +65,9 @@ def _sketch_sql(text: str) -> str:
             FROM (SELECT {words} AS w), LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i)) END))"""
 
 
-_LIKE_SQL = """CASE WHEN len({a}) = 0 THEN (CASE WHEN len({b}) = 0 THEN 1.0 ELSE 0.0 END)
-  WHEN len(list_filter({a}, lambda x: x <= least({ba}, {bb}))) = 0 THEN 0.0
-  ELSE len(list_intersect(list_filter({a}, lambda x: x <= least({ba}, {bb})), {b}))::DOUBLE
-       / len(list_filter({a}, lambda x: x <= least({ba}, {bb}))) END"""
-
-
-def _bound_sql(s: str) -> str:
-    return f"(CASE WHEN len({s}) < 32 THEN 'g' WHEN {s}[-1] < '1' THEN '1' ELSE {s}[-1] END)"
-
-
 def _like_sql(a: str, b: str) -> str:
-    return _LIKE_SQL.format(a=a, b=b, ba=_bound_sql(a), bb=_bound_sql(b))
+    return f"""CASE WHEN len({a}) = 0 THEN (CASE WHEN len({b}) = 0 THEN 1.0 ELSE 0.0 END)
+  ELSE len(list_intersect({a}, {b}))::DOUBLE / len({a}) END"""
 
 
 FINGERPRINT_SQL = f"""
@@ -87,9 +78,8 @@ n AS (SELECT doc_id, text, length(text)::BIGINT AS n_chars,
 e AS (SELECT *, left(text, n_chars - n_chars // 2) || left(next_text, n_chars // 2) AS edited FROM n),
 h AS (SELECT *, {_sketch_sql('text')} AS a, {_sketch_sql('next_text')} AS b, {_sketch_sql('edited')} AS c FROM e),
 s AS (SELECT doc_id, n_chars, edited,
-        CASE WHEN len(list_filter(a, lambda x: x < '1')) >= 32 THEN list_filter(a, lambda x: x < '1') ELSE a[1:32] END AS a,
-        CASE WHEN len(list_filter(b, lambda x: x < '1')) >= 32 THEN list_filter(b, lambda x: x < '1') ELSE b[1:32] END AS b,
-        CASE WHEN len(list_filter(c, lambda x: x < '1')) >= 32 THEN list_filter(c, lambda x: x < '1') ELSE c[1:32] END AS c FROM h)
+        list_filter(a, lambda x: x < '4') AS a, list_filter(b, lambda x: x < '4') AS b,
+        list_filter(c, lambda x: x < '4') AS c FROM h)
 SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, array_to_string(a, ',') AS fingerprint,
   array_to_string(c, ',') AS edited_fingerprint, ({_like_sql('a', 'c')})::DOUBLE AS near_edited,
   ({_like_sql('a', 'b')})::DOUBLE AS near_next

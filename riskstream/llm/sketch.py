@@ -2,32 +2,33 @@
 
 A sketch keeps every distinct shingle hash below a fixed fraction of the hash range (``FRACTION``, a prefix of the hex
 digits of an md5), so its size follows the text's, the sketch of a union is the union of the sketches, and the share of
-one sketch that lies in another estimates containment, also between texts of very unequal length. A text with fewer
-than ``FLOOR`` such hashes keeps its ``FLOOR`` smallest instead, so that short texts are not left without any; two
-sketches are compared below the smaller of the bounds up to which each is complete.
+one sketch that lies in another estimates containment, also between texts of very unequal length. The rule is the same at
+every length: of a text of a few shingles few hashes are kept, or none.
 
-Defined results: a null text counts as empty; a text without words has the empty fingerprint, like 1 to another empty one
-and 0 to any other; with fewer than five words the whole sequence is one shingle. Rows with equal ids are ordered by
+Defined results: a null text counts as empty; a text without words, or none of whose hashes lies below the fraction, has
+the empty fingerprint, like 1 to another empty one and 0 to any other; with fewer than five words the whole sequence is
+one shingle. Rows with equal ids are ordered by
 text, descending; null ids come after all others. Of an empty table the result is empty; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskstream.llm.common import SPACES, materialize, partitions
 
 SHINGLE = 5
-#: Hashes below this hex digit are kept: one in 16.
-FRACTION = "1"
-FLOOR = 32
+#: Hashes below this hex digit are kept: one in 4.
+FRACTION = "4"
 DIGITS = 16
 
 
 def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add the sketch of column ``text``: sorted 64-bit hashes as hex strings."""
-    words, sh, low = f"{out}_w", f"{out}_s", f"{out}_l"
+    words, sh = f"{out}_w", f"{out}_s"
     return (df.withColumn(words, F.expr(rf"filter(split(lower({text}), r'{SPACES}'), w -> w != '')"))
             .withColumn(sh, F.expr(
                 f"CASE WHEN size({words}) = 0 THEN array() "
@@ -36,58 +37,58 @@ def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
                 f"left(md5(concat_ws(' ', w, "
                 + ", ".join(f"get({words}, i + {j})" for j in range(1, SHINGLE)) + f")), {DIGITS})) END"))
             .drop(words)
-            .withColumn(low, F.expr(f"array_distinct(filter({sh}, x -> x < '{FRACTION}'))"))
-            .withColumn(out, F.expr(f"CASE WHEN size({low}) >= {FLOOR} THEN sort_array({low}) "
-                                    f"ELSE slice(sort_array(array_distinct({sh})), 1, {FLOOR}) END"))
-            .drop(sh, low))
-
-
-def _bound(s: str) -> str:
-    """Up to which hash a sketch holds all of its text."""
-    return (f"CASE WHEN size({s}) < {FLOOR} THEN 'g' WHEN element_at({s}, -1) < '{FRACTION}' THEN '{FRACTION}' "
-            f"ELSE element_at({s}, -1) END")
+            .withColumn(out, F.expr(f"sort_array(array_distinct(filter({sh}, x -> x < '{FRACTION}')))"))
+            .drop(sh))
 
 
 def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """Add the estimated share of ``a``'s shingles that ``b`` has."""
-    part = f"{out}_part"
-    return (df.withColumn(part, F.expr(f"filter({a}, x -> x <= least({_bound(a)}, {_bound(b)}))"))
-            .withColumn(out, F.expr(f"CASE WHEN size({a}) = 0 THEN IF(size({b}) = 0, 1.0D, 0.0D) "
-                                    f"WHEN size({part}) = 0 THEN 0.0D "
-                                    f"ELSE size(array_intersect({part}, {b})) / size({part}) END"))
-            .drop(part))
+    return df.withColumn(out, F.expr(f"CASE WHEN size({a}) = 0 THEN IF(size({b}) = 0, 1.0D, 0.0D) "
+                                     f"ELSE size(array_intersect({a}, {b})) / size({a}) END"))
 
 
 def merge_sketches(a: str, b: str) -> str:
     """SQL of the sketch of the union of two texts' shingles, from their sketches."""
-    u = f"array_union({a}, {b})"
-    low = f"filter({u}, x -> x < '{FRACTION}')"
-    return f"IF(size({low}) >= {FLOOR}, sort_array({low}), slice(sort_array({u}), 1, {FLOOR}))"
+    return f"sort_array(array_union({a}, {b}))"
+
+
+def _ranges(docs: DataFrame) -> tuple[list[int], bool]:
+    """The largest id of each of at most 4 x shuffle partitions ranges of the ids, ascending, and whether there are null ids.
+
+    Spark's range partitioner picks the ranges; what comes to the driver is one row for each."""
+    tops = (docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+            .repartitionByRange(4 * partitions(docs.sparkSession), "doc_id").groupBy(F.spark_partition_id())
+            .agg(F.max("doc_id").alias("top"), F.count_if(F.col("doc_id").isNull()).alias("lost")).collect())
+    return sorted({r.top for r in tops if r.top is not None}), any(r.lost for r in tops)
+
+
+def _range_of(doc_id: str, cuts: list[int]) -> tuple[str, str]:
+    """SQL of the number of ``cuts`` below the id, and of the cut that it lies up to.
+
+    The cuts are one constant, in lists of about the root of their number: a row compares with one cut of each list, then
+    with those of its own list."""
+    step = max(1, round(len(cuts) ** 0.5))
+    lists = [cuts[i:i + step] for i in range(0, len(cuts), step)]
+    last, each = (f"from_json('{json.dumps(x)}', '{t}')" for x, t in (([x[-1] for x in lists], "array<bigint>"),
+                                                                     (lists, "array<array<bigint>>")))
+    at = f"size(filter({last}, c -> c < {doc_id}))"
+    mine = f"get({each}, {at})"
+    below = f"size(filter({mine}, c -> c < {doc_id}))"
+    return f"({at} * {step} + {below})", f"get({mine}, {below})"
 
 
 def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     """(doc_id, text, ``carried``) with next_* of the row that follows in descending ``doc_id``, of the last the first.
 
-    The ids are cut into ranges of about equal counts, a window runs within each, and each range also gets a copy of the
-    first row of the range after it. The texts are shuffled once."""
-    spark = docs.sparkSession
-    n = 4 * partitions(spark)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-    at = f"size(filter(array({', '.join(f'{c}L' for c in cuts)}), c -> c < doc_id))" if cuts else "0"
-    d = docs.select("doc_id", "text", F.expr(f"CASE WHEN doc_id IS NULL THEN -1 ELSE {at} END").alias("part"))
-    tops = {r.part: r.top for r in d.groupBy("part").agg(F.max("doc_id").alias("top")).collect()}  # a row for each range
-    order = sorted(tops, reverse=True)
-    if not order:
-        return with_sketch(d, "text", "fp").select("doc_id", "text", *carried, F.col("text").alias("next_text"),
-                                                   *[F.col(c).alias(f"next_{c}") for c in carried])
-    before = {p: order[i - 1] for i, p in enumerate(order)}  # the first range follows the last
-    ids = [v for v in tops.values() if v is not None]
-    is_top = F.col("doc_id").isin(ids) if ids else F.lit(False)
-    firsts = (d.where(is_top if tops.get(-1, 0) is not None else is_top | F.col("doc_id").isNull())
+    The ids are cut into ranges of about equal counts, null ids are one more; a window runs within each, and each range also
+    gets a copy of the first row of the range after it. The texts are shuffled once."""
+    cuts, nulls = _ranges(docs)
+    part, top = _range_of("doc_id", cuts)
+    d = docs.select("doc_id", "text", F.expr(f"CASE WHEN doc_id IS NULL THEN -1 ELSE {part} END").alias("part"))
+    firsts = (d.where(F.expr(f"doc_id IS NULL OR doc_id = {top}"))
               .groupBy("part", "doc_id").agg(F.max("text").alias("text")))
-    moved = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
-    copies = firsts.select("doc_id", "text", F.element_at(moved, F.col("part")).alias("part"), F.lit(1).alias("copy"))
+    before = F.when(F.col("part") == len(cuts) - 1, -1 if nulls else 0).otherwise(F.col("part") + 1)  # the highest follows the last
+    copies = firsts.select("doc_id", "text", before.alias("part"), F.lit(1).alias("copy"))
     rows = with_sketch(d.withColumn("copy", F.lit(0)).unionByName(copies), "text", "fp")
     w = Window.partitionBy("part").orderBy("copy", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
     return (rows.select("*", F.lead("text").over(w).alias("next_text"),

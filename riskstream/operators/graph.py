@@ -124,22 +124,22 @@ def user_best_ring(tx: DataFrame, cfg: EngineConfig, pairs: DataFrame | None = N
     min(users, 10); ties go to the ring created first, device before IP, then to the smaller resource id, which decides
     where two rings were first used at the same time.
 
-    The ring's columns ride along in the aggregated struct: one join of the pairs with their rings, one aggregate."""
+    Rings are numbered in that order, so a user's best ring is the ``min`` of a long: a hash aggregate over the membership
+    table, which holds no texts. Only the rings are sorted, and joined back by their number."""
     # the pair table feeds both the ring aggregate and the membership join: written once to the
     # shared folder instead of scanning and shuffling the transactions twice
     p = pairs if pairs is not None else materialize(resource_users(tx), "resource-users")
     rings = fraud_rings(tx, cfg, p).select(
         F.col("shared_resource_type").alias("resource_type"), F.col("shared_resource_id").alias("resource_id"),
         "ring_id", "n_users", "risk_score", "first_seen")
-    m = p.select("resource_type", "resource_id", "user_id").join(rings, ["resource_type", "resource_id"])
-    order = F.struct(
-        (-F.least("n_users", F.lit(10))).alias("level"), "first_seen",
-        F.when(F.col("resource_type") == "device", 0).otherwise(1).alias("rank"), "resource_id",
-        "ring_id", "resource_type", "n_users", "risk_score")
-    best = m.groupBy("user_id").agg(F.min(order).alias("r"))
-    return best.select("user_id", "r.ring_id", F.col("r.resource_type").alias("ring_type"),
-                       F.col("r.resource_id").alias("ring_resource"), F.col("r.n_users").alias("ring_users"),
-                       F.col("r.risk_score").alias("ring_risk"))
+    rings = dense_ids(rings.orderBy(F.desc(F.least("n_users", F.lit(10))), "first_seen",
+                                    F.when(F.col("resource_type") == "device", 0).otherwise(1), "resource_id"), column="ring_no")
+    members = p.select("resource_type", "resource_id", "user_id").join(
+        rings.select("resource_type", "resource_id", "ring_no"), ["resource_type", "resource_id"])
+    best = members.groupBy("user_id").agg(F.min("ring_no").alias("ring_no"))
+    return best.join(rings, "ring_no").select(
+        "user_id", "ring_id", F.col("resource_type").alias("ring_type"), F.col("resource_id").alias("ring_resource"),
+        F.col("n_users").alias("ring_users"), F.col("risk_score").alias("ring_risk"))
 
 
 def resource_amounts(tx: DataFrame) -> DataFrame:
@@ -156,8 +156,8 @@ def node_id(kind: Column, name: Column) -> Column:
 
 
 def dense_ids(rows: DataFrame, start: int = 0, column: str = "node") -> DataFrame:
-    """``rows`` with numbers from ``start`` on, no two alike and none left out. The rows are written with their partition and
-    their place in it; the driver gets the rows' number of each partition."""
+    """``rows`` with numbers from ``start`` on, no two alike and none left out; sorted rows are numbered in their order. The
+    rows are written with their partition and their place in it; the driver gets the rows' number of each partition."""
     place = F.monotonically_increasing_id()  # the partition in the upper bits, the place in the lower 33
     rows = materialize(rows.withColumn("_at", place), "dense-ids")
     part, bits = F.shiftright("_at", 33), F.lit((1 << 33) - 1)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskstream.operators.feedback import VERDICTS
+from riskstream.session import materialize
 
 ROUTES = ("fraud-alerts", "human-review", "approved-transactions")
 STATUSES = ("active", "paused", "completed", "draft")
@@ -18,34 +19,43 @@ def _flags(df: DataFrame, table: str, key: str, *flags: tuple) -> DataFrame:
     return df.select(F.lit(table).alias("table_name"), F.explode(found).alias("rule"), F.col(key).cast("string").alias("key"))
 
 
+#: Copies of a row that one generator gives at most; more come from several.
+RUN = 100_000
+
+
+def _repeated(df: DataFrame, *rules: tuple) -> DataFrame:
+    """(table_name, rule, key) for each (table, rule, times) of a row, ``times`` times. A key that breaks a rule very often
+    has no array of that length: runs of ``RUN`` are counted first."""
+    each = F.array(*[F.struct(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
+                              F.coalesce(times, F.lit(0)).cast("long").alias("times")) for table, rule, times in rules])
+    broken = df.select(F.col("transaction_id").cast("string").alias("key"), F.inline(each)).where("times > 0")
+    runs = broken.withColumn("before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(RUN).cast("long"))))
+    one = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(RUN), F.col("times") - F.col("before"))))
+    return runs.select("table_name", "rule", "key", one.alias("one")).drop("one")
+
+
 def constraint_violations(tx_log: DataFrame, results: DataFrame, feedback: DataFrame, experiments: DataFrame,
                           max_split: float = 0.5) -> DataFrame:
     """Enum, range, NOT NULL, primary-key and foreign-key checks.
 
-    Each data table is read once for the checks of its own columns: keys are counted in an aggregate that also carries how
-    often each column check failed. Foreign keys of both referencing tables are one anti join against the keys."""
+    Each data table is read once. Transactions are reduced to a row a key, with how often a check failed, and written;
+    results are reduced likewise, and one join of the two gives the checks of both and the foreign keys of results. Feedback
+    meets the written keys in the same pass as its own check."""
     lost = F.col("user_id").isNull() | F.col("amount").isNull() | F.col("event_time").isNull()
-    tx = tx_log.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(lost).alias("lost"))
+    tx = materialize(tx_log.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("tx_rows"), F.count_if(lost).alias("lost")),
+                     "transaction-keys")
     bad_route = F.col("routed_to").isNull() | ~F.col("routed_to").isin(*ROUTES)
-    res = results.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad_route).alias("routes"))
-    # as many rows of a rule as there are rows that break it
-    def times(n):
-        return F.explode(F.sequence(F.lit(1), n))
-
-    broken = _flags(tx, "transactions", "transaction_id", ("pk_duplicate", F.col("n") > 1)).unionByName(
-        tx.where("lost > 0").select(F.lit("transactions").alias("table_name"), F.lit("not_null").alias("rule"),
-                                    F.col("transaction_id").cast("string").alias("key"), times(F.col("lost"))).drop("col"))
-    broken = broken.unionByName(_flags(res, "fraud_results", "transaction_id", ("pk_duplicate", F.col("n") > 1))).unionByName(
-        res.where("routes > 0").select(F.lit("fraud_results").alias("table_name"), F.lit("routed_to_enum").alias("rule"),
-                                       F.col("transaction_id").cast("string").alias("key"), times(F.col("routes"))).drop("col"))
+    res = results.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("res_rows"), F.count_if(bad_route).alias("routes"))
+    both = tx.join(res, "transaction_id", "full")
+    broken = _repeated(
+        both, ("transactions", "pk_duplicate", F.when(F.col("tx_rows") > 1, 1)), ("transactions", "not_null", F.col("lost")),
+        ("fraud_results", "pk_duplicate", F.when(F.col("res_rows") > 1, 1)),
+        ("fraud_results", "routed_to_enum", F.col("routes")),
+        ("fraud_results", "fk_transaction", F.when(F.col("tx_rows").isNull(), F.col("res_rows"))))
     verdict = F.col("verdict").isNull() | ~F.col("verdict").isin(*VERDICTS)
-    broken = broken.unionByName(_flags(feedback, "analyst_feedback", "feedback_id", ("verdict_enum", verdict)))
-    refs = results.select(F.lit("fraud_results").alias("table_name"), F.col("transaction_id").cast("string").alias("key"),
-                          "transaction_id").unionByName(
-        feedback.select(F.lit("analyst_feedback").alias("table_name"), F.col("feedback_id").cast("string").alias("key"),
-                        "transaction_id"))
-    broken = broken.unionByName(refs.join(tx_log.select("transaction_id").distinct(), "transaction_id", "left_anti")
-                                .select("table_name", F.lit("fk_transaction").alias("rule"), "key"))
+    known = feedback.join(tx.select("transaction_id", "tx_rows"), "transaction_id", "left")
+    broken = broken.unionByName(_flags(known, "analyst_feedback", "feedback_id", ("verdict_enum", verdict),
+                                       ("fk_transaction", F.col("tx_rows").isNull())))
     split = (F.col("traffic_split") < 0) | (F.col("traffic_split") > max_split)
     broken = broken.unionByName(_flags(experiments, "ab_experiments", "experiment_id",
                                        ("status_enum", ~F.col("status").isin(*STATUSES)), ("split_range", split)))

@@ -3,7 +3,7 @@
 Texts are built by ``format_string`` / ``concat_ws`` inside the JVM. A ring prompt is emitted as a
 table of lines (header, one line per member, one line per member transaction) keyed by ring and a
 sort key: concatenating a ring with a third of all users into one value would put the whole ring
-into one task, so assembly into a single string is left to the consumer of one ring.
+into one task, so only rings up to a stated number of lines are also given as single strings.
 """
 
 from __future__ import annotations
@@ -141,6 +141,28 @@ def ring_prompt_lines(rings: DataFrame, members: DataFrame, tx: DataFrame, detec
     return fixed_lines.unionByName(member_lines).unionByName(tx_lines).unionByName(none)
 
 
+#: Lines of a ring that become one prompt; a larger ring's prompt is read from its lines.
+PROMPT_LINES = 10_000
+
+
+def ring_prompts(lines: DataFrame, max_lines: int = PROMPT_LINES) -> DataFrame:
+    """One prompt per ring of at most ``max_lines`` lines, from :func:`ring_prompt_lines`: (ring_id, n_lines, prompt).
+
+    Member ids stand on one line, divided by commas. Every ring has a row; that of a larger one has a null prompt. Lines are
+    counted first, so those of a large ring are dropped before any is gathered. Null members or texts are left out."""
+    sizes = lines.groupBy("ring_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    small = lines.join(sizes.where(F.col("n_lines") <= max_lines).select("ring_id"), "ring_id", "left_semi")
+    rows = F.array_sort(F.collect_list(F.struct("part", "k1", "k2", "line")))
+    parts = small.groupBy("ring_id").agg(rows.alias("rows"))
+
+    def of(part: int, sep: str) -> Column:
+        return F.array_join(F.transform(F.filter("rows", lambda r: r["part"] == part), lambda r: r["line"]), sep)
+
+    ids = F.array_join(F.transform(F.filter("rows", lambda r: r["part"] == 1), lambda r: r["line"].substr(F.lit(5), F.length(r["line"]))), ", ")
+    text = F.concat(of(0, "\n"), F.lit(" "), ids, F.lit("\n"), of(2, "\n"), F.lit("\n"), of(3, "\n"), F.lit("\n\n"), of(4, "\n"))
+    return sizes.join(parts.select("ring_id", text.alias("prompt")), "ring_id", "left")
+
+
 def ring_narrative(rings: DataFrame) -> DataFrame:
     """The deterministic narrative used when no language model is configured."""
     text = F.format_string(RING_DISABLED, F.col("ring_id"), F.col("n_users").cast("string"),

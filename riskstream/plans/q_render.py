@@ -50,8 +50,7 @@ def q_transaction_prompt(spark, sf):
 def _rings(spark, sf):
     tx = fx.fx_transactions(spark, sf)
     pairs = materialize(graph.resource_users(tx), "resource-users")  # read by two branches
-    rings = graph.fraud_rings(tx, CFG, pairs)
-    return tx, pairs, rings
+    return tx, pairs, materialize(graph.fraud_rings(tx, CFG, pairs), "rings")
 
 
 def _ring_sql_lines() -> str:
@@ -82,15 +81,37 @@ SELECT r.*, x.last_seen FROM rings r JOIN (
 USING (resource_type, resource_id)"""
 
 
-@query("ring_prompt", with_fx(_ring_sql_lines(), "fx_transactions", extra=ring_ctes() + [("rl", _RL)]))
-def q_ring_prompt(spark, sf):
-    """Ring prompt lines (header, members by first use, trailer, member transactions)."""
+_PROMPT = """
+SELECT ring_id, COUNT(*) AS n_lines,
+       string_agg(line, chr(10) ORDER BY k1, k2) FILTER (part = 0) || ' '
+       || string_agg(substr(line, 5), ', ' ORDER BY k1, k2) FILTER (part = 1) || chr(10)
+       || string_agg(line, chr(10) ORDER BY k1, k2) FILTER (part = 2) || chr(10)
+       || string_agg(line, chr(10) ORDER BY k1, k2) FILTER (part = 3) || chr(10) || chr(10)
+       || string_agg(line, chr(10)) FILTER (part = 4) AS prompt
+FROM ring_lines GROUP BY ring_id"""
+
+
+def _ring_lines(spark, sf):
     tx, pairs, rings = _rings(spark, sf)
     members = graph.ring_members(tx, CFG, pairs, rings)
     detected = F.date_format("last_seen", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     return render.ring_prompt_lines(rings, members, tx, detected)
 
 
+@query("ring_prompt", with_fx(_ring_sql_lines(), "fx_transactions", extra=ring_ctes() + [("rl", _RL)]))
+def q_ring_prompt(spark, sf):
+    """Ring prompt lines (header, members by first use, trailer, member transactions)."""
+    return _ring_lines(spark, sf)
+
+
+@query("ring_prompt_text", with_fx(
+    f"SELECT ring_id, n_lines, CASE WHEN n_lines <= {render.PROMPT_LINES} THEN prompt END AS prompt FROM prompts",
+    "fx_transactions", extra=ring_ctes() + [("rl", _RL), ("ring_lines", _ring_sql_lines()), ("prompts", _PROMPT)]))
+def q_ring_prompt_text(spark, sf):
+    """One prompt per ring below the stated number of lines."""
+    return render.ring_prompts(materialize(_ring_lines(spark, sf), "ring-lines"))
+
+
 @query("ring_narrative", with_fx(f"""
 SELECT ring_id, {sql_format(render.RING_DISABLED, ["ring_id", "CAST(n_users AS VARCHAR)", "resource_type",
                                                      "resource_id", "printf('%.3f', risk_score)",

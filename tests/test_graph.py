@@ -109,6 +109,13 @@ def test_equal_first_times_give_one_ring_per_user(transactions):
     assert [r["ring_resource"] for r in mine] == ["Dev_2"]  # four users there, three at Dev_1
 
 
+def test_best_ring_aggregates_numbers(transactions):
+    """The membership table is reduced by a hash aggregate over longs, not sorted."""
+    tx = transactions([{"user_id": f"User_{i}", "device_id": f"Dev_{i % 3}", "ip_address": f"10.0.0.{i}"} for i in range(30)])
+    plan = graph.user_best_ring(tx, REFERENCE)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_scored_alerts_keep_one_row_each(spark):
     from riskstream.config import DAILY
     from riskstream.operators import scoring, velocity

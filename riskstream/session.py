@@ -50,15 +50,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+#: Spark's setting that removes an execution's shuffle files at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df, name: str):
     """Cut lineage by writing ``df`` as a parquet table under the shared checkpoint folder and reading
     it back. One job (an RDD ``checkpoint()`` recomputes its input in a second job), columnar on read,
-    and the files survive executor loss."""
+    and the files survive executor loss. The shuffle files of the write are removed as soon as it has ended, not when the
+    driver next collects garbage, so that what a long job leaves on the executors' disks is that of one step."""
     import uuid
 
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.parquet(path)
     out.materialized_path = path
     return out

@@ -43,3 +43,26 @@ def test_cluster_conf_sizes():
     small = cluster_conf(1 << 20, 8)
     assert int(small["spark.sql.shuffle.partitions"]) == 16  # at least 2 x cores
     assert c["spark.sql.adaptive.enabled"] == "true" and c["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """The shuffle of a write is removed when it ends, and frames that were written can be used again."""
+    from riskstream.session import SHUFFLE_CLEANUP, materialize
+
+    def files():
+        env = spark._jvm.org.apache.spark.SparkEnv.get()
+        names = env.blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {n for n in names if "/shuffle_" in n}
+
+    old = files()
+    df = spark.range(50_000).selectExpr("id % 7000 AS k").groupBy("k").count()
+    assert materialize(df, "counted").count() == 7000
+    assert not {n for n in files() - old if n.endswith(".data") and "shuffle_" in n and _rows_of(n)}
+    assert df.where("k < 10").count() == 10 and materialize(df, "again").count() == 7000
+    assert spark.conf.get(SHUFFLE_CLEANUP) == "false"
+
+
+def _rows_of(path):
+    import os
+
+    return os.path.exists(path) and os.path.getsize(path) > 50_000

@@ -340,17 +340,22 @@ def _shared_rows(signed: DataFrame, name: str) -> DataFrame:
     return table(signed.repartition("sig").sortWithinPartitions("sig", "set").mapInArrow(_shared, SIGNED), name)
 
 
-ITEMS = "set long, items array<long>, bits array<long>"
+ITEMS = "set long, times long, items array<long>, bits array<long>"
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = set()  # sets that more than one row has, of this task
     for batch in batches:
         for b in _slices(batch):
             sets = shingle_sets(b.column("text"))
             own = sets.ids() == b.column("set").to_numpy()
+            for i in np.flatnonzero(own & (b.column("times").to_numpy() > 1)).tolist():
+                me = b.column("set")[i].as_py()
+                own[i] = me not in seen
+                seen.add(me)
             mine = sets.take(own)
-            yield pa.RecordBatch.from_arrays([b.column("set").filter(pa.array(own)), mine.lists(), mine.bits()],
-                                             names=["set", "items", "bits"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).filter(pa.array(own)) for c in ("set", "times")),
+                                              mine.lists(), mine.bits()], names=["set", "times", "items", "bits"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
@@ -370,11 +375,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> Dat
     y = sets.select(F.col("set").alias("b"), F.col("items").alias("y"))
     both = near.join(x, "a").join(y, "b").select(
         "a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("i"))
-    return materialize(both.where(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b"), name)
+    out = materialize(both.where(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b"), name)
+    discard(near)
+    return out
 
 
-def _candidates(rows: DataFrame, sets: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) among the sets that share signatures, and the sets that the next level has to look at again."""
+def _candidates(rows: DataFrame, sets: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Links (a, b) among the sets that share signatures, the sets that the next level has to look at again, and the tables
+    to delete when both are written."""
     groups = rows.where("meta >= 0")
     sizes = groups.groupBy("sig").agg(F.count("*").alias("m"))
     degree = groups.join(sizes, "sig").groupBy("set").agg(F.sum("m").alias("degree"))
@@ -392,15 +400,21 @@ def _candidates(rows: DataFrame, sets: DataFrame, percent: int, level: int) -> t
     u, v = (near.select("sig", F.col("set").alias(s), F.col("comp").alias(f"c{s}")) for s in "ab")
     cross = (u.join(v, "sig").where("a < b and ca != cb").select("a", "b").distinct()
              .join(star, ["a", "b"], "left_anti"))
-    links = links.unionByName(_verified(cross, sets, percent, "pe-cross-ok"))
+    crossed = _verified(cross, sets, percent, "pe-cross-ok")
+    discard(star)
+    used = [links, crossed, label, rest]
+    links = links.unionByName(crossed)
     stuck, large = rows.where("meta < 0").select("set"), rest.where(F.col("m") > GROUP)
     if level:
-        links = links.unionByName(_families(large, sets, percent))
+        joined = _families(large, sets, percent)
+        if joined is not None:
+            links = links.unionByName(joined)
+            used.append(joined)
     else:
         over = (large.groupBy("set", F.expr("meta DIV 256").alias("instance"))
                 .agg(F.count("*").alias("aside"), F.min(F.col("meta") % 256 - 1).alias("room")))
         stuck = stuck.unionByName(over.where("aside > room").select("set"))
-    return links, stuck.distinct()
+    return links, stuck.distinct(), used
 
 
 def _block_links(percent: int):
@@ -432,12 +446,12 @@ def _block_links(percent: int):
     return compare
 
 
-def _families(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components among sets that share signatures of large groups. Groups that have members in common
+def _families(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links (a, b) between components among sets that share signatures of large groups, None without such. Groups that have members in common
     are one family, so that two sets are compared once however many groups they share; a family is cut into blocks of
     about ``BLOCK`` sets, and each two blocks are one task's work."""
     if large.isEmpty():
-        return sets.sparkSession.createDataFrame([], "a long, b long")
+        return None
     family = components(large, "set", "sig")
     member = (large.select("set", "comp").distinct().join(family, F.col("set") == F.col("node"))
               .select("set", "comp", F.col("label").alias("family")))
@@ -446,8 +460,24 @@ def _families(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
     member = member.select("family", "set", "comp", "block", F.least("block", "other").alias("i"),
                            F.greatest("block", "other").alias("j"))
-    return materialize(member.join(sets.select("set", "items"), "set").groupBy("family", "i", "j")
-                       .applyInPandas(_block_links(percent), "a long, b long"), "pe-family-links")
+    out = materialize(member.join(sets.select("set", "items"), "set").groupBy("family", "i", "j")
+                      .applyInPandas(_block_links(percent), "a long, b long"), "pe-family-links")
+    discard(family)
+    return out
+
+
+def _wanted_sets(d: DataFrame, own: DataFrame, rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(set, items, bits) of each set that shares a signature, and the tables it is read from.
+
+    Of the rows that have a set, those with the smallest key are read. Mostly that is one row; only sets of rows that repeat
+    their key, which a task gives once, are brought together by a shuffle."""
+    keys = own.join(rows.select("set").distinct(), "set").groupBy("set", "row_key").agg(F.count("*").alias("times"))
+    wanted = materialize(keys.groupBy("set").agg(F.min_by("times", "row_key").alias("times"),
+                                                 F.min("row_key").alias("row_key")), "pe-wanted")
+    items = table(d.join(wanted, "row_key").select("set", "times", "text").mapInArrow(_items, ITEMS), "pe-sets")
+    discard(wanted)
+    again = materialize(items.where("times > 1").dropDuplicates(["set"]), "pe-repeated")
+    return items.where("times = 1").unionByName(again).drop("times"), [items, again]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -469,24 +499,23 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
     frequent = spark.sparkContext.broadcast(np.sort(often["shingle"].to_numpy(np.int64).astype(_U)))
     rows = _shared_rows(d.select("text").mapInArrow(_sign_texts(frequent, percent), SIGNED), "pe-rows")
     own = read.where("set is not null").select("row_key", "text_key", "doc_id", "n", "set")
-    wanted = materialize(own.join(rows.select("set").distinct(), "set").groupBy("set")
-                         .agg(F.min("row_key").alias("row_key")), "pe-wanted")
-    sets = table(d.join(wanted, "row_key").select("set", "text").mapInArrow(_items, ITEMS)
-                       .dropDuplicates(["set"]), "pe-sets")
+    sets, held = _wanted_sets(d, own, rows)
     found = []
     for level in range(LEVELS):
-        links, stuck = _candidates(rows, sets, percent, level)
+        links, stuck, used = _candidates(rows, sets, percent, level)
         found.append(materialize(links, "pe-links"))
-        if level == LEVELS - 1:
-            break
         stuck = materialize(stuck, "pe-stuck")
-        discard(rows)
-        if stuck.isEmpty():
+        for t in [rows, *used]:
+            discard(t)
+        if level == LEVELS - 1 or stuck.isEmpty():
+            discard(stuck)
             break
         again = sets.select("set", "items").join(stuck, "set")
         last = level + 1 == LEVELS - 1
         rows = _shared_rows(again.mapInArrow(_sign_sets(level + 1, percent, last), SIGNED), "pe-rows")
-    discard(sets)
+        discard(stuck)
+    for t in held:
+        discard(t)
     return own, reduce(DataFrame.unionByName, found)
 
 

@@ -35,22 +35,24 @@ def q_stream_alerts_final(spark, sf):
 SELECT transaction_id, position, score FROM (""" + _PENDING + ") p", "fx_review_events"))
 def q_stream_review_pending(spark, sf):
     """I6 streaming: review-queue events replayed in two micro-batches (split at the median sequence)
-    through the ``applyInPandasWithState`` queue; the pending items equal the batch queue."""
+    through the ``applyInPandasWithState`` queue; the pending items equal the batch queue. Each half is one batch however many
+    files it has: the second is written when the stream has read the first, and the stream goes on from its checkpoint."""
     import uuid
 
     from pyspark.sql import functions as F
 
-    from riskstream.session import checkpoint_dir
+    from riskstream.session import checkpoint_dir, materialize
     from riskstream.sources import fixtures as fx
     from riskstream.streaming import velocity_stream as vs
 
     base = f"{checkpoint_dir(spark).rstrip('/')}/stream-review-{uuid.uuid4().hex[:12]}"
-    ev = fx.fx_review_events(spark, sf).select("transaction_id", "seq", "kind", F.col("score").cast("double"))
-    cut = ev.agg(F.percentile_approx("seq", F.lit(0.5))).first()[0]
-    ev.where(F.col("seq") <= cut).write.parquet(f"{base}/src/events_a.parquet")
-    ev.where(F.col("seq") > cut).write.parquet(f"{base}/src/events_b.parquet")
-    schema = spark.read.parquet(f"{base}/src/events_a.parquet").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/src/events_*.parquet")
-    vs.run_available(vs.review_queue_stateful(stream), vs.batch_sink(f"{base}/out"), f"{base}/ck")
+    ev = materialize(fx.fx_review_events(spark, sf).select("transaction_id", "seq", "kind", F.col("score").cast("double")),
+                     "review-events")
+    cut, n = ev.agg(F.percentile_approx("seq", F.lit(0.5)), F.count("*")).first()
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 1000)
+    for half, rows in ("a", F.col("seq") <= cut), ("b", F.col("seq") > cut):
+        ev.where(rows).write.parquet(f"{base}/src/events_{half}.parquet")
+        stream = spark.readStream.schema(ev.schema).parquet(f"{base}/src/events_*.parquet")
+        vs.run_available(vs.review_queue_stateful(stream, groups=groups), vs.batch_sink(f"{base}/out"), f"{base}/ck")
     cur = vs.latest_by_key(spark, f"{base}/out", ["transaction_id"])
     return cur.where("pending").select("transaction_id", "position", "score")

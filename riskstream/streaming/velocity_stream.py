@@ -358,7 +358,9 @@ def pending_reviews(spark: SparkSession, log_path: str) -> DataFrame:
     return review_pending(spark.read.parquet(log_path).drop("batch_id"))
 
 
-REVIEW_STATE = "last_review long, item_seqs array<long>, item_scores array<double>"
+#: Of a group of transactions, one entry for each in the first four lists; ``n_items`` of the last two are its arrivals.
+REVIEW_STATE = ("ids array<string>, untils array<long>, last_reviews array<long>, n_items array<int>, "
+                "item_seqs array<long>, item_scores array<double>")
 REVIEW_OUT = "transaction_id string, pending boolean, position long, score double, last_seq long"
 
 
@@ -366,53 +368,72 @@ REVIEW_OUT = "transaction_id string, pending boolean, position long, score doubl
 REVIEW_TTL_MS = 30 * 86_400_000
 
 
+#: Groups that transactions are dealt into; a group's state is read and written at once.
+REVIEW_GROUPS = 1 << 12
+
+
 def _review_step(key, pdfs, state):
-    """Per transaction: fold this micro-batch's events into the key's state, in any arrival order.
+    """Per group of transactions: fold this micro-batch's events into the states of their transactions, in any arrival order.
 
-    State = the last review's seq and the item arrivals after it (deduplicated by seq). A review drops
+    A transaction's state = the last review's seq and the item arrivals after it (deduplicated by seq). A review drops
     the arrivals it covers; the queue position is the earliest remaining arrival and the payload the
     latest one — the batch operator's rule, so late, reordered or replayed events give the same result.
-    The state holds only arrivals since the key's last review, and goes when nothing is pending and its newest event is
-    ``REVIEW_TTL_MS`` old; a transaction that waits for review keeps its state however long that takes."""
+    The state holds only arrivals since the last review, and goes when nothing is pending and the newest event is
+    ``REVIEW_TTL_MS`` old; a transaction that waits for review keeps its state however long that takes. The group's timeout is
+    the earliest of its transactions'; those that are due are looked after whenever the group is called."""
     import pandas as pd
 
-    if state.hasTimedOut:
-        if state.get[1]:
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + REVIEW_TTL_MS)
-        else:
-            state.remove()
-        return
+    now, held, at = state.getCurrentWatermarkMs(), {}, 0
     if state.exists:
-        last_review, seqs, scores = state.get
-        items = dict(zip([int(x) for x in seqs], scores))
+        ids, untils, reviews, counts, seqs, scores = state.get
+        for me, until, review, n in zip(ids, untils, reviews, counts):
+            held[me] = [until, review, dict(zip(seqs[at:at + n], scores[at:at + n]))]
+            at += n
+    newest: dict = {}
+    for pdf in () if state.hasTimedOut else pdfs:
+        for me, seq, kind, score, ms in zip(*(pdf[c].tolist() for c in ("transaction_id", "seq", "kind", "score", "at_ms"))):
+            mine = held.setdefault(me, [0, -1, {}])
+            newest[me] = max(newest.get(me, -1), int(ms))
+            if kind == "review":
+                mine[1] = max(mine[1], int(seq))
+            elif kind == "item":
+                mine[2][int(seq)] = None if score != score else score  # NaN -> None
+    due = max(now, min(v[0] for v in held.values()) + 1) if state.hasTimedOut else now
+    rows = []
+    for me, mine in list(held.items()):
+        if me in newest:
+            last = mine[1]
+            order = sorted(k for k in mine[2] if k > last)
+            mine[0] = max(newest[me], now) + 1  # the watermark is REVIEW_TTL_MS behind
+            mine[2] = {k: mine[2][k] for k in order}
+            rows.append((me, bool(order), order[0] if order else None, mine[2][order[-1]] if order else None,
+                         order[-1] if order else last))
+        elif mine[0] < due:
+            if mine[2]:
+                mine[0] = now + REVIEW_TTL_MS
+            else:
+                del held[me]
+    if held:
+        untils, reviews, items = zip(*held.values())
+        state.update((list(held), list(untils), list(reviews), [len(x) for x in items],
+                      [k for x in items for k in x], [v for x in items for v in x.values()]))
+        state.setTimeoutTimestamp(max(min(untils), now))
     else:
-        last_review, items = -1, {}
-    newest = -1
-    for pdf in pdfs:
-        newest = max(newest, int(pdf["at_ms"].max()))
-        kind = pdf["kind"].to_numpy()
-        seq = pdf["seq"].to_numpy()
-        rv = seq[kind == "review"]
-        if len(rv):
-            last_review = max(last_review, int(rv.max()))
-        im = kind == "item"
-        for k, v in zip(seq[im].tolist(), pdf["score"].to_numpy()[im].tolist()):
-            items[int(k)] = None if v != v else v  # NaN -> None
-    order = sorted(k for k in items if k > last_review)
-    state.update((last_review, order, [items[k] for k in order]))
-    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 1)  # the watermark is REVIEW_TTL_MS behind
-    pending = bool(order)
-    yield pd.DataFrame({"transaction_id": [key[0]], "pending": [pending],
-                        "position": [order[0] if pending else None],
-                        "score": [items[order[-1]] if pending else None],
-                        "last_seq": [max([last_review] + order)]})
-
-
-def review_queue_stateful(events: DataFrame, event_time: str | None = None) -> DataFrame:
-    """I6 as a stateful streaming operator: ``applyInPandasWithState`` keyed by transaction id keeps
-    one small state per key (bounded, not per event; removed some time after its last review) and emits the key's queue status on every change
+        state.remove()
+    if rows:
+        yield pd.DataFrame(dict(zip(("transaction_id", "pending", "position", "score", "last_seq"),
+                                    (pd.Series(c, dtype=object) for c in zip(*rows)))))
+
+
+def review_queue_stateful(events: DataFrame, event_time: str | None = None, groups: int = REVIEW_GROUPS) -> DataFrame:
+    """I6 as a stateful streaming operator: ``applyInPandasWithState`` keeps
+    one small state per transaction (bounded, not per event; removed some time after its last review) and emits its queue status on every change
     (update mode). The pending queue is ``where(pending)`` ordered by position.
 
+    Transactions are dealt by hash into ``groups`` groups, and a group is one call and one stored row: a call for each
+    transaction would cost far more than its few events. About a thousand live transactions a group is a good size; a
+    checkpoint keeps the number of groups that it was begun with.
+
     States expire in event time: that of the column ``event_time`` (a timestamp), or ``seq`` read as epoch milliseconds. Any
     other sequence needs the column, or its states would expire at once or never. An event that comes again, in another batch
     or after a restart, counts once: arrivals are kept by their sequence."""
@@ -424,5 +445,6 @@ def review_queue_stateful(events: DataFrame, event_time: str | None = None) -> D
     at = F.col(event_time) if event_time else F.timestamp_millis(F.col("seq").cast("long"))
     e = events.select("transaction_id", F.col("seq").cast("long"), "kind", F.col("score").cast("double"),
                       at.alias("at"), F.unix_millis(at).alias("at_ms")).withWatermark("at", f"{REVIEW_TTL_MS // 1000} seconds")
-    return e.groupBy("transaction_id").applyInPandasWithState(
+    e = e.withColumn("review_group", F.pmod(F.xxhash64("transaction_id"), F.lit(groups)))
+    return e.groupBy("review_group").applyInPandasWithState(
         _review_step, REVIEW_OUT, REVIEW_STATE, "update", GroupStateTimeout.EventTimeTimeout)

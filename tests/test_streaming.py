@@ -307,6 +307,55 @@ def test_review_state_order_insensitive():
     assert list(vs._review_step(("t1",), iter([]), st)) == [] and not st.exists
 
 
+def test_review_states_of_a_group():
+    """A call handles all transactions of a group, each with its own status and its own timeout."""
+    import pandas as pd
+
+    st, now = _State(), 0
+    st.getCurrentWatermarkMs = lambda: now
+
+    def step(*rows):
+        pdf = pd.DataFrame(rows, columns=["transaction_id", "seq", "kind", "score"])
+        out = [p for p in vs._review_step((0,), iter([pdf.assign(at_ms=pdf["seq"])] if rows else []), st)]
+        return {r["transaction_id"]: (r["pending"], r["position"], r["score"]) for p in out for _, r in p.iterrows()}
+
+    assert step(("a", 10, "item", 0.5), ("b", 11, "item", 0.4), ("a", 12, "item", 0.6), (None, 13, "item", None)) == {
+        "a": (True, 10, 0.6), "b": (True, 11, 0.4), None: (True, 13, None)}
+    assert step(("b", 20, "review", None)) == {"b": (False, None, None)} and st.timeout == 13
+    now, st.hasTimedOut = 14, True  # a waits and stays, b has until 21
+    assert step() == {} and sorted(st.value[0], key=str) == [None, "a", "b"] and st.timeout == 14
+    now, st.hasTimedOut = 30, False  # b goes though the group is called for another one
+    assert step(("c", 31, "item", 0.9)) == {"c": (True, 31, 0.9)} and sorted(st.value[0], key=str) == [None, "a", "c"]
+    assert step(("a", 40, "review", None), ("c", 40, "review", None), (None, 40, "review", None)).keys() == {"a", "c", None}
+    now, st.hasTimedOut = 50, True
+    assert step() == {} and not st.exists
+
+
+def test_review_query_replays_two_batches(spark, workdir, monkeypatch):
+    """However many files a half has."""
+    from riskstream.plans.q_feedback import q_review_pending
+    from riskstream.plans.q_stream import q_stream_review_pending
+
+    rows = [(i, 3_600 * i, i % 7, "error" if i % 4 == 0 else "view", float(i * 13 % 300), '{"k": 1}') for i in range(400)]
+    ev = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double, props string")
+    ev = ev.select("event_id", F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, s)").alias("ts"),
+                   "user_id", "event_type", "value", "props")
+    for i in range(3):
+        ev.where(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(f"{workdir}/events.parquet")
+    batches, run = [], vs.run_available
+
+    def counted(*args, **kw):
+        q = run(*args, **kw)
+        batches.extend(p["numInputRows"] for p in q.recentProgress if p["numInputRows"] > 0)
+        return q
+
+    monkeypatch.setattr(vs, "run_available", counted)
+    got = sorted(map(tuple, q_stream_review_pending(spark, workdir).collect()))
+    want = sorted(map(tuple, q_review_pending(spark, workdir).select("transaction_id", "position", "score").collect()))
+    assert got == want and len(want) > 20
+    assert len(batches) == 2
+
+
 def test_parse_iso_variants(spark):
     from pyspark.sql import functions as F
 

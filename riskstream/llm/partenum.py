@@ -49,6 +49,10 @@ GROUP = 32
 BLOCK, COLUMNS = 1024, 4096
 BITS = 512  # of a set's bitmap
 LEVELS = 3
+#: The first level's signatures are dealt in this many rounds, by remainder, so that the disks hold the shuffle of one.
+ROUNDS = 3
+#: Of the filter that tells which rows' texts may be needed as sets: more of them than this cost time, nothing else.
+WANTED_BITS = 1 << 26
 
 _U = np.uint64
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F],
@@ -280,7 +284,9 @@ def _signed(sets: Sets, ids: np.ndarray, level, percent, frequent, last) -> pa.R
     return pa.RecordBatch.from_pydict({"sig": sig.astype(np.int64), "set": me, "meta": meta.astype(np.int32)})
 
 
-def _sign_texts(frequent, percent):
+def _sign_texts(frequent, percent, number=0, rounds=1):
+    """The signatures whose remainder by ``rounds`` is ``number``."""
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()  # copies within the task's input
         for batch in batches:
@@ -292,7 +298,8 @@ def _sign_texts(frequent, percent):
                     if me not in seen:
                         seen.add(me)
                         new[i] = True
-                yield _signed(sets.take(new), ids[new], 0, percent, frequent.value, False)
+                out = _signed(sets.take(new), ids[new], 0, percent, frequent.value, False)
+                yield out.filter(pa.array(out.column("sig").to_numpy() % rounds == number)) if rounds > 1 else out
 
     return sign
 
@@ -467,14 +474,20 @@ def _families(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame | No
 
 
 def _wanted_sets(d: DataFrame, own: DataFrame, rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(set, items, bits) of each set that shares a signature, and the tables it is read from.
+    """(set, items, bits) of each set that shares a signature, and the tables it is read from. Texts that have none stay where
+    they are; a table of bits tells nearly all of them.
 
     Of the rows that have a set, those with the smallest key are read. Mostly that is one row; only sets of rows that repeat
     their key, which a task gives once, are brought together by a shuffle."""
     keys = own.join(rows.select("set").distinct(), "set").groupBy("set", "row_key").agg(F.count("*").alias("times"))
     wanted = materialize(keys.groupBy("set").agg(F.min_by("times", "row_key").alias("times"),
                                                  F.min("row_key").alias("row_key")), "pe-wanted")
-    items = table(d.join(wanted, "row_key").select("set", "times", "text").mapInArrow(_items, ITEMS), "pe-sets")
+    bit = F.pmod(F.xxhash64("row_key"), F.lit(WANTED_BITS))
+    place = [F.floor(bit / 64).alias("word"), (bit % 64).cast("int").alias("at")]
+    words = wanted.select(*place).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("pe_bits"))
+    near = (d.select("row_key", "text", *place).join(F.broadcast(words), "word")  # at most WANTED_BITS / 64 rows
+            .where("getbit(pe_bits, at) = 1").select("row_key", "text"))
+    items = table(near.join(wanted, "row_key").select("set", "times", "text").mapInArrow(_items, ITEMS), "pe-sets")
     discard(wanted)
     again = materialize(items.where("times > 1").dropDuplicates(["set"]), "pe-repeated")
     return items.where("times = 1").unionByName(again).drop("times"), [items, again]
@@ -497,7 +510,9 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
     often = (read.where("times is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
              .orderBy(F.desc("times"), "shingle").limit(FREQUENT_MAX).select("shingle").toPandas())
     frequent = spark.sparkContext.broadcast(np.sort(often["shingle"].to_numpy(np.int64).astype(_U)))
-    rows = _shared_rows(d.select("text").mapInArrow(_sign_texts(frequent, percent), SIGNED), "pe-rows")
+    dealt = [_shared_rows(d.select("text").mapInArrow(_sign_texts(frequent, percent, i, ROUNDS), SIGNED), "pe-rows")
+             for i in range(ROUNDS)]
+    rows = reduce(DataFrame.unionByName, dealt)
     own = read.where("set is not null").select("row_key", "text_key", "doc_id", "n", "set")
     sets, held = _wanted_sets(d, own, rows)
     found = []
@@ -505,7 +520,7 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
         links, stuck, used = _candidates(rows, sets, percent, level)
         found.append(materialize(links, "pe-links"))
         stuck = materialize(stuck, "pe-stuck")
-        for t in [rows, *used]:
+        for t in [*dealt, *used]:
             discard(t)
         if level == LEVELS - 1 or stuck.isEmpty():
             discard(stuck)
@@ -513,6 +528,7 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
         again = sets.select("set", "items").join(stuck, "set")
         last = level + 1 == LEVELS - 1
         rows = _shared_rows(again.mapInArrow(_sign_sets(level + 1, percent, last), SIGNED), "pe-rows")
+        dealt = [rows]
         discard(stuck)
     for t in held:
         discard(t)

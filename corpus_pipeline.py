@@ -1,24 +1,44 @@
 """The corpus pipeline: quality rules, near duplicates, secrets, mixing and tokenizing over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and returns a table with the columns of ``documents``, but for the last, which has
-(doc_id, ids). ``run`` writes what a stage returns to the shared folder and hands the written table to the next."""
+(doc_id, ids). ``run`` writes what a stage returns to the shared folder and hands the written table to the next. What a stage
+returns is to be written before the next begins: that deletes the tables which those rows were read from."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from riskstream.llm import mixing, partenum, pieces, quality, secrets
-from riskstream.llm.common import documents, materialize
+from riskstream.llm.common import discard, documents, materialize
 from riskstream.llm.queries import vocabulary
 
 
+#: Tables that the rows of a stage are read from while they are written, by application.
+_held: dict[str, list[DataFrame]] = {}
+
+
+def _release(spark: SparkSession, docs: DataFrame) -> None:
+    """Delete the tables that earlier stages left, but for those that ``docs`` itself still reads."""
+    held, read = _held.pop(spark.sparkContext.applicationId, []), None
+    for t in held:
+        read = docs.inputFiles() if read is None else read
+        if any(f"/{t.materialized_path.split('/')[-1]}/" in f for f in read):
+            _held.setdefault(spark.sparkContext.applicationId, []).append(t)
+        else:
+            discard(t)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the counts or lie outside their language's perplexity band go."""
-    return quality.kept(docs)
+    _release(spark, docs)
+    out = quality.kept(docs)
+    _held.setdefault(spark.sparkContext.applicationId, []).extend(out.read_tables)
+    return out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents the one with the smallest id stays."""
+    _release(spark, docs)
     return partenum.representatives(docs)
 
 
@@ -50,7 +70,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.split()[0].lower()}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs

@@ -489,7 +489,9 @@ def measured(docs: DataFrame) -> DataFrame:
                 discard(before)
         scored.append(part)
     discard(arrays)
-    return reduce(DataFrame.unionByName, scored)
+    out = reduce(DataFrame.unionByName, scored)
+    out.read_tables = scored
+    return out
 
 
 def _bands(once: DataFrame, value: str, name: str) -> DataFrame:
@@ -537,6 +539,9 @@ def rules(docs: DataFrame) -> DataFrame:
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep."""
+    """The rows of ``docs`` that the rules keep; ``read_tables`` of the result can be deleted when it has been written."""
     needed = ["lang", "text"]
-    return unpacked(with_verdict(measured(packed(docs, needed))).where("q_kept"), docs, needed)
+    scored = measured(packed(docs, needed))
+    out = unpacked(with_verdict(scored).where("q_kept"), docs, needed)
+    out.read_tables = scored.read_tables
+    return out

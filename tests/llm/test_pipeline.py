@@ -1,7 +1,9 @@
 import __spark_entry__ as E
 import corpus_pipeline as P
 from riskstream.llm import mixing, partenum, pieces, quality, secrets
+from riskstream.llm.common import materialize
 from riskstream.llm.queries import QUERIES, vocabulary
+from riskstream.session import path_exists
 
 from .conftest import rows
 
@@ -40,3 +42,13 @@ def test_stages_keep_columns_and_take_nothing(spark, edges, clashing, nothing):
 
 def test_last_stage_is_named_as_dealt():
     assert P.STAGES[-1][0] == "SentencePiece encoding and decoding"
+
+
+def test_a_stage_deletes_what_the_one_before_read(spark, edges):
+    out = P.quality_rules(spark, edges, SF)
+    tables = [t.materialized_path for t in out.read_tables]
+    P.near_duplicates(spark, out, SF)  # not written yet: it is still read
+    assert all(path_exists(spark, p) for p in tables)
+    written = materialize(out, "stage-test")
+    again = P.near_duplicates(spark, written, SF)
+    assert not any(path_exists(spark, p) for p in tables) and again.count() <= written.count()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from riskstream.session import checkpoint_dir, discard, materialize, ship_package
 from riskstream.sources.tables import load_table
 
-__all__ = ["WORD", "SPACES", "ascii_lower", "discard", "documents", "given_back", "materialize", "ship_package", "word_count", "partitions", "checkpoint_path", "packed", "unpacked", "slices", "table"]
+__all__ = ["WORD", "SPACES", "ascii_lower", "discard", "documents", "given_back", "materialize", "ship_package", "word_count", "partitions", "checkpoint_path", "packed", "unpacked", "slices", "table", "trim"]
 
 #: A word, and what separates words: the six ASCII white-space characters only.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -77,6 +77,14 @@ def table(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
         conf.set(key, before)
 
 
+def trim() -> None:
+    """Return unused memory of this process to the machine."""
+    pa.default_memory_pool().release_unused()
+    of_c = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if of_c:
+        of_c(0)
+
+
 def given_back(work, drop=None):
     """``work`` on a task's batches; at the end of the task ``drop`` empties its caches and the worker returns what it no
     longer uses to the machine. Spark keeps workers for later tasks, also of stages that need the memory for something else."""
@@ -87,9 +95,6 @@ def given_back(work, drop=None):
         finally:
             if drop:
                 drop()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
-            if trim:
-                trim(0)
+            trim()
 
     return run

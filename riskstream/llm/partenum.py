@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskstream.llm.common import materialize, packed, ship_package, table, unpacked
+from riskstream.llm.common import given_back, materialize, packed, ship_package, table, unpacked
 from riskstream.session import discard
 from riskstream.llm.components import components
 
@@ -487,7 +487,7 @@ def _wanted_sets(d: DataFrame, own: DataFrame, rows: DataFrame) -> tuple[DataFra
     words = wanted.select(*place).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("pe_bits"))
     near = (d.select("row_key", "text", *place).join(F.broadcast(words), "word")  # at most WANTED_BITS / 64 rows
             .where("getbit(pe_bits, at) = 1").select("row_key", "text"))
-    items = table(near.join(wanted, "row_key").select("set", "times", "text").mapInArrow(_items, ITEMS), "pe-sets")
+    items = table(near.join(wanted, "row_key").select("set", "times", "text").mapInArrow(given_back(_items), ITEMS), "pe-sets")
     discard(wanted)
     again = materialize(items.where("times > 1").dropDuplicates(["set"]), "pe-repeated")
     return items.where("times = 1").unionByName(again).drop("times"), [items, again]
@@ -505,12 +505,12 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
     ship_package(spark)
     d = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     read = table(d.select("row_key", "text_key", "doc_id", "pe_text").withColumnRenamed("pe_text", "text")
-                       .mapInArrow(_read, READ), "pe-read")
+                       .mapInArrow(given_back(_read), READ), "pe-read")
     d = d.select("row_key", F.col("pe_text").alias("text"))
     often = (read.where("times is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
              .orderBy(F.desc("times"), "shingle").limit(FREQUENT_MAX).select("shingle").toPandas())
     frequent = spark.sparkContext.broadcast(np.sort(often["shingle"].to_numpy(np.int64).astype(_U)))
-    dealt = [_shared_rows(d.select("text").mapInArrow(_sign_texts(frequent, percent, i, ROUNDS), SIGNED), "pe-rows")
+    dealt = [_shared_rows(d.select("text").mapInArrow(given_back(_sign_texts(frequent, percent, i, ROUNDS)), SIGNED), "pe-rows")
              for i in range(ROUNDS)]
     rows = reduce(DataFrame.unionByName, dealt)
     own = read.where("set is not null").select("row_key", "text_key", "doc_id", "n", "set")

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from riskstream.llm.common import discard, given_back, materialize, packed, ship_package, slices, table, unpacked
+from riskstream.llm.common import discard, given_back, materialize, packed, ship_package, slices, table, trim, unpacked
 
 #: Length of the n-grams, and bits of a symbol in the smallest and the largest alphabet: the n-grams of the latter fill 60 bits.
 ORDER, BITS, MOST_BITS = 4, 6, 15
@@ -58,7 +58,7 @@ FEW, LEAST = 20, 0.5
 COPIED_BITS = 1 << 26
 MODEL_BYTES = 256 << 20
 #: N-grams in a part of a language's model, about.
-PART_GRAMS = 1 << 21
+PART_GRAMS = 1 << 18
 CHUNK, SLICE_BYTES = 1 << 19, 4 << 20  # characters, and bytes of rows, handled at once
 
 
@@ -244,6 +244,8 @@ def _tally(group: pd.DataFrame) -> pd.DataFrame:
     counts = _levels(group["code"].to_numpy(), group["n"].to_numpy(), int(group["bits"].iloc[0]))
     rows = [(k, i + 1, int(x)) for k in range(2, ORDER + 1) for i, x in enumerate(_times(counts[k][1]))]
     rows += [(1, g, a) for g, a in zip(*(x.tolist() for x in counts[1]))]
+    del counts
+    trim()
     return pd.DataFrame([(group["lang"].iloc[0], *r) for r in rows], columns=["lang", "k", "x", "n"])
 
 
@@ -255,8 +257,11 @@ def _builder(wholes):
         for name in (f"g{ORDER}", f"p{ORDER}"):
             m[name] = m[name][group["texts"].to_numpy() > 1]
         kind = "<i4" if ORDER * bits < 32 else "<i8"
-        return pd.DataFrame([(lang, part, int(group["parts"].iloc[0]), name, x.astype(kind if name[0] in "gc" else "<f4").tobytes())
-                             for name, x in m.items()], columns=["lang", "part", "parts", "name", "content"])
+        out = pd.DataFrame([(lang, part, int(group["parts"].iloc[0]), name, x.astype(kind if name[0] in "gc" else "<f4").tobytes())
+                            for name, x in m.items()], columns=["lang", "part", "parts", "name", "content"])
+        del m
+        trim()
+        return out
 
     return build
 

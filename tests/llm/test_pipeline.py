@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     names = sorted(n for n in E.queries() if n.startswith("op"))
-    assert [f"op{i}" for i in range(1, 11)] == sorted((n.split("_")[0] for n in names), key=lambda n: int(n[2:]))
+    assert [f"op{i}" for i in range(1, 14)] == sorted((n.split("_")[0] for n in names), key=lambda n: int(n[2:]))
     assert "pipeline" in E.queries() and set(QUERIES) <= set(E.queries())
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from riskstream.session import checkpoint_dir, discard, materialize, ship_package
 from riskstream.sources.tables import load_table
 
-__all__ = ["WORD", "SPACES", "ascii_lower", "discard", "documents", "given_back", "materialize", "ship_package", "word_count", "partitions", "checkpoint_path", "packed", "unpacked", "slices", "table", "trim"]
+__all__ = ["WORD", "SPACES", "ascii_lower", "discard", "documents", "given_back", "materialize", "ship_package", "word_count", "partitions", "checkpoint_path", "packed", "unpacked", "slices", "small_batches", "fewer_rows", "table", "trim"]
 
 #: A word, and what separates words: the six ASCII white-space characters only.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -65,16 +66,30 @@ def slices(batches, size: int):
 BATCH_ROWS = 3000
 
 
-def table(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """``materialize`` with small Arrow batches: the texts that the JVM and a worker hold at once stay few. The session's
-    own setting is put back."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(key)
-    conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def fewer_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> str:
+    """Let Arrow batches have at most ``rows`` rows from now on. Returns the setting before."""
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(min(rows, int(before)) if int(before) > 0 else rows))
+    return before
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Small Arrow batches: the texts that the JVM and a worker hold at once stay few. The session's own setting is put back."""
+    before = fewer_rows(spark, rows)
     try:
-        return materialize(df, name)
+        yield
     finally:
-        conf.set(key, before)
+        spark.conf.set(BATCH_SETTING, before)
+
+
+def table(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """``materialize`` with small Arrow batches."""
+    with small_batches(df.sparkSession, rows):
+        return materialize(df, name)
 
 
 def trim() -> None:

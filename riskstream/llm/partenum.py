@@ -83,6 +83,9 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15
+#: Bytes that are hashed at once; the powers of later ones are these times the power of the first.
+RUN = 1 << 16
+_POWERS, _INVERSES = _powers(_BASE, RUN), _powers(_inverse(_BASE), RUN)
 _LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
 _WORD = np.array([i not in b"\x20\x09\x0a\x0b\x0c\x0d" for i in range(256)])
 
@@ -125,7 +128,8 @@ class Sets:
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word of all texts one after the other, and how many words each has.
 
-    A word's hash is the polynomial of its bytes, A-Z lowered, from running sums over all bytes of the texts."""
+    A word's hash is the polynomial of its bytes, A-Z lowered, from running sums over all bytes of the texts, of which RUN are
+    held at once: whole, they and the powers would take some 40 bytes for each byte of text."""
     texts = pa.concat_arrays([texts]).cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
@@ -138,9 +142,18 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     first[edge] |= inside[1:-1][edge]
     last[edge - 1] |= inside[1:-1][edge - 1]
     starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
-    sums = np.zeros(len(data) + 1, _U)
-    np.cumsum((_LOWER[data].astype(_U) + _U(1)) * _powers(_BASE, len(data)), out=sums[1:])
-    hashes = (sums[stops] - sums[starts]) * _powers(_inverse(_BASE), len(data) + 1)[starts]
+    hashes, before = np.zeros(len(starts), _U), np.zeros(1, _U)
+    for a in range(0, len(data), RUN):
+        z = min(a + RUN, len(data))
+        sums = np.concatenate([before, (_LOWER[data[a:z]] + _U(1)) * (_POWERS[:z - a] * _U(pow(_BASE, a, 1 << 64)))])
+        np.cumsum(sums, out=sums)
+        i, j = np.searchsorted(starts, (a, z))  # words that begin here
+        hashes[i:j] -= sums[starts[i:j] - a]
+        i, j = np.searchsorted(stops, (a, z), "right")  # and that end here
+        hashes[i:j] += sums[stops[i:j] - a]
+        before = sums[-1:]
+    blocks = np.array([pow(_inverse(_BASE), a, 1 << 64) for a in range(0, len(data) + 1, RUN)], _U)
+    hashes *= _INVERSES[starts % RUN] * blocks[starts // RUN]
     return mixed(hashes), np.diff(np.searchsorted(starts, offsets))
 
 
@@ -180,6 +193,16 @@ def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield b.slice(i, size)
 
 
+def frequent_items(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The items that occur at least FREQUENT times in the arrays ``held``, which is emptied, and how often each does."""
+    x = np.concatenate(held)
+    held.clear()
+    x.sort()
+    n = max(0, len(x) - FREQUENT + 1)
+    values = np.unique(x[:n][x[:n] == x[len(x) - n:]])
+    return values, np.searchsorted(x, values, "right") - np.searchsorted(x, values)
+
+
 READ = "row_key long, text_key long, doc_id long, n long, set long, shingle long, times long"
 
 
@@ -188,9 +211,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
     def frequent():
-        values, times = np.unique(np.concatenate(held), return_counts=True)
-        often = times >= FREQUENT
-        return rows(shingle=values[often].astype(np.int64), times=times[often])
+        values, times = frequent_items(held)
+        return rows(shingle=values.astype(np.int64), times=times)
 
     def rows(**columns):
         n = len(next(iter(columns.values())))
@@ -207,7 +229,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += len(sets.items)
             if size >= WINDOW:
                 yield frequent()
-                held, size = [], 0
+                size = 0
     if held:
         yield frequent()
 
@@ -344,7 +366,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared_rows(signed: DataFrame, name: str) -> DataFrame:
-    return table(signed.repartition("sig").sortWithinPartitions("sig", "set").mapInArrow(_shared, SIGNED), name)
+    return table(signed.repartition("sig").sortWithinPartitions("sig", "set").mapInArrow(given_back(_shared), SIGNED), name)
 
 
 ITEMS = "set long, times long, items array<long>, bits array<long>"
@@ -527,7 +549,7 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
             break
         again = sets.select("set", "items").join(stuck, "set")
         last = level + 1 == LEVELS - 1
-        rows = _shared_rows(again.mapInArrow(_sign_sets(level + 1, percent, last), SIGNED), "pe-rows")
+        rows = _shared_rows(again.mapInArrow(given_back(_sign_sets(level + 1, percent, last)), SIGNED), "pe-rows")
         dealt = [rows]
         discard(stuck)
     for t in held:

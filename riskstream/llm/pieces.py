@@ -32,7 +32,7 @@ from riskstream.llm.piecetable import SPACE, code_points, equal_lengths, gather,
 
 UNKNOWN_PENALTY = 10.0
 SLICE_BYTES = 2 << 20  # of texts encoded at once, about
-CACHE = 150_000  # stretches remembered by a Python worker, of at most STRETCH characters
+CACHE = 150_000  # stretches remembered by a Python worker, of at most STRETCH characters; half of them the older ones
 STRETCH = 40
 
 _CODECS: dict[str, Codec] = {}
@@ -198,7 +198,7 @@ class Codec:
 
     def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each has."""
-        if len(self.known) > CACHE:
+        if len(self.known) > CACHE // 2:
             self.known, self.older = {}, self.known
         odd = pc.match_substring_regex(texts, f"  |^ |\\x00|{SPACE}|^$")
         if not (self.cut_words and self.cut_lines):

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from riskstream.llm.common import discard, given_back, materialize, packed, ship_package, slices, table, trim, unpacked
+from riskstream.llm.common import discard, given_back, materialize, packed, ship_package, slices, small_batches, table, trim, unpacked
 
 #: Length of the n-grams, and bits of a symbol in the smallest and the largest alphabet: the n-grams of the latter fill 60 bits.
 ORDER, BITS, MOST_BITS = 4, 6, 15
@@ -141,16 +141,17 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def alphabets(docs: DataFrame) -> dict[str | None, Alphabet]:
     """The alphabet of each language that has a character. At most all code points a language go through the driver."""
-    found = docs.select("lang", "text").mapInArrow(given_back(_points), "lang string, point int").distinct().toPandas()
+    with small_batches(docs.sparkSession):
+        found = docs.select("lang", "text").mapInArrow(given_back(_points), "lang string, point int").distinct().toPandas()
     return {lang if isinstance(lang, str) else None: Alphabet(np.sort(g["point"].to_numpy()))
             for lang, g in found.groupby("lang", dropna=False)}
 
 
 def _counter(letters):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str | None, list] = {}
         for b in batches:
-            for lang, group in b.groupby("lang", dropna=False):
+            for lang, group in b.to_pandas().groupby("lang", dropna=False):
                 lang = lang if isinstance(lang, str) else None
                 texts, alphabet = list(group["text"]), letters.value.get(lang) or Alphabet(np.zeros(0))
                 mine = held.setdefault(lang, [])
@@ -160,7 +161,7 @@ def _counter(letters):
                     mine[:] = [_summed(mine)]
         for lang, parts in held.items():
             codes, n, texts = _summed(parts)
-            yield pd.DataFrame({"lang": pd.Series([lang] * len(codes), dtype=object), "code": codes, "n": n, "texts": texts})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(codes), pa.string()), "code": codes, "n": n, "texts": texts})
 
     return count
 
@@ -351,16 +352,20 @@ def _where_copied(bits, wanted: bool):
     return choose
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """(lang, text) of ``docs``, each once. Only texts that may occur more than once are dealt; the others, nearly all in most
-    corpora, stay where they are."""
+def distinct_texts(docs: DataFrame, work=None, schema: str = "lang string, text string") -> DataFrame:
+    """(lang, text) of ``docs``, each once, or what ``work`` makes of their batches. Only texts that may occur more than once are
+    dealt; the others, nearly all in most corpora, stay where they are. ``work`` runs in the worker that chooses the texts: a
+    second Python step of a task would take a worker more, and executors keep their workers for all later stages."""
     spark = docs.sparkSession
     texts = docs.select("lang", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("q_hash", F.xxhash64("lang", "text")).withColumn("q_bit", F.pmod("q_hash", F.lit(COPIED_BITS)))
     bits = spark.sparkContext.broadcast(_copied_bits(texts.select("q_hash", "q_bit")))
-    texts, schema = texts.select("lang", "text", "q_bit"), "lang string, text string"
-    copied = texts.mapInArrow(given_back(_where_copied(bits, True)), schema).dropDuplicates(["lang", "text"])
-    return texts.mapInArrow(given_back(_where_copied(bits, False)), schema).unionByName(copied)
+    texts, choose = texts.select("lang", "text", "q_bit"), _where_copied(bits, False)
+    copied = texts.mapInArrow(given_back(_where_copied(bits, True)), "lang string, text string").dropDuplicates(["lang", "text"])
+    if not work:
+        return texts.mapInArrow(given_back(choose), schema).unionByName(copied)
+    return (texts.mapInArrow(given_back(lambda batches: work(choose(slices(batches, SLICE_BYTES)))), schema)
+            .unionByName(copied.mapInArrow(given_back(work), schema)))
 
 
 def model(docs: DataFrame, letters: dict[str | None, Alphabet]) -> DataFrame:
@@ -369,8 +374,8 @@ def model(docs: DataFrame, letters: dict[str | None, Alphabet]) -> DataFrame:
     spark = docs.sparkSession
     ship_package(spark)
     count = _counter(spark.sparkContext.broadcast(letters))
-    grams = materialize(distinct_texts(docs).mapInPandas(given_back(count), "lang string, code long, n long, texts long")
-                        .groupBy("lang", "code").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")), "kn-grams")
+    grams = table(distinct_texts(docs, count, "lang string, code long, n long, texts long")
+                  .groupBy("lang", "code").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")), "kn-grams")
     sizes = grams.groupBy("lang").count().collect()  # a row a language
     bits = {r.lang: letters[r.lang].bits if r.lang in letters else BITS for r in sizes}
     shape = spark.createDataFrame([(r.lang, bits[r.lang], -(-r["count"] // PART_GRAMS)) for r in sizes],

@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskstream.llm.common import ship_package
+from riskstream.llm.common import given_back, ship_package
 
 # Keywords, expressions and least lengths of the kinds.
 KINDS = ("assign", "access", "hex", "github", "npm")
@@ -121,8 +122,12 @@ def _redact(text: str | None) -> str | None:
 
 
 def _on_series(f):
-    def each(texts: pd.Series) -> pd.Series:
-        return pd.Series([f(t) for t in texts], dtype=object)
+    def work(batches):
+        for texts in batches:
+            yield pd.Series([f(t) for t in texts], dtype=object)
+
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return given_back(work)(batches)
 
     return F.pandas_udf(each, "string")
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -122,3 +123,36 @@ def test_one_of_each_group_stays(clashing, make):
     assert (3, None) in texts and (4, "") in texts and (None, None) in texts and (None, plain) not in texts
     docs = corpus(7)
     assert sorted(r.doc_id for r in E.representatives(make(docs)).collect()) == sorted(set(brute(docs)))
+
+
+def test_word_hashes_hold_few_bytes_for_a_byte_of_text():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abC \n") for _ in range(n)) for n in (3 * E.RUN, 0, E.RUN - 1, 1, E.RUN, 7 * E.RUN)]
+    got, lengths = E.word_hashes(pa.array(texts))
+    assert lengths.tolist() == [len(t.split()) for t in texts]
+    base = E._BASE
+    want = [sum((b + 1) * pow(base, i, 1 << 64) for i, b in enumerate(w.encode().lower())) % (1 << 64)
+            for t in texts for w in t.split()]
+    assert (got == E.mixed(np.array(want, np.uint64))).all()
+    big = pa.array(["word text " * 100_000])
+    tracemalloc.start()
+    E.word_hashes(big)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * big.nbytes
+
+
+def test_frequent_items_of_a_window_in_place():
+    rng = np.random.default_rng(6)
+    held = [rng.integers(0, 50_000, 100_000).astype(np.uint64) for _ in range(4)]
+    values, times = np.unique(np.concatenate(held), return_counts=True)
+    size = sum(x.nbytes for x in held)
+    tracemalloc.start()
+    got = E.frequent_items(held)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    often = times >= E.FREQUENT
+    assert (got[0] == values[often]).all() and (got[1] == times[often]).all() and held == []
+    assert peak < 2 * size
+    for n in (0, E.FREQUENT - 1, E.FREQUENT):
+        assert len(E.frequent_items([np.zeros(n, np.uint64)])[0]) == (n == E.FREQUENT)

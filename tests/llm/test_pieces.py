@@ -87,3 +87,13 @@ def test_checked_encoding_decodes_its_ids(monkeypatch):
     monkeypatch.setattr(P.Codec, "decode", lambda self, ids: "x")
     with pytest.raises(ValueError, match="do not decode"):
         list(P._encoder(path, True)([batch]))
+
+
+def test_older_stretches_count_among_those_remembered(monkeypatch):
+    c = P.codec(vocabulary("piece_bpe_32k.model"))
+    c.forget()
+    monkeypatch.setattr(P, "CACHE", 100)
+    for i in range(12):
+        c.encode_many(pa.array([" ".join(f"word{i}x{j}" for j in range(60))]))
+        assert len(c.known) + len(c.older) <= 100 + 2 * 60
+    c.forget()

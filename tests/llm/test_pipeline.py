@@ -1,7 +1,7 @@
 import __spark_entry__ as E
 import corpus_pipeline as P
 from riskstream.llm import mixing, partenum, pieces, quality, secrets
-from riskstream.llm.common import materialize
+from riskstream.llm.common import BATCH_SETTING, materialize
 from riskstream.llm.queries import QUERIES, vocabulary
 from riskstream.session import path_exists
 
@@ -52,3 +52,17 @@ def test_a_stage_deletes_what_the_one_before_read(spark, edges):
     written = materialize(out, "stage-test")
     again = P.near_duplicates(spark, written, SF)
     assert not any(path_exists(spark, p) for p in tables) and again.count() <= written.count()
+
+
+def test_stages_lower_the_batches_and_the_run_puts_them_back(spark):
+    before = spark.conf.get(BATCH_SETTING)
+    try:
+        for _, stage in P.STAGES:
+            spark.conf.set(BATCH_SETTING, "20000")
+            stage(spark, spark.read.parquet(f"{SF}/documents.parquet").limit(3), SF)
+            assert int(spark.conf.get(BATCH_SETTING)) == P.ROWS or stage is P.mix_sources  # which has no Python
+        spark.conf.set(BATCH_SETTING, "20000")
+        P.run(spark, SF)
+        assert spark.conf.get(BATCH_SETTING) == "20000"
+    finally:
+        spark.conf.set(BATCH_SETTING, before)

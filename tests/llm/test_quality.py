@@ -1,3 +1,4 @@
+import re
 from collections import Counter
 
 import numpy as np
@@ -196,3 +197,20 @@ def test_parts_and_rounds_give_the_same(spark, monkeypatch):
     assert any(len(rounds) > 1 for _, rounds in Q._passes(parts))
     assert sorted(map(tuple, Q.rules(docs).drop("log_ppl").collect())) == once
     assert np.allclose([r.log_ppl for r in Q.rules(docs).orderBy("doc_id", "log_ppl").collect()], ppl, rtol=1e-6)
+
+
+def test_a_task_that_counts_has_one_python_step(edges):
+    twice = edges.unionAll(edges)
+    schema = "lang string, code long, n long, texts long"
+    letters = edges.sparkSession.sparkContext.broadcast(Q.alphabets(twice))
+    out = Q.distinct_texts(twice, Q._counter(letters), schema)
+    tree = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in tree and not re.search(r"MapIn[^\n]*\n[^\n]*MapIn", tree)
+    got = out.groupBy("lang", "code").sum("n", "texts").collect()
+    want = {}
+    for lang, text in {(r.lang, r.text or "") for r in edges.collect()}:
+        codes, _ = Q.ngrams([text], letters.value.get(lang) or Q.Alphabet(np.zeros(0)))
+        for c, n in zip(*(x.tolist() for x in np.unique(codes, return_counts=True))):
+            n0, t0 = want.get((lang, c), (0, 0))
+            want[lang, c] = n0 + n, t0 + 1
+    assert {(r[0], r[1]): (r[2], r[3]) for r in got} == want and len(got) == len(want)

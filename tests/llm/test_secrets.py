@@ -47,3 +47,9 @@ def test_scan_and_redact(spark, make, edges, clashing, nothing):
     assert S.scan(edges).count() == len(edge_rows()) and S.scan(nothing).count() == 0
     equal = rows(S.redacted(clashing)) == rows(clashing) and S.redacted(nothing).columns == nothing.columns
     assert equal
+
+
+def test_workers_give_memory_back_after_a_task():
+    from pyspark.util import PythonEvalType
+
+    assert S._on_series(S._spans).evalType == PythonEvalType.SQL_SCALAR_PANDAS_ITER_UDF  # the others have no end of a task

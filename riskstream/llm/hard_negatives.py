@@ -3,9 +3,12 @@
 Rows are dealt out by a hash, sorted by label bucket, id and content hash and packed into blocks of ``BLOCK`` vectors at most
 (``_pack``). Blocks of anchors meet blocks of rows in a grid of cells, each anchor block in every split of the rows and each
 row block in every group of the anchors, so neither side is broadcast or held whole and a label with a third of all rows is
-just more blocks. A pair of blocks is one tile: an int64 matrix product by Strassen's recursion, with zero padding
-where a side is odd (``strassen``), from which every anchor's heap takes its best rows. Heaps of several tiles merge
-(``Heaps``): in the task that made them, then over all tasks by a row limit per heap.
+just more blocks. All joins are sort-merge joins by a hint: Spark's estimate of a side's size leaves out that the grid repeats
+its blocks, and a small estimate would send a copy of each block for every split or group through the driver.
+
+A pair of blocks is one tile: an int64 matrix product by Strassen's recursion, with zero padding where a side is odd
+(``strassen``), from which every anchor's heap takes its best rows. Heaps of several tiles merge (``Heaps``): in the task that
+made them, then over all tasks by a row limit per heap.
 
 First same-label buckets are multiplied for each anchor's best ``positives``; their scores are windows
 ``low <= 100 * negative / positive <= high``, and the second run takes the best ``negatives`` of other labels in each window.
@@ -233,7 +236,7 @@ def _tiles(anchors: DataFrame, blocks: DataFrame, cells: int, same: bool) -> Dat
     right = blocks.select(*[c for c in blocks.columns if c != "no"], dealt(splits).alias("s"),
                           F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
     on = (F.col("a_g") == F.col("g")) & (F.col("a_s") == F.col("s"))
-    return left.join(right, on & (F.col("a_bucket") == F.col("bucket")) if same else on)
+    return left.join(right.hint("merge"), on & (F.col("a_bucket") == F.col("bucket")) if same else on)
 
 
 def _heap_rows(anchor: Block, heaps: Heaps) -> pa.RecordBatch:
@@ -297,7 +300,7 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
     marks = (pos.groupBy("anchor_id", "anchor_hash").agg(F.sort_array(F.collect_list(F.struct("rank", "score"))).alias("m"))
              .select("anchor_id", "anchor_hash", F.transform(F.sequence(F.lit(1), F.lit(positives)),
                                                              lambda i: F.try_element_at("m", i)["score"]).alias("marks")))
-    marked = (anchors.join(marks, (F.col("vec_id") == F.col("anchor_id")) & (F.col("row_hash") == F.col("anchor_hash")))
+    marked = (anchors.join(marks.hint("merge"), (F.col("vec_id") == F.col("anchor_id")) & (F.col("row_hash") == F.col("anchor_hash")))
               .drop("anchor_id", "anchor_hash").withColumn("bucket", F.lit(0)))
     packed.append(_blocks(marked, ANCHORS, few, scale, low, high, "hn-marked"))
     far = table(_tiles(packed[2], packed[0], cells, False).mapInArrow(_search(negatives, positives), _HEAP), "hn-far", TILES)
@@ -306,6 +309,6 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
     neg = _best(far, negatives)
     p = pos.select("anchor_id", "anchor_hash", F.col("rank").alias("slot"), F.col("other_id").alias("positive_id"),
                    F.col("score").alias("positive_score"))
-    return (neg.join(p, ["anchor_id", "anchor_hash", "slot"])
+    return (neg.join(p.hint("merge"), ["anchor_id", "anchor_hash", "slot"])
             .select("anchor_id", "positive_id", "rank", F.col("other_id").alias("negative_id"), "positive_score",
                     F.col("score").alias("negative_score")))

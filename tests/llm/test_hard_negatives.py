@@ -98,3 +98,23 @@ def test_other_columns_and_empty_tables(spark):
 def test_huge_components_stay_defined(spark):
     rows = [(0, [3e38, 1.0], 1), (1, [1.0, 2.0], 1), (2, [-3e38, 1.0], 2), (3, [1.0, 1.0], 2)]
     assert all(r.anchor_id == 0 for r in mine(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 0).collect())
+
+
+def test_no_block_goes_through_the_driver(spark, monkeypatch):
+    """A side whose estimated size is under Spark's limit for broadcasts still has many copies of each block."""
+    plans = []
+    of = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    for name in ("materialize", "table"):
+        monkeypatch.setattr(hard_negatives, name, lambda df, *a, f=getattr(hard_negatives, name): f(of(df), *a))
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, str(1 << 30))
+    try:
+        rows = vectors(120)
+        out = mine(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 100 == 0)
+        assert sorted((tuple(r) for r in of(out).collect()), key=repr) == brute(rows)
+        of(out)  # as it ran
+    finally:
+        spark.conf.set(limit, before)
+    assert sum("SortMergeJoin" in p for p in plans) >= 5
+    assert not any("Broadcast" in p for p in plans)
